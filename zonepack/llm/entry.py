@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from zonepack.llm.decontaminate import op6_decontaminate
+from zonepack.llm.language_id import op1_language_id
 from zonepack.llm.packing import op9_packing
+from zonepack.llm.pii import op5_pii
+from zonepack.llm.quality import op10_quality
 from zonepack.llm.token_codec import op7_token_codec
 from zonepack.llm.token_count import op2_token_count
+from zonepack.llm.url_filter import OP4_SQL, op4_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_token_count, op7_token_codec, op9_packing]
+    found = [op1_language_id, op2_token_count, op4_url_filter, op5_pii, op6_decontaminate, op7_token_codec, op9_packing, op10_quality]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_filter": OP4_SQL}
