@@ -8,6 +8,7 @@ it. So a worker keeps the ids of the words it has met; the library encodes only
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import regex
@@ -40,6 +41,18 @@ class _Kept(dict):
         return value
 
 
+def _byte_characters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on, in order."""
+    printable = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + i for i, b in enumerate(others)}
+
+
+_BYTE_CHARACTERS = _byte_characters()
+#: Below this letters are composed already and lower-case one by one.
+_LATIN_END = "\u0250"
+
+
 class WordTokenizer:
     """Ids as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` gives them."""
 
@@ -53,10 +66,13 @@ class WordTokenizer:
         self.plain = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
     def _piece(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.library.model.tokenize(piece)], dtype="<u4").tobytes()
+        return array("I", [t.id for t in self.library.model.tokenize(piece)]).tobytes()
 
     def split(self, word: str) -> list[str] | None:
         """The pieces of one word that are merged by themselves; None if it holds a special token."""
+        core, end = (word[:-1], [word[-1]]) if word[-1] in ".,!?" else (word, [])
+        if core.isalpha() and max(core) < _LATIN_END and (low := core.lower()).isalpha():  # most words
+            return [low if low.isascii() else low.encode().decode("latin-1").translate(_BYTE_CHARACTERS), *end]
         if "<" in word and any(s in word for s in self.special):
             return None
         if word.isascii() and word.isprintable():
