@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,5 +74,31 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4
             yield batch.slice(begin), texts[begin:]
 
 
+def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The rows of each key in turn, from a partition that is sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(batch.num_rows, dtype=bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(change).tolist()] if batch.num_rows else []
+        for begin, end in zip(starts, [*starts[1:], batch.num_rows]):
+            key = tuple(c[begin] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def dealt_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a key in one partition and side by side."""
+    return df.repartition(parallelism(df.sparkSession), *keys).sortWithinPartitions(*keys)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
