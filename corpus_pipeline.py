@@ -1,4 +1,10 @@
-"""A training-corpus pipeline of five stages over ``documents``."""
+"""A training-corpus pipeline of five stages over ``documents``.
+
+Each stage takes what the one before it kept, written as Parquet and read again. All but the last
+return the columns of the table. SQL can express neither the language model, the n-gram join at
+this size nor the tokenizer, so there is no SQL for the result; tests hold it against a brute-force
+version.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +12,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from zonepack.llm import decontaminate, jaccard_join, language_id, packing, pii
 from zonepack.llm.shared import stage
+from zonepack.llm.word_ids import vocabulary_path
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: documents in one of the learned languages; learned from the stage's own input."""
+    return language_id.in_known_language(docs, language_id.learn(docs))
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: of each group of linked documents the one with the smallest doc_id."""
+    return jaccard_join.one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents into which no benchmark item leaks."""
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: all documents, personal data replaced by typed placeholders."""
+    return pii.redact(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: the pieces of all documents in cost-balanced sequences."""
+    return packing.pack(docs, vocabulary_path("word_bpe_49k.json"))
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", known_language),
+    ("near_copies", one_of_near_copies),
+    ("benchmark", without_benchmark),
+    ("personal_data", without_personal_data),
+    ("packing", packed),
+]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; what each stage returns is written and read again for the next."""
+    """The rows of the last stage; what each stage before it returns is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, step in STAGES:
+    for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from zonepack.llm.ann import op8_ann
 from zonepack.llm.decontaminate import op6_decontaminate
+from zonepack.llm.jaccard_join import op3_ngram_jaccard
 from zonepack.llm.language_id import op1_language_id
 from zonepack.llm.packing import op9_packing
 from zonepack.llm.pii import op5_pii
@@ -17,7 +19,10 @@ from zonepack.llm.url_filter import OP4_SQL, op4_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_token_count, op4_url_filter, op5_pii, op6_decontaminate, op7_token_codec, op9_packing, op10_quality]
+    found = [
+        op1_language_id, op2_token_count, op3_ngram_jaccard, op4_url_filter, op5_pii,
+        op6_decontaminate, op7_token_codec, op8_ann, op9_packing, op10_quality,
+    ]
     return {f.__name__: f for f in found}
 
 
