@@ -5,11 +5,12 @@ Words are runs of bytes other than ASCII white space, A-Z lower-cased; a documen
 100 * intersection >= 90 * union. The result has each document's component.
 
 1. Sets that are equal form a class; its smallest doc_id stands for it.
-2. Prefix keys: in one order of all shingles, two linked sets share one of their first
-   n - ceil(0.9 n) + 1. The order puts frequent shingles last. How frequent a shingle is comes from a
-   count table of fixed size over all shingles of all documents; any table gives right results, a
-   crowded one only longer key groups.
-3. Documents that share a key with another class are candidates; their sets are staged.
+2. A set of which more than a tenth is in no other class links with nothing. This is tested on the
+   shingles whose hash is in the lowest ``1 / PROBE``: they are grouped over all documents, and a set
+   with n - ceil(0.9 n) + 1 such shingles of its own is done. What passages many documents share does
+   not matter here.
+3. Prefix keys of the remaining sets: in the order of hashes, two linked sets share one of their first
+   n - ceil(0.9 n) + 1 shingles. Documents that share a key are candidates; their sets are staged.
 4. Collapse, ``ROUNDS`` times: each candidate goes with its set to one of its keys. A group is dealt to
    blocks of about ``BLOCK``; in a block a signature tree is traversed with itself, pairs that its bounds
    leave are compared exactly, and pairs inside a known component are passed over. So a group of near
@@ -18,7 +19,7 @@ Words are runs of bytes other than ASCII white space, A-Z lower-cased; a documen
    blocks, name the pairs across components that may link; these are compared exactly.
 6. Components of all links, by stars.
 
-Steps 2 and 5 together consider every pair that can link, so no link between components is lost.
+Steps 3 and 5 consider every pair that can link, so no link between components is lost.
 
 No words or null text: n_shingles 0, component_id is the row's own doc_id, no links. One or two words:
 the whole sequence is one shingle. Rows that repeat a doc_id with other texts count as one node of the
@@ -46,10 +47,7 @@ SHINGLE = 3
 PERCENT = 90
 ROUNDS = 2
 BLOCK = 512
-TABLE_BITS = 22
-CHUNKS = 64
-#: A shingle goes to the end of the order when its cell counts this many, and so many times the mean.
-FREQUENT, TIMES_MEAN = 32, 4
+PROBE = 4
 FILTER_BITS = 24
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -78,48 +76,20 @@ def _cell(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def frequent_table(docs: DataFrame, width: int) -> np.ndarray:
-    """For each leading ``TABLE_BITS`` bits of a hash: do more documents than usual have such a shingle?"""
+def key_count(n, percent: int = PERCENT):
+    """n - ceil(percent / 100 n) + 1, of a number or a column: that many shingles of a set, at least one of
+    which every linked set has."""
+    return n - (percent * n + 99 - (percent * n + 99) % 100) / 100 + 1
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << TABLE_BITS, dtype=np.uint32)
-        for _, texts in slices(batches):
-            sets = [shingles(t, width) for t in texts]
-            total += np.bincount(_cell(np.concatenate(sets), TABLE_BITS), minlength=len(total)).astype(np.uint32)
-        parts = total.reshape(CHUNKS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["chunk", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
-                more = np.frombuffer(counts.as_buffer(), dtype=np.uint32)
-                sums[chunk] = sums[chunk] + more if chunk in sums else more.astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["chunk", "counts"])
-
-    rows = documents(docs).select("text").mapInArrow(count, "chunk int, counts binary").repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, counts binary")
-    rows = rows.select("chunk", "counts")
-    total = np.zeros((CHUNKS, (1 << TABLE_BITS) // CHUNKS), dtype=np.uint64)
-    for row in rows.toLocalIterator():
-        total[row.chunk] = np.frombuffer(row.counts, dtype=np.uint64)
-    total = total.ravel()
-    return total >= max(FREQUENT, TIMES_MEAN * float(total.mean()))
-
-
-def prefix(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The keys of one set: its first n - ceil(percent/100 n) + 1 shingles, frequent ones last, then by hash."""
-    n = len(tokens)
-    often = frequent[_cell(tokens, TABLE_BITS)]
-    return np.concatenate([tokens[~often], tokens[often]])[: n - -(-percent * n // 100) + 1 if n else 0]
 
-
-def _light(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
-    """(doc_id, n, digest, keys) of every row; within a task the keys of equal sets are given once."""
+def _light(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, n, digest, probe) of every row. ``probe`` has the set's shingles in the lowest part of the
+    hashes, and all key shingles; within a task it is given once for equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for rows, texts in slices(batches):
-            digests, sizes, keys = [], [], []
+            digests, sizes, probes = [], [], []
             for doc_id, text in zip(rows.column("doc_id").to_pylist(), texts):
                 tokens = shingles(text, width)
                 digest = xxhash.xxh3_128_digest(tokens.tobytes())
@@ -130,10 +100,18 @@ def _light(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
                     known[digest] = doc_id
                 digests.append(digest)
                 sizes.append(len(tokens))
-                keys.append(prefix(tokens, frequent.value, percent).astype(np.int64) if new else [])
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "keys"])
+                most = max(int(key_count(len(tokens), percent)), int(np.searchsorted(tokens, np.uint64((1 << 64) // PROBE)))) if new else 0
+                probes.append(tokens[:most].view(np.int64))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(probes, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "probe"])
+
+    return documents(docs).mapInArrow(run, "doc_id long, n long, digest binary, probe array<long>")
 
-    return documents(docs).mapInArrow(run, "doc_id long, n long, digest binary, keys array<long>")
+
+def _own_shingles(light: DataFrame) -> DataFrame:
+    """(class, own): how many probed shingles no other class has; hashes are unsigned, so the lowest are from 0 up."""
+    rows = light.select(F.xxhash64("digest").alias("class"), F.explode("probe").alias("shingle")).where(F.col("shingle").between(0, (1 << 64) // PROBE - 1))
+    of_one = rows.groupBy("shingle").agg(F.min("class").alias("class"), F.max("class").alias("last")).where("class = last")
+    return of_one.groupBy("class").agg(F.count("*").alias("own"))
 
 
 def _id_filter(ids: DataFrame) -> np.ndarray:
@@ -254,13 +232,12 @@ def _across(rows: DataFrame) -> DataFrame:
 def join(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_table(docs, width))
-    light = stage(_light(docs, frequent, width, percent), "light")
-
-    classes = light.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = stage(classes, "classes")
-    rows = light.where("size(keys) > 0").join(classes, (light["doc_id"] == classes["rep"]) & (light["digest"] == classes["digest"]), "left_semi")
-    rows = rows.select("doc_id", "n", F.explode("keys").alias("key"))
+    light = stage(_light(docs, width, percent), "light")
+    classes = stage(light.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    keys = key_count(F.col("n"), percent).cast("int")
+    rows = light.where("size(probe) > 0").join(_own_shingles(light), F.xxhash64("digest") == F.col("class"), "left").where(F.coalesce("own", F.lit(0)) < keys)
+    rows = rows.join(classes.withColumnRenamed("digest", "class_digest"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("class_digest")), "left_semi")
+    rows = rows.select("doc_id", F.explode(F.slice("probe", 1, keys)).alias("key"))
     repeated = rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
     shared = stage(rows.join(repeated, "key"), "shared-keys")
     sets = stage(_sets(docs, shared.select("doc_id").distinct(), width), "sets")
