@@ -1,0 +1 @@
+"""Empty on purpose: packaging is a batch over one snapshot of the tables, nothing in it is a stream."""
