@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonepack.llm.shared import documents, slices
-from zonepack.llm.word_ids import _Kept
+from zonepack.llm.word_ids import _Kept, take_turn
 
 WINDOW = 8
 LEAST_PLAIN = 5
@@ -60,7 +60,7 @@ def _word(chunk: str) -> int:
     return xxhash.xxh64_intdigest(core.lower()) & ~31 | flags
 
 
-_words = _Kept(_word)
+_words = _Kept(_word, 400_000)
 
 
 def windows(text: str, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
@@ -145,6 +145,7 @@ def leaks(docs: DataFrame, items: DataFrame, cover: float = COVER, width: int =
     table = spark.sparkContext.broadcast(window_table(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("templates")
         for rows, texts in slices(batches):
             ids, found = [], []
             for doc_id, text in zip(rows.column("doc_id").to_pylist(), texts):

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from zonepack.llm.components import components
 from zonepack.llm.shared import dealt_by, documents, groups, parallelism, slices, stage
 from zonepack.llm.signature_tree import bitmap, bitmap_words, fold, pairs
-from zonepack.llm.word_ids import _Kept
+from zonepack.llm.word_ids import _Kept, take_turn
 
 SHINGLE = 3
 PERCENT = 90
@@ -51,7 +51,7 @@ PROBE = 4
 FILTER_BITS = 24
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
-_words = _Kept(xxhash.xxh64_intdigest)
+_words = _Kept(xxhash.xxh64_intdigest, 200_000)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -87,6 +87,7 @@ def _light(docs: DataFrame, width: int, percent: int) -> DataFrame:
     hashes, and all key shingles; within a task it is given once for equal sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("shingles")
         known: dict[bytes, int] = {}
         for rows, texts in slices(batches):
             digests, sizes, probes = [], [], []
@@ -95,7 +96,7 @@ def _light(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 digest = xxhash.xxh3_128_digest(tokens.tobytes())
                 new = len(tokens) and doc_id is not None and known.get(digest, doc_id + 1) > doc_id
                 if new:
-                    if len(known) > 500_000:
+                    if len(known) > 200_000:
                         known.clear()
                     known[digest] = doc_id
                 digests.append(digest)
@@ -134,6 +135,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_id_filter(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("shingles")
         table = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             ids = batch.column("doc_id").fill_null(0).to_numpy().astype(np.uint64)

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonepack.llm.shared import documents, held_out, sample_filter, slices
+from zonepack.llm.word_ids import take_turn
 
 ORDER = 3
 SAMPLE = 1000
@@ -121,6 +122,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Trees | None:
         chosen |= (F.col("lang") == lang) & sample_filter(n, sample, "doc_id")
 
     def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("languages")
         for rows, texts in slices(batches):
             langs = rows.column("lang").to_pylist()
             for lang in set(langs):
@@ -143,6 +145,7 @@ def predict(docs: DataFrame, trees: Trees | None, *more: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("languages")
         trees = shared.value
         for rows, texts in slices(batches):
             langs, score, rate = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
@@ -173,6 +176,7 @@ def in_known_language(docs: DataFrame, trees: Trees | None, reject_bits: float =
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("languages")
         trees = shared.value
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonepack.llm.shared import documents, slices
-from zonepack.llm.word_ids import WordTokenizer, _Kept, vocabulary_path, words
+from zonepack.llm.word_ids import WordTokenizer, _Kept, take_turn, vocabulary_path, words
 
 LIMIT = 2048
 
@@ -96,6 +96,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
     """(doc_id, n_bytes, n_tokens, over_limit) of every row; ``vocabulary`` is the path of a tokenizer file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("counts")
         if vocabulary not in _open:
             _open.clear()
             _open[vocabulary] = MergeCounter(vocabulary)

@@ -8,9 +8,11 @@ it. So a worker keeps the ids of the words it has met; the library encodes only
 from __future__ import annotations
 
 import re
+import weakref
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 #: Words kept by a worker; beyond it the store starts anew, so memory stays bounded.
@@ -29,18 +31,32 @@ def words(text: str) -> list[str]:
 
 
 class _Kept(dict):
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most: int = MOST_WORDS):
+        self.make, self.most = make, most
+        _stores.append(weakref.ref(self))
 
     def __missing__(self, word: str):
         value = self.make(word)
         if len(word) <= LONGEST_KEPT:
-            if len(self) >= MOST_WORDS:
+            if len(self) >= self.most:
                 self.clear()
             self[word] = value
         return value
 
 
+_stores: list[weakref.ref] = []
+_turn: list[str] = [""]
+
+
+def take_turn(operator: str) -> None:
+    """Empty the stores that another operator has filled in this worker: workers outlive jobs."""
+    if _turn[0] != operator:
+        _turn[0] = operator
+        for store in [s for ref in _stores if (s := ref()) is not None]:
+            store.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def _byte_characters() -> dict[int, int]:
     """The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on, in order."""
     printable = {*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)}
@@ -95,6 +111,7 @@ _open: dict[str, WordTokenizer] = {}
 
 def tokenizer(path: str) -> WordTokenizer:
     """The worker's tokenizer for this file; opened once."""
+    take_turn("ids")
     if path not in _open:
         _open.clear()
         _open[path] = WordTokenizer(path)
