@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from itertools import product
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NAMED = ("intersects", "contains", "within", "overlaps", "crosses", "touches")
@@ -47,14 +47,21 @@ def _part(x: str, y: str) -> str:
     return "E" if "o" in x + y else "B" if "e" in x + y else "I"
 
 
-def box_matrix(a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> Column:
-    """Matrix of two boxes (x0, y0, x1, y1), from what their sides share on each axis."""
+def with_box_matrix(df: DataFrame, a: tuple[str, str, str, str], b: tuple[str, str, str, str]) -> DataFrame:
+    """``df`` with ``matrix`` of two boxes (x0, y0, x1, y1), from what their sides share on each axis.
+
+    The axes and the matrix are generated rows of one element: the optimizer doesn't copy them into the
+    filters that follow, which would make an expression too large to compile.
+    """
     a, b = tuple(map(col, a)), tuple(map(col, b))
-    x, y = _axis(a[0], a[2], b[0], b[2]), _axis(a[1], a[3], b[1], b[3])
+    axes = [F.struct(*[c.alias(n) for n, c in _axis(a[i], a[i + 2], b[i], b[i + 2]).items()]).alias(n) for i, n in enumerate("xy")]
+    df = df.withColumn("axes", F.explode(F.array(F.struct(*axes))))
+    x, y = F.col("axes.x"), F.col("axes.y")
     cells: dict[str, list[Column]] = {}
     for ax, ay, bx, by in product("ieo", repeat=4):
         cells.setdefault(_part(ax, ay) + _part(bx, by), []).append(x[ax + bx] + y[ay + by])
-    return F.concat(*[F.coalesce(F.greatest(*cells[r + c]).cast("string"), F.lit("F")) for r, c in product("IBE", repeat=2)])
+    best = [F.greatest(*c) if len(c) > 1 else c[0] for c in (cells[r + c] for r, c in product("IBE", repeat=2))]
+    return df.withColumn("matrix", F.explode(F.array(F.concat(*[F.coalesce(c.cast("string"), F.lit("F")) for c in best])))).drop("axes")
 
 
 def box_dimension(x0: str, y0: str, x1: str, y1: str) -> Column:
@@ -71,30 +78,23 @@ def transpose(matrix: Column) -> Column:
     return F.concat(*[F.substring(matrix, 1 + 3 * (i % 3) + i // 3, 1) for i in range(9)])
 
 
-def predicate(name: str, matrix: Column, dim_a: Column, dim_b: Column) -> Column:
-    """A named predicate, or a pattern, of feature a and stratum b."""
-    fits = lambda p: matches_pattern(matrix, p)
-    intersects = ~fits("FF*FF****")
-    if name == "intersects":
-        return intersects
-    if name == "touches":
-        return intersects & fits("F********")
-    if name == "contains":
-        return fits("T*****FF*")
-    if name == "within":
-        return fits("T*F**F***")
-    if name == "overlaps":
-        return (dim_a == dim_b) & F.when(dim_a == 1, fits("1*T***T**")).otherwise(fits("T*T***T**"))
-    if name == "crosses":
-        return F.when(dim_a < dim_b, fits("T*T******")).when(dim_a > dim_b, fits("T*****T**")).otherwise((dim_a == 1) & fits("0********"))
-    return fits(name)
-
-
-def any_of(names: list[str], matrix: Column, dim_a: Column, dim_b: Column) -> Column:
-    found = predicate(names[0], matrix, dim_a, dim_b)
-    for name in names[1:]:
-        found |= predicate(name, matrix, dim_a, dim_b)
-    return found
+def _expression(name: str) -> str:
+    """A predicate as a regular expression over both dimensions and the matrix."""
+    pattern = lambda p: p.upper().replace("T", "[012]").replace("*", ".")
+    fixed = {
+        "intersects": "..(?!FF.FF).*",
+        "touches": "..(?!FF.FF)F.*",
+        "contains": ".." + pattern("T*****FF*"),
+        "within": ".." + pattern("T*F**F***"),
+        "overlaps": f"11{pattern('1*T***T**')}|(00|22){pattern('T*T***T**')}",
+        "crosses": f"(01|02|12){pattern('T*T******')}|(10|20|21){pattern('T*****T**')}|11{pattern('0********')}",
+    }
+    return fixed.get(name) or ".." + pattern(name)
+
+
+def any_of(names: list[str] | tuple[str, ...], matrix: Column, dim_a: Column, dim_b: Column) -> Column:
+    """Does one of the named predicates or patterns hold, of feature a and stratum b?"""
+    return F.concat(dim_a.cast("string"), dim_b.cast("string"), matrix).rlike(f"^({'|'.join(map(_expression, names))})$")
 
 
 def ring_edges(points: Column) -> Column:

@@ -71,8 +71,8 @@ class Packager:
         boxes = tuple(f"s_{c}" for c in BOX)
         strata = self.strata.select("stratum_id", *[F.col(c).alias(f"s_{c}") for c in BOX])
         pairs = spatial.bbox_join(layer.rows, BOX, strata, boxes, self.side)
-        matrix = G.box_matrix(BOX, boxes)
-        return pairs.where(G.any_of(list(plan.predicates), matrix, G.box_dimension(*BOX), G.box_dimension(*boxes))).select("stratum_id", *fid).distinct()
+        fits = G.any_of(plan.predicates, F.col("matrix"), G.box_dimension(*BOX), G.box_dimension(*boxes))
+        return G.with_box_matrix(pairs, BOX, boxes).where(fits).select("stratum_id", *fid).distinct()
 
     def slices(self, layer_id: str) -> DataFrame:
         layer = self.plan(layer_id).layer

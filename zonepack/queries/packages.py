@@ -1 +1,265 @@
+"""Writing, publishing, warm starts and reports; what is written is read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from zonepack.operators import reports, strata, warm
+from zonepack.queries.matching import TO_ORDERS, packager, regions
+from zonepack.queries.registry import Tables, query
+from zonepack.sources import packages as P
+from zonepack.sources import scans
+from zonepack.sources.staging import new_path, stage
+
+CUSTOMERS = "SELECT c_nationkey AS stratum_id, count(*) AS rows, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer GROUP BY 1"
+
+
+def _sums(slices: DataFrame, key: str) -> DataFrame:
+    return slices.groupBy("stratum_id").agg(F.count("*").alias("rows"), F.sum(key).cast("long").alias("keys"))
+
+
+def _written(t: Tables, slices: DataFrame, name: str) -> tuple[str, DataFrame]:
+    path = new_path(t.spark, name)
+    P.write_partitioned(slices, path)
+    return path, t.spark.read.schema(slices.schema).parquet(path)
+
+
+def _customers(t: Tables) -> DataFrame:
+    return packager(t, "nation", "n_name", layers=["customer"]).slices("customer")
+
+
+@query(CUSTOMERS)
+def write_partitioned(t: Tables) -> DataFrame:
+    return _sums(_written(t, _customers(t), "package")[1], "c_custkey")
+
+
+@query("SELECT r_regionkey AS stratum_id, 'supplier' AS \"table\", (SELECT count(*) FROM supplier) AS rows FROM region")
+def shared_template(t: Tables) -> DataFrame:
+    path = new_path(t.spark, "shared")
+    t.supplier.write.parquet(path)
+    return P.shared_manifest(regions(t), "supplier", path, t.spark.read.parquet(path)).drop("path")
+
+
+@query("SELECT DISTINCT p.* FROM part p JOIN lineitem ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey < 5")
+def stage_union(t: Tables) -> DataFrame:
+    p = packager(t, layers=["part"], flags={"nation": {"subset": "n_nationkey < 5"}})
+    return stage(P.staged_union(t.part, p.membership("part"), ["p_partkey"]), "union")
+
+
+@query("SELECT p_partkey, p_name FROM part")
+def stage_full(t: Tables) -> DataFrame:
+    p = packager(t, layers=["part"])
+    return P.staged_union(t.part, p.membership("part"), ["p_partkey"], everything=True).select("p_partkey", "p_name")
+
+
+@query(f"SELECT r_regionkey AS stratum_id, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM {TO_ORDERS} WHERE n_nationkey < 20 GROUP BY 1 UNION ALL SELECT -1, count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders")
+def full_package(t: Tables) -> DataFrame:
+    return _sums(packager(t, layers=["orders"], full_package=True, flags={"nation": {"subset": "n_nationkey < 20"}}).slices("orders"), "o_orderkey")
+
+
+@query("SELECT o_custkey, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_custkey BETWEEN 100 AND 300 GROUP BY 1")
+def cluster_staged(t: Tables) -> DataFrame:
+    """A staged copy clustered by its key, looked up by a key range."""
+    staged = stage(P.clustered(t.orders, ["o_custkey"], 8), "clustered")
+    return staged.where("o_custkey between 100 and 300").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT n_nationkey AS stratum_id, count(c_custkey) AS feature_count, CASE WHEN count(c_custkey) > 0 THEN 'ok' ELSE 'empty-skipped' END AS status FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 9900) ON c_nationkey = n_nationkey GROUP BY 1")
+def empty_policy(t: Tables) -> DataFrame:
+    return packager(t, "nation", "n_name", layers=["customer"], flags={"customer": {"subset": "c_acctbal > 9900"}}).counts("customer")
+
+
+@query("SELECT r_name AS stratum, 'orders' AS layer, count(*) AS feature_count, 'ok' AS status, '' AS detail FROM " + TO_ORDERS + " GROUP BY 1")
+def publish(t: Tables) -> DataFrame:
+    """A whole run: written, published by rename, its report read back."""
+    return packager(t, layers=["orders"]).package(new_path(t.spark, "out"))
+
+
+@query("SELECT c_mktsegment AS stratum, layer, 'skipped-existing' AS status FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment < 'C'), (SELECT unnest(['orders', 'events']) AS layer)")
+def overwrite_skip(t: Tables) -> DataFrame:
+    found = t.customer.groupBy("c_mktsegment").agg(F.min("c_custkey").alias("stratum_id"))
+    rows = strata.with_paths(strata.named(found, "c_mktsegment"))
+    existing = rows.where("name < 'C'").select("bundle_rel")
+    layers = t.spark.createDataFrame([("orders",), ("events",)], "layer string")
+    return P.skipped_rows(rows, existing, layers)
+
+
+@query()
+def checksums(t: Tables) -> DataFrame:
+    path, _ = _written(t, _customers(t), "summed")
+    return P.checksums(t.spark, path)
+
+
+@query()
+def payload_inventory(t: Tables) -> DataFrame:
+    path, _ = _written(t, _customers(t), "payload")
+    return scans.payload_inventory(t.spark, path, "data/customer")
+
+
+@query("SELECT c_mktsegment || '/' || c_name AS arcname FROM customer WHERE lower(c_mktsegment) IN ('building', 'report.csv')")
+def extra_conflicts(t: Tables) -> DataFrame:
+    entries = t.customer.select(F.concat_ws("/", "c_mktsegment", "c_name").alias("arcname"))
+    reserved = t.customer.where("c_mktsegment like 'B%'").select(F.initcap("c_mktsegment").alias("name")).union(t.customer.select(F.lit("report.csv")))
+    return P.extra_conflicts(entries, reserved)
+
+
+@query("SELECT c_custkey AS stratum_id, 'orders' AS \"table\", m AS name, CASE m WHEN 'about' THEN 'metadata' ELSE 'style' END AS kind, '<' || m || '/>' AS body, m = 'plain' AS is_default FROM customer, (SELECT unnest(['plain', 'rich', 'about']) AS m)")
+def layer_documents(t: Tables) -> DataFrame:
+    rows = [("orders", "plain", "style", "<plain/>", True), ("orders", "rich", "style", "<rich/>", False), ("orders", "about", "metadata", "<about/>", True)]
+    members = t.spark.createDataFrame(rows, "table string, name string, kind string, body string, is_primary boolean")
+    return P.layer_documents(strata.snapshot(t.customer, "c_custkey"), members)
+
+
+@query("SELECT r_name AS stratum, 'orders' AS layer, count(*) AS feature_count, 'ok' AS status, '' AS detail FROM " + TO_ORDERS + " WHERE n_nationkey < 20 GROUP BY 1 UNION ALL SELECT '<unmatched>', 'orders', count(*), 'ok', '' FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey >= 20 UNION ALL SELECT r_name, 'supplier', (SELECT count(*) FROM supplier), 'ok', '' FROM region")
+def run_report(t: Tables) -> DataFrame:
+    flags = {"nation": {"subset": "n_nationkey < 20"}, "supplier": {"matching_method": "whole_export"}}
+    return packager(t, layers=["orders", "supplier"], flags=flags).report()
+
+
+@query("SELECT r_name AS stratum, l AS layer, CASE l WHEN 'supplier' THEN (SELECT count(*) FROM supplier) END AS feature_count, 'dry-run' AS status, '' AS detail FROM region, (SELECT unnest(['orders', 'supplier']) AS l)")
+def dry_run(t: Tables) -> DataFrame:
+    return packager(t, layers=["orders", "supplier"], dry_run=True, flags={"supplier": {"matching_method": "whole_export"}}).report()
+
+
+def _tables(t: Tables, p) -> DataFrame:
+    rows = [(x.layer.id, "NoGeometry", x.layer.source.columns, list(x.layer.excluded_fields), x.method, list(x.relation_ids), list(x.predicates), "") for x in p.plans]
+    return t.spark.createDataFrame(rows, "layer string, geometry_type string, fields array<string>, excluded array<string>, matching_method string, relation_ids array<string>, predicates array<string>, crs string")
+
+
+@query(
+    """WITH c AS (SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9500 GROUP BY 1), rows AS (
+SELECT n_name AS stratum, 'customer' AS layer_name, CASE WHEN n IS NULL THEN '' ELSE 'customer' END AS gpkg_table, CASE WHEN n IS NULL THEN '' ELSE n_name || '.gpkg' END AS path_in_zip,
+  'vector' AS layer_type, 'NoGeometry' AS geometry_type, n AS feature_count, 3 AS field_count, 'c_acctbal;c_name' AS excluded_fields, 'attribute' AS matching_method,
+  'r_customer_nation' AS match_detail, '' AS source_crs, 'ok' AS status, '' AS detail FROM nation LEFT JOIN c USING (n_name)
+UNION ALL SELECT n_name, 'terrain', '', 'data/terrain.tif', 'raster', '', NULL, NULL, '', 'whole_export', '', 'EPSG:3857', 'ok', '' FROM nation
+UNION ALL SELECT n_name, 'notes', '', '', 'annotation', '', NULL, NULL, '', '', '', '', 'project-only', '' FROM nation) SELECT * FROM rows"""
+)
+def bundle_report(t: Tables) -> DataFrame:
+    p = packager(t, "nation", "n_name", layers=["customer"], flags={"customer": {"subset": "c_acctbal > 9500", "excluded_fields": ("c_acctbal", "c_name")}})
+    names = p.strata.select("stratum_id", F.col("name").alias("stratum"), "package_rel")
+    outcomes = names.join(p.counts("customer").where("feature_count > 0"), "stratum_id").select("stratum", F.lit("customer").alias("layer"), "feature_count", "status")
+    payloads = t.spark.createDataFrame([("terrain", "data/terrain.tif", "raster", "EPSG:3857")], "layer string, path string, kind string, crs string")
+    embedded = t.spark.createDataFrame([("notes", "annotation", "")], "layer string, kind string, crs string")
+    return reports.bundle_rows(names.drop("stratum_id"), _tables(t, p), outcomes, payloads, embedded)
+
+
+@query("SELECT (SELECT CAST(to_json(list_sort(list(DISTINCT 'n' || c_nationkey))) AS VARCHAR) FROM customer) AS paths, (SELECT count(DISTINCT c_nationkey) FROM customer) AS bundles, (SELECT string_agg(n, ',' ORDER BY n) FROM (SELECT DISTINCT c_mktsegment AS n FROM customer WHERE c_acctbal < -900)) AS failed")
+def run_summary(t: Tables) -> DataFrame:
+    published = t.customer.select(F.concat(F.lit("n"), "c_nationkey").alias("path"))
+    return reports.summary(published, t.customer.where("c_acctbal < -900").select(F.col("c_mktsegment").alias("stratum")))
+
+
+# Outcomes of a run over the nations, made of the tables: customers with a high balance were written; strata with
+# a very indebted customer failed; those with few suppliers had no usable cache.
+_OUT = """o AS (SELECT n_name AS stratum, 'customer' AS layer, count(*) AS feature_count FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9500 GROUP BY 1),
+f AS (SELECT DISTINCT n_name AS stratum FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < -980),
+w AS (SELECT n_name AS stratum FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1 HAVING count(s_suppkey) < 4)"""
+
+
+@query(
+    f"""WITH {_OUT} SELECT n_name AS stratum, l AS layer, CASE WHEN f.stratum IS NULL THEN coalesce(o.feature_count, 0) END AS feature_count,
+CASE WHEN f.stratum IS NOT NULL THEN 'failed' WHEN w.stratum IS NOT NULL AND l = 'customer' AND o.stratum IS NOT NULL THEN 'cold-fallback' WHEN o.stratum IS NOT NULL THEN 'ok' ELSE 'empty-skipped' END AS status,
+CASE WHEN f.stratum IS NOT NULL THEN 'bad balance' WHEN w.stratum IS NOT NULL AND l = 'customer' AND o.stratum IS NOT NULL THEN 'missing' ELSE '' END AS detail
+FROM nation CROSS JOIN (SELECT unnest(['customer', 'orders']) AS l) LEFT JOIN o ON o.stratum = n_name AND o.layer = l LEFT JOIN f ON f.stratum = n_name LEFT JOIN w ON w.stratum = n_name"""
+)
+def run_rows(t: Tables) -> DataFrame:
+    names = t.nation.select(F.col("n_name").alias("stratum"), "n_nationkey")
+    customers = t.customer.join(names, F.col("c_nationkey") == F.col("n_nationkey"))
+    outcomes = customers.where("c_acctbal > 9500").groupBy("stratum").agg(F.count("*").alias("feature_count")).withColumns({"layer": F.lit("customer"), "status": F.lit("ok")})
+    failed = customers.where("c_acctbal < -980").select("stratum").distinct().withColumn("reason", F.lit("bad balance"))
+    few = names.join(t.supplier, F.col("n_nationkey") == F.col("s_nationkey"), "left").groupBy("stratum").agg(F.count("s_suppkey").alias("n")).where("n < 4")
+    layers = t.spark.createDataFrame([("customer", True), ("orders", False)], "layer string, warm boolean")
+    return reports.run_rows(names, layers, outcomes, failed, few.select("stratum", F.lit("missing").alias("reason")))
+
+
+@query("WITH c AS (SELECT c_mktsegment AS stratum, CAST(c_nationkey AS VARCHAR) AS layer, count(*) AS n FROM customer GROUP BY 1, 2), m AS (SELECT CAST(n_nationkey AS VARCHAR) AS layer, CAST(n_regionkey AS VARCHAR) AS p FROM nation), o AS (SELECT *, 'of ' || layer AS status FROM c WHERE n > 10 OR layer IN (SELECT p FROM m)) SELECT p.stratum, m.layer, coalesce(o.n, p.n) AS feature_count, coalesce(o.status, p.status) AS status FROM m JOIN o p ON p.layer = m.p LEFT JOIN o ON o.stratum = p.stratum AND o.layer = m.layer")
+def outcome_fallback(t: Tables) -> DataFrame:
+    """Layers by nation; the one with the region's number is the primary of the region's group."""
+    counted = t.customer.groupBy(F.col("c_mktsegment").alias("stratum"), F.col("c_nationkey").cast("string").alias("layer")).agg(F.count("*").alias("feature_count"))
+    members = t.nation.select(F.col("n_nationkey").cast("string").alias("layer"), F.col("n_regionkey").cast("string").alias("primary"))
+    primaries = members.select(F.col("primary").alias("layer")).distinct()
+    outcomes = counted.where("feature_count > 10").unionByName(counted.where("feature_count <= 10").join(primaries, "layer", "left_semi").select(counted.columns))
+    return reports.outcome_fallback(members, outcomes.withColumn("status", F.concat(F.lit("of "), "layer")))
+
+
+@query("SELECT 'n' || c_nationkey AS bundle_rel, count(*) FILTER (WHERE c_acctbal > 9000) AS shipped, count(*) FILTER (WHERE c_acctbal <= 9000) AS failed, CASE WHEN count(*) FILTER (WHERE c_acctbal > 9000) > 0 THEN 'ok' ELSE 'failed' END AS status FROM customer WHERE c_acctbal > 8000 GROUP BY 1")
+def bundle_status(t: Tables) -> DataFrame:
+    return reports.bundle_status(t.customer.where("c_acctbal > 8000").select(F.concat(F.lit("n"), "c_nationkey").alias("bundle_rel"), (F.col("c_acctbal") > 9000).alias("ok")))
+
+
+# Caches by customer: expected are customer and orders; present is what the tables have rows of.
+_PRESENT = "SELECT o_custkey AS stratum_id, 'orders' AS \"table\" FROM orders UNION SELECT user_id, 'events' FROM events WHERE value > 90 UNION SELECT c_custkey, 'customer' FROM customer WHERE c_acctbal > 0"
+
+
+def _present(t: Tables) -> DataFrame:
+    parts = [
+        t.orders.select(F.col("o_custkey").alias("stratum_id"), F.lit("orders").alias("table")),
+        t.events.where("value > 90").select("user_id", F.lit("events")),
+        t.customer.where("c_acctbal > 0").select("c_custkey", F.lit("customer")),
+    ]
+    return parts[0].union(parts[1]).union(parts[2]).distinct()
+
+
+@query(f"WITH present AS ({_PRESENT}), expected AS (SELECT c_custkey AS stratum_id, unnest(['customer', 'orders']) AS \"table\" FROM customer) SELECT *, 'missing' AS drift FROM (FROM expected EXCEPT FROM present) UNION ALL SELECT *, 'extra' FROM (FROM present EXCEPT FROM expected)")
+def table_drift(t: Tables) -> DataFrame:
+    expected = t.customer.select(F.col("c_custkey").alias("stratum_id"), F.explode(F.array(F.lit("customer"), F.lit("orders"))).alias("table"))
+    return warm.table_drift(expected, _present(t))
+
+
+_USABLE = f"""WITH present AS ({_PRESENT}), held AS (SELECT stratum_id, list_sort(list("table")) AS held FROM present GROUP BY 1),
+state AS (SELECT c_custkey AS stratum_id, CASE WHEN held IS NULL THEN 'missing'
+  WHEN len(list_filter(['customer', 'orders'], lambda x: NOT list_contains(held, x))) > 0 THEN 'lacks ' || array_to_string(list_filter(['customer', 'orders'], lambda x: NOT list_contains(held, x)), ', ')
+  WHEN list_contains(held, 'events') THEN 'holds other events' END AS reason FROM customer LEFT JOIN held ON stratum_id = c_custkey)"""
+
+
+def _state(t: Tables) -> DataFrame:
+    return warm.usable(strata.snapshot(t.customer, "c_custkey"), ["customer", "orders"], _present(t))
+
+
+@query(_USABLE + " SELECT stratum_id, reason IS NULL AS usable, reason FROM state")
+def warm_usable(t: Tables) -> DataFrame:
+    return _state(t)
+
+
+@query(_USABLE + " SELECT stratum_id, o_orderkey, CASE WHEN reason IS NULL THEN 'warm' ELSE 'cold-fallback' END AS status FROM state JOIN orders ON o_custkey = stratum_id")
+def warm_use(t: Tables) -> DataFrame:
+    slices = t.orders.select(F.col("o_custkey").alias("stratum_id"), "o_orderkey")
+    cache = stage(slices.join(_state(t).where("usable"), "stratum_id", "left_semi"), "cache")
+    return warm.use(cache, slices, _state(t))
+
+
+@query(_USABLE + " SELECT stratum_id, 'orders' AS layer, 'cold-fallback' AS status, reason FROM state WHERE reason IS NOT NULL")
+def cold_fallback(t: Tables) -> DataFrame:
+    layers = t.spark.createDataFrame([("orders", True), ("events", False)], "layer string, warm boolean")
+    return warm.fallbacks(_state(t), layers)
+
+
+@query(CUSTOMERS)
+def warm_snapshot(t: Tables) -> DataFrame:
+    """The cache of a warm table, published, read by strata."""
+    built, final = new_path(t.spark, "built"), new_path(t.spark, "warm")
+    P.write_partitioned(_customers(t), built)
+    P.publish(t.spark, built, final)
+    return _sums(t.spark.read.parquet(final), "c_custkey")
+
+
+@query("SELECT n_name AS stratum, 'customer' AS layer, count(*) AS feature_count, 'warm' AS status, '' AS detail FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 GROUP BY 1 UNION ALL SELECT '<unmatched>', 'customer', count(*), 'ok', '' FROM customer WHERE c_acctbal > 0 AND c_nationkey NOT IN (SELECT n_nationkey FROM nation) HAVING count(*) > 0")
+def warm_update(t: Tables) -> DataFrame:
+    """A stale cache is refreshed first, then the packages are built from it."""
+    cache = new_path(t.spark, "warm")
+    P.write_partitioned(_customers(t).where("stratum_id < 5"), f"{cache}/customer")
+    flags = {"customer": {"subset": "c_acctbal > 0", "warm": True}}
+    return packager(t, "nation", "n_name", layers=["customer"], flags=flags, warm_dir=cache, warm_mode="update").package(new_path(t.spark, "out"))
+
+
+@query("SELECT c_name AS label, c_nationkey, 'Point' AS kind, c_acctbal AS x, CAST(c_custkey AS DOUBLE) AS y FROM customer")
+def scan_geojsonl(t: Tables) -> DataFrame:
+    """Customers written as GeoJSON lines and read again."""
+    point = F.struct(F.lit("Point").alias("type"), F.array(F.col("c_acctbal"), F.col("c_custkey").cast("double")).alias("coordinates"))
+    path = new_path(t.spark, "geojsonl")
+    t.customer.select(F.lit("Feature").alias("type"), F.struct(F.col("c_name").alias("label"), "c_nationkey").alias("properties"), point.alias("geometry")).write.json(path)
+    read = scans.scan_geojson_lines(t.spark, path, ["label", "c_nationkey"])
+    corner = F.col("rings")[0][0]
+    return read.select("label", F.col("c_nationkey").cast("int").alias("c_nationkey"), "kind", corner["x"].alias("x"), corner["y"].alias("y"))
 

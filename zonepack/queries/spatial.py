@@ -1 +1,201 @@
+"""Spatial matching: part points, boxes and segments against cells that the nations lay out.
 
+A part stands at (p_size, p_partkey % 100); its box adds (p_partkey % 7, p_partkey % 5), which may be 0.
+Nation n has the closed box of 10 x 20 at column n % 5, row n // 5, and the triangle in its lower left.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from zonepack.functions import geometry as G
+from zonepack.operators import spatial as S
+from zonepack.queries.registry import Tables, query
+
+A, B = ("ax0", "ay0", "ax1", "ay1"), ("bx0", "by0", "bx1", "by1")
+
+
+def parts(t: Tables, box: bool = True) -> DataFrame:
+    x, y, k = F.col("p_size").cast("double"), (F.col("p_partkey") % 100).cast("double"), F.col("p_partkey")
+    return t.part.select(k.alias("fid"), x.alias("ax0"), y.alias("ay0"), (x + k % 7 * int(box)).alias("ax1"), (y + k % 5 * int(box)).alias("ay1"))
+
+
+def cells(t: Tables) -> DataFrame:
+    i, j = (F.col("n_nationkey") % 5).cast("double"), F.floor(F.col("n_nationkey") / 5).cast("double")
+    return t.nation.select(F.col("n_nationkey").alias("stratum_id"), (i * 10).alias("bx0"), (j * 20).alias("by0"), (i * 10 + 10).alias("bx1"), (j * 20 + 20).alias("by1"))
+
+
+def ring(*corners) -> F.Column:
+    return G.ring_edges(F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in corners]))
+
+
+BOX_RING = (("bx0", "by0"), ("bx1", "by0"), ("bx1", "by1"), ("bx0", "by1"))
+
+
+def pairs(t: Tables, box: bool = True) -> DataFrame:
+    return S.bbox_join(parts(t, box), A, cells(t), B, 10.0)
+
+
+def related(t: Tables) -> DataFrame:
+    dims = {"dim_a": G.box_dimension(*A), "dim_b": G.box_dimension(*B)}
+    return G.with_box_matrix(pairs(t), A, B).select("fid", "stratum_id", "matrix", *[c.alias(n) for n, c in dims.items()])
+
+
+def named(t: Tables, *names: str) -> DataFrame:
+    return related(t).where(G.any_of(list(names), F.col("matrix"), F.col("dim_a"), F.col("dim_b"))).select("fid", "stratum_id")
+
+
+_CELLS = "cells AS (SELECT n_nationkey AS stratum_id, n_nationkey % 5 * 10 AS bx0, n_nationkey // 5 * 20 AS by0, n_nationkey % 5 * 10 + 10 AS bx1, n_nationkey // 5 * 20 + 20 AS by1 FROM nation)"
+_PARTS = "parts AS (SELECT p_partkey AS fid, p_size AS ax0, p_partkey % 100 AS ay0, p_size + p_partkey % 7 AS ax1, p_partkey % 100 + p_partkey % 5 AS ay1 FROM part)"
+_MEET = f"WITH {_CELLS}, {_PARTS}, pairs AS (SELECT *, CAST(ax0 < ax1 AS INT) + CAST(ay0 < ay1 AS INT) AS dim, greatest(ax0, bx0) AS x0, least(ax1, bx1) AS x1, greatest(ay0, by0) AS y0, least(ay1, by1) AS y1 FROM parts JOIN cells ON ax0 <= bx1 AND ax1 >= bx0 AND ay0 <= by1 AND ay1 >= by0)"
+#: A part's box has something of its interior inside the cell (a proper rectangle): a point of it strictly inside on both axes.
+_IN_X = "(CASE WHEN ax0 < ax1 THEN x0 < x1 ELSE bx0 < ax0 AND ax0 < bx1 END)"
+_IN_Y = "(CASE WHEN ay0 < ay1 THEN y0 < y1 ELSE by0 < ay0 AND ay0 < by1 END)"
+_INSIDE = f"({_IN_X} AND {_IN_Y})"
+_OUTSIDE = "(ax0 < bx0 OR ax1 > bx1 OR ay0 < by0 OR ay1 > by1)"
+_CONTAINS = "(dim = 2 AND ax0 <= bx0 AND bx1 <= ax1 AND ay0 <= by0 AND by1 <= ay1)"
+
+
+def _where(condition: str) -> str:
+    return f"{_MEET} SELECT fid, stratum_id FROM pairs WHERE {condition}"
+
+
+_AXIS = """CASE WHEN {p}a AND {p}b THEN CASE WHEN greatest({a}0, {b}0) < least({a}1, {b}1) THEN 1 END WHEN {p}b THEN CASE WHEN {b}0 < {a}0 AND {a}0 < {b}1 THEN 0 END END AS {n}ii,
+CASE WHEN ({p}a AND ({a}0 < {b}0 AND {b}0 < {a}1 OR {a}0 < {b}1 AND {b}1 < {a}1)) OR (NOT {p}a AND {a}0 IN ({b}0, {b}1)) THEN 0 END AS {n}ie,
+CASE WHEN {p}a AND ({b}0 < {a}0 AND {a}0 < {b}1 OR {b}0 < {a}1 AND {a}1 < {b}1) THEN 0 END AS {n}ei,
+CASE WHEN {p}a AND ({a}0 IN ({b}0, {b}1) OR {a}1 IN ({b}0, {b}1)) THEN 0 END AS {n}ee,
+CASE WHEN {a}0 < {b}0 OR {a}1 > {b}1 THEN CAST({p}a AS INT) END AS {n}io, CASE WHEN {b}0 < {a}0 OR {b}1 > {a}1 THEN 1 END AS {n}oi,
+CASE WHEN {p}a AND ({a}0 < {b}0 OR {a}1 > {b}1) THEN 0 END AS {n}eo, CASE WHEN {b}0 < {a}0 OR {b}1 > {a}1 THEN 0 END AS {n}oe, 1 AS {n}oo"""
+
+
+def _matrix_sql() -> str:
+    part = {"I": ["ii"], "B": ["ei", "ie", "ee"], "E": [x + y for x in "ieo" for y in "ieo" if "o" in x + y]}
+    cells = []
+    for r in "IBE":
+        for c in "IBE":
+            terms = [f"x{ra[0]}{cb[0]} + y{ra[1]}{cb[1]}" for ra in part[r] for cb in part[c]]
+            cells.append(f"coalesce(CAST(greatest({', '.join(terms)}) AS VARCHAR), 'F')" if len(terms) > 1 else f"coalesce(CAST({terms[0]} AS VARCHAR), 'F')")
+    x, y = _AXIS.format(p="px", a="ax", b="bx", n="x"), _AXIS.format(p="py", a="ay", b="by", n="y")
+    return f"{_MEET}, proper AS (SELECT *, ax0 < ax1 AS pxa, true AS pxb, ay0 < ay1 AS pya, true AS pyb FROM pairs), axes AS (SELECT fid, stratum_id, {x}, {y} FROM proper), related AS (SELECT fid, stratum_id, {' || '.join(cells)} AS matrix FROM axes)"
+
+
+_RELATED = _matrix_sql()
+
+
+@query(f"WITH {_CELLS} SELECT p_partkey AS fid, stratum_id FROM part JOIN cells ON p_size BETWEEN bx0 AND bx1 AND p_partkey % 100 BETWEEN by0 AND by1")
+def bbox_candidates(t: Tables) -> DataFrame:
+    return pairs(t, box=False).select("fid", "stratum_id")
+
+
+@query(
+    f"""WITH {_CELLS}, placed AS (SELECT p_partkey AS fid, stratum_id, p_size - bx0 AS u, p_partkey % 100 - by0 AS v FROM part JOIN cells ON p_size BETWEEN bx0 AND bx1 AND p_partkey % 100 BETWEEN by0 AND by1)
+SELECT fid, stratum_id, CASE WHEN 2 * u + v > 20 THEN 'FF0FFF212' WHEN u = 0 OR v = 0 OR 2 * u + v = 20 THEN 'F0FFFF212' ELSE '0FFFFF212' END AS matrix FROM placed"""
+)
+def point_in_polygon(t: Tables) -> DataFrame:
+    triangle = ring(("bx0", "by0"), ("bx1", "by0"), ("bx0", "by1"))
+    return pairs(t, box=False).select("fid", "stratum_id", G.point_matrix(F.col("ax0"), F.col("ay0"), triangle).alias("matrix"))
+
+
+@query(_RELATED + " SELECT * FROM related")
+def box_relate(t: Tables) -> DataFrame:
+    return related(t).select("fid", "stratum_id", "matrix")
+
+
+#: The part of a segment inside a closed box, as the range t0..t1 of its parameter (a segment runs from corner to corner of its box).
+_CLIP = f"""{_MEET}, seg AS (SELECT *, ax1 - ax0 AS dx, ay1 - ay0 AS dy FROM pairs WHERE dim > 0),
+clip AS (SELECT *, greatest(0, CASE WHEN dx > 0 THEN (bx0 - ax0) / dx ELSE 0 END, CASE WHEN dy > 0 THEN (by0 - ay0) / dy ELSE 0 END) AS t0,
+  least(1, CASE WHEN dx > 0 THEN (bx1 - ax0) / dx ELSE 1 END, CASE WHEN dy > 0 THEN (by1 - ay0) / dy ELSE 1 END) AS t1 FROM seg),
+mid AS (SELECT *, t0 <= t1 AS meets, t0 < t1 AS along, ax0 + (t0 + t1) / 2 * dx AS mx, ay0 + (t0 + t1) / 2 * dy AS my,
+  CASE WHEN ax0 BETWEEN bx0 AND bx1 AND ay0 BETWEEN by0 AND by1 THEN CASE WHEN ax0 IN (bx0, bx1) OR ay0 IN (by0, by1) THEN 'on' ELSE 'in' END ELSE 'out' END AS s,
+  CASE WHEN ax1 BETWEEN bx0 AND bx1 AND ay1 BETWEEN by0 AND by1 THEN CASE WHEN ax1 IN (bx0, bx1) OR ay1 IN (by0, by1) THEN 'on' ELSE 'in' END ELSE 'out' END AS e FROM clip)
+SELECT fid, stratum_id,
+  CASE WHEN along AND bx0 < mx AND mx < bx1 AND by0 < my AND my < by1 THEN '1' ELSE 'F' END ||
+  CASE WHEN along AND NOT (bx0 < mx AND mx < bx1 AND by0 < my AND my < by1) THEN '1' WHEN meets AND (t0 > 0 AND t0 < 1 OR t1 > 0 AND t1 < 1) THEN '0' ELSE 'F' END ||
+  CASE WHEN NOT meets OR t0 > 0 OR t1 < 1 THEN '1' ELSE 'F' END ||
+  CASE WHEN 'in' IN (s, e) THEN '0' ELSE 'F' END || CASE WHEN 'on' IN (s, e) THEN '0' ELSE 'F' END || CASE WHEN 'out' IN (s, e) THEN '0' ELSE 'F' END || '212' AS matrix
+FROM mid"""
+
+
+@query(_CLIP)
+def segment_relate(t: Tables) -> DataFrame:
+    """Segments from corner to corner of the parts' boxes, against the cells as polygons."""
+    line = F.array(F.struct(F.col("ax0").alias("x1"), F.col("ay0").alias("y1"), F.col("ax1").alias("x2"), F.col("ay1").alias("y2")))
+    rows = pairs(t).where(G.box_dimension(*A) > 0).select("fid", "stratum_id", line.alias("line"), ring(*BOX_RING).alias("polygon"))
+    return S.line_relate(rows, ["fid", "stratum_id"], "line", "polygon")
+
+
+@query(_RELATED + " SELECT fid, stratum_id, matrix FROM related JOIN parts USING (fid) WHERE ax0 < ax1 AND ay0 < ay1")
+def polygon_relate(t: Tables) -> DataFrame:
+    """The proper boxes as polygons, by the general method."""
+    mine = ring(("ax0", "ay0"), ("ax1", "ay0"), ("ax1", "ay1"), ("ax0", "ay1"))
+    rows = pairs(t).where(G.box_dimension(*A) == 2).select("fid", "stratum_id", mine.alias("a"), ring(*BOX_RING).alias("b"))
+    return S.polygon_relate(rows, ["fid", "stratum_id"], "a", "b")
+
+
+@query(_where("true"))
+def sp_intersects(t: Tables) -> DataFrame:
+    return named(t, "intersects")
+
+
+@query(f"WITH {_CELLS} SELECT stratum_id AS fid, p_partkey AS stratum_id FROM part JOIN cells ON bx0 <= p_size AND p_size + 1 <= bx1 AND by0 <= p_partkey % 100 AND p_partkey % 100 + 1 <= by1")
+def sp_contains(t: Tables) -> DataFrame:
+    """The cells as features, unit squares at the parts as strata."""
+    squares = parts(t, box=False).select(F.col("fid").alias("stratum_id"), F.col("ax0").alias("bx0"), F.col("ay0").alias("by0"), (F.col("ax0") + 1).alias("bx1"), (F.col("ay0") + 1).alias("by1"))
+    features = cells(t).toDF("fid", *A)
+    found = G.with_box_matrix(S.bbox_join(features, A, squares, B, 10.0), A, B)
+    return found.where(G.any_of(["contains"], F.col("matrix"), G.box_dimension(*A), G.box_dimension(*B))).select("fid", "stratum_id")
+
+
+@query(_where(f"{_INSIDE} AND NOT {_OUTSIDE}"))
+def sp_within(t: Tables) -> DataFrame:
+    return named(t, "within")
+
+
+@query(_where(f"dim = 2 AND {_INSIDE} AND {_OUTSIDE} AND NOT {_CONTAINS}"))
+def sp_overlaps(t: Tables) -> DataFrame:
+    return named(t, "overlaps")
+
+
+@query(_where(f"dim < 2 AND {_INSIDE} AND {_OUTSIDE}"))
+def sp_crosses(t: Tables) -> DataFrame:
+    return named(t, "crosses")
+
+
+@query(_where(f"NOT {_INSIDE}"))
+def sp_touches(t: Tables) -> DataFrame:
+    return named(t, "touches")
+
+
+@query(_RELATED + " SELECT fid, stratum_id FROM related WHERE regexp_matches(matrix, '^[012].1...[012]..$')")
+def sp_de9im(t: Tables) -> DataFrame:
+    return named(t, "t*1***T**")
+
+
+@query(_RELATED + " SELECT fid, stratum_id, array_to_string(list_transform([1, 4, 7, 2, 5, 8, 3, 6, 9], lambda i: matrix[i]), '') AS matrix FROM related")
+def de9im_transpose(t: Tables) -> DataFrame:
+    return related(t).select("fid", "stratum_id", G.transpose(F.col("matrix")).alias("matrix"))
+
+
+@query(_where(f"(NOT {_INSIDE}) OR ({_INSIDE} AND NOT {_OUTSIDE})"))
+def sp_or(t: Tables) -> DataFrame:
+    return named(t, "within", "touches")
+
+
+@query(f"WITH {_CELLS} SELECT p_partkey AS fid, stratum_id FROM part JOIN cells ON p_size BETWEEN bx0 AND bx1 AND p_partkey % 100 BETWEEN by0 AND by1 WHERE p_partkey % 3 <> 0 AND stratum_id % 4 <> 1")
+def sp_null_geom(t: Tables) -> DataFrame:
+    """A third of the features and a quarter of the strata have no geometry."""
+    features = parts(t, box=False).withColumn("ax0", F.when(F.col("fid") % 3 != 0, F.col("ax0")))
+    strata = cells(t).withColumn("bx0", F.when(F.col("stratum_id") % 4 != 1, F.col("bx0")))
+    triangles = S.bbox_join(features, A, strata, B, 10.0).where(G.point_matrix(F.col("ax0"), F.col("ay0"), ring(*BOX_RING)).isNotNull())
+    return triangles.select("fid", "stratum_id")
+
+
+@query("SELECT p_partkey AS stratum_id, round(radians(p_size) * 6378137.0, 3) AS x, round(ln(tan(pi() / 4 + radians(p_partkey % 80) / 2)) * 6378137.0, 3) AS y, CAST(p_size AS DOUBLE) AS lon, CAST(p_partkey % 80 AS DOUBLE) AS lat FROM part")
+def reproject_strata(t: Tables) -> DataFrame:
+    """Degrees to metres, and back."""
+    rows = t.part.select(F.col("p_partkey").alias("stratum_id"), F.col("p_size").cast("double").alias("lon"), (F.col("p_partkey") % 80).cast("double").alias("lat"))
+    x, y = G.reproject(F.col("lon"), F.col("lat"), 4326, 3857)
+    rows = rows.select("stratum_id", x.alias("x"), y.alias("y"))
+    lon, lat = G.reproject(F.col("x"), F.col("y"), 3857, 4326)
+    return rows.select("stratum_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), F.round(lon, 6).alias("lon"), F.abs(F.round(lat, 6)).alias("lat"))

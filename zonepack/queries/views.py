@@ -1 +1,38 @@
+"""Query layers."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from zonepack.operators import views
+from zonepack.queries.matching import packager
+from zonepack.queries.registry import Tables, query
+from zonepack.sources.staging import stage
+
+_QUERY = "SELECT c_custkey, count(*) AS n, max(o_orderkey) AS last FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"
+
+
+@query(f"SELECT c_custkey, n, last FROM (SELECT c_custkey, c_nationkey, count(*) AS n, max(o_orderkey) AS last FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = 3 GROUP BY ALL) WHERE n > 2")
+def live_view(t: Tables) -> DataFrame:
+    """A query over one stratum's tables, with its own filter."""
+    p = packager(t, "nation", "n_name", layers=["customer", "orders"])
+    return views.live_view(t.spark, _QUERY, {i: p.slices(i) for i in p.layer_ids}, 3, "n > 2")
+
+
+@query(f"SELECT c_nationkey AS stratum_id, q.c_custkey, n, last FROM ({_QUERY}) q JOIN customer USING (c_custkey)")
+def materialized_view(t: Tables) -> DataFrame:
+    """The query is run once; its result is matched and sliced like a table."""
+    p = packager(t, "nation", "n_name", layers=["customer"])
+    layer = stage(views.over(t.spark, _QUERY, {"customer": t.customer, "orders": t.orders}), "view")
+    return p.membership("customer").join(layer, "c_custkey").select("stratum_id", "c_custkey", "n", "last")
+
+
+@query("SELECT o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 GROUP BY 1")
+def package_query(t: Tables) -> DataFrame:
+    """A query layer that is never read itself runs over the tables that the run creates."""
+    p = packager(t, layers=["orders"])
+    text = "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority"
+    if missing := views.missing_tables(t.spark, text, {"orders": None}):
+        raise ValueError(f"not created by this run: {missing}")
+    return views.over(t.spark, text, {"orders": p.slices("orders").where(F.col("stratum_id") == 1)})
