@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from zonepack.llm.ann import op8_ann
 from zonepack.llm.decontaminate import op6_decontaminate
-from zonepack.llm.jaccard_join import op3_ngram_jaccard
+from zonepack.llm.jaccard_join import OP3_SQL, op3_ngram_jaccard
 from zonepack.llm.language_id import op1_language_id
 from zonepack.llm.packing import op9_packing
 from zonepack.llm.pii import op5_pii
@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": OP4_SQL}
+    return {"op3_ngram_jaccard": OP3_SQL, "op4_url_filter": OP4_SQL}
