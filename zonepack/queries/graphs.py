@@ -60,7 +60,7 @@ _PINS = """, lines AS (
   SELECT l_orderkey, l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS relation_id, 'p' || l_partkey AS child, 's' || l_suppkey AS parent FROM lineitem
 ), pins AS (
   SELECT l_orderkey AS pin_id, min(child) AS "start", CASE WHEN l_orderkey % 11 = 0 THEN 'elsewhere' ELSE max(parent) END AS "end",
-    CASE WHEN l_orderkey % 17 = 0 THEN []::VARCHAR[] WHEN l_orderkey % 13 = 0 THEN ['none'] ELSE list_sort(list(relation_id)) END AS relation_ids
+    CASE WHEN l_orderkey % 17 = 0 THEN []::VARCHAR[] WHEN l_orderkey % 13 = 0 THEN ['none'] ELSE list_sort(list(DISTINCT relation_id)) END AS relation_ids
   FROM lines GROUP BY l_orderkey
 )"""
 
@@ -73,16 +73,16 @@ _PINS = """, lines AS (
   UNION ALL
   SELECT w.pin_id, w.step + 1, CASE WHEN e.child = w.node THEN e.parent WHEN e.parent = w.node THEN e.child ELSE w.node END,
     CASE WHEN w.error IS NOT NULL THEN w.error WHEN e.child IS NULL THEN 'unknown relation' WHEN w.node NOT IN (e.child, e.parent) THEN 'does not connect' END
-  FROM walk w JOIN pins p USING (pin_id) LEFT JOIN edges e ON e.relation_id = p.relation_ids[w.step + 1] WHERE w.step < len(p.relation_ids)
+  FROM walk w JOIN pins p USING (pin_id) LEFT JOIN (SELECT DISTINCT relation_id, child, parent FROM edges) e ON e.relation_id = p.relation_ids[w.step + 1] WHERE w.step < len(p.relation_ids)
 )
 SELECT pin_id, CASE WHEN len(relation_ids) = 0 AND "start" <> "end" THEN 'path is empty' WHEN error IS NOT NULL THEN error WHEN node <> "end" THEN 'ends elsewhere' END AS error, node AS reached
 FROM pins JOIN walk USING (pin_id) WHERE step = len(relation_ids)"""
 )
 def pinned_path(t: Tables) -> DataFrame:
     """Each order's lines as a pinned path through parts and suppliers."""
-    edges = line_edges(t)
+    edges = line_edges(t).dropDuplicates(["relation_id"])
     pins = edges.withColumn("pin_id", F.split("relation_id", ":")[0].cast("long")).groupBy("pin_id").agg(
-        F.min("child").alias("start"), F.max("parent").alias("last"), F.array_sort(F.collect_list("relation_id")).alias("ids")
+        F.min("child").alias("start"), F.max("parent").alias("last"), F.array_sort(F.collect_set("relation_id")).alias("ids")
     )
     pins = pins.select(
         "pin_id", "start", F.when(F.col("pin_id") % 11 == 0, "elsewhere").otherwise(F.col("last")).alias("end"),
