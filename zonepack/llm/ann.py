@@ -117,8 +117,10 @@ def _matrix(vectors) -> np.ndarray:
 
 
 def _nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the positions in ``x`` and the scores of its k nearest, without rows of its own id."""
+    """For each query the positions in ``x`` and the scores of its k nearest ids, without rows of its own id."""
     size = np.sqrt((x * x).sum(axis=1))
+    repeats = int(np.unique(ids, return_counts=True)[1].max(initial=1))
+    most = k * repeats  # so many rows have k different ids
     for begin in range(0, len(queries), 256):
         block = queries[begin : begin + 256]
         rough = block @ x.T / size
@@ -126,10 +128,13 @@ def _nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.
             norm = np.sqrt((q * q).sum())
             near = rough[i]
             near[ids == query_ids[begin + i]] = -np.inf
-            bound = np.partition(near, -k)[-k] if len(near) > k else -np.inf
+            bound = np.partition(near, -most)[-most] if len(near) > most else -np.inf
             at = np.flatnonzero((near >= bound - 1e-9 * norm) & (near > -np.inf))
             score = (x[at] * q).sum(axis=1) / (size[at] * norm)
-            best = np.lexsort((ids[at], -score))[:k]
+            best = np.lexsort((ids[at], -score))
+            if repeats > 1:
+                best = best[np.sort(np.unique(ids[at][best], return_index=True)[1])]
+            best = best[:k]
             yield begin + i, at[best], score[best]
 
 
