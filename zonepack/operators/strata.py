@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonepack.functions import text as T
+from zonepack.sources.staging import stage
 
 FULL, UNMATCHED = "<full>", "<unmatched>"
 
@@ -71,14 +72,22 @@ def dedupe_names(rows: DataFrame, order: str, name: str) -> DataFrame:
     The rule is sequential: each name takes the lowest free number. In most groups nothing else has a
     name that ends in such a number, and the position in the group is the number. A name may be met by a
     generated one only if it ends in ``_<number>`` itself; groups tied by such endings (the name without
-    its endings) are settled by an ordered fold over that family alone.
+    its endings) are settled by an ordered fold over that family alone, which one task holds.
+
+    Positions are counted inside ranges of the order and added up over the ranges before, so a name that
+    a third of all rows have is spread over many tasks.
     """
     rows = rows.select(F.col(order).alias("ord"), F.col(name).alias("name")).withColumn("folded", T.fold(F.col("name")))
     rows = rows.withColumn("stem", F.regexp_replace("folded", r"(_[0-9]+)+$", ""))
-    plain = rows.groupBy("stem").agg((F.count_distinct("folded") == 1).alias("plain"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stage(rows.repartitionByRange(parts, "ord").withColumn("part", F.spark_partition_id()), "ordered")
+    plain = rows.groupBy("stem").agg((F.min("folded") == F.max("folded")).alias("plain"))
     rows = rows.join(plain, "stem")
-    position = F.row_number().over(Window.partitionBy("folded").orderBy("ord"))
-    easy = rows.where("plain").withColumn("k", position).select("ord", F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), "k")).alias("unique_name"))
+    sizes = rows.where("plain").groupBy("folded", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("folded").orderBy("part")) - F.col("n")
+    inside = F.row_number().over(Window.partitionBy("folded", "part").orderBy("ord"))
+    easy = rows.where("plain").withColumn("k", inside).join(sizes.select("folded", "part", before.alias("before")), ["folded", "part"]).withColumn("k", F.col("k") + F.col("before"))
+    easy = easy.select("ord", F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), "k")).alias("unique_name"))
     family = rows.where("not plain").groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "folded"))).alias("items"))
 
     def take(state, item):
