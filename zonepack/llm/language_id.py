@@ -184,7 +184,7 @@ def in_known_language(docs: DataFrame, trees: Trees | None, reject_bits: float =
             begin = 0
             while trees and begin < len(texts):
                 end, size = begin, 0
-                while end < len(texts) and size < 4 << 20:
+                while end < len(texts) and size < 1 << 20:
                     size += len(texts[end])
                     end += 1
                 raw = [t.encode() for t in texts[begin:end]]

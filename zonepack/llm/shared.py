@@ -58,7 +58,7 @@ def sample_filter(rows: int, bound: int, *key: str | Column) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < F.lit(int((1 << 30) * bound / rows))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Row slices of about ``most`` characters (one row at least) with their texts; a null text is empty."""
     for batch in batches:
         texts = batch.column(text).to_pylist()

@@ -7,6 +7,9 @@ it. So a worker keeps the ids of the words it has met; the library encodes only
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import weakref
 from array import array
@@ -16,7 +19,7 @@ import pyarrow as pa
 import regex
 
 #: Words kept by a worker; beyond it the store starts anew, so memory stays bounded.
-MOST_WORDS = 700_000
+MOST_WORDS = 400_000
 LONGEST_KEPT = 64
 #: Python also splits at these four, which are no white space to the tokenizer.
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -54,7 +57,10 @@ def take_turn(operator: str) -> None:
         _turn[0] = operator
         for store in [s for ref in _stores if (s := ref()) is not None]:
             store.clear()
+        gc.collect()
         pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # the C library keeps freed memory otherwise
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def _byte_characters() -> dict[int, int]:
