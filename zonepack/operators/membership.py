@@ -26,8 +26,12 @@ def _named(columns: Sequence[str]) -> list:
     return [F.col(c).alias(f"key{i}") for i, c in enumerate(columns)]
 
 
-def _meet(keys: DataFrame, hop: Hop, wanted: Sequence) -> DataFrame:
-    """Rows of the hop's table that a key of some stratum fits. A null in any component fits nothing."""
+def meet(keys: DataFrame, hop: Hop, wanted: Sequence) -> DataFrame:
+    """(stratum_id, wanted...) of the rows of the hop's table that a key of some stratum fits.
+
+    A null in any component fits nothing. The keys of a stratum are distinct and a row has one key, so a
+    row comes once a stratum: no ``distinct`` has to follow.
+    """
     on = reduce(lambda a, b: a & b, [keys[f"key{i}"] == hop.table[c] for i, c in enumerate(hop.far)])
     return keys.join(hop.table, on).select("stratum_id", *wanted)
 
@@ -36,13 +40,13 @@ def propagate(strata: DataFrame, chain: Sequence[Hop]) -> DataFrame:
     """(stratum_id, key0...) that the last hop of ``chain`` compares; intermediates are reduced to distinct keys."""
     keys = strata.select("stratum_id", *_named(chain[0].near))
     for hop, following in zip(chain, chain[1:]):
-        keys = _meet(keys, hop, _named(following.near)).distinct()
+        keys = meet(keys, hop, _named(following.near)).distinct()
     return keys
 
 
 def match_chain(strata: DataFrame, chain: Sequence[Hop], fid: Sequence[str]) -> DataFrame:
     """Membership of the last hop's table along ``chain``; a row is in a stratum once at most."""
-    return _meet(propagate(strata, chain), chain[-1], [F.col(c) for c in fid]).distinct()
+    return meet(propagate(strata, chain), chain[-1], [F.col(c) for c in fid])
 
 
 def key_set_filter(layer: DataFrame, keys: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -85,7 +89,8 @@ def counts(strata: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 class PrefixMemo:
-    """Leading hops that several layers share are joined once: their keys are cached by relation ids and fields."""
+    """Leading hops that several layers share are joined once: their keys are kept by relation ids and
+    fields, and cached when a second layer asks for them."""
 
     def __init__(self) -> None:
         self._kept: dict[tuple, DataFrame] = {}
@@ -93,18 +98,18 @@ class PrefixMemo:
 
     def keys(self, strata: DataFrame, chain: Sequence[Hop], relation_ids: Sequence[str]) -> DataFrame:
         at = (tuple(relation_ids[: len(chain) - 1]), chain[-1].near, tuple(chain[0].near))
-        if at not in self._kept:
-            self.built += 1
-            if len(chain) == 1:
-                found = propagate(strata, chain)
-            else:
-                before = self.keys(strata, chain[:-1], relation_ids[:-1])
-                found = _meet(before, chain[-2], _named(chain[-1].near)).distinct().persist()
-            self._kept[at] = found
-        return self._kept[at]
-
-    def match(self, strata: DataFrame, chain: Sequence[Hop], relation_ids: Sequence[str], fid: Sequence[str]) -> DataFrame:
-        return _meet(self.keys(strata, chain, relation_ids), chain[-1], [F.col(c) for c in fid]).distinct()
+        if at in self._kept:
+            return self._kept[at].persist() if len(chain) > 1 else self._kept[at]
+        self.built += 1
+        if len(chain) == 1:
+            found = propagate(strata, chain)
+        else:
+            found = meet(self.keys(strata, chain[:-1], relation_ids[:-1]), chain[-2], _named(chain[-1].near)).distinct()
+        self._kept[at] = found
+        return found
+
+    def match(self, strata: DataFrame, chain: Sequence[Hop], relation_ids: Sequence[str], wanted: Sequence[str]) -> DataFrame:
+        return meet(self.keys(strata, chain, relation_ids), chain[-1], [F.col(c) for c in wanted])
 
     def clear(self) -> None:
         for frame in self._kept.values():

@@ -75,8 +75,14 @@ class Packager:
         return G.with_box_matrix(pairs, BOX, boxes).where(fits).select("stratum_id", *fid).distinct()
 
     def slices(self, layer_id: str) -> DataFrame:
-        layer = self.plan(layer_id).layer
-        found = P.sliced(self.membership(layer_id), layer.rows, layer.fid, layer.excluded_fields)
+        """(stratum_id, fields...): along relations the fields come with the last hop, without a second join."""
+        plan = self.plan(layer_id)
+        layer = plan.layer
+        if plan.method == "attribute" and plan.relation_ids:
+            chain = self.catalog.chain(layer_id, self.stratification, plan.relation_ids)
+            found = self.memo.match(self.strata, chain, tuple(reversed(plan.relation_ids)), P.kept_fields(layer.rows, layer.excluded_fields))
+        else:
+            found = P.sliced(self.membership(layer_id), layer.rows, layer.fid, layer.excluded_fields)
         return P.with_full(found, layer.rows) if self.full else found
 
     def counts(self, layer_id: str) -> DataFrame:

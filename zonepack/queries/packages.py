@@ -144,7 +144,7 @@ def bundle_report(t: Tables) -> DataFrame:
     return reports.bundle_rows(names.drop("stratum_id"), _tables(t, p), outcomes, payloads, embedded)
 
 
-@query("SELECT (SELECT CAST(to_json(list_sort(list(DISTINCT 'n' || c_nationkey))) AS VARCHAR) FROM customer) AS paths, (SELECT count(DISTINCT c_nationkey) FROM customer) AS bundles, (SELECT string_agg(n, ',' ORDER BY n) FROM (SELECT DISTINCT c_mktsegment AS n FROM customer WHERE c_acctbal < -900)) AS failed")
+@query("SELECT (SELECT CAST(to_json(list_sort(list(DISTINCT 'n' || c_nationkey))) AS VARCHAR) FROM customer) AS paths, (SELECT count(DISTINCT c_nationkey) FROM customer) AS bundles, (SELECT coalesce(string_agg(n, ',' ORDER BY n), '') FROM (SELECT DISTINCT c_mktsegment AS n FROM customer WHERE c_acctbal < -900)) AS failed")
 def run_summary(t: Tables) -> DataFrame:
     published = t.customer.select(F.concat(F.lit("n"), "c_nationkey").alias("path"))
     return reports.summary(published, t.customer.where("c_acctbal < -900").select(F.col("c_mktsegment").alias("stratum")))

@@ -3,6 +3,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from zonepack.plans.catalog import Catalog
 
@@ -12,13 +13,18 @@ SQL: dict[str, str] = {}
 
 
 class Tables:
-    """``t.orders`` is the scan of that table."""
+    """``t.orders`` is the scan of that table; a table's footer is read for its schema once."""
+
+    _schemas: dict[str, StructType] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        path = f"{self.dir}/{name}.parquet"
+        if path not in self._schemas:
+            self._schemas[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(self._schemas[path]).parquet(path)
 
 
 def query(sql: str | None = None):

@@ -17,12 +17,17 @@ FULL_ID = -1
 MODES = ("overwrite", "error", "skip-existing")
 
 
-def sliced(membership: DataFrame, layer: DataFrame, fid: Sequence[str], excluded: Sequence[str] = ()) -> DataFrame:
-    """(stratum_id, fields...) of the rows of each stratum; ``excluded`` fields go after the match."""
+def kept_fields(layer: DataFrame, excluded: Sequence[str]) -> list[str]:
+    """Fields in schema order without the excluded; unknown names are ignored, leaving none is an error."""
     kept = [c for c in layer.columns if c not in excluded]
     if not kept:
         raise ValueError("all fields are excluded")
-    return membership.join(layer, list(fid)).select("stratum_id", *kept)
+    return kept
+
+
+def sliced(membership: DataFrame, layer: DataFrame, fid: Sequence[str], excluded: Sequence[str] = ()) -> DataFrame:
+    """(stratum_id, fields...) of the rows of each stratum; ``excluded`` fields go after the match."""
+    return membership.join(layer, list(fid)).select("stratum_id", *kept_fields(layer, excluded))
 
 
 def staged_union(layer: DataFrame, membership: DataFrame, fid: Sequence[str], everything: bool = False) -> DataFrame:
