@@ -41,8 +41,8 @@ MOST_SYMBOLS = 160
 LETTER = re.compile(r"[^\W\d_]")
 #: Bits a byte above which a text is in none of the learned languages: plain bytes would be shorter.
 REJECT_BITS = 8.0
-#: Texts of fewer bytes are too short to be rejected by their rate.
-LEAST_BYTES = 16
+#: Texts of fewer bytes are too short to be rejected by their rate: one key or address in them may outweigh the words.
+LEAST_BYTES = 256
 
 
 def _runs(raw: bytes) -> np.ndarray:
