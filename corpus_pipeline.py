@@ -16,6 +16,8 @@ from zonepack.llm import decontaminate, jaccard_join, language_id, packing, pii
 from zonepack.llm.shared import stage
 from zonepack.llm.word_ids import vocabulary_path
 
+NEAR_PERCENT, NEAR_WORDS = 80, 5
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents in one of the learned languages; learned from the stage's own input."""
@@ -23,8 +25,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: of each group of linked documents the one with the smallest doc_id."""
-    return jaccard_join.one_of_each(docs)
+    """Operator 3: of each group of linked documents the one with the smallest doc_id. Documents link here
+    when they share 80 % of their five-word shingles."""
+    return jaccard_join.one_of_each(docs, percent=NEAR_PERCENT, width=NEAR_WORDS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -110,3 +110,33 @@ def test_pipeline(spark):
     found = corpus_pipeline.run(spark, DATA)
     assert found.columns == [c.split()[0] for c in packing.PIECES.split(", ")]
     check_pieces(found.collect(), {i: tokenizer.encode(t, add_special_tokens=False).ids + [1] for i, t in redacted.items()})
+
+
+def kept_by_brute_force(docs, width, percent):
+    sets = {}
+    for i, text in docs:
+        words = (text or "").lower().split()
+        sets[i] = {tuple(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+    best = {i: i for i in sets}
+    holders = {}
+    for i, own in sets.items():
+        for s in own:
+            holders.setdefault(s, []).append(i)
+    pairs = {(a, b) for ids in holders.values() for a in ids for b in ids if a < b}
+    links = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    while moved := [(a, b) for a, b in links if best[a] != best[b]]:
+        for a, b in moved:
+            best[a] = best[b] = min(best[a], best[b])
+    return {i for i, low in best.items() if i == low}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_copies_stage_takes_five_words_and_80_percent(spark, seed):
+    import corpus_pipeline
+    from tests.llm.test_text_operators import near_copies
+
+    words = [f"x{i}" for i in range(100)]  # two changed words: 86 of 106 five-word shingles, 92 of 104 three-word ones
+    docs = near_copies(seed) + [(1000, " ".join(words)), (1001, " ".join(w if i not in (30, 60) else "other" for i, w in enumerate(words)))]
+    found = corpus_pipeline.one_of_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3), DATA)
+    expected = kept_by_brute_force(docs, 5, 80)
+    assert {r.doc_id for r in found.collect()} == expected != kept_by_brute_force(docs, 3, 90)

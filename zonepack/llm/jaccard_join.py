@@ -2,11 +2,12 @@
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased; a document's set has the
 64-bit hashes of its distinct 3-word shingles. Two documents link when
-100 * intersection >= 90 * union. The result has each document's component.
+100 * intersection >= 90 * union. The result has each document's component. ``width`` and ``percent``
+(above 50) set other numbers; the steps below are told for 3 and 90.
 
 1. Sets that are equal form a class; its smallest doc_id stands for it.
 2. A set of which more than a tenth is in no other class links with nothing. This is tested on the
-   shingles whose hash is in the lowest ``1 / PROBE``: they are grouped over all documents, and a set
+   shingles whose hash is in the lowest ``1 / probe_part(percent)``: they are grouped over all documents, and a set
    with n - ceil(0.9 n) + 1 such shingles of its own is done. What passages many documents share does
    not matter here.
 3. Prefix keys of the remaining sets: in the order of hashes, two linked sets share one of their first
@@ -47,7 +48,6 @@ SHINGLE = 3
 PERCENT = 90
 ROUNDS = 2
 BLOCK = 512
-PROBE = 4
 FILTER_BITS = 24
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -82,6 +82,11 @@ def key_count(n, percent: int = PERCENT):
     return n - (percent * n + 99 - (percent * n + 99) % 100) / 100 + 1
 
 
+def probe_part(percent: int) -> int:
+    """One in so many shingles is probed: more than the own shingles that step 2 asks for."""
+    return 4 if percent >= 90 else 3 if percent >= 80 else 2
+
+
 def _light(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, n, digest, probe) of every row. ``probe`` has the set's shingles in the lowest part of the
     hashes, and all key shingles; within a task it is given once for equal sets."""
@@ -89,6 +94,7 @@ def _light(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn("shingles")
         known: dict[bytes, int] = {}
+        end = np.uint64((1 << 64) // probe_part(percent))
         for rows, texts in slices(batches):
             digests, sizes, probes = [], [], []
             for doc_id, text in zip(rows.column("doc_id").to_pylist(), texts):
@@ -101,16 +107,16 @@ def _light(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     known[digest] = doc_id
                 digests.append(digest)
                 sizes.append(len(tokens))
-                most = max(int(key_count(len(tokens), percent)), int(np.searchsorted(tokens, np.uint64((1 << 64) // PROBE)))) if new else 0
+                most = max(int(key_count(len(tokens), percent)), int(np.searchsorted(tokens, end))) if new else 0
                 probes.append(tokens[:most].view(np.int64))
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(probes, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "probe"])
 
     return documents(docs).mapInArrow(run, "doc_id long, n long, digest binary, probe array<long>")
 
 
-def _own_shingles(light: DataFrame) -> DataFrame:
+def _own_shingles(light: DataFrame, percent: int) -> DataFrame:
     """(class, own): how many probed shingles no other class has; hashes are unsigned, so the lowest are from 0 up."""
-    rows = light.select(F.xxhash64("digest").alias("class"), F.explode("probe").alias("shingle")).where(F.col("shingle").between(0, (1 << 64) // PROBE - 1))
+    rows = light.select(F.xxhash64("digest").alias("class"), F.explode("probe").alias("shingle")).where(F.col("shingle").between(0, (1 << 64) // probe_part(percent) - 1))
     of_one = rows.groupBy("shingle").agg(F.min("class").alias("class"), F.max("class").alias("last")).where("class = last")
     return of_one.groupBy("class").agg(F.count("*").alias("own"))
 
@@ -237,7 +243,7 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataF
     light = stage(_light(docs, width, percent), "light")
     classes = stage(light.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     keys = key_count(F.col("n"), percent).cast("int")
-    rows = light.where("size(probe) > 0").join(_own_shingles(light), F.xxhash64("digest") == F.col("class"), "left").where(F.coalesce("own", F.lit(0)) < keys)
+    rows = light.where("size(probe) > 0").join(_own_shingles(light, percent), F.xxhash64("digest") == F.col("class"), "left").where(F.coalesce("own", F.lit(0)) < keys)
     rows = rows.join(classes.withColumnRenamed("digest", "class_digest"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("class_digest")), "left_semi")
     rows = rows.select("doc_id", F.explode(F.slice("probe", 1, keys)).alias("key"))
     repeated = rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
@@ -273,10 +279,10 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataF
     return _labelled(out, labels).select("doc_id", "n_shingles", F.col("label").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component; rows with a null doc_id stay.
     Of rows that repeat a doc_id all stay or all go."""
-    gone = join(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = join(docs, percent, width).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
