@@ -415,3 +415,17 @@ def test_leaks_equal_word_runs(spark, documents):
 def test_leaks_of_empty_tables(spark, odd, empty):
     items = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
     assert decontaminate.leaks(empty, items).collect() == [] and decontaminate.leaks(odd, items.where("false")).collect() == []
+
+
+def leaked(spark, docs, items):
+    docs, items = (spark.createDataFrame(list(enumerate(t)), f"{i} long, text string") for t, i in ((docs, "doc_id"), (items, "item_id")))
+    return {(r.doc_id, r.item_id): r.reparameterised for r in decontaminate.leaks(docs, items).collect()}
+
+
+def test_reparameterised_questions(spark):
+    tom = "Tom has 5 apples. Tom buys 3 more. Tom gives 2 to Ann. How many apples does Tom have now?"
+    clock = "The first train to the old harbour leaves at 10:30 in the morning and the second train leaves the same station at 12:30, so how long must a late passenger wait there?"
+    paint = "To get this shade you mix 3 parts paint with white spirit, then add 3 parts water and stir the bucket slowly until all of it is smooth."
+    changed = [tom.replace("Tom", "Mia").replace("Ann", "Bob"), clock.replace("10:30", "9:15").replace("12:30", "11:45"), paint.replace("3 parts paint", "5 parts paint").replace("3 parts water", "2 parts water")]
+    one_slip = tom.replace("Tom", "Mia").replace("does Mia", "does Eve").replace("Ann", "Bob")
+    assert leaked(spark, [*changed, one_slip], [tom, clock, paint]) == {(0, 0): True, (1, 1): True, (2, 2): True, (3, 0): True}

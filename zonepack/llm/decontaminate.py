@@ -1,13 +1,16 @@
 """Operator 6, benchmark decontamination: template canonicalisation.
 
 A text becomes a sequence of words: lower case, outer punctuation dropped. Numbers (words with a
-digit), units (a word of ``UNITS`` right after a number) and names (a capitalised word that doesn't
-begin a sentence) become typed placeholders, so a question with other numbers or names has the same
-template. Windows of ``WINDOW`` template words are hash-joined between documents and benchmark items
-(windows with fewer than ``LEAST_PLAIN`` plain words say too little and are left out). Windows of a
-document that lie alike in an item form an alignment. Its slots must be consistent: one value of the
-item always stands for one value of the document. An item leaks into a document when consistent
-alignments cover at least ``COVER`` of its windows.
+digit), units (a word of ``UNITS`` right after a number) and names (capitalised words) become typed
+placeholders, so a question with other numbers or names has the same template. A capitalised word that
+begins a sentence may be a name or not: there are strict templates, in which it is a plain word, and
+loose ones, in which it is a name. Windows of ``WINDOW`` template words are hash-joined between
+documents and benchmark items (those with fewer plain words than ``LEAST_PLAIN``, loose ones
+``LEAST_PLAIN_LOOSE``, say too little and are left out). Windows of a document that lie alike in an
+item form an alignment. In it a name or unit of the item stands for what most of its places show; numbers
+are free, as equal ones may have different roles. Windows over a place that disagrees don't count, and
+where over half of the places of repeated values disagree, only unchanged windows do. An item leaks
+into a document when its alignments cover at least ``COVER`` of its strict, its loose or all its windows.
 
 Documents are read once; a bit table of fixed size, made from all benchmark windows, lets through
 those windows that may be in the benchmark, and only these leave the scan. It grows with neither
@@ -34,6 +37,7 @@ from zonepack.llm.word_ids import _Kept, take_turn
 
 WINDOW = 8
 LEAST_PLAIN = 5
+LEAST_PLAIN_LOOSE = 4
 COVER = 0.5
 MOST_BROADCAST = 200_000
 TABLE_BITS = 22
@@ -41,6 +45,7 @@ UNITS = frozenset("mm cm dm m km in inch inches ft feet foot yd yard yards mile
 PUNCTUATION = "\"'`.,;:!?()[]{}<>*#$&%|/\\-_=+~^…“”‘’«»—–¿¡"
 
 CAPITAL, NUMBER, UNIT, ENDS, EMPTY = 1, 2, 4, 8, 16
+STRICT, LOOSE = 1, 2  # kinds of windows
 _PLACEHOLDERS = {"number": np.uint64(0x9E3779B97F4A7C15), "unit": np.uint64(0xC2B2AE3D27D4EB4F), "name": np.uint64(0x165667B19E3779F9)}
 _MIX = np.uint64(0x9FB21C651E98DF25)
 
@@ -63,62 +68,87 @@ def _word(chunk: str) -> int:
 _words = _Kept(_word, 400_000)
 
 
-def windows(text: str, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Hashes of all template windows, which of them have enough plain words, where the slots are, and the words."""
-    chunks = text.split()
-    coded = np.fromiter(map(_words.__getitem__, chunks), dtype=np.uint64, count=len(chunks))
-    flags = (coded & np.uint64(31)).astype(np.uint8)
-    begins = np.ones(len(chunks), dtype=bool)
-    begins[1:] = flags[:-1] & ENDS > 0
-    keep = flags & EMPTY == 0
-    if not keep.all():
-        at = np.flatnonzero(keep)
-        coded, flags, begins = coded[keep], flags[keep], begins[keep]
-        chunks = [chunks[i] for i in at.tolist()]
-    n = len(chunks) - width + 1
-    if n <= 0:
-        none = np.zeros(0, dtype=np.uint64)
-        return none, none.astype(bool), none.astype(bool), chunks
-    number = flags & NUMBER > 0
-    unit = flags & UNIT > 0
-    unit[0] = False
-    unit[1:] &= number[:-1]
-    name = (flags & CAPITAL > 0) & ~begins
-    code = np.where(number, _PLACEHOLDERS["number"], np.where(unit, _PLACEHOLDERS["unit"], np.where(name, _PLACEHOLDERS["name"], coded >> np.uint64(5))))
-    slot = number | unit | name
+def _hashes(code: np.ndarray, n: int, width: int) -> np.ndarray:
     hashes = np.zeros(n, dtype=np.uint64)
-    plain = np.zeros(n, dtype=np.int8)
     for k in range(width):
         hashes = (hashes ^ code[k : k + n]) * _MIX
         hashes ^= hashes >> np.uint64(29)
-        plain += ~slot[k : k + n]
-    return hashes, plain >= LEAST_PLAIN, slot, chunks
-
-
-def _rows(ids: list[int | None], found: list[tuple[list[int], np.ndarray, np.ndarray, list[str]]], width: int) -> pa.RecordBatch:
-    out: list[list] = [[], [], [], []]
-    for i, (at, hashes, slot, chunks) in zip(ids, found):
-        for p in at:
-            out[0].append(i)
-            out[1].append(p)
-            out[2].append(int(hashes[p].astype(np.int64)))
-            out[3].append([f"{k}:{chunks[p + k].strip(PUNCTUATION).lower()}" for k in np.flatnonzero(slot[p : p + width]).tolist()])
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.string()))], ["id", "at", "hash", "slots"])
-
-
-SCHEMA = "id long, at int, hash long, slots array<string>"
+    return hashes
+
+
+class Words:
+    """The words of a text: template codes, slots, and windows of every kind.
+
+    ``strict`` takes a capitalised word that begins a sentence as a plain word, ``loose`` as a name."""
+
+    def __init__(self, text: str):
+        chunks = text.split()
+        coded = np.fromiter(map(_words.__getitem__, chunks), dtype=np.uint64, count=len(chunks))
+        flags = (coded & np.uint64(31)).astype(np.uint8)
+        begins = np.ones(len(chunks), dtype=bool)
+        begins[1:] = flags[:-1] & ENDS > 0
+        keep = flags & EMPTY == 0
+        if not keep.all():
+            at = np.flatnonzero(keep)
+            coded, flags, begins = coded[keep], flags[keep], begins[keep]
+            chunks = [chunks[i] for i in at.tolist()]
+        self.chunks, self.plain = chunks, coded >> np.uint64(5)
+        self.number = flags & NUMBER > 0
+        unit = flags & UNIT > 0
+        unit[:1] = False
+        unit[1:] &= self.number[:-1]
+        name = flags & CAPITAL > 0
+        code = np.where(self.number, _PLACEHOLDERS["number"], np.where(unit, _PLACEHOLDERS["unit"], self.plain))
+        self.strict = np.where(name & ~begins, _PLACEHOLDERS["name"], code)
+        self.loose = np.where(name, _PLACEHOLDERS["name"], code)
+        self.strict_slot, self.loose_slot = self.number | unit | name & ~begins, self.number | unit | name
+
+    def windows(self, width: int = WINDOW) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(kind, positions, hashes): template windows with enough plain words."""
+        n = len(self.chunks) - width + 1
+        if n <= 0:
+            return []
+        usable = []
+        for slot, least in ((self.strict_slot, LEAST_PLAIN), (self.loose_slot, LEAST_PLAIN_LOOSE)):
+            taken = np.concatenate([[0], np.cumsum(slot)])
+            usable.append(width - (taken[width:] - taken[:n]) >= least)
+        out = [(kind, np.flatnonzero(u), _hashes(code, n, width)[u]) for kind, u, code in ((STRICT, usable[0], self.strict), (LOOSE, usable[1], self.loose))]
+        return out
+
+    def slots(self, at: int, width: int) -> list[tuple[int, str, bool]]:
+        """(offset, value, number) of the slots of a window."""
+        return [(k, self.chunks[at + k].strip(PUNCTUATION).lower(), bool(self.number[at + k])) for k in np.flatnonzero(self.loose_slot[at : at + width]).tolist()]
+
+
+SCHEMA = "id long, at int, hash long, kind int, slots array<struct<k: int, value: string, number: boolean>>"
+_SLOTS = pa.list_(pa.struct([("k", pa.int32()), ("value", pa.string()), ("number", pa.bool_())]))
+
+
+def _rows(found: list[tuple[int | None, Words, list[tuple[int, int, int]]]], width: int) -> pa.RecordBatch:
+    """Rows of (id, words, [(kind, position, hash)])."""
+    out: list[list] = [[], [], [], [], []]
+    for i, words, own in found:
+        for kind, at, value in own:
+            slots = words.slots(at, width)
+            for column, x in zip(out, (i, at, value, kind, [{"k": k, "value": v, "number": n} for k, v, n in slots])):
+                column.append(x)
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.uint64()).view(pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], _SLOTS)], ["id", "at", "hash", "kind", "slots"])
 
 
 def item_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """All usable windows of ``items`` (item_id, text)."""
+    """All windows of ``items`` (item_id, text). ``kind`` adds up where one hash is of two kinds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in slices(batches):
             found = []
-            for t in texts:
-                hashes, usable, slot, chunks = windows(t, width)
-                found.append((np.flatnonzero(usable).tolist(), hashes, slot, chunks))
-            yield _rows(rows.column("id").to_pylist(), found, width)
+            for i, text in zip(rows.column("id").to_pylist(), texts):
+                words = Words(text)
+                kinds: dict[tuple[int, int], int] = {}
+                for kind, at, hashes in words.windows(width):
+                    for own in zip(at.tolist(), hashes.tolist()):
+                        kinds[own] = kinds.get(own, 0) | kind
+                found.append((i, words, [(kind, at, h) for (at, h), kind in kinds.items()]))
+            yield _rows(found, width)
 
     return items.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
@@ -147,37 +177,54 @@ def leaks(docs: DataFrame, items: DataFrame, cover: float = COVER, width: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn("templates")
         for rows, texts in slices(batches):
-            ids, found = [], []
+            found = []
             for doc_id, text in zip(rows.column("doc_id").to_pylist(), texts):
-                hashes, usable, slot, chunks = windows(text, width)
-                at = np.flatnonzero(table.value[hashes >> np.uint64(64 - TABLE_BITS)] & usable).tolist() if len(hashes) else []
-                if at:
-                    ids.append(doc_id)
-                    found.append((at, hashes, slot, chunks))
-            if ids:
-                yield _rows(ids, found, width)
+                words = Words(text)
+                kinds = words.windows(width)
+                own = {}
+                for kind, at, hashes in kinds:
+                    for i in np.flatnonzero(table.value[hashes >> np.uint64(64 - TABLE_BITS)]).tolist():
+                        own[int(at[i]), int(hashes[i])] = kind
+                if own:
+                    found.append((doc_id, words, [(kind, at, h) for (at, h), kind in own.items()]))
+            if found:
+                yield _rows(found, width)
 
     seen = documents(docs).mapInArrow(run, SCHEMA).select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "hash", F.col("slots").alias("doc_slots"))
-    right = wanted.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots"))
+    right = wanted.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", "kind", F.col("slots").alias("item_slots"))
     if wanted.count() <= MOST_BROADCAST:
         right = F.broadcast(right)
-    pairs = F.zip_with("item_slots", "doc_slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    pairs = F.transform(pairs, lambda p: F.struct(F.substring_index(p["a"], ":", -1).alias("a"), F.substring_index(p["b"], ":", -1).alias("b")))
+    # the slots of one side may be plain words of the other: at the start of a sentence, where they are equal
+    here, there = F.col("item_slots"), F.col("doc_slots")
+    pairs = F.transform(here, lambda a: F.struct((F.col("item_at") + a["k"]).alias("at"), a["value"].alias("a"), F.element_at(F.filter(there, lambda b: b["k"] == a["k"])["value"], 1).alias("b"), a["number"].alias("number")))
     aligned = (
         seen.join(right, "hash")
-        .withColumn("pairs", pairs)
+        .withColumn("pairs", F.filter(pairs, lambda p: p["b"].isNotNull()))
+        .withColumn("same", ~F.exists("pairs", lambda p: p["a"] != p["b"]))
         .groupBy("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift"))
-        .agg(F.collect_set("item_at").alias("covered"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-        .where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs"))
-        .withColumn("changed", F.exists("pairs", lambda p: p["a"] != p["b"]))
+        .agg(F.collect_set(F.struct(F.col("item_at").alias("at"), "kind", "same")).alias("covered"), F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("same"), F.col("pairs"))))).alias("pairs"))
     )
-    sizes = wanted.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("at").alias("n"))
+    # a name or unit agrees when its value stands for more than half of what its item value stands for
+    bound = F.filter("pairs", lambda p: ~p["number"])
+    odd = F.filter("bound", lambda p: 2 * F.size(F.filter("bound", lambda q: (q["a"] == p["a"]) & (q["b"] == p["b"]))) <= F.size(F.filter("bound", lambda q: q["a"] == p["a"])))
+    aligned = aligned.withColumn("bound", bound).withColumn("odd", F.transform(odd, lambda p: p["at"]))
+    repeated = F.filter("bound", lambda p: F.exists("bound", lambda q: (q["a"] == p["a"]) & (q["at"] != p["at"])))
+    agreeing = 2 * F.size("odd") <= F.size(repeated)
+    aligned = aligned.withColumn("agreeing", agreeing).withColumn("covered", F.filter("covered", lambda c: c["same"] | F.col("agreeing") & ~F.exists("odd", lambda p: p.between(c["at"], c["at"] + width - 1))))
+    def counts(*more) -> list:
+        of = lambda kind: F.count_distinct(F.when(F.col("kind").bitwiseAND(kind) > 0, F.col("at")))
+        return [F.count_distinct("at").alias("windows"), of(STRICT).alias("strict"), of(LOOSE).alias("loose"), *more]
+
+    sizes = wanted.groupBy(F.col("id").alias("item_id")).agg(*counts())
+    sizes = sizes.select("item_id", F.col("windows").alias("n"), F.col("strict").alias("n_strict"), F.col("loose").alias("n_loose"))
+    share = lambda found, of: F.coalesce(F.try_divide(F.col(found), F.col(of)), F.lit(0.0))
     return (
-        aligned.select("doc_id", "item_id", "changed", F.explode("covered").alias("at"))
+        aligned.select("doc_id", "item_id", F.explode("covered").alias("c"))
+        .select("doc_id", "item_id", "c.at", "c.kind", (~F.col("c.same")).alias("changed"))
         .groupBy("doc_id", "item_id")
-        .agg(F.count_distinct("at").alias("windows"), F.max("changed").alias("reparameterised"))
+        .agg(*counts(F.max("changed").alias("reparameterised")))
         .join(sizes, "item_id")
-        .withColumn("coverage", F.col("windows") / F.col("n"))
+        .withColumn("coverage", F.greatest(share("windows", "n"), share("strict", "n_strict"), share("loose", "n_loose")))
         .where(F.col("coverage") >= cover)
         .select("doc_id", "item_id", "windows", "coverage", "reparameterised")
     )
