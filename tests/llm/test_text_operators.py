@@ -429,3 +429,12 @@ def test_reparameterised_questions(spark):
     changed = [tom.replace("Tom", "Mia").replace("Ann", "Bob"), clock.replace("10:30", "9:15").replace("12:30", "11:45"), paint.replace("3 parts paint", "5 parts paint").replace("3 parts water", "2 parts water")]
     one_slip = tom.replace("Tom", "Mia").replace("does Mia", "does Eve").replace("Ann", "Bob")
     assert leaked(spark, [*changed, one_slip], [tom, clock, paint]) == {(0, 0): True, (1, 1): True, (2, 2): True, (3, 0): True}
+
+
+def test_items_that_templates_leave_out(spark):
+    dense = "Solve 3x + 5 = 20, 4y - 2 = 14, 7z + 1 = 50 and 9w = 81."
+    names = "Anna, Boris, Carla, Dmitri, Elena, Fritz, Gustav, Hanna, Igor, Jonas and Karl"
+    short = "What is the capital of France?"
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    docs = [f"Task: {t} That was it." for t in (dense, names, short)] + [" ".join(["so", *words[60:160], "on"]), " ".join(["so", *words[60:100], "on"]), "What is the capital of Spain? Paris is that of France."]
+    assert leaked(spark, docs, [dense, names, short, " ".join(words)]) == {(0, 0): False, (1, 1): False, (2, 2): False, (3, 3): False}

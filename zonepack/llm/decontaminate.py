@@ -12,13 +12,16 @@ are free, as equal ones may have different roles. Windows over a place that disa
 where over half of the places of repeated values disagree, only unchanged windows do. An item leaks
 into a document when its alignments cover at least ``COVER`` of its strict, its loose or all its windows.
 
+Words that no template stands for make exact windows, without placeholders. An item of fewer than
+``WINDOW`` words leaks into each document that has all of them in a row. A run of ``LONG_RUN``
+unchanged words is a leak whatever its share of the item.
+
 Documents are read once; a bit table of fixed size, made from all benchmark windows, lets through
 those windows that may be in the benchmark, and only these leave the scan. It grows with neither
 table. The benchmark side of the join is broadcast while it has at most ``MOST_BROADCAST`` windows,
 else both are shuffled and Spark splits skewed keys. Grouping is by (document, item, alignment).
 
-Null and empty texts have no windows. Items of fewer than ``WINDOW`` words have none either, and are
-never found. Repeated items: each is reported. Rows with the same doc_id, and those with a null one,
+Null and empty texts have no windows. Repeated items: each is reported. Rows with the same doc_id, and those with a null one,
 are judged together. Empty tables: no rows. Other columns are not read.
 """
 
@@ -38,6 +41,7 @@ from zonepack.llm.word_ids import _Kept, take_turn
 WINDOW = 8
 LEAST_PLAIN = 5
 LEAST_PLAIN_LOOSE = 4
+LONG_RUN = 50
 COVER = 0.5
 MOST_BROADCAST = 200_000
 TABLE_BITS = 22
@@ -45,7 +49,7 @@ UNITS = frozenset("mm cm dm m km in inch inches ft feet foot yd yard yards mile
 PUNCTUATION = "\"'`.,;:!?()[]{}<>*#$&%|/\\-_=+~^…“”‘’«»—–¿¡"
 
 CAPITAL, NUMBER, UNIT, ENDS, EMPTY = 1, 2, 4, 8, 16
-STRICT, LOOSE = 1, 2  # kinds of windows
+STRICT, LOOSE, EXACT, WHOLE = 1, 2, 4, 8  # kinds of windows; WHOLE * n is a whole item of n words
 _PLACEHOLDERS = {"number": np.uint64(0x9E3779B97F4A7C15), "unit": np.uint64(0xC2B2AE3D27D4EB4F), "name": np.uint64(0x165667B19E3779F9)}
 _MIX = np.uint64(0x9FB21C651E98DF25)
 
@@ -68,8 +72,8 @@ def _word(chunk: str) -> int:
 _words = _Kept(_word, 400_000)
 
 
-def _hashes(code: np.ndarray, n: int, width: int) -> np.ndarray:
-    hashes = np.zeros(n, dtype=np.uint64)
+def _hashes(code: np.ndarray, n: int, width: int, seed: int = 0) -> np.ndarray:
+    hashes = np.full(n, seed, dtype=np.uint64)
     for k in range(width):
         hashes = (hashes ^ code[k : k + n]) * _MIX
         hashes ^= hashes >> np.uint64(29)
@@ -104,7 +108,7 @@ class Words:
         self.strict_slot, self.loose_slot = self.number | unit | name & ~begins, self.number | unit | name
 
     def windows(self, width: int = WINDOW) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(kind, positions, hashes): template windows with enough plain words."""
+        """(kind, positions, hashes): template windows with enough plain words, exact ones where there are none."""
         n = len(self.chunks) - width + 1
         if n <= 0:
             return []
@@ -113,8 +117,16 @@ class Words:
             taken = np.concatenate([[0], np.cumsum(slot)])
             usable.append(width - (taken[width:] - taken[:n]) >= least)
         out = [(kind, np.flatnonzero(u), _hashes(code, n, width)[u]) for kind, u, code in ((STRICT, usable[0], self.strict), (LOOSE, usable[1], self.loose))]
+        rest = np.flatnonzero(~(usable[0] | usable[1]))
+        if len(rest):
+            out.append((EXACT, rest, _hashes(self.plain, n, width, EXACT)[rest]))
         return out
 
+    def whole(self, width: int) -> np.ndarray:
+        """Hashes of the runs of ``width`` words, for items that are no longer than that."""
+        n = len(self.chunks) - width + 1
+        return _hashes(self.plain, n, width, EXACT + width) if n > 0 else np.zeros(0, dtype=np.uint64)
+
     def slots(self, at: int, width: int) -> list[tuple[int, str, bool]]:
         """(offset, value, number) of the slots of a window."""
         return [(k, self.chunks[at + k].strip(PUNCTUATION).lower(), bool(self.number[at + k])) for k in np.flatnonzero(self.loose_slot[at : at + width]).tolist()]
@@ -129,7 +141,7 @@ def _rows(found: list[tuple[int | None, Words, list[tuple[int, int, int]]]], wid
     out: list[list] = [[], [], [], [], []]
     for i, words, own in found:
         for kind, at, value in own:
-            slots = words.slots(at, width)
+            slots = words.slots(at, width) if kind & (STRICT | LOOSE) and kind < WHOLE else []
             for column, x in zip(out, (i, at, value, kind, [{"k": k, "value": v, "number": n} for k, v, n in slots])):
                 column.append(x)
     return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.uint64()).view(pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], _SLOTS)], ["id", "at", "hash", "kind", "slots"])
@@ -147,6 +159,9 @@ def item_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
                 for kind, at, hashes in words.windows(width):
                     for own in zip(at.tolist(), hashes.tolist()):
                         kinds[own] = kinds.get(own, 0) | kind
+                n = len(words.chunks)
+                if 0 < n < width:
+                    kinds[0, int(words.whole(n)[0])] = WHOLE * n
                 found.append((i, words, [(kind, at, h) for (at, h), kind in kinds.items()]))
             yield _rows(found, width)
 
@@ -174,6 +189,8 @@ def leaks(docs: DataFrame, items: DataFrame, cover: float = COVER, width: int =
     wanted = item_windows(items, width).persist()
     table = spark.sparkContext.broadcast(window_table(wanted))
 
+    short = [r.n for r in wanted.where(F.col("kind") >= WHOLE).select((F.col("kind") / WHOLE).cast("int").alias("n")).distinct().collect()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn("templates")
         for rows, texts in slices(batches):
@@ -181,6 +198,9 @@ def leaks(docs: DataFrame, items: DataFrame, cover: float = COVER, width: int =
             for doc_id, text in zip(rows.column("doc_id").to_pylist(), texts):
                 words = Words(text)
                 kinds = words.windows(width)
+                for n in short:
+                    hashes = words.whole(n)
+                    kinds.append((WHOLE * n, np.arange(len(hashes)), hashes))
                 own = {}
                 for kind, at, hashes in kinds:
                     for i in np.flatnonzero(table.value[hashes >> np.uint64(64 - TABLE_BITS)]).tolist():
@@ -211,21 +231,29 @@ def leaks(docs: DataFrame, items: DataFrame, cover: float = COVER, width: int =
     repeated = F.filter("bound", lambda p: F.exists("bound", lambda q: (q["a"] == p["a"]) & (q["at"] != p["at"])))
     agreeing = 2 * F.size("odd") <= F.size(repeated)
     aligned = aligned.withColumn("agreeing", agreeing).withColumn("covered", F.filter("covered", lambda c: c["same"] | F.col("agreeing") & ~F.exists("odd", lambda p: p.between(c["at"], c["at"] + width - 1))))
+    exact = F.array_sort(F.array_distinct(F.transform(F.filter("covered", lambda c: c["same"]), lambda c: c["at"])))
+    run_of = F.aggregate(
+        exact,
+        F.struct(F.lit(-2).alias("last"), F.lit(0).alias("length"), F.lit(0).alias("best")),
+        lambda s, at: F.struct(at.alias("last"), F.when(at == s["last"] + 1, s["length"] + 1).otherwise(1).alias("length"), F.greatest(s["best"], F.when(at == s["last"] + 1, s["length"] + 1).otherwise(1)).alias("best")),
+    )["best"]
+    aligned = aligned.withColumn("run", run_of)
+
     def counts(*more) -> list:
         of = lambda kind: F.count_distinct(F.when(F.col("kind").bitwiseAND(kind) > 0, F.col("at")))
         return [F.count_distinct("at").alias("windows"), of(STRICT).alias("strict"), of(LOOSE).alias("loose"), *more]
 
-    sizes = wanted.groupBy(F.col("id").alias("item_id")).agg(*counts())
+    sizes = wanted.withColumn("kind", F.when(F.col("kind") < WHOLE, F.col("kind")).otherwise(EXACT)).groupBy(F.col("id").alias("item_id")).agg(*counts())
     sizes = sizes.select("item_id", F.col("windows").alias("n"), F.col("strict").alias("n_strict"), F.col("loose").alias("n_loose"))
     share = lambda found, of: F.coalesce(F.try_divide(F.col(found), F.col(of)), F.lit(0.0))
     return (
-        aligned.select("doc_id", "item_id", F.explode("covered").alias("c"))
-        .select("doc_id", "item_id", "c.at", "c.kind", (~F.col("c.same")).alias("changed"))
+        aligned.select("doc_id", "item_id", "run", F.explode("covered").alias("c"))
+        .select("doc_id", "item_id", "run", "c.at", F.when(F.col("c.kind") < WHOLE, F.col("c.kind")).otherwise(EXACT).alias("kind"), (~F.col("c.same")).alias("changed"))
         .groupBy("doc_id", "item_id")
-        .agg(*counts(F.max("changed").alias("reparameterised")))
+        .agg(*counts(F.max("changed").alias("reparameterised"), F.max("run").alias("run")))
         .join(sizes, "item_id")
         .withColumn("coverage", F.greatest(share("windows", "n"), share("strict", "n_strict"), share("loose", "n_loose")))
-        .where(F.col("coverage") >= cover)
+        .where((F.col("coverage") >= cover) | (F.col("run") + (width - 1) >= LONG_RUN))
         .select("doc_id", "item_id", "windows", "coverage", "reparameterised")
     )
 
