@@ -30,6 +30,15 @@ def test_odd_urls(spark):
     assert url_filter.judge(pages.where("false")).collect() == []
 
 
+def test_joined_words_and_rules_without_tokens(spark):
+    hosts = ["casinowin.example.net", "freebets.example.org", "my.cheap_pills.org", "ads.track.org", "casinowins.example.net", "bets.free.org"]
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate([*hosts, "例え.jp", "x.例え", "例え"])], "page_id long, url string")
+    assert [r.verdict for r in url_filter.judge(pages).orderBy("page_id").collect()] == ["block"] * 4 + ["allow"] * 5
+    rules = [url_filter.Rule.of_site("block", "例え/"), url_filter.Rule.of_words("block", "a", "b", "c")]
+    more = pages.union(spark.createDataFrame([(9 + i, f"http://{h}/") for i, h in enumerate(["abc.org", "a-bc.org", "ab.c.org", "a-b-c.org", "a.c.b.org"])], pages.schema))
+    assert [r.page_id for r in url_filter.judge(more, rules).where("verdict = 'block'").orderBy("page_id").collect()] == [7, 8, 9, 10, 11, 12]
+
+
 def brute(vectors, k=5):
     ids = np.array([i for i, _ in vectors])
     x = np.array([v for _, v in vectors], dtype=float)

@@ -1,9 +1,10 @@
 """Operator 4, URL filters: pattern rules indexed by their rarest literal token.
 
-A rule is a verdict, a regular expression over ``host + path``, the literal tokens that every url it
-fits must hold, and a weight. Token counts over all urls of the table say which of a rule's tokens is
-the rarest; the rule is filed under that one. A url's distinct tokens fetch the rules filed under
-them, and only those run their expressions. Among the rules that fit, site rules (``com/``,
+A rule is a verdict, a regular expression over ``host + path``, sets of literal tokens, one of which
+every url it fits must hold in full, and a weight. Token counts over all urls of the table say which
+token of a set is the rarest; the rule is filed under that one, once a set. A set without tokens is
+filed under the empty token, which every url has while there is such a rule. A url's distinct tokens
+fetch the rules filed under them, and only those run their expressions. Among the rules that fit, site rules (``com/``,
 ``example.com/en/``) come before the spam patterns, and the longest wins, then the first by text.
 
 The rules are a parameter; the index is joined by broadcast while they are at most
@@ -32,19 +33,23 @@ class Rule:
 
     verdict: str
     pattern: str
-    tokens: tuple[str, ...]
+    tokens: tuple[tuple[str, ...], ...]
     site: str | None = None
 
     @staticmethod
     def of_site(verdict: str, site: str) -> Rule:
         host, slash, path = site.partition("/")
         literal = tuple(dict.fromkeys(re.findall(TOKEN, host)))
-        return Rule(verdict, rf"^([^\x00]*\.)?\Q{host}\E\x00\Q{slash + path}\E", literal, site)
+        return Rule(verdict, rf"^([^\x00]*\.)?\Q{host}\E\x00\Q{slash + path}\E", (literal,), site)
 
     @staticmethod
     def of_words(verdict: str, *words: str) -> Rule:
-        """Words that stand side by side in the host."""
-        return Rule(verdict, rf"^[^\x00]*(?<![a-z0-9]){'[-._]?'.join(words)}(?![a-z0-9])[^\x00]*\x00", words)
+        """Words that stand side by side in the host, joined or with a separator."""
+        spellings = [words[0]]
+        for word in words[1:]:
+            spellings = [s + gap + word for s in spellings for gap in ("-", "")]
+        literals = tuple(tuple(dict.fromkeys(re.findall(TOKEN, s))) for s in spellings)
+        return Rule(verdict, rf"^[^\x00]*(?<![a-z0-9]){'[-._]?'.join(words)}(?![a-z0-9])[^\x00]*\x00", literals)
 
 
 SITE_RULES = [
@@ -72,19 +77,21 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     tokens = F.array_distinct(F.regexp_extract_all("host", F.lit(f"({TOKEN})"), 1))
 
     table = spark.createDataFrame(
-        [(n, r.verdict, r.pattern, list(r.tokens), r.site) for n, r in enumerate(rules)],
-        "n long, rule_verdict string, pattern string, tokens array<string>, site string",
+        [(n, k, r.verdict, r.pattern, list(own) or [""], r.site) for n, r in enumerate(rules) for k, own in enumerate(r.tokens or ((),))],
+        "n long, k long, rule_verdict string, pattern string, tokens array<string>, site string",
     )
-    wanted = table.select("n", F.explode("tokens").alias("token"))
+    wanted = table.select("n", "k", F.explode("tokens").alias("token"))
     seen = urls.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count("*").alias("seen"))
-    rarest = wanted.join(seen, "token", "left").groupBy("n").agg(F.min_by("token", F.struct(F.coalesce("seen", F.lit(0)), "token")).alias("token"))
-    index = table.join(rarest, "n").select("token", "rule_verdict", "pattern", "site")
+    rarest = wanted.join(seen, "token", "left").groupBy("n", "k").agg(F.min_by("token", F.struct(F.coalesce("seen", F.lit(0)), "token")).alias("token"))
+    index = table.join(rarest, ["n", "k"]).select("token", "rule_verdict", "pattern", "site")
     if len(rules) <= MOST_BROADCAST:
         index = F.broadcast(index)
 
     key = F.struct(F.monotonically_increasing_id().alias("row"), F.spark_partition_id().alias("part"))
     rows = urls.withColumn("key", key)
-    candidates = rows.withColumn("token", F.explode_outer(F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit(""))))).join(index, "token", "left")
+    without = any(not own for r in rules for own in r.tokens or ((),))
+    fetching = F.array_append(tokens, "") if without else F.when(F.size(tokens) > 0, tokens).otherwise(F.array(F.lit("")))
+    candidates = rows.withColumn("token", F.explode_outer(fetching)).join(index, "token", "left")
     fits = F.expr("concat(host, char(0), path) rlike pattern")
     rank = F.when(fits, F.struct(F.col("site").isNotNull().cast("int").alias("of_site"), F.length(F.coalesce("site", "pattern")).alias("length"), F.coalesce("site", "pattern").alias("text"), "site", "rule_verdict"))
     best = candidates.groupBy("key", "page_id", "host", "path").agg(F.max(rank).alias("best"))
