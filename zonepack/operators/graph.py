@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonepack.sources.staging import stage
 
 MOST_PATHS = 16
-MOST_HOPS = 32
 
 
 def usable_edges(edges: DataFrame) -> DataFrame:
@@ -25,45 +24,60 @@ def hops(edges: DataFrame) -> DataFrame:
     return forth.unionByName(back)
 
 
-def distances(steps: DataFrame, source) -> DataFrame:
-    """(node, hops) from ``source``: breadth first, one join a level, each level cut from its lineage."""
-    spark = steps.sparkSession
-    steps = stage(steps.select("start", "end").distinct(), "steps")
-    seen = stage(spark.range(1).select(F.lit(source).cast(steps.schema["start"].dataType).alias("node"), F.lit(0).alias("hops")), "seen")
-    frontier = seen
-    for level in range(1, MOST_HOPS + 1):
-        reached = frontier.join(steps, frontier["node"] == steps["start"]).select(F.col("end").alias("node")).distinct()
-        frontier = stage(reached.join(seen, "node", "left_anti").withColumn("hops", F.lit(level)), "frontier")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen
+def _levels(steps: DataFrame, start: DataFrame, extend) -> DataFrame:
+    """Breadth first from ``start`` (node, hops, ...), one join a level, each level cut from its lineage, until
+    a level is empty. ``extend(level joined with steps)`` groups what a level reaches by ``end``.
+
+    ``steps`` lead both ways, as ``hops`` makes them, so a level reaches nothing but itself, the level
+    before it and the next one: only the last two have to be left out.
+    """
+    level = found = stage(start, "level")
+    before = level.limit(0)
+    while True:
+        reached = extend(level.join(steps, level["node"] == steps["start"])).withColumnRenamed("end", "node")
+        known = level.select("node").unionByName(before.select("node"))
+        before, level = level, stage(reached.join(known, "node", "left_anti").select(start.columns), "level")
+        if level.isEmpty():
+            return found
+        found = found.unionByName(level)
+
+
+def _source(steps: DataFrame, source, **more) -> DataFrame:
+    node = F.lit(source).cast(steps.schema["start"].dataType)
+    return steps.sparkSession.range(1).select(node.alias("node"), F.lit(0).alias("hops"), *[c.alias(n) for n, c in more.items()])
 
 
 def shortest_paths(steps: DataFrame, source, targets: DataFrame | None = None) -> DataFrame:
     """(node, hops, paths): every node that ``source`` reaches, its distance and the number of shortest paths.
 
     Parallel relations make different paths; the source itself has one, of no hops. ``targets`` (node)
-    restricts the result.
+    restricts the result. The counts go along with the levels, and there is no bound on their number.
     """
-    far = stage(distances(steps, source), "distances")
-    near = far.select(F.col("node").alias("start"), F.col("hops").alias("h0"))
-    forward = stage(
-        steps.join(near, "start").join(far.select(F.col("node").alias("end"), F.col("hops").alias("h1")), "end").where("h1 = h0 + 1").groupBy("start", "end", "h1").agg(F.count("*").alias("n")),
-        "forward",
-    )
-    found = far.where("hops = 0").withColumn("paths", F.lit(1).cast("long"))
-    level = found
-    for h in range(1, far.agg(F.max("hops")).first()[0] + 1):
-        level = forward.where(F.col("h1") == h).join(level.select(F.col("node").alias("start"), "paths"), "start")
-        level = stage(level.groupBy(F.col("end").alias("node"), F.col("h1").alias("hops")).agg(F.sum(F.col("n") * F.col("paths")).alias("paths")), "level")
-        found = found.unionByName(level)
+    counted = stage(steps.groupBy("start", "end").agg(F.count("*").alias("n")), "steps")
+    start = _source(steps, source, paths=F.lit(1).cast("long"))
+    extend = lambda rows: rows.groupBy("end", (F.col("hops") + 1).alias("hops")).agg(F.sum(F.col("n") * F.col("paths")).alias("paths"))
+    found = _levels(counted, start, extend)
     return found.join(targets, "node", "left_semi") if targets is not None else found
 
 
+def listed_paths(steps: DataFrame, source, most: int = MOST_PATHS) -> DataFrame:
+    """(node, hops, paths): the shortest paths themselves, arrays of relation ids; of a node with more than
+    ``most`` the first by text. A path's beginning is one of the first of its own node, so no more need be kept."""
+    steps = stage(steps.select("relation_id", "start", "end"), "steps")
+    start = _source(steps, source, path=F.array().cast("array<string>"))
+    first = Window.partitionBy("end").orderBy("path")
+
+    def extend(rows: DataFrame) -> DataFrame:
+        longer = rows.select("end", (F.col("hops") + 1).alias("hops"), F.array_append("path", F.col("relation_id")).alias("path"))
+        return longer.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most).drop("k")
+
+    return _levels(steps, start, extend).groupBy("node", "hops").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+
+
 def ambiguous(paths: DataFrame) -> DataFrame:
-    """Nodes that more than one shortest path reaches."""
-    return paths.where("paths > 1")
+    """Nodes that more than one shortest path reaches, of ``listed_paths``, as ``r1 > r2; r3 > r4``."""
+    text = F.array_join(F.transform("paths", lambda p: F.array_join(p, " > ")), "; ")
+    return paths.where("size(paths) > 1").select("node", "hops", F.size("paths").alias("listed"), text.alias("paths"))
 
 
 def pinned(edges: DataFrame, pins: DataFrame) -> DataFrame:

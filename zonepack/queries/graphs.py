@@ -23,17 +23,20 @@ EDGES = """WITH edges AS (
 ), usable AS (SELECT * FROM edges WHERE valid AND kind <> 'generated'),
 hops AS (SELECT relation_id, child AS "start", parent AS "end" FROM usable UNION ALL SELECT relation_id, parent, child FROM usable WHERE child <> parent)
 """
-_LEVELS = (
-    EDGES
-    + ", w AS (SELECT \"start\", \"end\", count(*) AS n FROM hops GROUP BY 1, 2), d0 AS (SELECT 's1' AS node, 0 AS hops, 1 AS paths)"
-    + "".join(
-        f", d{i} AS (SELECT \"end\" AS node, {i} AS hops, sum(n * paths) AS paths FROM w JOIN d{i - 1} ON \"start\" = node WHERE {' AND '.join(f'NOT EXISTS (SELECT 1 FROM d{j} WHERE d{j}.node = w.\"end\")' for j in range(i))} GROUP BY 1)"
-        for i in range(1, 6)
-    )
-    + ", found AS ("
-    + " UNION ALL ".join(f"SELECT node, hops, CAST(paths AS BIGINT) AS paths FROM d{i}" for i in range(6))
-    + ")"
-)
+_FOUND = EDGES.replace("WITH edges", "WITH RECURSIVE edges") + """, w AS (SELECT "start", "end", count(*) AS n FROM hops GROUP BY 1, 2),
+found(node, hops, paths) USING KEY (node) AS (
+  SELECT 's1', 0, CAST(1 AS BIGINT)
+  UNION
+  (SELECT w."end", min(f.hops) + 1, CAST(sum(w.n * f.paths) AS BIGINT) FROM found f JOIN w ON w."start" = f.node WHERE NOT EXISTS (SELECT 1 FROM recurring.found r WHERE r.node = w."end") GROUP BY 1)
+)"""
+_LISTED = EDGES.replace("WITH edges", "WITH RECURSIVE edges") + """, listed(node, hops, paths) USING KEY (node) AS (
+  SELECT 's1', 0, [[]::VARCHAR[]]
+  UNION
+  (SELECT "end", hops + 1, list_sort(list(path)) FROM (
+    SELECT h."end", l.hops, list_append(l.path, h.relation_id) AS path FROM (SELECT node, hops, unnest(paths) AS path FROM listed) l JOIN hops h ON h."start" = l.node
+    WHERE NOT EXISTS (SELECT 1 FROM recurring.listed r WHERE r.node = h."end")
+    QUALIFY row_number() OVER (PARTITION BY h."end" ORDER BY list_append(l.path, h.relation_id)) <= 16) GROUP BY 1, 2)
+)"""
 
 
 @query(EDGES + "SELECT * FROM usable")
@@ -46,14 +49,18 @@ def relation_hops(t: Tables) -> DataFrame:
     return graph.hops(graph.usable_edges(line_edges(t)))
 
 
-@query(_LEVELS + "SELECT * FROM found")
+def line_hops(t: Tables) -> DataFrame:
+    return graph.hops(graph.usable_edges(line_edges(t)))
+
+
+@query(_FOUND + "SELECT * FROM found")
 def shortest_paths(t: Tables) -> DataFrame:
-    return graph.shortest_paths(graph.hops(graph.usable_edges(line_edges(t))), "s1")
+    return graph.shortest_paths(line_hops(t), "s1")
 
 
-@query(_LEVELS + "SELECT * FROM found WHERE paths > 1")
+@query(_LISTED + " SELECT node, hops, len(paths) AS listed, array_to_string(list_transform(paths, lambda p: array_to_string(p, ' > ')), '; ') AS paths FROM listed WHERE len(paths) > 1")
 def ambiguous_paths(t: Tables) -> DataFrame:
-    return graph.ambiguous(graph.shortest_paths(graph.hops(graph.usable_edges(line_edges(t))), "s1"))
+    return graph.ambiguous(graph.listed_paths(line_hops(t), "s1"))
 
 
 _PINS = """, lines AS (
