@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonepack.operators.strata import UNMATCHED
@@ -97,7 +97,11 @@ def bundle_status(members: DataFrame) -> DataFrame:
 
 
 def slowest(timings: DataFrame, group: str, step: str, seconds: str, most: int = 3) -> DataFrame:
-    """Per group: the sum, and the ``most`` slowest steps, worst first (ties: the later name first)."""
-    top = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct(seconds, step)))), 1, most)
+    """Per group: the sum, and the ``most`` slowest steps, worst first (ties: the later name first). Ranks are
+    cut to ``most`` in each task before they meet."""
     steps = timings.groupBy(group, step).agg(F.sum(seconds).alias(seconds))
-    return steps.groupBy(group).agg(F.sum(seconds).alias("total"), F.array_join(F.transform(top, lambda t: t[step]), ", ").alias("slowest"))
+    worst = Window.partitionBy(group).orderBy(F.desc(seconds), F.desc(step))
+    top = steps.withColumn("place", F.row_number().over(worst)).where(F.col("place") <= most)
+    named = F.transform(F.array_sort(F.collect_list(F.struct("place", step))), lambda t: t[step])
+    listed = top.groupBy(group).agg(F.array_join(named, ", ").alias("slowest"))
+    return timings.groupBy(group).agg(F.sum(seconds).alias("total")).join(listed, group)

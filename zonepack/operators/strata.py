@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ FULL, UNMATCHED = "<full>", "<unmatched>"
 
 
 def snapshot(layer: DataFrame, fid: str, keep: Sequence[str] = (), subset: str | None = None, selection: DataFrame | None = None) -> DataFrame:
-    """(stratum_id, keep...) of the rows that make strata; an empty selection is an error of the caller's."""
+    """(stratum_id, keep...) of the rows that make strata; a package run refuses an empty selection."""
     rows = layer.where(F.expr(subset)) if subset else layer
     if selection is not None:
         rows = rows.join(selection.select(fid), fid, "left_semi")
@@ -66,39 +67,76 @@ def display_names(strata: DataFrame, layers: DataFrame, expression: str) -> Data
     return rows.select("stratum_id", "layer_id", F.expr(expression).alias("display_name")).withColumn("failed", F.col("display_name").isNull())
 
 
+SUFFIXED = r"(?s)^(.*)_([2-9]|[1-9][0-9]{1,17})\z"
+
+
+def _claims(groups: pd.DataFrame) -> pd.DataFrame:
+    """For the suffixed spellings of one name, by number: is the spelling still free when it comes first?
+
+    The name's q-th later row takes the q-th free number. Number j would be its (j - 1 - claimed below j)-th,
+    so the spelling is in time if fewer rows of the name came before it than that asks for."""
+    groups = groups.sort_values("number")
+    below, claimed, at = 0, [], []
+    for number, rank, shift in zip(groups["number"].tolist(), groups["rank"].tolist(), groups["shift"].tolist()):
+        at.append(number - 1 - below)
+        claimed.append(rank < number - below - shift)
+        below += claimed[-1]
+    return pd.DataFrame({"folded": groups["folded"], "parent": groups["parent"], "claimed": claimed, "at": at})
+
+
 def dedupe_names(rows: DataFrame, order: str, name: str) -> DataFrame:
     """(order, unique_name): later duplicates get ``_2``, ``_3`` and so on in order, ignoring case.
 
-    The rule is sequential: each name takes the lowest free number. In most groups nothing else has a
-    name that ends in such a number, and the position in the group is the number. A name may be met by a
-    generated one only if it ends in ``_<number>`` itself; groups tied by such endings (the name without
-    its endings) are settled by an ordered fold over that family alone, which one task holds.
+    The rule is sequential: each row takes its name if it is free, else the lowest free number. What a
+    name's rows generate can only meet spellings that are that name and a number. So positions among the
+    rows of a name decide, and a pre-aggregated table of such spellings corrects them: one that comes
+    before the name has reached its number keeps it, and the name skips it; one that comes later is a
+    duplicate itself from its first row on. This is settled name by name, from short spellings to longer ones.
 
-    Positions are counted inside ranges of the order and added up over the ranges before, so a name that
-    a third of all rows have is spread over many tasks.
+    Positions are counted inside ranges of the order and added up over the ranges before, so a name that a
+    third of all rows have is spread over many tasks. Gathered by name are only distinct spellings with a
+    number, and only of names that have duplicates. ``order`` has no ties. Null names stay null.
     """
-    rows = rows.select(F.col(order).alias("ord"), F.col(name).alias("name")).withColumn("folded", T.fold(F.col("name")))
-    rows = rows.withColumn("stem", F.regexp_replace("folded", r"(_[0-9]+)+$", ""))
+    nameless = rows.where(F.col(name).isNull()).select(F.col(order).alias("ord"), F.lit(None).cast("string").alias("unique_name"))
+    rows = rows.where(F.col(name).isNotNull()).select(F.col(order).alias("ord"), F.col(name).alias("name")).withColumn("folded", T.fold(F.col("name")))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = stage(rows.repartitionByRange(parts, "ord").withColumn("part", F.spark_partition_id()), "ordered")
-    plain = rows.groupBy("stem").agg((F.min("folded") == F.max("folded")).alias("plain"))
-    rows = rows.join(plain, "stem")
-    sizes = rows.where("plain").groupBy("folded", "part").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("folded", "part").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    sizes = stage(sizes.withColumn("before", F.sum("n").over(Window.partitionBy("folded").orderBy("part")) - F.col("n")), "sizes")
+
+    names = sizes.groupBy("folded").agg(F.sum("n").alias("rows"), F.min(F.struct("part", "first")).alias("at"))
+    parent, number = (F.regexp_extract("folded", SUFFIXED, i) for i in (1, 2))
+    spelled = names.where(F.col("folded").rlike(SUFFIXED)).select("folded", parent.alias("parent"), number.cast("long").alias("number"), "at.part", "at.first")
+    known = names.select(F.col("folded").alias("parent"), F.col("rows").alias("parent_rows"))
+    spelled = stage(spelled.join(known, "parent"), "spelled")
+
+    # positions of the rows, and of the first row of each suffixed spelling, among those of the name
+    events = rows.select("folded", "part", "ord", "name", F.lit(1).alias("one"), F.lit(None).cast("string").alias("spelling"))
+    events = events.unionByName(spelled.select(F.col("parent").alias("folded"), "part", F.col("first").alias("ord"), F.lit(None).cast("string").alias("name"), F.lit(0).alias("one"), F.col("folded").alias("spelling")))
+    inside = F.sum("one").over(Window.partitionBy("folded", "part").orderBy("ord"))
+    # a part may hold a spelling and no row of the name: what is before it is counted over the earlier parts
+    marks = sizes.select("folded", "part", "n").unionByName(spelled.select(F.col("parent").alias("folded"), "part", F.lit(0).cast("long").alias("n")))
+    marks = marks.groupBy("folded", "part").agg(F.sum("n").alias("n"))
     before = F.sum("n").over(Window.partitionBy("folded").orderBy("part")) - F.col("n")
-    inside = F.row_number().over(Window.partitionBy("folded", "part").orderBy("ord"))
-    easy = rows.where("plain").withColumn("k", inside).join(sizes.select("folded", "part", before.alias("before")), ["folded", "part"]).withColumn("k", F.col("k") + F.col("before"))
-    easy = easy.select("ord", F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat("name", F.lit("_"), "k")).alias("unique_name"))
-    family = rows.where("not plain").groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "folded"))).alias("items"))
-
-    def take(state, item):
-        numbers = F.sequence(F.lit(2), F.size(state["taken"]) + 2)
-        free = F.filter(numbers, lambda k: ~F.array_contains(state["taken"], F.concat(item["folded"], F.lit("_"), k.cast("string"))))
-        chosen = F.when(F.array_contains(state["taken"], item["folded"]), F.concat(item["name"], F.lit("_"), free[0].cast("string"))).otherwise(item["name"])
-        return F.struct(F.array_append(state["taken"], T.fold(chosen)).alias("taken"), F.array_append(state["out"], F.struct(item["ord"].alias("ord"), chosen.alias("unique_name"))).alias("out"))
-
-    kind = rows.schema["ord"].dataType.simpleString()
-    empty = F.struct(F.array().cast("array<string>").alias("taken"), F.array().cast(f"array<struct<ord:{kind},unique_name:string>>").alias("out"))
-    hard = family.select(F.explode(F.aggregate("items", empty, take)["out"]).alias("x")).select("x.ord", "x.unique_name")
-    return easy.unionByName(hard)
-
-
+    events = stage(events.withColumn("inside", inside).join(marks.select("folded", "part", before.alias("before")), ["folded", "part"]).withColumn("k", F.col("before") + F.col("inside")), "events")
+
+    ranks = stage(spelled.join(events.where("spelling is not null").select(F.col("spelling").alias("folded"), F.col("k").alias("rank")), "folded"), "ranks")
+    settled = ranks.sparkSession.createDataFrame([], "folded string, parent string, claimed boolean, at long")
+    level = ranks.join(spelled.select(F.col("folded").alias("parent")), "parent", "left_anti").withColumn("shift", F.lit(0))
+    while True:
+        duplicated = (F.col("parent_rows") > 1) | (F.col("shift") > 0)
+        done = level.where(duplicated).select("folded", "parent", "number", "rank", "shift").groupBy("parent").applyInPandas(_claims, settled.schema)
+        alone = level.where(~duplicated).select("folded", "parent", F.lit(True).alias("claimed"), F.lit(None).cast("long").alias("at"))
+        done = stage(done.unionByName(alone), "settled")
+        if done.isEmpty():
+            break
+        settled = settled.unionByName(done)
+        level = ranks.join(done.select(F.col("folded").alias("parent"), (~F.col("claimed")).cast("int").alias("shift")), "parent")
+
+    # number of the q-th later row: q + 1, and one more for each spelling that was claimed at or below it
+    skipped = settled.where("claimed and at is not null").groupBy(F.col("parent").alias("folded")).agg(F.array_sort(F.collect_list("at")).alias("skipped"))
+    late = settled.where("not claimed").select("folded", F.lit(1).alias("shift"))
+    out = events.where("spelling is null").join(late, "folded", "left").join(skipped, "folded", "left")
+    q = F.col("k") - 1 + F.coalesce("shift", F.lit(0))
+    taken = F.coalesce(F.size(F.filter("skipped", lambda x: x <= q)), F.lit(0))
+    return out.select("ord", F.when(q == 0, F.col("name")).otherwise(F.concat("name", F.lit("_"), q + 1 + taken)).alias("unique_name")).unionByName(nameless)

@@ -38,11 +38,11 @@ def sanitize_filename(t: Tables) -> DataFrame:
     return turns(t).select("conv_id", "turn", T.sanitize_filename(F.col("text")).alias("name"))
 
 
-_ERROR = f"""CASE WHEN part IN ('', '.', '..') THEN 'empty or relative marker'
-  WHEN regexp_matches(part, '[\\x00-\\x1f\\x7f<>:"/\\\\|?*]') THEN 'illegal character'
-  WHEN regexp_matches(part, '^ | $|[.]$') THEN 'leading or trailing space or trailing dot'
-  WHEN {_RESERVED.format(x='part')} THEN 'reserved device name'
-  WHEN length(part) > 255 THEN 'longer than 255 characters' END"""
+_ERROR = f"""CASE WHEN part IN ('', '.', '..') THEN 'is empty or a dot step'
+  WHEN regexp_matches(part, '[\\x00-\\x1f\\x7f<>:"/\\\\|?*]') THEN 'holds a refused character'
+  WHEN regexp_matches(part, '^ | $|[.]$') THEN 'begins or ends with a space, or ends with a dot'
+  WHEN {_RESERVED.format(x='part')} THEN 'is a device name'
+  WHEN length(part) > 255 THEN 'has over 255 characters' END"""
 
 
 @query(f"SELECT conv_id, turn, {_ERROR} AS error FROM (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN text WHEN 1 THEN role WHEN 2 THEN 'con.' || role WHEN 3 THEN role || ' ' ELSE substr(text, 1, 1) || '.' END AS part FROM conversations)")
@@ -57,7 +57,7 @@ parts AS (SELECT page_id, path, regexp_split_to_array(path, '[/\\\\]') AS parts
 errors AS (SELECT page_id, i, {_ERROR} AS error FROM (SELECT page_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM parts)),
 first AS (SELECT page_id, min_by(error, i) AS error FROM errors WHERE error IS NOT NULL GROUP BY 1)
 SELECT page_id, array_to_string(parts, '>') AS parts,
-  CASE WHEN trim(path) = '' THEN 'path is empty' WHEN regexp_matches(path, '^[/\\\\]|^[A-Za-z]:') THEN 'absolute paths are not allowed' ELSE error END AS error
+  CASE WHEN trim(path) = '' THEN 'no path' WHEN regexp_matches(path, '^[/\\\\]|^[A-Za-z]:') THEN 'not relative to the package' ELSE error END AS error
 FROM parts LEFT JOIN first USING (page_id)"""
 )
 def archive_paths(t: Tables) -> DataFrame:
@@ -100,12 +100,17 @@ def _texts(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.expr(_TEXT).alias("sql"))
 
 
-@query(f"WITH q AS (SELECT c_custkey, {_TEXT} AS sql FROM customer), m AS (SELECT c_custkey, unnest(regexp_extract_all(sql, '(?:\\w+\\s*\\.\\s*)?(\\w+)\\s*=\\s*(?:\\w+\\s*\\.\\s*)?(\\w+)', 1) || regexp_extract_all(sql, '(?:\\w+\\s*\\.\\s*)?(\\w+)\\s*=\\s*(?:\\w+\\s*\\.\\s*)?(\\w+)', 2)) AS name FROM q) SELECT DISTINCT c_custkey, name FROM m")
+_EQUATIONS = r"list_filter(string_split_regex(regexp_replace(sql, '\s*([.=])\s*', '\1', 'g'), '[\s,()]+'), lambda w: regexp_matches(w, '^[\w.]+(=[\w.]+)+$'))"
+_Q = r"""(?:"[^"]+"|`[^`]+`|\[[^\]]+\]|\w+)"""
+_HEADS = rf"list_transform(string_split_regex(sql, '(?i)\b(?:from|join)\s+')[2:], lambda x: regexp_replace(regexp_extract(x, '^(?:{_Q}\s*\.\s*)*({_Q})', 1), '^[\"`\[]|[\"`\]]$', '', 'g'))"
+
+
+@query(f"WITH q AS (SELECT c_custkey, {_TEXT} AS sql FROM customer) SELECT DISTINCT c_custkey, split_part(unnest(flatten(list_transform({_EQUATIONS}, lambda w: string_split(w, '=')))), '.', -1) AS name FROM q")
 def equality_operands(t: Tables) -> DataFrame:
     return _texts(t).select("c_custkey", F.explode(T.equality_operands(F.col("sql"))).alias("name"))
 
 
-@query(f"WITH q AS (SELECT c_custkey, {_TEXT} AS sql FROM customer), m AS (SELECT c_custkey, unnest(regexp_extract_all(sql, '(?i)\\b(?:from|join)\\s+(\"[^\"]+\"|\\[[^\\]]+\\]|(?:\\w+\\s*\\.\\s*)?\\w+)', 1)) AS name FROM q) SELECT DISTINCT c_custkey, regexp_replace(trim(name, '\"[]'), '^\\w+\\s*\\.\\s*', '') AS name FROM m")
+@query(f"WITH q AS (SELECT c_custkey, {_TEXT} AS sql FROM customer) SELECT DISTINCT c_custkey, unnest({_HEADS}) AS name FROM q")
 def source_tables(t: Tables) -> DataFrame:
     return _texts(t).select("c_custkey", F.explode(T.source_tables(F.col("sql"))).alias("name"))
 
@@ -121,11 +126,11 @@ def asset_names(t: Tables) -> DataFrame:
 
 @query(
     """WITH p AS (SELECT page_id, html, list_distinct(regexp_extract_all(html, 'href="(/[^"]+)"', 1)) AS links FROM pages),
-m AS (SELECT page_id, html, list_sort(links)[1:3] AS links FROM p)
+m AS (SELECT page_id, html, list_sort(links) AS links FROM p)
 SELECT page_id, list_reduce(list_prepend(html, links), lambda d, x: replace(d, x, repeat('../', CAST(page_id % 3 AS INT)) || 'resources' || x)) AS html FROM m"""
 )
 def rewrite_assets(t: Tables) -> DataFrame:
-    links = F.slice(F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit('href="(/[^"]+)"'), F.lit(1)))), 1, 3)
+    links = F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit('href="(/[^"]+)"'), F.lit(1))))
     mapping = F.transform(links, lambda x: F.struct(x.alias("original"), F.concat(F.lit("resources"), x).alias("name")))
     return t.pages.select("page_id", T.rewrite_assets(F.col("html"), mapping, (F.col("page_id") % 3).cast("int")).alias("html"))
 
@@ -136,7 +141,7 @@ def stratum_names(t: Tables) -> DataFrame:
     return strata.named(rows, "concat(c_mktsegment, ': ', c_name, '.')").select("stratum_id", "raw_name", "name")
 
 
-@query("SELECT c_custkey AS stratum_id, c_mktsegment || CASE WHEN c_custkey % 10 = 0 THEN '//' ELSE '/' END || c_name AS package_rel, 'n' || c_nationkey AS bundle_rel, CASE WHEN c_custkey % 10 = 0 THEN 'empty or relative marker' END AS path_error FROM customer")
+@query("SELECT c_custkey AS stratum_id, c_mktsegment || CASE WHEN c_custkey % 10 = 0 THEN '//' ELSE '/' END || c_name AS package_rel, 'n' || c_nationkey AS bundle_rel, CASE WHEN c_custkey % 10 = 0 THEN 'is empty or a dot step' END AS path_error FROM customer")
 def package_paths(t: Tables) -> DataFrame:
     rows = strata.named(strata.snapshot(t.customer, "c_custkey", ["c_mktsegment", "c_name", "c_custkey", "c_nationkey"]), "c_name")
     rows = strata.with_paths(rows, "concat(c_mktsegment, if(c_custkey % 10 = 0, '//', '/'), name)", "concat('n', c_nationkey)")
