@@ -1,118 +1,244 @@
 """Key networks: hand-known answers."""
 
+import random
+
 import pytest
 
+from pyspark.sql import functions as F
+
+from zonepack.operators import graph, reports, strata
 from zonepack.operators import membership as M
-from zonepack.operators import reports, strata
 from zonepack.plans.catalog import Catalog, PlanError
-from zonepack.plans.packager import Packager
+from zonepack.plans.packager import Packager, RunFailed, read_manifest, read_table
 
 
 @pytest.fixture
 def catalog(spark):
+    """Orchards have rows of trees (by plot and year, both must fit), trees have pickings."""
     c = Catalog(spark)
-    c.add("states", spark.createDataFrame([(1, "A", "X"), (2, "B", "X")], "sid long, code string, country string"), "sid")
-    c.add("cities", spark.createDataFrame([(1, "A", "X"), (2, "A", "X"), (3, "B", "X"), (4, "A", "Y"), (5, None, "X")], "cid long, state_code string, state_country string"), "cid")
-    c.add("districts", spark.createDataFrame([(10, 1), (11, 2), (12, 3), (13, 99)], "did long, city_id long"), "did")
-    c.relate("r_cities_states", "cities", "states", [("state_code", "code"), ("state_country", "country")])
-    c.relate("r_districts_cities", "districts", "cities", [("city_id", "cid")])
+    c.add("orchards", spark.createDataFrame([(70, "hill", 2001), (71, "lake", 2001), (72, "hill", 2002)], "oid long, plot string, year int"), "oid")
+    trees = [(1, "hill", 2001), (2, "lake", 2001), (3, "hill", 2001), (4, "hill", 2002), (5, "lake", None), (6, None, None), (7, "moor", 2001)]
+    c.add("trees", spark.createDataFrame(trees, "tid long, in_plot string, planted int"), "tid")
+    c.add("pickings", spark.createDataFrame([(501, 1), (502, 1), (503, 3), (504, 4), (505, 7), (506, None)], "pid long, tree long"), "pid")
+    c.relate("tree_of_orchard", "trees", "orchards", [("in_plot", "plot"), ("planted", "year")])
+    c.relate("picking_of_tree", "pickings", "trees", [("tree", "tid")])
     return c
 
 
 def members(catalog, layer, spark, **options):
-    found = Packager(spark, catalog, "states", layers=[layer], name_expr="code", **options).membership(layer)
+    found = Packager(spark, catalog, "orchards", layers=[layer], **options).membership(layer)
     return sorted((r[0], r[1]) for r in found.collect())
 
 
-def test_composite_key_and_nulls(spark, catalog):
-    assert members(catalog, "cities", spark) == [(1, 1), (1, 2), (2, 3)]
+def test_all_fields_of_a_key_must_fit_and_none_be_null(spark, catalog):
+    assert members(catalog, "trees", spark) == [(70, 1), (70, 3), (71, 2), (72, 4)]
 
 
-def test_two_hops(spark, catalog):
-    assert members(catalog, "districts", spark) == [(1, 10), (1, 11), (2, 12)]
+def test_chain_of_two(spark, catalog):
+    assert members(catalog, "pickings", spark) == [(70, 501), (70, 502), (70, 503), (72, 504)]
 
 
-def test_hop_keeps_its_own_filter(spark, catalog):
-    assert members(catalog.with_layer("cities", subset="cid != 2"), "districts", spark) == [(1, 10), (2, 12)]
+def test_filter_of_the_table_in_between(spark, catalog):
+    assert members(catalog.with_layer("trees", subset="tid <> 1"), "pickings", spark) == [(70, 503), (72, 504)]
 
 
-def test_self(spark, catalog):
-    assert members(catalog, "states", spark) == [(1, 1), (2, 2)]
+def test_strata_layer_itself(spark, catalog):
+    assert members(catalog, "orchards", spark) == [(70, 70), (71, 71), (72, 72)]
 
 
-def test_null_stratum_key_matches_nothing(spark, catalog):
-    nulls = catalog.with_layer("states", source=spark.createDataFrame([(1, None, "X")], "sid long, code string, country string"))
-    assert members(nulls, "cities", spark) == []
+def test_stratum_with_a_null_in_its_key_gets_nothing(spark, catalog):
+    nulls = catalog.with_layer("orchards", source=spark.createDataFrame([(73, "hill", None), (74, None, 2001)], "oid long, plot string, year int"))
+    assert members(nulls, "trees", spark) == []
 
 
-def test_parallel_relation_needs_a_pin(spark, catalog):
-    catalog.relate("r_cities_states_alt", "cities", "states", [("state_code", "code"), ("state_country", "country")])
+def test_two_relations_between_the_same_tables_need_a_choice(spark, catalog):
+    catalog.relate("grafted_on", "trees", "orchards", [("in_plot", "plot")])
     with pytest.raises(PlanError, match="relation_path"):
-        catalog.plan("states", ["cities"])
-    assert catalog.with_layer("cities", relation_path='["r_cities_states_alt"]').plan("states", ["cities"])[0].relation_ids == ("r_cities_states_alt",)
+        catalog.plan("orchards", ["trees"])
+    chosen = catalog.with_layer("trees", relation_path='["grafted_on"]')
+    assert chosen.plan("orchards", ["trees"])[0].relation_ids == ("grafted_on",)
+    assert members(chosen, "trees", spark) == [(70, 1), (70, 3), (70, 4), (71, 2), (71, 5), (72, 1), (72, 3), (72, 4)]
 
 
-@pytest.mark.parametrize("pin", ["not json", '{"a": 1}', '["nope"]', "[]"])
-def test_bad_pins(catalog, pin):
+@pytest.mark.parametrize("pin", ["{", "7", '["picking_of_tree"]', '["of nothing"]', "[]"])
+def test_refused_choices(catalog, pin):
     with pytest.raises(PlanError):
-        catalog.with_layer("cities", relation_path=pin).plan("states", ["cities"])
+        catalog.with_layer("trees", relation_path=pin).plan("orchards", ["trees"])
 
 
 def test_errors_come_together(catalog):
-    bad = catalog.with_layer("cities", matching_method="sideways").with_layer("districts", relation_path="x")
-    with pytest.raises(PlanError, match="cities.*districts"):
-        bad.plan("states", ["cities", "districts"])
+    bad = catalog.with_layer("trees", matching_method="by smell").with_layer("pickings", relation_path="{")
+    with pytest.raises(PlanError, match="trees.*pickings"):
+        bad.plan("orchards", ["trees", "pickings"])
 
 
 def test_membership_does_not_depend_on_partitions_or_broadcast(spark, catalog):
-    expected = members(catalog, "districts", spark)
+    expected = members(catalog, "pickings", spark)
     for key, value in (("spark.sql.shuffle.partitions", "1"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
         old = spark.conf.get(key)
         spark.conf.set(key, value)
         try:
-            assert members(catalog, "districts", spark) == expected
+            assert members(catalog, "pickings", spark) == expected
         finally:
             spark.conf.set(key, old)
 
 
 def test_matched_and_orphans_add_up(spark, catalog):
-    cities = catalog.layers["cities"].source
-    found = Packager(spark, catalog, "states", layers=["cities"]).membership("cities")
-    assert M.matched(found).count() + M.orphans(cities, found, ["cid"]).count() == cities.count()
+    trees = catalog.layers["trees"].source
+    found = Packager(spark, catalog, "orchards", layers=["trees"]).membership("trees")
+    assert M.matched(found).count() + M.orphans(trees, found, ["tid"]).count() == trees.count()
 
 
 def test_shared_prefix_is_built_once(spark, catalog):
-    p = Packager(spark, catalog, "states", layers=["districts"])
-    first = p.membership("districts").collect()
+    p = Packager(spark, catalog, "orchards", layers=["pickings"])
+    first = p.membership("pickings").collect()
     built = p.memo.built
-    assert sorted(p.membership("districts").collect()) == sorted(first)
+    assert sorted(p.membership("pickings").collect()) == sorted(first)
     assert p.memo.built == built
 
 
-def test_package_run(spark, tmp_path):
+BOX = "minx double, miny double, maxx double, maxy double"
+
+
+@pytest.fixture
+def farm(spark, catalog):
+    """Orchards with a box each, ponds by place, tools for all; hill orchards share a bundle."""
+    places = [(70, "hill", 2001, 0.0, 0.0, 8.0, 8.0), (71, "lake", 2001, 50.0, 0.0, 58.0, 8.0), (72, "hill", 2002, 0.0, 50.0, 8.0, 58.0)]
+    c = catalog.with_layer("orchards", source=spark.createDataFrame(places, f"oid long, plot string, year int, {BOX}"), geometry="polygon")
+    c.add("ponds", spark.createDataFrame([(1, 1.0, 1.0, 2.0, 2.0), (2, 51.0, 1.0, 52.0, 2.0), (3, 300.0, 1.0, 301.0, 2.0)], f"pond int, {BOX}"), "pond", geometry="polygon")
+    return c.add("tools", spark.createDataFrame([("axe",), ("saw",)], "tool string"), "tool", matching_method="whole_export")
+
+
+def run(spark, farm, out, layers=("trees", "ponds", "tools"), **options):
+    p = Packager(spark, farm, "orchards", layers=list(layers), name_expr="concat(plot, year)", package_expr="concat(plot, '/', name)", bundle_expr="plot", **options)
+    return sorted(((r.stratum, r.layer, r.feature_count, r.status) for r in p.package(str(out), fail_at_end=False).collect()), key=str)
+
+
+def test_package_run(spark, farm, tmp_path):
+    assert run(spark, farm, tmp_path / "out") == sorted([
+        ("hill2001", "trees", 2, "ok"), ("lake2001", "trees", 1, "ok"), ("hill2002", "trees", 1, "ok"), ("<unmatched>", "trees", 3, "ok"),
+        ("hill2001", "ponds", 1, "ok"), ("lake2001", "ponds", 1, "ok"), ("hill2002", "ponds", 0, "empty-skipped"), ("<unmatched>", "ponds", 1, "ok"),
+        ("hill2001", "tools", 2, "ok"), ("lake2001", "tools", 2, "ok"), ("hill2002", "tools", 2, "ok"),
+    ], key=str)
+    assert read_table(spark, str(tmp_path / "out"), "trees").where("stratum_id = 70").count() == 2 and read_table(spark, str(tmp_path / "out"), "tools").count() == 2
+    manifest = read_manifest(spark, str(tmp_path / "out"))
+    assert manifest.count() == 9 and manifest.where("shared").select("table").distinct().collect() == [("tools",)]
+
+
+def test_bundles_that_exist(spark, farm, tmp_path):
+    out = tmp_path / "out"
+    run(spark, farm.with_layer("orchards", subset="plot = 'lake'"), out, ["trees"])
+    with pytest.raises(FileExistsError, match="lake"):
+        run(spark, farm, out, ["trees"])
+    less = farm.with_layer("trees", subset="tid > 3")
+    assert run(spark, less, out, ["trees"], overwrite_mode="skip-existing") == sorted([("hill2001", "trees", 0, "empty-skipped"), ("hill2002", "trees", 1, "ok"), ("lake2001", "trees", None, "skipped-existing"), ("<unmatched>", "trees", 3, "ok")], key=str)
+    assert sorted((r.stratum_id, r.tid) for r in read_table(spark, str(out), "trees").collect()) == [(71, 2), (72, 4)]
+    run(spark, farm, out, ["trees"], overwrite_mode="overwrite")
+    assert sorted((r.stratum_id, r.tid) for r in read_table(spark, str(out), "trees").collect()) == [(70, 1), (70, 3), (71, 2), (72, 4)]
+
+
+def test_partial_cache_gives_what_a_cold_run_gives(spark, farm, tmp_path):
+    from zonepack.sources import packages as P
+
+    warm = farm.with_layer("trees", warm=True)
+    cold = Packager(spark, farm, "orchards", layers=["trees"]).slices("trees")
+    P.write_partitioned(cold.where("stratum_id = 70"), str(tmp_path / "cache/trees"))
+    found = run(spark, warm, tmp_path / "out", ["trees"], warm_dir=str(tmp_path / "cache"), warm_mode="use")
+    assert found == sorted([("hill2001", "trees", 2, "warm"), ("lake2001", "trees", 1, "cold-fallback"), ("hill2002", "trees", 1, "cold-fallback")], key=str)
+    assert sorted(map(tuple, read_table(spark, str(tmp_path / "out"), "trees").select(cold.columns).collect())) == sorted(map(tuple, cold.collect()))
+    P.write_partitioned(cold, str(tmp_path / "cache/weeds"))  # a table that is not marked warm
+    found = run(spark, warm, tmp_path / "out2", ["trees"], warm_dir=str(tmp_path / "cache"), warm_mode="use")
+    assert {s for *_, s in found} == {"cold-fallback"}
+    found = run(spark, warm, tmp_path / "out3", ["trees"], warm_dir=str(tmp_path / "cache2"), warm_mode="update")
+    assert {s for n, *_, s in found if n != "<unmatched>"} == {"warm"}
+
+
+def test_keys_that_look_like_numbers_stay_text(spark, tmp_path):
+    c = Catalog(spark).add("zones", spark.createDataFrame([("01",), ("1",)], "z string"), "z").add("rows", spark.createDataFrame([(1, "01"), (2, "1"), (3, "01")], "i int, zone string"), "i", warm=True)
+    c.relate("r", "rows", "zones", [("zone", "z")])
+    for out in ("a", "b"):
+        Packager(spark, c, "zones", warm_dir=str(tmp_path / "cache"), warm_mode="update" if out == "a" else "use").package(str(tmp_path / out))
+        assert sorted((r.stratum_id, r.i) for r in read_table(spark, str(tmp_path / out), "rows").collect()) == [("01", 1), ("01", 3), ("1", 2)]
+
+
+def test_full_package_is_a_member(spark, farm, tmp_path):
+    found = run(spark, farm, tmp_path / "out", ["trees", "tools"], full_package=True, full_path="all/everything")
+    assert ("<full>", "trees", 7, "ok") in found and ("<full>", "tools", 2, "ok") in found
+    full = read_manifest(spark, str(tmp_path / "out")).where("name = '<full>'")
+    assert {(r.package_rel, r.bundle_rel, r.stratum_id) for r in full.collect()} == {("all/everything", "everything", None)}
+    with pytest.raises(PlanError):
+        run(spark, farm, tmp_path / "out2", ["trees"], full_package=True, full_path="../up")
+
+
+def test_failures_are_contained(spark, farm, tmp_path):
+    found = run(spark, farm, tmp_path / "out", ["trees"], display_expr="CASE WHEN stratum_name <> 'lake2001' THEN layer_name END")
+    assert found == sorted([("hill2001", "trees", 2, "ok"), ("hill2002", "trees", 1, "ok"), ("lake2001", "trees", None, "failed"), ("<unmatched>", "trees", 4, "ok")], key=str)
+    assert {r.bundle_rel for r in read_manifest(spark, str(tmp_path / "out")).collect()} == {"hill"}
+    broken = farm.with_layer("ponds", source=farm.layers["ponds"].source.withColumn("depth", F.expr("raise_error('no water')")))
+    with pytest.raises(RunFailed, match="ponds"):
+        Packager(spark, broken, "orchards", layers=["ponds"]).package(str(tmp_path / "out2"))
+
+
+def test_a_run_without_strata_is_refused(spark, farm, tmp_path):
+    nothing = spark.createDataFrame([], "oid long")
+    with pytest.raises(PlanError, match="selected"):
+        run(spark, farm, tmp_path / "out", ["trees"], selection=nothing)
+    with pytest.raises(PlanError, match="no strata"):
+        run(spark, farm.with_layer("orchards", subset="false"), tmp_path / "out", ["trees"])
+
+
+EDGE = "array<struct<x1: double, y1: double, x2: double, y2: double>>"
+
+
+def ring(*points):
+    return [(*map(float, a), *map(float, b)) for a, b in zip(points, points[1:] + points[:1])]
+
+
+def placed(spark, features, strata, feature, stratum, **flags):
+    """Pairs of a spatial match; features and strata as (id, edges) or (id, box)."""
+    def layer(rows):
+        out = []
+        for i, shape in rows:
+            edges = shape if isinstance(shape, list) else None
+            xs, ys = ([e[k] for e in edges for k in ks] for ks in ((0, 2), (1, 3))) if edges else ((shape[0], shape[2]), (shape[1], shape[3]))
+            out.append((i, *map(float, (min(xs), min(ys), max(xs), max(ys))), edges))
+        return spark.createDataFrame(out, f"id long, {BOX}, shape {EDGE}")
+
     c = Catalog(spark)
-    box = "minx double, miny double, maxx double, maxy double"
-    c.add("states", spark.createDataFrame([(1, "A", 0.0, 0.0, 10.0, 10.0), (2, "B", 20.0, 0.0, 30.0, 10.0)], f"sid long, code string, {box}"), "sid", geometry="polygon")
-    c.add("cities", spark.createDataFrame([(1, "A"), (2, "A"), (3, "B"), (4, "Z")], "cid long, state_code string"), "cid")
-    plots = [(0, 2.0, 2.0, 4.0, 4.0), (1, 22.0, 2.0, 24.0, 4.0), (2, 80.0, 2.0, 82.0, 4.0)]
-    c.add("plots", spark.createDataFrame(plots, f"tag long, {box}"), "tag", geometry="polygon")
-    c.add("roads", spark.createDataFrame([(10,), (11,)], "rid long"), "rid", matching_method="whole_export")
-    c.relate("r", "cities", "states", [("state_code", "code")])
-    p = Packager(spark, c, "states", name_expr="code")
-    report = {(r.stratum, r.layer): (r.feature_count, r.status) for r in p.package(str(tmp_path / "out")).collect()}
-    assert report == {
-        ("A", "cities"): (2, "ok"), ("B", "cities"): (1, "ok"), ("A", "plots"): (1, "ok"), ("B", "plots"): (1, "ok"), ("A", "roads"): (2, "ok"), ("B", "roads"): (2, "ok"),
-        ("<unmatched>", "cities"): (1, "ok"), ("<unmatched>", "plots"): (1, "ok"),
-    }
-    assert spark.read.parquet(str(tmp_path / "out/current/cities")).where("stratum_id = 1").count() == 2
-    with pytest.raises(FileExistsError):
-        Packager(spark, c, "states", name_expr="code").package(str(tmp_path / "out"))
-    assert {r.status for r in Packager(spark, c, "states", name_expr="code", overwrite_mode="skip-existing").package(str(tmp_path / "out")).collect()} == {"skipped-existing"}
+    for name, rows, kind in (("s", strata, stratum), ("f", features, feature)):
+        c.add(name, layer(rows), "id", geometry=kind, shape="shape" if isinstance(rows[0][1], list) else None, **{k[2:]: v for k, v in flags.items() if k[0] == name})
+    return sorted(map(tuple, Packager(spark, c, "s", layers=["f"]).membership("f").collect()))
+
+
+def test_spatial_match_uses_the_shapes(spark):
+    triangle = ring((0, 0), (10, 0), (0, 10))
+    points = [(1, (1, 1, 1, 1)), (2, (9, 9, 9, 9)), (3, (5, 5, 5, 5)), (4, (5, 0, 5, 0))]
+    assert placed(spark, points, [(7, triangle)], "point", "polygon") == [(7, 1), (7, 3), (7, 4)]
+    assert placed(spark, points, [(7, triangle)], "point", "polygon", f_spatial_predicate="within") == [(7, 1)]
+    boxes = [(1, (1, 1, 2, 2)), (2, (8, 8, 9, 9)), (3, (4, 4, 7, 7)), (4, (10, 0, 12, 2))]
+    assert placed(spark, boxes, [(7, triangle)], "polygon", "polygon") == [(7, 1), (7, 3)]
+    assert placed(spark, boxes, [(7, triangle)], "polygon", "polygon", f_spatial_predicate="touches") == [(7, 4)]
+    lines = [(1, ring((1, 1), (2, 2))[:1]), (2, ring((9, 9), (6, 9))[:1]), (3, ring((0, 12), (12, 0))[:1]), (4, ring((-1, 5), (20, 5))[:1])]
+    assert placed(spark, lines, [(7, triangle)], "line", "polygon") == [(7, 1), (7, 4)]
+    assert placed(spark, lines, [(7, triangle)], "line", "polygon", f_spatial_predicate="crosses") == [(7, 4)]
+    assert placed(spark, [(1, triangle)], [(7, (9, 9, 9, 9)), (8, (1, 1, 1, 1))], "polygon", "point") == [(8, 1)]
+    assert placed(spark, [(1, (2, 2, 2, 2)), (2, (2, 3, 2, 3))], [(7, ring((0, 0), (4, 4))[:1])], "point", "line") == [(7, 1)]
+
+
+def test_strata_go_to_the_layers_coordinate_system(spark):
+    import math
+
+    x, y = math.radians(2) * 6378137, math.log(math.tan(math.pi / 4 + math.radians(2) / 2)) * 6378137
+    points = [(1, (x, y, x, y)), (2, (x * 4, y * 4, x * 4, y * 4))]
+    triangle = ring((0, 0), (10, 0), (0, 10))
+    assert placed(spark, points, [(7, triangle)], "point", "polygon", s_srid=4326, f_srid=3857) == [(7, 1)]
+    with pytest.raises(PlanError, match="2056"):
+        placed(spark, points, [(7, triangle)], "point", "polygon", s_srid=4326, f_srid=2056)
 
 
 def test_excluding_every_field_is_an_error(spark, catalog):
     with pytest.raises(ValueError, match="excluded"):
-        Packager(spark, catalog.with_layer("districts", excluded_fields=("did", "city_id")), "states", layers=["districts"]).slices("districts").collect()
+        Packager(spark, catalog.with_layer("pickings", excluded_fields=("pid", "tree")), "orchards", layers=["pickings"]).slices("pickings").collect()
 
 
 def test_names_that_collide_are_refused(spark):
@@ -130,14 +256,41 @@ def test_failed_stratum_comes_first(spark):
     assert sorted((r.stratum, r.feature_count, r.status, r.detail) for r in out.collect()) == [("A", None, "failed", "boom"), ("B", 2, "cold-fallback", "cold"), ("C", 0, "empty-skipped", "")]
 
 
-def test_dedupe_names_is_the_sequential_rule(spark):
-    names = ["a", "A", "a_2", "a", "b", "a_2", "c_2", "c", "c", "b", "a_2_2"]
-    taken, expected = set(), []
+def one_by_one(names):
+    taken, out = set(), []
     for n in names:
         k, new = 2, n
-        while new.lower() in taken:
+        while new.casefold() in taken:
             new, k = f"{n}_{k}", k + 1
-        taken.add(new.lower())
-        expected.append(new)
+        taken.add(new.casefold())
+        out.append(new)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_dedupe_names_is_the_sequential_rule(spark, seed):
+    pick = random.Random(seed)
+    names = ["a", "A", "a_2", "a", "b", "a_2", "c_2", "c", "c", "b", "a_2_2"] if not seed else [pick.choice("xX") + pick.choice(["", "", "", "_2", "_3", "_4", "_02", "_1", "_2_2", "_2_3", "_3_2", "_9"]) for _ in range(60)]
     found = strata.dedupe_names(spark.createDataFrame(list(enumerate(names)), "i long, n string"), "i", "n")
-    assert [r[1] for r in sorted(found.collect())] == expected
+    assert [r[1] for r in sorted(found.collect())] == one_by_one(names)
+
+
+def test_dedupe_names_without_rows_or_names(spark):
+    found = strata.dedupe_names(spark.createDataFrame([(1, None), (2, "ſtraße"), (3, "STRASSE"), (4, "stras\nse_2")], "i long, n string"), "i", "n")
+    assert sorted(map(tuple, found.collect())) == [(1, None), (2, "ſtraße"), (3, "STRASSE_2"), (4, "stras\nse_2")]
+    assert strata.dedupe_names(spark.createDataFrame([], "i long, n string"), "i", "n").collect() == []
+
+
+def test_long_chains_are_followed_to_the_end(spark):
+    rows = [(f"e{i}", f"n{i}", f"n{i + 1}", True, "normal") for i in range(40)] + [("twin", "n0", "n1", True, "normal")]
+    steps = graph.hops(spark.createDataFrame(rows, "relation_id string, child string, parent string, valid boolean, kind string"))
+    found = {r.node: (r.hops, r.paths) for r in graph.shortest_paths(steps, "n0").collect()}
+    assert found == {f"n{i}": (i, 2 if i else 1) for i in range(41)}
+    short = graph.hops(spark.createDataFrame(rows[:3] + rows[-1:], "relation_id string, child string, parent string, valid boolean, kind string"))
+    assert {r.node: r.paths for r in graph.ambiguous(graph.listed_paths(short, "n0")).collect()} == {"n1": "e0; twin", "n2": "e0 > e1; twin > e1", "n3": "e0 > e1 > e2; twin > e1 > e2"}
+
+
+def test_listed_paths_are_the_first_by_text(spark):
+    rows = [(f"r{i}", "a", "b", True, "normal") for i in range(30)]
+    steps = graph.hops(spark.createDataFrame(rows, "relation_id string, child string, parent string, valid boolean, kind string"))
+    assert {r.node: r.paths for r in graph.listed_paths(steps, "a").collect()} == {"a": [[]], "b": [[x] for x in sorted(f"r{i}" for i in range(30))[:16]]}

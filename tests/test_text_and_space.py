@@ -20,7 +20,7 @@ def apply(spark, values, f):
 
 
 def test_sanitize_filename(spark):
-    vectors = {"a/b\\c": "abc", "CON": "_CON", "con.txt": "_con.txt", "...": "_", "<full>": "full", " a \t b ": "a b", "": "_", "x. .": "x", "lpt1": "_lpt1", "São": "São", "y" * 300: "y" * 255, "CON .txt": "_CON .txt"}
+    vectors = {"north|south": "northsouth", "NUL": "_NUL", "aux.tar.gz": "_aux.tar.gz", " . .": "_", "a<b>c": "abc", "\tone\n two ": "one two", "": "_", "end. .": "end", "Com3": "_Com3", "Łódź": "Łódź", "q" * 260: "q" * 255, "PRN .x": "_PRN .x"}
     once = apply(spark, list(vectors), T.sanitize_filename)
     assert once == list(vectors.values())
     assert apply(spark, once, T.sanitize_filename) == once
@@ -35,9 +35,9 @@ def test_sanitize_is_idempotent_and_never_empty(spark):
 
 
 def test_paths(spark):
-    bad = ["../escape", "C:/abs", "a//b", "CON", "", "  ", "/x", "\\\\host\\x", "a/b.", "a/ b"]
+    bad = ["up/../down", "D:\\here", "one//two", "nul/x", "", "\t ", "\\root", "\\\\server\\share", "one./two", "one/ two", "one/", "q?"]
     assert all(apply(spark, bad, T.path_error))
-    assert apply(spark, ["a/b", "a\\b", "north/data"], T.path_error) == [None] * 3
+    assert apply(spark, ["one/two", "one\\two\\three", "plot 7"], T.path_error) == [None] * 3
 
 
 def test_strip_accents(spark):
@@ -156,9 +156,25 @@ def test_checksum_lines(spark, tmp_path):
 
 
 def test_publish_replaces_as_a_whole(spark, tmp_path):
-    for text in ("old", "new"):
+    final, seen = str(tmp_path / "final"), []
+    assert P.current(spark, final) is None
+    for text in ("first", "second", "third"):
         built = tmp_path / f"built_{text}"
         built.mkdir()
         (built / "x").write_text(text)
-        P.publish(spark, str(built), str(tmp_path / "final"))
-    assert (tmp_path / "final/x").read_text() == "new" and (tmp_path / "final/_PUBLISHED").exists() and not (tmp_path / "final.old").exists()
+        seen.append(P.publish(spark, str(built), final))
+        assert P.current(spark, final) == seen[-1] and open(f"{seen[-1]}/x").read() == text
+    assert [P.exists(spark, v) for v in seen] == [False, True, True]  # readers of the one before go on
+
+
+def test_payload_members(spark, tmp_path):
+    for name in ("map.tif", "map.tfw", "map.tif.aux.xml", "maps.tif", "grid/a.bin", "grid/b/c.bin"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    assert [r.arcname for r in scans.payload_members(spark, str(tmp_path / "map.tif"), "data/t").collect()] == ["data/t/map.tfw", "data/t/map.tif", "data/t/map.tif.aux.xml"]
+    assert [tuple(r) for r in scans.payload_members(spark, str(tmp_path / "grid"), "data/t").collect()] == [("data/t/grid/a.bin", 10), ("data/t/grid/b/c.bin", 12)]
+
+
+def test_fold_is_full_case_folding(spark):
+    texts = ["Straße", "ſo", "ΣΑΣ", "σας", "ﬁn", "ẞ", "İ", "ΐ", "Ꭰꭰ", "plain"]
+    assert apply(spark, texts, T.fold) == [t.casefold() for t in texts]

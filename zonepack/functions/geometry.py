@@ -139,12 +139,36 @@ def to_degrees(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(x / EARTH), F.degrees(2 * F.atan(F.exp(y / EARTH)) - math.pi / 2)
 
 
+TRANSFORMATIONS = {(4326, 3857): to_mercator, (3857, 4326): to_degrees}
+
+
 def reproject(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
     """Coordinates in another system; unchanged if it is the same one."""
     if source == target:
         return x, y
-    if (source, target) == (4326, 3857):
-        return to_mercator(x, y)
-    if (source, target) == (3857, 4326):
-        return to_degrees(x, y)
-    raise ValueError(f"no transformation from EPSG:{source} to EPSG:{target}")
+    if (source, target) not in TRANSFORMATIONS:
+        raise ValueError(f"no transformation from EPSG:{source} to EPSG:{target}")
+    return TRANSFORMATIONS[source, target](x, y)
+
+
+def reproject_edges(edges: Column, source: int, target: int) -> Column:
+    """Edges with both ends in another system."""
+
+    def moved(e: Column) -> Column:
+        (x1, y1), (x2, y2) = (reproject(e[f"x{i}"], e[f"y{i}"], source, target) for i in (1, 2))
+        return F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+
+    return F.transform(edges, moved)
+
+
+def box_edges(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """A box as a ring of edges."""
+    corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    return ring_edges(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners]))
+
+
+def point_line_matrix(x: Column, y: Column, edges: Column) -> Column:
+    """Matrix of a point and a line, whose ends are its boundary."""
+    first, last = F.element_at(edges, 1), F.element_at(edges, -1)
+    end = (x == first["x1"]) & (y == first["y1"]) | (x == last["x2"]) & (y == last["y2"])
+    return F.when(end, "F0FFFF102").when(on_edge(x, y, edges), "0FFFFF102").otherwise("FF0FFF102")

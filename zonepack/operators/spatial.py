@@ -18,30 +18,31 @@ def _level(box: Box, side: float) -> Column:
     return F.when(extent > 1, F.least(F.ceil(F.log2(extent)), F.lit(MOST_LEVELS))).otherwise(0).cast("int")
 
 
-def _filed(df: DataFrame, box: Box, side: float, name: str, levels: list[int]) -> DataFrame:
+def _levels(df: DataFrame, box: Box, side: float) -> DataFrame:
+    """One row: the grid levels that occur, at most ``MOST_LEVELS`` and one."""
+    return df.agg(F.collect_set(_level(box, side)).alias("levels"))
+
+
+def _filed(df: DataFrame, box: Box, side: float, name: str, levels: DataFrame) -> DataFrame:
     """A row for each cell of a geometry's own level, and of coarser ones that the other side uses."""
     own = f"{name}_level"
-    df = df.withColumn(own, _level(box, side))
-    df = df.withColumn("level", F.explode(F.array_distinct(F.concat(F.array(own), F.filter(F.lit(levels).cast("array<int>"), lambda n: n > F.col(own))))))
+    df = df.withColumn(own, _level(box, side)).join(F.broadcast(levels), how="cross")
+    df = df.withColumn("level", F.explode(F.array_distinct(F.concat(F.array(own), F.filter("levels", lambda n: n > F.col(own)))))).drop("levels")
     span = F.pow(F.lit(2.0), F.col("level")) * side
     cells = [F.sequence(F.floor(F.col(lo) / span), F.floor(F.col(hi) / span)) for lo, hi in ((box[0], box[2]), (box[1], box[3]))]
     return df.withColumn("cell_x", F.explode(cells[0])).withColumn("cell_y", F.explode(cells[1]))
 
 
-def levels_of(df: DataFrame, box: Box, side: float) -> list[int]:
-    """Grid levels that occur: at most ``MOST_LEVELS`` numbers."""
-    return sorted(r[0] for r in df.where(F.col(box[0]).isNotNull()).select(_level(box, side)).distinct().collect())
-
-
 def bbox_join(features: DataFrame, f_box: Box, strata: DataFrame, s_box: Box, side: float) -> DataFrame:
     """Pairs of rows whose closed boxes meet, each once. Rows with a null box are left out.
 
     An equi-join on (level, cell): of the cells that two boxes share, the one that holds the lower left
-    corner of their intersection counts, so no duplicates have to be removed.
+    corner of their intersection counts, so no duplicates have to be removed. Which levels the other side
+    uses is part of the same plan, one row of a few numbers.
     """
     features, strata = features.dropna(subset=list(f_box)), strata.dropna(subset=list(s_box))
-    left = _filed(features, f_box, side, "f", levels_of(strata, s_box, side))
-    right = _filed(strata, s_box, side, "s", levels_of(features, f_box, side))
+    left = _filed(features, f_box, side, "f", _levels(strata, s_box, side))
+    right = _filed(strata, s_box, side, "s", _levels(features, f_box, side))
     span = F.pow(F.lit(2.0), F.col("level")) * side
     meet = left.join(right, ["level", "cell_x", "cell_y"]).where(
         (F.col(f_box[0]) <= F.col(s_box[2]))
@@ -125,3 +126,40 @@ def polygon_relate(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFra
         cell(c("b_out") | c("a_in") | ~c("b_in_a"), "2"), cell(c("b_out"), "1"), F.lit("2"),
     )
     return of_a.join(of_b, keys).join(points, keys).select(*keys, matrix.alias("matrix"))
+
+
+def exact(pairs: DataFrame, keys: list[str], feature: str, stratum: str, f_box: Box, s_box: Box, f_shape: str | None = None, s_shape: str | None = None) -> DataFrame:
+    """(keys, matrix, dim_a, dim_b) of candidate pairs, by the classes of feature and stratum (point, line or
+    polygon). A line's shape is an array of edges in order. Without a shape a geometry is its box; beside one that
+    has a shape, a line without is the segment between the corners of its box."""
+    dims = {"point": 0, "line": 1, "polygon": 2}
+    if not f_shape and not s_shape:
+        found = G.with_box_matrix(pairs, f_box, s_box)
+        return found.select(*keys, "matrix", G.box_dimension(*f_box).alias("dim_a"), G.box_dimension(*s_box).alias("dim_b"))
+
+    def edges(kind: str, shape: str | None, box: Box) -> Column:
+        if shape:
+            return F.col(shape)
+        return F.array(F.struct(*[F.col(c).alias(n) for c, n in zip(box, ("x1", "y1", "x2", "y2"))])) if kind == "line" else G.box_edges(*map(F.col, box))
+
+    sides = (("a", feature, f_shape, f_box), ("b", stratum, s_shape, s_box))
+    rows = pairs.select(*keys, *[F.col(box[i]).alias(f"{n}_{xy}") for n, _, _, box in sides for i, xy in enumerate("xy")], *[edges(*side).alias(n) for n, *side in sides])
+    a_point, b_point = (F.col("a_x"), F.col("a_y")), (F.col("b_x"), F.col("b_y"))
+    kinds = (feature, stratum)
+    if kinds == ("point", "polygon"):
+        found = rows.select(*keys, G.point_matrix(*a_point, F.col("b")).alias("matrix"))
+    elif kinds == ("polygon", "point"):
+        found = rows.select(*keys, G.transpose(G.point_matrix(*b_point, F.col("a"))).alias("matrix"))
+    elif kinds == ("point", "line"):
+        found = rows.select(*keys, G.point_line_matrix(*a_point, F.col("b")).alias("matrix"))
+    elif kinds == ("line", "point"):
+        found = rows.select(*keys, G.transpose(G.point_line_matrix(*b_point, F.col("a"))).alias("matrix"))
+    elif kinds == ("line", "polygon"):
+        found = line_relate(rows, keys, "a", "b")
+    elif kinds == ("polygon", "line"):
+        found = line_relate(rows, keys, "b", "a").select(*keys, G.transpose(F.col("matrix")).alias("matrix"))
+    elif kinds == ("polygon", "polygon"):
+        found = polygon_relate(rows, keys, "a", "b")
+    else:
+        raise ValueError(f"no exact relation of {feature} and {stratum}")
+    return found.select(*keys, "matrix", F.lit(dims[feature]).alias("dim_a"), F.lit(dims[stratum]).alias("dim_b"))

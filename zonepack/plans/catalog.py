@@ -10,7 +10,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonepack.functions.geometry import NAMED
+from zonepack.functions.geometry import NAMED, TRANSFORMATIONS
 from zonepack.functions.text import FALSE_TOKENS, TRUE_TOKENS
 from zonepack.operators.graph import path_lists
 from zonepack.operators.membership import Hop
@@ -35,7 +35,9 @@ class Relation:
 
 @dataclass(frozen=True)
 class Layer:
-    """``geometry`` is none, point, line or polygon; boxes are read from columns minx, miny, maxx, maxy."""
+    """``geometry`` is none, point, line or polygon; boxes are read from columns minx, miny, maxx, maxy.
+    ``shape`` names a column with the edges (array of struct x1, y1, x2, y2) of lines and polygons that are
+    more than their boxes. ``srid`` is the coordinate system."""
 
     id: str
     source: DataFrame
@@ -48,6 +50,8 @@ class Layer:
     exclude: str | bool | None = None
     warm: bool = False
     geometry: str = "none"
+    shape: str | None = None
+    srid: int | None = None
     source_key: str | None = None
     layer_name: str | None = None
 
@@ -199,7 +203,12 @@ class Catalog:
                 raise PlanError("no relations lead to the strata")
         if not by_space:
             raise PlanError("neither relations nor geometries lead to the strata")
-        return Plan(layer, "spatial", predicates=predicate_tokens(layer.spatial_predicate, layer.geometry, self.layers[strata].geometry))
+        whole = self.layers[strata]
+        if {layer.geometry, whole.geometry} == {"line"} and (layer.shape or whole.shape):
+            raise PlanError("lines are related to lines by their boxes only")
+        if layer.srid and whole.srid and (whole.srid, layer.srid) not in TRANSFORMATIONS and whole.srid != layer.srid:
+            raise PlanError(f"no transformation from EPSG:{whole.srid} to EPSG:{layer.srid}")
+        return Plan(layer, "spatial", predicates=predicate_tokens(layer.spatial_predicate, layer.geometry, whole.geometry))
 
     def with_layer(self, layer_id: str, **flags) -> Catalog:
         """A copy of the catalog in which one layer has other flags."""

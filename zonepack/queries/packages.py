@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zonepack.functions.geometry import ring_edges
 from zonepack.operators import reports, strata, warm
+from zonepack.plans.catalog import Catalog
+from zonepack.plans.packager import Packager, read_manifest, read_table
 from zonepack.queries.matching import TO_ORDERS, packager, regions
 from zonepack.queries.registry import Tables, query
 from zonepack.sources import packages as P
@@ -53,16 +56,17 @@ def stage_full(t: Tables) -> DataFrame:
     return P.staged_union(t.part, p.membership("part"), ["p_partkey"], everything=True).select("p_partkey", "p_name")
 
 
-@query(f"SELECT r_regionkey AS stratum_id, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM {TO_ORDERS} WHERE n_nationkey < 20 GROUP BY 1 UNION ALL SELECT -1, count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders")
+@query(f"SELECT r_regionkey AS stratum_id, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM {TO_ORDERS} WHERE n_nationkey < 20 GROUP BY 1 UNION ALL SELECT NULL, count(*), CAST(sum(o_orderkey) AS BIGINT) FROM orders")
 def full_package(t: Tables) -> DataFrame:
     return _sums(packager(t, layers=["orders"], full_package=True, flags={"nation": {"subset": "n_nationkey < 20"}}).slices("orders"), "o_orderkey")
 
 
-@query("SELECT o_custkey, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_custkey BETWEEN 100 AND 300 GROUP BY 1")
+@query("SELECT c_custkey, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0 GROUP BY 1")
 def cluster_staged(t: Tables) -> DataFrame:
-    """A staged copy clustered by its key, looked up by a key range."""
+    """A staged copy clustered by its key, looked up by the keys of some customers."""
     staged = stage(P.clustered(t.orders, ["o_custkey"], 8), "clustered")
-    return staged.where("o_custkey between 100 and 300").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    wanted = t.customer.where("c_acctbal > 0").select("c_custkey")
+    return staged.join(wanted, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_custkey").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 @query("SELECT n_nationkey AS stratum_id, count(c_custkey) AS feature_count, CASE WHEN count(c_custkey) > 0 THEN 'ok' ELSE 'empty-skipped' END AS status FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 9900) ON c_nationkey = n_nationkey GROUP BY 1")
@@ -76,7 +80,7 @@ def publish(t: Tables) -> DataFrame:
     return packager(t, layers=["orders"]).package(new_path(t.spark, "out"))
 
 
-@query("SELECT c_mktsegment AS stratum, layer, 'skipped-existing' AS status FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment < 'C'), (SELECT unnest(['orders', 'events']) AS layer)")
+@query("SELECT c_mktsegment AS stratum, layer, 'skipped-existing' AS status, c_mktsegment || ' exists' AS detail FROM (SELECT DISTINCT c_mktsegment FROM customer WHERE c_mktsegment < 'C'), (SELECT unnest(['orders', 'events']) AS layer)")
 def overwrite_skip(t: Tables) -> DataFrame:
     found = t.customer.groupBy("c_mktsegment").agg(F.min("c_custkey").alias("stratum_id"))
     rows = strata.with_paths(strata.named(found, "c_mktsegment"))
@@ -85,16 +89,28 @@ def overwrite_skip(t: Tables) -> DataFrame:
     return P.skipped_rows(rows, existing, layers)
 
 
-@query()
+def _names_by_nation(t: Tables, name: str) -> str:
+    """Customers' names as text files, one for each nation and 100,000 keys, in order of the keys."""
+    path = new_path(t.spark, name)
+    rows = t.customer.select("c_nationkey", F.floor(F.col("c_custkey") / 100_000).alias("part"), "c_custkey", "c_name")
+    rows = rows.repartition("c_nationkey", "part").sortWithinPartitions("c_nationkey", "part", "c_custkey")
+    rows.drop("c_custkey").write.partitionBy("c_nationkey", "part").text(path)
+    return path
+
+
+_FOLDER = "'c_nationkey=' || c_nationkey || '/part=' || (c_custkey // 100000)"
+
+
+@query(f"SELECT {_FOLDER} AS folder, sha256(string_agg(c_name || chr(10), '' ORDER BY c_custkey)) AS digest FROM customer GROUP BY 1")
 def checksums(t: Tables) -> DataFrame:
-    path, _ = _written(t, _customers(t), "summed")
-    return P.checksums(t.spark, path)
+    lines = P.checksums(t.spark, _names_by_nation(t, "summed"))
+    return lines.select(F.regexp_replace("name", "/[^/]*$", "").alias("folder"), F.substring_index("line", "  ", 1).alias("digest"))
 
 
-@query()
+@query(f"SELECT 'data/customer/' || {_FOLDER} AS folder, CAST(sum(length(c_name) + 1) AS BIGINT) AS bytes FROM customer GROUP BY 1")
 def payload_inventory(t: Tables) -> DataFrame:
-    path, _ = _written(t, _customers(t), "payload")
-    return scans.payload_inventory(t.spark, path, "data/customer")
+    files = scans.payload_inventory(t.spark, _names_by_nation(t, "payload"), "data/customer")
+    return files.where("length > 0").groupBy(F.regexp_replace("arcname", "/[^/]*$", "").alias("folder")).agg(F.sum("length").alias("bytes"))
 
 
 @query("SELECT c_mktsegment || '/' || c_name AS arcname FROM customer WHERE lower(c_mktsegment) IN ('building', 'report.csv')")
@@ -150,9 +166,9 @@ def run_summary(t: Tables) -> DataFrame:
     return reports.summary(published, t.customer.where("c_acctbal < -900").select(F.col("c_mktsegment").alias("stratum")))
 
 
-# Outcomes of a run over the nations, made of the tables: customers with a high balance were written; strata with
+# Outcomes of a run over the nations, made of the tables: their customers were written; strata with
 # a very indebted customer failed; those with few suppliers had no usable cache.
-_OUT = """o AS (SELECT n_name AS stratum, 'customer' AS layer, count(*) AS feature_count FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9500 GROUP BY 1),
+_OUT = """o AS (SELECT n_name AS stratum, 'customer' AS layer, count(*) AS feature_count FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1),
 f AS (SELECT DISTINCT n_name AS stratum FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < -980),
 w AS (SELECT n_name AS stratum FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1 HAVING count(s_suppkey) < 4)"""
 
@@ -166,7 +182,7 @@ FROM nation CROSS JOIN (SELECT unnest(['customer', 'orders']) AS l) LEFT JOIN o
 def run_rows(t: Tables) -> DataFrame:
     names = t.nation.select(F.col("n_name").alias("stratum"), "n_nationkey")
     customers = t.customer.join(names, F.col("c_nationkey") == F.col("n_nationkey"))
-    outcomes = customers.where("c_acctbal > 9500").groupBy("stratum").agg(F.count("*").alias("feature_count")).withColumns({"layer": F.lit("customer"), "status": F.lit("ok")})
+    outcomes = customers.groupBy("stratum").agg(F.count("*").alias("feature_count")).withColumns({"layer": F.lit("customer"), "status": F.lit("ok")})
     failed = customers.where("c_acctbal < -980").select("stratum").distinct().withColumn("reason", F.lit("bad balance"))
     few = names.join(t.supplier, F.col("n_nationkey") == F.col("s_nationkey"), "left").groupBy("stratum").agg(F.count("s_suppkey").alias("n")).where("n < 4")
     layers = t.spark.createDataFrame([("customer", True), ("orders", False)], "layer string, warm boolean")
@@ -183,9 +199,9 @@ def outcome_fallback(t: Tables) -> DataFrame:
     return reports.outcome_fallback(members, outcomes.withColumn("status", F.concat(F.lit("of "), "layer")))
 
 
-@query("SELECT 'n' || c_nationkey AS bundle_rel, count(*) FILTER (WHERE c_acctbal > 9000) AS shipped, count(*) FILTER (WHERE c_acctbal <= 9000) AS failed, CASE WHEN count(*) FILTER (WHERE c_acctbal > 9000) > 0 THEN 'ok' ELSE 'failed' END AS status FROM customer WHERE c_acctbal > 8000 GROUP BY 1")
+@query("SELECT 'n' || c_nationkey AS bundle_rel, count(*) FILTER (WHERE c_acctbal > 9000) AS shipped, count(*) FILTER (WHERE c_acctbal <= 9000) AS failed, CASE WHEN count(*) FILTER (WHERE c_acctbal > 9000) > 0 THEN 'ok' ELSE 'failed' END AS status FROM customer GROUP BY 1")
 def bundle_status(t: Tables) -> DataFrame:
-    return reports.bundle_status(t.customer.where("c_acctbal > 8000").select(F.concat(F.lit("n"), "c_nationkey").alias("bundle_rel"), (F.col("c_acctbal") > 9000).alias("ok")))
+    return reports.bundle_status(t.customer.select(F.concat(F.lit("n"), "c_nationkey").alias("bundle_rel"), (F.col("c_acctbal") > 9000).alias("ok")))
 
 
 # Caches by customer: expected are customer and orders; present is what the tables have rows of.
@@ -238,10 +254,9 @@ def cold_fallback(t: Tables) -> DataFrame:
 @query(CUSTOMERS)
 def warm_snapshot(t: Tables) -> DataFrame:
     """The cache of a warm table, published, read by strata."""
-    built, final = new_path(t.spark, "built"), new_path(t.spark, "warm")
-    P.write_partitioned(_customers(t), built)
-    P.publish(t.spark, built, final)
-    return _sums(t.spark.read.parquet(final), "c_custkey")
+    built, slices = new_path(t.spark, "built"), _customers(t)
+    P.write_partitioned(slices, built)
+    return _sums(t.spark.read.schema(slices.schema).parquet(P.publish(t.spark, built, new_path(t.spark, "warm"))), "c_custkey")
 
 
 @query("SELECT n_name AS stratum, 'customer' AS layer, count(*) AS feature_count, 'warm' AS status, '' AS detail FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 GROUP BY 1 UNION ALL SELECT '<unmatched>', 'customer', count(*), 'ok', '' FROM customer WHERE c_acctbal > 0 AND c_nationkey NOT IN (SELECT n_nationkey FROM nation) HAVING count(*) > 0")
@@ -253,6 +268,63 @@ def warm_update(t: Tables) -> DataFrame:
     return packager(t, "nation", "n_name", layers=["customer"], flags=flags, warm_dir=cache, warm_mode="update").package(new_path(t.spark, "out"))
 
 
+@query("SELECT n_name AS stratum, 'customer' AS layer, count(*) AS feature_count, CASE WHEN n_nationkey % 3 > 0 THEN 'warm' ELSE 'cold-fallback' END AS status, CASE WHEN n_nationkey % 3 > 0 THEN '' ELSE 'missing' END AS detail, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, n_nationkey")
+def warm_package(t: Tables) -> DataFrame:
+    """A run with a cache that two thirds of the strata have: the packages equal those of a cold run."""
+    cache, out = new_path(t.spark, "warm"), new_path(t.spark, "out")
+    P.write_partitioned(_customers(t).where("stratum_id % 3 > 0"), f"{cache}/customer")
+    p = packager(t, "nation", "n_name", layers=["customer"], flags={"customer": {"warm": True}}, warm_dir=cache, warm_mode="use")
+    report = p.package(out)
+    keys = read_table(t.spark, out, "customer").groupBy("stratum_id").agg(F.sum("c_custkey").alias("keys"))
+    names = t.nation.select(F.col("n_name").alias("stratum"), F.col("n_nationkey").alias("stratum_id"))
+    return report.join(names, "stratum").join(keys, "stratum_id").drop("stratum_id")
+
+
+@query("SELECT n_name AS stratum, 'customer' AS layer, count(*) AS feature_count, CASE WHEN n_nationkey < 10 THEN 'old' ELSE 'new' END AS written FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey >= 10 OR c_acctbal > 0 GROUP BY n_name, n_nationkey")
+def overwrite_bundles(t: Tables) -> DataFrame:
+    """A second run leaves the bundles of the first alone and adds those that are not there."""
+    out = new_path(t.spark, "out")
+    packager(t, "nation", "n_name", layers=["customer"], flags={"nation": {"subset": "n_nationkey < 10"}, "customer": {"subset": "c_acctbal > 0"}}).package(out)
+    report = packager(t, "nation", "n_name", layers=["customer"], overwrite_mode="skip-existing").package(out)
+    skipped = report.where("status = 'skipped-existing'").select("stratum")
+    rows = read_manifest(t.spark, out).join(read_table(t.spark, out, "customer").groupBy("stratum_id").agg(F.count("*").alias("n")), "stratum_id")
+    rows = rows.where("n = feature_count").join(skipped.withColumn("old", F.lit("old")), F.col("name") == F.col("stratum"), "left")
+    return rows.select(F.col("name").alias("stratum"), F.col("table").alias("layer"), "feature_count", F.coalesce("old", F.lit("new")).alias("written"))
+
+
+@query("SELECT r_name AS stratum, 'orders' AS layer, count(*) AS feature_count, 'ok' AS status FROM " + TO_ORDERS + " WHERE n_nationkey < 20 GROUP BY 1 UNION ALL SELECT '<unmatched>', 'orders', count(*), 'ok' FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey >= 20 UNION ALL SELECT '<full>', 'orders', count(*), 'ok' FROM orders UNION ALL SELECT '<full> in manifest', 'orders', count(*), 'ok' FROM orders")
+def full_report(t: Tables) -> DataFrame:
+    """The full package is a member like others: in the report and in the manifest."""
+    out = new_path(t.spark, "out")
+    report = packager(t, layers=["orders"], full_package=True, flags={"nation": {"subset": "n_nationkey < 20"}}).package(out)
+    listed = read_manifest(t.spark, out).where("name = '<full>'").select(F.concat("name", F.lit(" in manifest")).alias("stratum"), F.col("table").alias("layer"), "feature_count", "status")
+    return report.drop("detail").unionByName(listed)
+
+
+@query("SELECT n_name AS stratum, 'customer' AS layer, CASE WHEN n_regionkey <> 1 THEN count(*) END AS feature_count, CASE WHEN n_regionkey = 1 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN n_regionkey = 1 THEN 'no display name for customer' ELSE '' END AS detail FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, n_regionkey UNION ALL SELECT '<unmatched>', 'customer', count(*), 'ok', '' FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1")
+def failed_stratum(t: Tables) -> DataFrame:
+    """Strata for which the display name fails are reported; the others are published."""
+    bad = ", ".join(f"'{r[0]}'" for r in t.nation.where("n_regionkey = 1").select("n_name").collect())
+    name = f"CASE WHEN stratum_name NOT IN ({bad}) THEN concat(layer_name, ' of ', stratum_name) END"
+    return packager(t, "nation", "n_name", layers=["customer"], display_expr=name).package(new_path(t.spark, "out"), fail_at_end=False)
+
+
+_GRID = "n AS (SELECT n_nationkey, n_name, n_nationkey % 5 * 10 AS bx0, n_nationkey // 5 * 20 AS by0 FROM nation), placed AS (SELECT n_name, p_partkey, p_size - bx0 AS u, p_partkey % 100 - by0 AS v FROM part JOIN n ON p_size BETWEEN bx0 AND bx0 + 10 AND p_partkey % 100 BETWEEN by0 AND by0 + 20), hit AS (SELECT * FROM placed WHERE 2 * u + v <= 20)"
+
+
+@query(f"WITH {_GRID} SELECT n_name AS stratum, 'points' AS layer, count(p_partkey) AS feature_count, CASE WHEN count(p_partkey) > 0 THEN 'ok' ELSE 'empty-skipped' END AS status, '' AS detail FROM nation LEFT JOIN hit USING (n_name) GROUP BY 1 UNION ALL SELECT '<unmatched>', 'points', count(*), 'ok', '' FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM hit) HAVING count(*) > 0")
+def package_polygons(t: Tables) -> DataFrame:
+    """Strata are triangles, features are points: a point in a triangle's box may be outside it."""
+    i, j = (F.col("n_nationkey") % 5 * 10).cast("double"), (F.floor(F.col("n_nationkey") / 5) * 20).cast("double")
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    triangle = ring_edges(F.array(corner(i, j), corner(i + 10, j), corner(i, j + 20)))
+    nations = t.nation.select("n_nationkey", "n_name", i.alias("minx"), j.alias("miny"), (i + 10).alias("maxx"), (j + 20).alias("maxy"), triangle.alias("shape"))
+    points = t.part.select("p_partkey", F.col("p_size").cast("double").alias("minx"), (F.col("p_partkey") % 100).cast("double").alias("miny"))
+    points = points.select("p_partkey", *[F.col(c).alias(n) for c, n in (("minx", "minx"), ("miny", "miny"), ("minx", "maxx"), ("miny", "maxy"))])
+    catalog = Catalog(t.spark).add("nations", nations, "n_nationkey", geometry="polygon", shape="shape").add("points", points, "p_partkey", geometry="point")
+    return Packager(t.spark, catalog, "nations", name_expr="n_name").package(new_path(t.spark, "out"))
+
+
 @query("SELECT c_name AS label, c_nationkey, 'Point' AS kind, c_acctbal AS x, CAST(c_custkey AS DOUBLE) AS y FROM customer")
 def scan_geojsonl(t: Tables) -> DataFrame:
     """Customers written as GeoJSON lines and read again."""

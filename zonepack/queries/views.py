@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonepack.operators import views
 from zonepack.queries.matching import packager
 from zonepack.queries.registry import Tables, query
-from zonepack.sources.staging import stage
+from zonepack.sources import packages as P
+from zonepack.sources.staging import new_path, stage
 
 _QUERY = "SELECT c_custkey, count(*) AS n, max(o_orderkey) AS last FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey"
 
 
-@query(f"SELECT c_custkey, n, last FROM (SELECT c_custkey, c_nationkey, count(*) AS n, max(o_orderkey) AS last FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = 3 GROUP BY ALL) WHERE n > 2")
+def _packages(t: Tables, *layers: str) -> tuple[list[int], dict[str, DataFrame]]:
+    """The regions, and the layers' slices, written by strata: a stratum's view reads its own folders."""
+    p = packager(t, layers=list(layers))
+    found = {}
+    for layer in layers:
+        slices, path = p.slices(layer), new_path(t.spark, "slices")
+        P.write_partitioned(slices, path)
+        found[layer] = t.spark.read.schema(slices.schema).parquet(path)
+    return [r[0] for r in p.strata.select("stratum_id").orderBy("stratum_id").collect()], found
+
+
+@query("SELECT stratum_id, c_custkey, n, last FROM (SELECT n_regionkey AS stratum_id, c_custkey, count(*) AS n, max(o_orderkey) AS last FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY ALL) WHERE n > 2")
 def live_view(t: Tables) -> DataFrame:
-    """A query over one stratum's tables, with its own filter."""
-    p = packager(t, "nation", "n_name", layers=["customer", "orders"])
-    return views.live_view(t.spark, _QUERY, {i: p.slices(i) for i in p.layer_ids}, 3, "n > 2")
+    """A query over each stratum's tables, with its own filter."""
+    strata, slices = _packages(t, "customer", "orders")
+    return reduce(DataFrame.union, [views.live_view(t.spark, _QUERY, slices, s, "n > 2").select(F.lit(s).alias("stratum_id"), "*") for s in strata])
 
 
 @query(f"SELECT c_nationkey AS stratum_id, q.c_custkey, n, last FROM ({_QUERY}) q JOIN customer USING (c_custkey)")
@@ -28,11 +42,11 @@ def materialized_view(t: Tables) -> DataFrame:
     return p.membership("customer").join(layer, "c_custkey").select("stratum_id", "c_custkey", "n", "last")
 
 
-@query("SELECT o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 GROUP BY 1")
+@query("SELECT n_regionkey AS stratum_id, o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2")
 def package_query(t: Tables) -> DataFrame:
-    """A query layer that is never read itself runs over the tables that the run creates."""
-    p = packager(t, layers=["orders"])
+    """A query layer that is never read itself runs over the tables that the run creates, in each stratum."""
     text = "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority"
     if missing := views.missing_tables(t.spark, text, {"orders": None}):
         raise ValueError(f"not created by this run: {missing}")
-    return views.over(t.spark, text, {"orders": p.slices("orders").where(F.col("stratum_id") == 1)})
+    strata, slices = _packages(t, "orders")
+    return reduce(DataFrame.union, [views.over(t.spark, text, {"orders": slices["orders"].where(F.col("stratum_id") == s)}).select(F.lit(s).alias("stratum_id"), "*") for s in strata])

@@ -1,11 +1,12 @@
-"""Writing packages: one partitioned write a table for all strata, published by rename.
+"""Writing packages: one partitioned write a table for all strata, published by switching a pointer.
 
-A package is a folder of tables. What is common to all packages is written once below ``_shared``; the
+A run's folder holds its tables. What is common to all packages is written once below ``_shared``; the
 manifest lists it for every stratum. Compression level 0 stores, 1 to 9 is zstd.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from zonepack.sources.scans import relative
 
-FULL_ID = -1
+POINTER = "CURRENT"
 MODES = ("overwrite", "error", "skip-existing")
 
 
@@ -37,8 +38,8 @@ def staged_union(layer: DataFrame, membership: DataFrame, fid: Sequence[str], ev
 
 
 def with_full(slices: DataFrame, layer: DataFrame) -> DataFrame:
-    """``slices`` and, as the pseudo-stratum ``<full>``, every row of the layer."""
-    return slices.unionByName(layer.select(F.lit(FULL_ID).cast(slices.schema["stratum_id"].dataType).alias("stratum_id"), *[c for c in slices.columns if c != "stratum_id"]))
+    """``slices`` and, as the pseudo-stratum ``<full>``, every row of the layer. Its key is null, which no stratum's is."""
+    return slices.unionByName(layer.select(F.lit(None).cast(slices.schema["stratum_id"].dataType).alias("stratum_id"), *[c for c in slices.columns if c != "stratum_id"]))
 
 
 def compression(level: int) -> dict[str, str]:
@@ -75,19 +76,60 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at, jvm.org.apache.hadoop.fs.Path
 
 
-def publish(spark: SparkSession, built: str, final: str) -> None:
-    """Move a complete folder into place; readers see the old one or the new one, with its marker last."""
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at, _ = _fs(spark, path)
+    return fs.exists(at)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path``; none if it isn't there."""
+    fs, at, _ = _fs(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()) if fs.exists(at) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at, _ = _fs(spark, path)
+    fs.delete(at, True)
+
+
+def current(spark: SparkSession, final: str) -> str | None:
+    """The folder that ``final`` points to; None before the first publication."""
+    if not exists(spark, f"{final}/{POINTER}"):
+        return None
+    return f"{final}/{spark.read.text(f'{final}/{POINTER}').first()[0]}"
+
+
+def point(spark: SparkSession, final: str, name: str) -> None:
+    """Let ``final`` point to its folder ``name``: a small file is written aside and renamed over the old pointer."""
+    fs, aside, path = _fs(spark, f"{final}/_{POINTER}-{uuid.uuid4().hex}")
+    with_text = fs.create(aside, True)
+    with_text.write(bytearray(name.encode()))
+    with_text.close()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    rename = getattr(hadoop, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    target = path(f"{final}/{POINTER}")
+    hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fs.makeQualified(aside), fs.makeQualified(target), options)
+
+
+def publish(spark: SparkSession, built: str, final: str) -> str:
+    """Make a complete folder the current one of ``final``; returns where it is now.
+
+    It becomes a new version beside the old one, then the pointer is switched. Readers see one or the
+    other, a crash in between leaves the old one. The version before stays for its readers; those before that go.
+    """
     fs, source, path = _fs(spark, built)
-    target = path(final)
-    fs.mkdirs(target.getParent())
-    old = path(f"{final}.old")
-    if fs.exists(target):
-        fs.delete(old, True)
-        fs.rename(target, old)
-    if not fs.rename(source, target):
+    name = f"version-{uuid.uuid4().hex}"
+    before = current(spark, final)
+    fs.mkdirs(path(final))
+    if not fs.rename(source, path(f"{final}/{name}")):
         raise OSError(f"cannot publish {final}")
-    fs.create(path(f"{final}/_PUBLISHED"), True).close()
-    fs.delete(old, True)
+    point(spark, final, name)
+    for old in folders(spark, final):
+        if old.startswith("version-") and old != name and f"{final}/{old}" != before:
+            delete(spark, f"{final}/{old}")
+    return f"{final}/{name}"
 
 
 def apply_mode(strata: DataFrame, existing: DataFrame, mode: str) -> DataFrame:
@@ -108,7 +150,7 @@ def skipped_rows(strata: DataFrame, existing: DataFrame, layers: DataFrame) -> D
     """A report row for each stratum of an existing bundle and each layer (tens of rows, one array)."""
     listed = layers.agg(F.collect_list("layer").alias("layers"))
     rows = strata.join(existing, "bundle_rel", "left_semi").join(listed, how="cross")
-    return rows.select(F.col("name").alias("stratum"), F.explode("layers").alias("layer"), F.lit("skipped-existing").alias("status"))
+    return rows.select(F.col("name").alias("stratum"), F.explode("layers").alias("layer"), F.lit("skipped-existing").alias("status"), F.concat("bundle_rel", F.lit(" exists")).alias("detail"))
 
 
 def checksums(spark: SparkSession, root: str) -> DataFrame:

@@ -52,9 +52,22 @@ def scan_geojson_lines(spark: SparkSession, path: str, properties: Sequence[str]
 
 
 def payload_inventory(spark: SparkSession, root: str, prefix: str) -> DataFrame:
-    """(arcname, length) of every file below ``root``, named by its path inside the package."""
+    """(arcname, length) of every file below ``root``, named by its path inside the package and sorted by it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(F.concat(F.lit(f"{prefix}/"), relative(F.col("path"), root)).alias("arcname"), "length")
+    return files.select(F.concat(F.lit(f"{prefix}/"), relative(F.col("path"), root)).alias("arcname"), "length").orderBy("arcname")
+
+
+def payload_members(spark: SparkSession, path: str, prefix: str) -> DataFrame:
+    """(arcname, length) of a payload: a folder whole, under its name; or a file with its sidecars, the files beside
+    it that begin with its name up to the ending (terrain.tif: terrain.tfw, terrain.tif.aux.xml)."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        return payload_inventory(spark, path, f"{prefix}/{name}")
+    stem = name.rpartition(".")[0] or name
+    files = spark.read.format("binaryFile").load(folder)
+    beside = F.substring_index("path", "/", -1)
+    return files.where((beside == name) | beside.startswith(f"{stem}.")).select(F.concat(F.lit(f"{prefix}/"), beside).alias("arcname"), "length").orderBy("arcname")
 
 
 def relative(path: Column, root: str) -> Column:
