@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from zonepack.llm.shared import documents, slices
+from zonepack.llm.shared import cuts, documents
 from zonepack.llm.word_ids import tokenizer, vocabulary_path
 
 CAPACITY = 2048
@@ -99,15 +99,15 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names), base + 1 + max((r[3] for r in rows), default=-1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens_of = tokenizer(vocabulary).ids
+        tokens_of = tokenizer(vocabulary).encode
         base = TaskContext.get().partitionId() << 40
-        end = np.array([end_id], dtype="<u4").tobytes()
         ids, tokens, total = [], [], 0
-        for rows, texts in slices(batches):
-            for doc_id, text in zip(rows.column("doc_id").to_pylist(), texts):
+        for rows in cuts(batches):
+            found, ends = tokens_of(rows.column("text"), end_id)
+            for doc_id, own in zip(rows.column("doc_id").to_pylist(), np.split(found, ends[:-1])):
                 ids.append(doc_id)
-                tokens.append(np.frombuffer(tokens_of(text) + end, dtype="<u4"))
-                total += len(tokens[-1])
+                tokens.append(own)
+                total += len(own)
                 if total >= WINDOW_TOKENS:
                     out, base = pieces_of(ids, tokens, base)
                     yield out

@@ -7,10 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+MOST_IDS = 1_000_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -40,6 +44,26 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that one run stages for itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(stage_path(self.spark, name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def clear(self, keep: int = 0) -> None:
+        """Delete what was staged, except for the last ``keep`` tables; nothing may read them any more."""
+        gone = self.paths[: len(self.paths) - keep]
+        self.paths = self.paths[len(gone) :]
+        for path in gone:
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def documents(docs: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` as long and ``text`` as string, and ``more`` columns; whatever else the table has is left out."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(F.col(c) for c in more))
@@ -58,20 +82,30 @@ def sample_filter(rows: int, bound: int, *key: str | Column) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < F.lit(int((1 << 30) * bound / rows))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Row slices of about ``most`` characters (one row at least) with their texts; a null text is empty."""
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not among ``ids`` (doc_id). While these are at most ``MOST_IDS`` they go to
+    all tasks and no text is shuffled; beyond that both sides are, and Spark splits skewed keys."""
+    ids = stage(ids.distinct(), "ids")
+    few = ids.count() <= MOST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def cuts(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Row slices of about ``most`` bytes of text, one row at least."""
     for batch in batches:
-        texts = batch.column(text).to_pylist()
-        begin = size = 0
-        for i, value in enumerate(texts):
-            if value is None:
-                texts[i] = value = ""
-            size += len(value)
-            if size >= most:
-                yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
-                begin, size = i + 1, 0
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
+        ends = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin = 0
+        while begin < batch.num_rows:
+            done = int(ends[begin - 1]) if begin else 0
+            end = max(begin, int(np.searchsorted(ends, done + most))) + 1
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Row slices with their texts, a null text empty: only a slice's texts are held as Python strings."""
+    for rows in cuts(batches, text, most):
+        yield rows, ["" if t is None else t for t in rows.column(text).to_pylist()]
 
 
 def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:

@@ -1,9 +1,10 @@
 """Operator 7, token-id output: canonical length-limited Huffman files.
 
-Writing takes three steps. Ids of every whole text are staged once; counts of each id over all
-documents give code lengths by package-merge, no longer than ``max_bits``, and canonical codes
+Writing takes three steps. Ids of every whole text are staged once, with the counts of each id in a task;
+counts over all documents give code lengths by package-merge, no longer than ``max_bits``, and canonical codes
 follow from the lengths alone. Each document is then coded by itself (byte-aligned), dealt to
-ranges of doc_id and sorted, and a range's documents are joined to blocks of about ``BLOCK_BYTES``.
+ranges of doc_id of about ``BUCKET_BYTES`` and sorted, and a range's documents are joined to blocks of about
+``BLOCK_BYTES``. Each range is one partition; an id that very many rows repeat is spread over several.
 
 The format, below one folder: ``codes`` (token_id, bits) and ``blocks`` in one folder per range
 (``bucket=...``, ascending), rows in order of ``block``. A block has its documents' ids and token
@@ -26,15 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonepack.llm.shared import documents, parallelism, slices, stage, stage_path
-from zonepack.llm.word_ids import tokenizer, vocabulary_path
+from zonepack.llm.shared import cuts, documents, parallelism, stage, stage_path
+from zonepack.llm.word_ids import take_turn, tokenizer, vocabulary_path
 
 END_ID = 1
-BLOCK_BYTES = 1 << 20
-STRIDE = 512
+BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 32 << 20
+NO_ID = -(1 << 63)
+STRIDE = 256
 LEAST_BITS = 12
 BLOCKS = "bucket int, block long, first_token long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, checkpoints binary, payload binary"
 
@@ -82,8 +86,9 @@ class Code:
         self.table_id[:filled] = np.repeat(ids, spans)
         self.table_bits[:filled] = np.repeat(bits, spans)
 
-    def encode(self, ids: np.ndarray, lengths: np.ndarray, stride: int = STRIDE) -> tuple[list[bytes], list[np.ndarray]]:
-        """Each document's bytes and the bit offsets of its every ``stride``-th id; no length may be 0."""
+    def encode(self, ids: np.ndarray, lengths: np.ndarray, stride: int = STRIDE) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+        """The documents' bytes and where each one's end; the bit offsets of its every ``stride``-th id and where
+        those of each document end. No length may be 0."""
         bits = self.bits[ids].astype(np.int64)
         ends = np.cumsum(lengths)
         first = ends - lengths
@@ -101,15 +106,15 @@ class Code:
         out[word[starts]] = np.bitwise_or.reduceat(high, starts)
         spill = np.flatnonzero(over > 0)
         out[word[spill] + 1] |= codes[spill] << (64 - over[spill]).astype(np.uint64)
-        raw = out.astype(">u8").tobytes()
-        return (
-            [raw[b : b + s] for b, s in zip(begin.tolist(), size.tolist())],
-            [inside[f:e:stride] for f, e in zip(first.tolist(), ends.tolist())],
-        )
+        stretches = -(-lengths // stride)
+        mark_ends = np.cumsum(stretches)
+        nth = np.arange(int(mark_ends[-1])) - np.repeat(mark_ends - stretches, stretches)
+        marks = inside[np.repeat(first, stretches) + nth * stride]
+        return out.astype(">u8").tobytes()[: int(size.sum())], np.cumsum(size), marks, mark_ends
 
     def decode(self, payload: bytes, checkpoints: np.ndarray, lengths: np.ndarray, stride: int = STRIDE) -> np.ndarray:
         """The ids of a block; ``checkpoints`` are bit offsets of stretches of at most ``stride`` ids."""
-        raw = np.frombuffer(payload + bytes(8), dtype=np.uint8).astype(np.uint32)
+        raw = np.concatenate([np.frombuffer(payload, dtype=np.uint8), np.zeros(8, dtype=np.uint8)]).astype(np.uint32)
         window = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
         ends = np.cumsum(lengths)
         stretches = -(-lengths // stride)
@@ -130,84 +135,97 @@ class Code:
         return out
 
 
-def _id_type(vocabulary: str) -> str:
-    return "<u2" if tokenizer(vocabulary).library.get_vocab_size() <= 1 << 16 else "<u4"
+def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary value of each stretch of ``data``; its buffer is used as it is."""
+    offsets = np.concatenate([[0], ends]) * data.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def joined(column: pa.Array) -> tuple[pa.Buffer, np.ndarray]:
+    """The bytes of all values of a column without nulls, and where each value's end."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return column.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])), (offsets[1:] - offsets[0]).astype(np.int64)
 
 
 def encode(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID) -> None:
     """Write the ids of every whole text, each document closed by ``end_id``, to files below ``path``."""
     spark = docs.sparkSession
-    kind = _id_type(vocabulary)
+    size = tokenizer(vocabulary).library.get_vocab_size()
+    kind = "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4"
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, end = tokenizer(vocabulary).ids, np.array([end_id], dtype="<u4").tobytes()
-        for rows, texts in slices(batches):
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([np.frombuffer(of(t) + end, dtype="<u4").astype(kind).tobytes() for t in texts], pa.binary())], ["doc_id", "ids"])
+        of, total = tokenizer(vocabulary).encode, np.zeros(max(size, end_id + 1), dtype=np.int64)
+        names = ["doc_id", "ids", "counts"]
+        for rows in cuts(batches):
+            ids, ends = of(rows.column("text"), end_id)
+            total += np.bincount(ids, minlength=len(total))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), binaries(ids.astype(kind), ends), pa.nulls(len(ends), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
     def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for value in batch.column("ids"):
-                more = np.bincount(np.frombuffer(value.as_buffer(), dtype=kind))
-                if len(more) > len(total):
-                    more[: len(total)] += total
-                    total = more
-                else:
-                    total[: len(more)] += more
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["token_id", "n"])
-
-    staged = stage(documents(docs).mapInArrow(ids_of, "doc_id long, ids binary"), "token-ids", compression="zstd")
-    counts = staged.select("ids").mapInArrow(counts_of, "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n")).toPandas()
+            for value in batch.column("counts"):
+                total = np.frombuffer(value.as_buffer(), dtype=np.int64)
+                found = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["token_id", "n"])
+
+    staged = stage(documents(docs).mapInArrow(ids_of, "doc_id long, ids binary, counts binary"), "token-ids", compression="lz4")
+    counts = staged.select("counts").where("counts is not null").mapInArrow(counts_of, "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n")).toPandas()
     token_ids, n = counts["token_id"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
     bits = limited_lengths(n, max(LEAST_BITS, int(len(n)).bit_length() + 1))
     codes = list(zip(token_ids.tolist(), bits.tolist()))
     spark.createDataFrame(codes, "token_id long, bits long").coalesce(1).write.parquet(f"{path}/codes")
 
-    buckets = parallelism(spark)
-    edges = staged.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets) if codes else []
-    bounds = np.unique(np.array(edges, dtype=np.float64))
+    rows = staged.where("counts is null").select("doc_id", "ids")
+    buckets = max(parallelism(spark), int((n * bits).sum()) // (8 * BUCKET_BYTES) + 1)
+    edges = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")).approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets) if codes else []
+    bounds = np.array(edges, dtype=np.float64)
     shared = spark.sparkContext.broadcast((token_ids, bits))
 
+    def bucket_of(doc_ids: np.ndarray, payloads: pa.Array) -> np.ndarray:
+        """The range of each id. An id that is a bound may go to any range that this bound touches."""
+        first, last = (np.searchsorted(bounds, doc_ids.astype(np.float64), side=side) for side in ("left", "right"))
+        exact = (np.abs(doc_ids) < 1 << 53) | (doc_ids == NO_ID)  # as a float the id is itself
+        for i in np.flatnonzero(exact & (last > first)).tolist():
+            last[i] = first[i] + zlib.crc32(payloads[i].as_buffer()) % (last[i] - first[i] + 1)
+        return last
+
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("codes")
         code = Code(*shared.value)
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                arrays = [np.frombuffer(v.as_buffer(), dtype=kind) for v in part.column("ids")]
-                payloads, marks = code.encode(np.concatenate(arrays), np.array([len(a) for a in arrays]))
-                doc_ids = part.column("doc_id")
-                bucket = np.searchsorted(bounds, doc_ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket, pa.int32()), doc_ids, pa.array([len(a) for a in arrays], pa.int64()), pa.array([m.astype("<u4").tobytes() for m in marks], pa.binary()), pa.array(payloads, pa.binary())],
-                    ["bucket", "doc_id", "n", "marks", "payload"],
-                )
+        for part in cuts(batches, "ids", 1 << 19):
+            arrays = [np.frombuffer(v.as_buffer(), dtype=kind) for v in part.column("ids")]
+            sizes = np.array([len(a) for a in arrays])
+            raw, ends, marks, mark_ends = code.encode(np.concatenate(arrays), sizes)
+            doc_ids, payload = part.column("doc_id"), binaries(np.frombuffer(raw, dtype=np.uint8), ends)
+            bucket = bucket_of(doc_ids.fill_null(NO_ID).to_numpy(zero_copy_only=False), payload)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), doc_ids, pa.array(sizes, pa.int64()), binaries(marks.astype("<u4"), mark_ends), payload], ["bucket", "doc_id", "n", "marks", "payload"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, block, first, size, held = None, 0, 0, 0, []
-
-        def joined() -> pa.RecordBatch:
-            sizes = np.cumsum([0, *(len(p) for *_, p in held)])[:-1] * 8
-            marks = np.concatenate([np.frombuffer(m, dtype="<u4").astype("<u8") + s for (_, _, m, _), s in zip(held, sizes.tolist())])
-            row = {"bucket": bucket, "block": block, "first_token": first, "n_tokens": sum(n for _, n, *_ in held), "doc_ids": [d for d, *_ in held], "doc_tokens": [n for _, n, *_ in held], "checkpoints": marks.tobytes(), "payload": b"".join(p for *_, p in held)}
-            return pa.RecordBatch.from_pylist([row], schema=block_schema)
-
-        block_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("checkpoints", pa.binary()), ("payload", pa.binary())])
-        for batch in batches:
-            for b, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "doc_id", "n", "marks", "payload"))):
-                if held and (b != bucket or size >= BLOCK_BYTES):
-                    yield joined()
-                    block, first, size, held = block + 1, first + sum(n for _, n, *_ in held), 0, []
-                if b != bucket:
-                    bucket, block, first = b, 0, 0
-                held.append(row)
-                size += len(row[-1])
-        if held:
-            yield joined()
+        """A block is a slice of a batch in one bucket: its bytes lie side by side in the column's buffer."""
+        take_turn("codes")
+        last, block, first = None, 0, 0
+        for part in cuts(batches, "payload", BLOCK_BYTES):
+            buckets = part.column("bucket").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), part.num_rows]
+            for begin, end in zip(edges, edges[1:]):
+                rows = part.slice(begin, end - begin)
+                if buckets[begin] != last:
+                    last, block, first = buckets[begin], 0, 0
+                payload, ends = joined(rows.column("payload"))
+                marks, mark_ends = joined(rows.column("marks"))
+                stretches = np.diff(mark_ends, prepend=0) // 4
+                marks = np.frombuffer(marks, dtype="<u4").astype("<u8") + np.repeat((np.concatenate([[0], ends[:-1]]) * 8).astype(np.uint64), stretches)
+                n = pc.sum(rows.column("n")).as_py()
+                whole = lambda c: pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c)
+                columns = [pa.array([v], t) for v, t in ((last, pa.int32()), (block, pa.int64()), (first, pa.int64()), (n, pa.int64()))]
+                columns += [whole(rows.column("doc_id")), whole(rows.column("n")), pa.array([marks.tobytes()], pa.binary()), pa.array([payload.to_pybytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in BLOCKS.split(", ")])
+                block, first = block + 1, first + n
 
     (
-        staged.mapInArrow(coded, "bucket int, doc_id long, n long, marks binary, payload binary")
-        .repartition(buckets, "bucket")
+        rows.mapInArrow(coded, "bucket int, doc_id long, n long, marks binary, payload binary")
+        .repartitionById(buckets, F.col("bucket"))
         .sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "payload")
         .mapInArrow(blocks, BLOCKS)
         .write.partitionBy("bucket")
@@ -218,12 +236,12 @@ def encode(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID) ->
 
 def decode(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) of all documents in the files below ``path``; ``ids`` are little-endian uint32."""
-    return _read(spark, path, "ids binary", lambda ids: (ids.tobytes(), pa.binary()))
+    return _read(spark, path, "ids binary", binaries)
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files; the ids are decoded and summed, not returned."""
-    return _read(spark, path, "ids_crc32 long", lambda ids: (zlib.crc32(ids), pa.int64()))
+    return _read(spark, path, "ids_crc32 long", lambda ids, ends: pa.array([zlib.crc32(own) for own in np.split(ids, ends[:-1])], pa.int64()))
 
 
 def _read(spark: SparkSession, path: str, column: str, value) -> DataFrame:
@@ -238,17 +256,17 @@ def _read(spark: SparkSession, path: str, column: str, value) -> DataFrame:
     more = [] if sql_type == "binary" else ["n_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("codes")
         ids, bits, offset = shared.value
         code = Code(ids, bits)
-        for batch in batches:
-            for row in batch.to_pylist():
-                lengths = np.array(row["doc_tokens"], dtype=np.int64)
-                tokens = code.decode(row["payload"], np.frombuffer(row["checkpoints"], dtype="<u8"), lengths)
-                ends = np.cumsum(lengths)
-                starts = ends - lengths
-                values = [value(tokens[b:e]) for b, e in zip(starts.tolist(), ends.tolist())]
-                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(starts + row["first_token"] + offset[row["bucket"]], pa.int64()), *([pa.array(lengths, pa.int64())] if more else []), pa.array([v for v, _ in values], values[0][1])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", *more, name])
+        for batch in cuts(batches, "payload", 1):
+            bucket, first = batch.column("bucket")[0].as_py(), batch.column("first_token")[0].as_py()
+            lengths = batch.column("doc_tokens").flatten().to_numpy()
+            tokens = code.decode(batch.column("payload")[0].as_buffer(), np.frombuffer(batch.column("checkpoints")[0].as_buffer(), dtype="<u8"), lengths)
+            ends = np.cumsum(lengths)
+            starts = ends - lengths
+            columns = [batch.column("doc_ids").flatten(), pa.array(starts + first + offset[bucket]), *([pa.array(lengths)] if more else []), value(tokens, ends)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", *more, name])
 
     schema = ", ".join(["doc_id long, start long", *(f"{c} long" for c in more), column])
     return found.select("bucket", "first_token", "doc_ids", "doc_tokens", "checkpoints", "payload").mapInArrow(run, schema)

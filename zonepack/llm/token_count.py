@@ -18,12 +18,13 @@ import json
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonepack.llm.shared import documents, slices
-from zonepack.llm.word_ids import WordTokenizer, _Kept, take_turn, vocabulary_path, words
+from zonepack.llm.shared import cuts, documents
+from zonepack.llm.word_ids import WordTokenizer, _Kept, by_letters, byte_level, take_turn, vocabulary_path, words_of
 
 LIMIT = 2048
 
@@ -66,8 +67,8 @@ class MergeCounter:
         self.ranks = {pair: rank for rank, pair in enumerate(merges)}
         self.suffix = model["end_of_word_suffix"] or ""
         self.known = model["vocab"].keys()
-        self.pieces = _Kept(self._piece)
-        self.kept = _Kept(self._word)
+        self.letters = _Kept(lambda low: self._piece(byte_level(low)))
+        self.odd = _Kept(self._odd)
 
     def _piece(self, piece: str) -> int:
         symbols = [*piece[:-1], piece[-1] + self.suffix]
@@ -75,18 +76,24 @@ class MergeCounter:
             symbols = [s for s in symbols if s in self.known]  # no unknown token: the library leaves them out
         return merged_count(symbols, self.ranks)
 
-    def _word(self, word: str) -> int:
+    def _odd(self, word: str) -> int:
         if (pieces := self.splitter.split(word)) is None:  # special tokens count one each, what lies between counts as usual
             count, rest = 0, [word]
             for s in self.splitter.special:
                 parts = [p.split(s) for p in rest]
                 count += sum(len(p) - 1 for p in parts)
                 rest = [x for p in parts for x in p if x]
-            return count + sum(self._word(x) for x in rest)
-        return sum([self.pieces[p] for p in pieces])
+            return count + sum(map(self._odd, rest))
+        return sum(map(self._piece, pieces))
+
+    def counts(self, column: pa.Array) -> np.ndarray:
+        """Tokens of each text of a column."""
+        words, index, ends = words_of(column)
+        each = np.array(by_letters(words, self.letters, self.odd), dtype=np.int64)[index]
+        return np.diff(np.concatenate([[0], np.cumsum(each)])[ends], prepend=0)
 
     def count(self, text: str) -> int:
-        return sum(map(self.kept.__getitem__, words(text)))
+        return int(self.counts(pa.array([text]))[0])
 
 
 _open: dict[str, MergeCounter] = {}
@@ -101,8 +108,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
             _open.clear()
             _open[vocabulary] = MergeCounter(vocabulary)
         counter = _open[vocabulary]
-        for rows, texts in slices(batches):
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_bytes"), pa.array([counter.count(t) for t in texts], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        for rows in cuts(batches):
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("n_bytes"), pa.array(counter.counts(rows.column("text")))], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = documents(docs).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
