@@ -21,7 +21,7 @@ from zonepack.operators import reports, spatial, warm
 from zonepack.operators import strata as S
 from zonepack.plans.catalog import BOX, Catalog, Plan, PlanError
 from zonepack.sources import packages as P
-from zonepack.sources.staging import stage
+from zonepack.sources.staging import new_path, stage
 
 S_BOX = tuple(f"s_{c}" for c in BOX)
 
@@ -82,6 +82,13 @@ class Packager:
         if warm_mode != "off" and not (warm_dir and any(catalog.layers[i].warm for i in self.layer_ids)):
             raise PlanError("a warm start needs a folder and a warm-marked layer")
         self.memo = M.PrefixMemo()
+        self._staged: list[str] = []
+
+    def _stage(self, df: DataFrame, name: str) -> DataFrame:
+        """Like ``stage``, until the run has ended."""
+        self._staged.append(new_path(self.spark, name))
+        df.write.parquet(self._staged[-1])
+        return self.spark.read.schema(df.schema).parquet(self._staged[-1])
 
     @cached_property
     def plans(self) -> list[Plan]:
@@ -199,16 +206,26 @@ class Packager:
         A layer that cannot be written fails the strata with it, a stratum without a display name only itself; what is good
         is published, and at the end the run fails with ``RunFailed``, unless ``fail_at_end`` is False.
         """
+        try:
+            return self._package(out_dir, fail_at_end)
+        finally:
+            for path in self._staged:
+                P.delete(self.spark, path)
+            self._staged.clear()
+            self.memo.clear()
+            self.__dict__.pop("strata", None)  # it may read what is deleted; made anew when it is asked for
+
+    def _package(self, out_dir: str, fail_at_end: bool) -> DataFrame:
         self.check()
         if self.is_dry:
             return self.report()
         spark, built = self.spark, f"{out_dir}/_staging/{uuid.uuid4().hex}"
-        everyone = self.strata = stage(self.strata, "strata")
+        everyone = self.strata = self._stage(self.strata, "strata")
         listed = spark.createDataFrame([(p.layer.id,) for p in self.plans], "layer string")
         before, rows = read_manifest(spark, out_dir), []
         if before is not None:
             existing = before.select("bundle_rel").distinct()
-            self.strata = stage(P.apply_mode(everyone, existing, self.overwrite_mode).select(everyone.columns), "strata")
+            self.strata = self._stage(P.apply_mode(everyone, existing, self.overwrite_mode).select(everyone.columns), "strata")
             if self.overwrite_mode == "skip-existing":
                 rows.append(P.skipped_rows(everyone, existing, listed).withColumn("feature_count", F.lit(None).cast("long")))
         full = self.full and (before is None or self.overwrite_mode != "skip-existing" or before.where(F.col("bundle_rel") == self._full_bundle()).isEmpty())
@@ -216,12 +233,12 @@ class Packager:
             raise FileExistsError(self._full_bundle())
         failures: dict[str, str] = {}
         if self.display_expr:
-            lost = stage(self._failed(), "failed")
+            lost = self._stage(self._failed(), "failed")
             gone = self.strata.join(lost, "stratum_id").select(F.col("name").alias("stratum"), "reason")
             rows.append(reports.each(gone, listed).select("stratum", "layer", F.lit(None).cast("long").alias("feature_count"), F.lit("failed").alias("status"), F.col("reason").alias("detail")))
             if not lost.isEmpty():
                 failures["strata"] = ", ".join(r[0] for r in gone.select("stratum").orderBy("stratum").limit(20).collect())
-            self.strata = stage(self.strata.join(lost, "stratum_id", "left_anti"), "strata")
+            self.strata = self._stage(self.strata.join(lost, "stratum_id", "left_anti"), "strata")
         cache = self._cache(everyone)
         names = self.strata.select("stratum_id", F.col("name").alias("stratum"))
         manifest = []
@@ -246,9 +263,9 @@ class Packager:
             why = "; ".join(f"{i}: {w}" for i, w in broken.items())
             report = reports.each(everyone.select(F.col("name").alias("stratum")), listed).select("stratum", "layer", F.lit(None).cast("long").alias("feature_count"), F.lit("failed").alias("status"), F.lit(why).alias("detail"))
             P.delete(spark, built)
-            return self._ended(report, failures, fail_at_end)
+            report.write.mode("overwrite").parquet(f"{out_dir}/_failed")
+            return self._ended(spark.read.schema(report.schema).parquet(f"{out_dir}/_failed"), failures, fail_at_end)
         self._publish(out_dir, built, union(manifest), before, union(rows))
-        self.memo.clear()
         return self._ended(spark.read.parquet(f"{P.current(spark, out_dir)}/_report"), failures, fail_at_end)
 
     @staticmethod
@@ -310,7 +327,7 @@ class Packager:
 
     def _publish(self, out_dir: str, built: str, manifest: DataFrame, before: DataFrame | None, report: DataFrame) -> None:
         run = f"version-{uuid.uuid4().hex}"
-        manifest = stage(manifest, "manifest")
+        manifest = self._stage(manifest, "manifest")
         whole = manifest.withColumn("run", F.lit(run))
         if before is not None:  # bundles that this run does not replace
             whole = whole.unionByName(before.join(manifest.select("bundle_rel").distinct(), "bundle_rel", "left_anti").select(whole.columns))
@@ -341,7 +358,7 @@ class Cache:
         if P.exists(spark, f"{self.root}/_tables"):  # it lists empty tables too
             parts.append(spark.read.parquet(f"{self.root}/_tables").select(F.col("stratum_id").cast(kind).alias("stratum_id"), "table"))
         nothing = spark.createDataFrame([], "stratum_id string, table string").withColumn("stratum_id", F.col("stratum_id").cast(kind))
-        self.state = stage(warm.usable(packager.strata, tables, union([nothing, *parts]).distinct()), "cache-state")
+        self.state = packager._stage(warm.usable(packager.strata, tables, union([nothing, *parts]).distinct()), "cache-state")
         self.cold = not self.state.where("not usable").isEmpty()
         self.held = held
 
