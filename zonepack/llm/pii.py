@@ -29,9 +29,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from zonepack.llm.shared import documents, slices
+from zonepack.llm.word_ids import take_turn
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "address", "account")
@@ -135,6 +137,7 @@ def find(docs: DataFrame) -> DataFrame:
     names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("personal data")
         spans_of = finder()
         for rows, texts in slices(batches):
             found = [spans_of(t) for t in texts]
@@ -160,15 +163,16 @@ def redact(docs: DataFrame) -> DataFrame:
     n_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("personal data")
         spans_of = finder()
-        for batch in batches:
-            columns, texts = list(batch.columns), batch.column(at).to_pylist()
-            clean = [t if t is None else without(t, spans_of(t)) for t in texts]
-            columns[at] = pa.array(clean, batch.schema.field(at).type)
+        for rows, texts in slices(batches):
+            columns = list(rows.columns)
+            clean = [without(t, spans_of(t)) for t in texts]
+            columns[at] = pc.if_else(rows.column(at).is_valid(), pa.array(clean, rows.schema.field(at).type), None)
             if n_chars is not None:
                 old = columns[n_chars].to_pylist()
-                columns[n_chars] = pa.array([n if t == c else len(c) for n, t, c in zip(old, texts, clean)], batch.schema.field(n_chars).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+                columns[n_chars] = pa.array([n if t == c else len(c) for n, t, c in zip(old, texts, clean)], rows.schema.field(n_chars).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=rows.schema)
 
     return docs.mapInArrow(run, docs.schema)
 

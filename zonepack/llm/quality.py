@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonepack.llm.shared import documents, held_out, sample_filter, slices, stage
+from zonepack.llm.word_ids import take_turn
 
 SAMPLE = 20_000
 BINS = 32
@@ -173,6 +174,7 @@ def featurise(docs: DataFrame) -> DataFrame:
     """(doc_id, one double column for each of ``FEATURES``) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("features")
         for rows, texts in slices(batches):
             x = features(texts)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(x[:, f]) for f in range(len(FEATURES)))], ["doc_id", *FEATURES])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-MOST_IDS = 1_000_000
+MOST_IDS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,12 +82,15 @@ def sample_filter(rows: int, bound: int, *key: str | Column) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(1 << 30)) < F.lit(int((1 << 30) * bound / rows))
 
 
+def to_all(staged: DataFrame) -> DataFrame:
+    """A staged table of ids for a join: it goes to all tasks while it has at most ``MOST_IDS`` rows, so that sets and
+    texts stay where they are; beyond that both sides are shuffled, and Spark splits skewed keys."""
+    return F.broadcast(staged) if staged.count() <= MOST_IDS else staged
+
+
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not among ``ids`` (doc_id). While these are at most ``MOST_IDS`` they go to
-    all tasks and no text is shuffled; beyond that both sides are, and Spark splits skewed keys."""
-    ids = stage(ids.distinct(), "ids")
-    few = ids.count() <= MOST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` whose doc_id is not among ``ids`` (doc_id)."""
+    return docs.join(to_all(stage(ids.distinct(), "ids")), "doc_id", "left_anti").select(docs.columns)
 
 
 def cuts(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Bytes that a generation of a worker's word store may hold, and what an entry takes besides its characters.
-MOST_BYTES = 40 << 20
+MOST_BYTES = 28 << 20
 ENTRY_BYTES = 160
 LONGEST_KEPT = 64
 
