@@ -7,13 +7,19 @@ context, down to a uniform code over the alphabet. The counts are frozen after l
 length of a text is exact and does not depend on what was read before it; the language with the
 shortest one is predicted, ``score`` is its share of the probability under equal priors.
 
-Because the counts are frozen, all escapes are resolved once: every context that the trees keep (the
-``MOST_CONTEXTS`` most frequent; others fall back to their longest kept suffix) is a row of code
-lengths for each next byte and language. Scoring is two table look-ups a byte, in numpy over whole
-texts.
+Because the counts are frozen, all escapes are resolved once: every context that the trees keep is a
+row of code lengths for each next byte and language. The trees are pruned to the ``MOST_CONTEXTS`` most
+frequent contexts; others fall back to their longest kept suffix, so their order varies. Byte values
+beyond the ``MOST_SYMBOLS`` most frequent are one symbol; each of them pays for the choice among these,
+so lengths are those of a code that can be decoded, on any corpus. Scoring is two table look-ups a
+byte, in numpy over whole texts.
+
+``score`` is the share of the predicted language in the probability that the trees give to a stretch of
+``STRETCH`` bytes at the text's own rate (to the whole text if it is shorter): over a whole long text
+the share would be 1 for any language that is a little ahead.
 
 Learning reads text and non-null lang of rows whose crc32(doc_id as text) mod 5 is not 0: at most
-about ``SAMPLE`` rows of a language, chosen by a hash of the text, and all rows below that. Spark
+about ``SAMPLE`` rows of a language, chosen by a hash of doc_id, and all rows below that. Spark
 counts the byte runs; the driver gets at most the distinct ones of the sample.
 
 ``und``, score 0: text is null or has no letter, or nothing could be learned (an empty table). Very
@@ -39,10 +45,15 @@ SAMPLE = 1000
 MOST_CONTEXTS = 8192
 MOST_SYMBOLS = 160
 LETTER = re.compile(r"[^\W\d_]")
-#: Bits a byte above which a text is in none of the learned languages: plain bytes would be shorter.
-REJECT_BITS = 8.0
-#: Texts of fewer bytes are too short to be rejected by their rate: one key or address in them may outweigh the words.
-LEAST_BYTES = 256
+STRETCH = 64
+#: A text is in none of the learned languages when even the best code of its words is longer, by more than
+#: ``MARGIN_BITS``, than ``REJECT_BITS`` a byte, which is half as much again as plain bytes. Held-out texts of the
+#: learned languages take 2 to 4 bits a byte (up to 10 in rare capitals, when few texts were learned), others from 14 up.
+REJECT_BITS = 12.0
+MARGIN_BITS = 64.0
+#: Runs between white space that hold one of these bytes are numbers, keys, addresses or markup, no words.
+_ODD = np.isin(np.arange(256), np.frombuffer(b"0123456789@/_=\\<>{}", dtype=np.uint8))
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", dtype=np.uint8))
 
 
 def _runs(raw: bytes) -> np.ndarray:
@@ -82,6 +93,7 @@ class Trees:
                 with np.errstate(divide="ignore", invalid="ignore"):
                     here = np.where(c > 0, np.log2(total + distinct) - np.log2(c), np.where(total > 0, np.log2(total + distinct) - np.log2(distinct), 0) + below)
                 bits[first[order] : first[order + 1], :, lang] = here
+        bits[:, 0] += np.log2(max(1, 256 - len(frequent)))  # a rare byte also says which of the rare ones it is
         self.bits = bits.reshape(-1, len(langs))
         self.row = (first[1] + np.arange(size**3) % size).astype(np.int32)
         pairs = np.full(size**2, -1, dtype=np.int32)
@@ -94,21 +106,27 @@ class Trees:
     def _symbols(self, runs: np.ndarray) -> np.ndarray:
         return np.stack([self.symbol[runs >> s & 0xFF] for s in (24, 16, 8, 0)], axis=1)
 
-    def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of every text under every language."""
-        raw = b"".join(bytes(ORDER) + t for t in texts)
-        s = self.symbol.astype(np.int32)[np.frombuffer(raw, dtype=np.uint8)]
+    def code_lengths(self, texts: list[bytes], words_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of every text under every language, and its bytes; of its words alone if ``words_only``."""
+        raw = np.frombuffer(b"".join(bytes(ORDER) + t for t in texts), dtype=np.uint8)
+        s = self.symbol.astype(np.int32)[raw]
         at = (s[:-3] * self.size + s[1:-2]) * self.size + s[2:-1]
         at = self.row[at] + s[3:]
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         begin = np.cumsum(sizes + ORDER) - sizes - ORDER
-        out = np.zeros((len(texts), len(self.langs)))
+        out, counted = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), dtype=np.int64)
         full = np.flatnonzero(sizes)
         if len(full):
-            edges = np.stack([begin[full], begin[full] + sizes[full]], axis=1).ravel()
+            edges = np.minimum(np.stack([begin[full], begin[full] + sizes[full]], axis=1).ravel(), len(at))
             cost = np.concatenate([self.bits[at], np.zeros((1, len(self.langs)), dtype=np.float32)])
-            out[full] = np.add.reduceat(cost, np.minimum(edges, len(cost) - 1), axis=0, dtype=np.float64)[::2]
-        return out
+            taken = np.ones(len(cost), dtype=np.int64)
+            if words_only:  # the zero bytes between texts end a run as white space does
+                run = np.cumsum(_SPACE[raw] | (raw == 0))
+                taken[:-1] = (np.bincount(run, _ODD[raw])[run] == 0)[ORDER:]
+                cost[taken == 0] = 0
+            out[full] = np.add.reduceat(cost, edges, axis=0, dtype=np.float64)[::2]
+            counted[full] = np.add.reduceat(taken, edges)[::2]
+        return out, counted
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Trees | None:
@@ -152,11 +170,12 @@ def predict(docs: DataFrame, trees: Trees | None, *more: str) -> DataFrame:
             some = [i for i, t in enumerate(texts) if LETTER.search(t)] if trees else []
             if some:
                 raw = [texts[i].encode() for i in some]
-                bits = trees.code_lengths(raw)
+                bits, sizes = trees.code_lengths(raw)
                 best = bits.argmin(axis=1)
                 least = bits.min(axis=1, keepdims=True)
-                score[some] = 1 / np.exp2(np.maximum(least - bits, -1000)).sum(axis=1)
-                rate[some] = least[:, 0] / [len(r) for r in raw]
+                ahead = (least - bits) * np.minimum(1, STRETCH / sizes)[:, None]
+                score[some] = 1 / np.exp2(np.maximum(ahead, -1000)).sum(axis=1)
+                rate[some] = least[:, 0] / sizes
                 for i, b in zip(some, best.tolist()):
                     langs[i] = trees.langs[b]
             columns = [c for name, c in zip(rows.schema.names, rows.columns) if name != "text"]
@@ -168,30 +187,22 @@ def predict(docs: DataFrame, trees: Trees | None, *more: str) -> DataFrame:
     return rows.mapInArrow(run, f"{fields}, lang_pred string, score double, bits_per_byte double")
 
 
-def in_known_language(docs: DataFrame, trees: Trees | None, reject_bits: float = REJECT_BITS) -> DataFrame:
-    """The rows of ``docs`` whose text is in a learned language; the columns stay. The others go:
-    no letter, or at least ``LEAST_BYTES`` bytes that take more bits each than ``reject_bits`` under
-    every language. With nothing learned all rows go."""
+def in_known_language(docs: DataFrame, trees: Trees | None, reject_bits: float = REJECT_BITS, margin: float = MARGIN_BITS) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language; the columns stay. The others go: without a
+    letter, or with words (runs without digits and the like) whose best code is longer than ``reject_bits`` a
+    byte and ``margin``. One rule for all lengths: the margin leaves texts of a word or two alone, of which
+    nothing can be said. With nothing learned all rows go."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn("languages")
         trees = shared.value
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
+        for rows, texts in slices(batches):
             keep = np.zeros(len(texts), dtype=bool)
-            begin = 0
-            while trees and begin < len(texts):
-                end, size = begin, 0
-                while end < len(texts) and size < 1 << 20:
-                    size += len(texts[end])
-                    end += 1
-                raw = [t.encode() for t in texts[begin:end]]
-                rate = trees.code_lengths(raw).min(axis=1) / [max(1, len(r)) for r in raw]
-                keep[begin:end] = [(r <= reject_bits or len(b) < LEAST_BYTES) and LETTER.search(t) is not None for r, b, t in zip(rate.tolist(), raw, texts[begin:end])]
-                begin = end
-            yield batch.filter(pa.array(keep))
+            if trees:
+                bits, sizes = trees.code_lengths([t.encode() for t in texts], words_only=True)
+                keep = (bits.min(axis=1) <= reject_bits * sizes + margin) & [LETTER.search(t) is not None for t in texts]
+            yield rows.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
 
