@@ -35,8 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonepack.llm.shared import documents, slices
-from zonepack.llm.word_ids import _Kept, take_turn
+from zonepack.llm.shared import cuts, documents, stage, without_ids
+from zonepack.llm.word_ids import _Kept, strings, take_turn, words_of
 
 WINDOW = 8
 LEAST_PLAIN = 5
@@ -45,7 +45,7 @@ LONG_RUN = 50
 COVER = 0.5
 MOST_BROADCAST = 200_000
 TABLE_BITS = 22
-UNITS = frozenset("mm cm dm m km in inch inches ft feet foot yd yard yards mile miles mg g kg t ton tons oz lb lbs ml cl dl l liter liters litre litres s sec second seconds min minute minutes h hour hours day days week weeks month months year years % percent percents degree degrees usd eur gbp dollar dollars euro euros cent cents hz khz mhz ghz w kw kwh v a j kj kcal cal pa bar mph kmh".split())
+UNITS = frozenset("meter meters metre metres centimeter centimeters centimetre centimetres kilometer kilometers kilometre kilometres gram grams kilogram kilograms pound pounds ounce ounces gallon gallons cup cups mm cm dm m km in inch inches ft feet foot yd yard yards mile miles mg g kg t ton tons oz lb lbs ml cl dl l liter liters litre litres s sec second seconds min minute minutes h hour hours day days week weeks month months year years % percent percents degree degrees usd eur gbp dollar dollars euro euros cent cents hz khz mhz ghz w kw kwh v a j kj kcal cal pa bar mph kmh".split())
 PUNCTUATION = "\"'`.,;:!?()[]{}<>*#$&%|/\\-_=+~^…“”‘’«»—–¿¡"
 
 CAPITAL, NUMBER, UNIT, ENDS, EMPTY = 1, 2, 4, 8, 16
@@ -69,7 +69,7 @@ def _word(chunk: str) -> int:
     return xxhash.xxh64_intdigest(core.lower()) & ~31 | flags
 
 
-_words = _Kept(_word, 400_000)
+_words = _Kept(_word)
 
 
 def _hashes(code: np.ndarray, n: int, width: int, seed: int = 0) -> np.ndarray:
@@ -81,89 +81,99 @@ def _hashes(code: np.ndarray, n: int, width: int, seed: int = 0) -> np.ndarray:
 
 
 class Words:
-    """The words of a text: template codes, slots, and windows of every kind.
+    """The words of a batch of texts, one text after the other: template codes, slots, and windows of every kind.
 
     ``strict`` takes a capitalised word that begins a sentence as a plain word, ``loose`` as a name."""
 
-    def __init__(self, text: str):
-        chunks = text.split()
-        coded = np.fromiter(map(_words.__getitem__, chunks), dtype=np.uint64, count=len(chunks))
+    def __init__(self, column: pa.Array):
+        words, index, ends = words_of(column)
+        words = strings(words)
+        if any(len(w.split()) > 1 for w in words):  # other white space than ASCII has
+            words, index, ends = words_of(pa.array([t and " ".join(t.split()) for t in column.to_pylist()], pa.string()))
+            words = strings(words)
+        coded = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))[index]
         flags = (coded & np.uint64(31)).astype(np.uint8)
-        begins = np.ones(len(chunks), dtype=bool)
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        begins = np.ones(len(index), dtype=bool)
         begins[1:] = flags[:-1] & ENDS > 0
+        begins[starts[starts < len(index)]] = True
         keep = flags & EMPTY == 0
         if not keep.all():
-            at = np.flatnonzero(keep)
-            coded, flags, begins = coded[keep], flags[keep], begins[keep]
-            chunks = [chunks[i] for i in at.tolist()]
-        self.chunks, self.plain = chunks, coded >> np.uint64(5)
+            index, coded, flags, begins = index[keep], coded[keep], flags[keep], begins[keep]
+            ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+            starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        self.words, self.index, self.plain = words, index, coded >> np.uint64(5)
+        self.starts, self.sizes = starts, ends - starts
+        self.text = np.repeat(np.arange(len(ends)), self.sizes)
         self.number = flags & NUMBER > 0
         unit = flags & UNIT > 0
-        unit[:1] = False
         unit[1:] &= self.number[:-1]
+        unit[starts[starts < len(index)]] = False
         name = flags & CAPITAL > 0
         code = np.where(self.number, _PLACEHOLDERS["number"], np.where(unit, _PLACEHOLDERS["unit"], self.plain))
         self.strict = np.where(name & ~begins, _PLACEHOLDERS["name"], code)
         self.loose = np.where(name, _PLACEHOLDERS["name"], code)
         self.strict_slot, self.loose_slot = self.number | unit | name & ~begins, self.number | unit | name
 
+    def _inside(self, width: int) -> np.ndarray:
+        """Where windows begin that lie in one text."""
+        n = len(self.text) - width + 1
+        return self.text[:n] == self.text[width - 1 :] if n > 0 else np.zeros(0, dtype=bool)
+
     def windows(self, width: int = WINDOW) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """(kind, positions, hashes): template windows with enough plain words, exact ones where there are none."""
-        n = len(self.chunks) - width + 1
-        if n <= 0:
+        inside = self._inside(width)
+        n = len(inside)
+        if not n:
             return []
         usable = []
         for slot, least in ((self.strict_slot, LEAST_PLAIN), (self.loose_slot, LEAST_PLAIN_LOOSE)):
             taken = np.concatenate([[0], np.cumsum(slot)])
-            usable.append(width - (taken[width:] - taken[:n]) >= least)
+            usable.append(inside & (width - (taken[width:] - taken[:n]) >= least))
         out = [(kind, np.flatnonzero(u), _hashes(code, n, width)[u]) for kind, u, code in ((STRICT, usable[0], self.strict), (LOOSE, usable[1], self.loose))]
-        rest = np.flatnonzero(~(usable[0] | usable[1]))
+        rest = np.flatnonzero(inside & ~(usable[0] | usable[1]))
         if len(rest):
             out.append((EXACT, rest, _hashes(self.plain, n, width, EXACT)[rest]))
         return out
 
-    def whole(self, width: int) -> np.ndarray:
-        """Hashes of the runs of ``width`` words, for items that are no longer than that."""
-        n = len(self.chunks) - width + 1
-        return _hashes(self.plain, n, width, EXACT + width) if n > 0 else np.zeros(0, dtype=np.uint64)
+    def whole(self, width: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """The runs of ``width`` words, for items that are no longer than that."""
+        inside = np.flatnonzero(self._inside(width))
+        return WHOLE * width, inside, _hashes(self.plain, len(self.plain) - width + 1, width, EXACT + width)[inside] if len(inside) else np.zeros(0, dtype=np.uint64)
+
+    def slots(self, at: int, width: int) -> list[dict]:
+        """Offset, value and kind of the slots of a window."""
+        return [{"k": k, "value": self.words[self.index[at + k]].strip(PUNCTUATION).lower(), "number": bool(self.number[at + k])} for k in np.flatnonzero(self.loose_slot[at : at + width]).tolist()]
 
-    def slots(self, at: int, width: int) -> list[tuple[int, str, bool]]:
-        """(offset, value, number) of the slots of a window."""
-        return [(k, self.chunks[at + k].strip(PUNCTUATION).lower(), bool(self.number[at + k])) for k in np.flatnonzero(self.loose_slot[at : at + width]).tolist()]
+    def rows(self, ids: list[int | None], found: dict[tuple[int, int], int], width: int) -> pa.RecordBatch:
+        """Rows of windows {(position, hash): kind}; the positions in them are those inside the text."""
+        at = np.array([a for a, _ in found], dtype=np.int64)
+        text = self.text[at].tolist()
+        kinds = list(found.values())
+        slots = [self.slots(a, width) if kind < EXACT else [] for a, kind in zip(at.tolist(), kinds)]
+        columns = [pa.array([ids[t] for t in text], pa.int64()), pa.array(at - self.starts[text], pa.int32()), pa.array([h for _, h in found], pa.uint64()).view(pa.int64()), pa.array(kinds, pa.int32()), pa.array(slots, _SLOTS)]
+        return pa.RecordBatch.from_arrays(columns, ["id", "at", "hash", "kind", "slots"])
 
 
 SCHEMA = "id long, at int, hash long, kind int, slots array<struct<k: int, value: string, number: boolean>>"
 _SLOTS = pa.list_(pa.struct([("k", pa.int32()), ("value", pa.string()), ("number", pa.bool_())]))
 
 
-def _rows(found: list[tuple[int | None, Words, list[tuple[int, int, int]]]], width: int) -> pa.RecordBatch:
-    """Rows of (id, words, [(kind, position, hash)])."""
-    out: list[list] = [[], [], [], [], []]
-    for i, words, own in found:
-        for kind, at, value in own:
-            slots = words.slots(at, width) if kind & (STRICT | LOOSE) and kind < WHOLE else []
-            for column, x in zip(out, (i, at, value, kind, [{"k": k, "value": v, "number": n} for k, v, n in slots])):
-                column.append(x)
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.uint64()).view(pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], _SLOTS)], ["id", "at", "hash", "kind", "slots"])
-
-
 def item_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
     """All windows of ``items`` (item_id, text). ``kind`` adds up where one hash is of two kinds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in slices(batches):
-            found = []
-            for i, text in zip(rows.column("id").to_pylist(), texts):
-                words = Words(text)
-                kinds: dict[tuple[int, int], int] = {}
-                for kind, at, hashes in words.windows(width):
-                    for own in zip(at.tolist(), hashes.tolist()):
-                        kinds[own] = kinds.get(own, 0) | kind
-                n = len(words.chunks)
-                if 0 < n < width:
-                    kinds[0, int(words.whole(n)[0])] = WHOLE * n
-                found.append((i, words, [(kind, at, h) for (at, h), kind in kinds.items()]))
-            yield _rows(found, width)
+        take_turn("templates")
+        for rows in cuts(batches):
+            words = Words(rows.column("text"))
+            kinds: dict[tuple[int, int], int] = {}
+            for kind, at, hashes in words.windows(width):
+                for own in zip(at.tolist(), hashes.tolist()):
+                    kinds[own] = kinds.get(own, 0) | kind
+            for n in {n for n in words.sizes.tolist() if 0 < n < width}:
+                kind, at, hashes = words.whole(n)
+                kinds |= {(a, h): kind for a, h in zip(at.tolist(), hashes.tolist()) if words.sizes[words.text[a]] == n}
+            yield words.rows(rows.column("id").to_pylist(), kinds, width)
 
     return items.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
@@ -186,29 +196,21 @@ def window_table(windows_of_items: DataFrame) -> np.ndarray:
 def leaks(docs: DataFrame, items: DataFrame, cover: float = COVER, width: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, windows, coverage, reparameterised) of every item that leaks into a document."""
     spark = docs.sparkSession
-    wanted = item_windows(items, width).persist()
+    wanted = stage(item_windows(items, width), "windows")
     table = spark.sparkContext.broadcast(window_table(wanted))
 
     short = [r.n for r in wanted.where(F.col("kind") >= WHOLE).select((F.col("kind") / WHOLE).cast("int").alias("n")).distinct().collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn("templates")
-        for rows, texts in slices(batches):
-            found = []
-            for doc_id, text in zip(rows.column("doc_id").to_pylist(), texts):
-                words = Words(text)
-                kinds = words.windows(width)
-                for n in short:
-                    hashes = words.whole(n)
-                    kinds.append((WHOLE * n, np.arange(len(hashes)), hashes))
-                own = {}
-                for kind, at, hashes in kinds:
-                    for i in np.flatnonzero(table.value[hashes >> np.uint64(64 - TABLE_BITS)]).tolist():
-                        own[int(at[i]), int(hashes[i])] = kind
-                if own:
-                    found.append((doc_id, words, [(kind, at, h) for (at, h), kind in own.items()]))
+        for rows in cuts(batches, most=1 << 19):
+            words = Words(rows.column("text"))
+            found: dict[tuple[int, int], int] = {}
+            for kind, at, hashes in [*words.windows(width), *map(words.whole, short)]:
+                hit = table.value[hashes >> np.uint64(64 - TABLE_BITS)]
+                found |= dict.fromkeys(zip(at[hit].tolist(), hashes[hit].tolist()), kind)
             if found:
-                yield _rows(found, width)
+                yield words.rows(rows.column("doc_id").to_pylist(), found, width)
 
     seen = documents(docs).mapInArrow(run, SCHEMA).select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "hash", F.col("slots").alias("doc_slots"))
     right = wanted.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "hash", "kind", F.col("slots").alias("item_slots"))
@@ -260,7 +262,7 @@ def leaks(docs: DataFrame, items: DataFrame, cover: float = COVER, width: int =
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` into which no item leaks; rows with a null doc_id stay."""
-    return docs.join(leaks(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return without_ids(docs, leaks(docs, items).select("doc_id"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
