@@ -10,17 +10,24 @@ Words are runs of bytes other than ASCII white space, A-Z lower-cased; a documen
    shingles whose hash is in the lowest ``1 / probe_part(percent)``: they are grouped over all documents, and a set
    with n - ceil(0.9 n) + 1 such shingles of its own is done. What passages many documents share does
    not matter here.
-3. Prefix keys of the remaining sets: in the order of hashes, two linked sets share one of their first
-   n - ceil(0.9 n) + 1 shingles. Documents that share a key are candidates; their sets are staged.
-4. Collapse, ``ROUNDS`` times: each candidate goes with its set to one of its keys. A group is dealt to
-   blocks of about ``BLOCK``; in a block a signature tree is traversed with itself, pairs that its bounds
-   leave are compared exactly, and pairs inside a known component are passed over. So a group of near
-   copies costs its size, not its square.
-5. Rest: keys that still join two components get their documents' bitmaps. Signature trees, again in
-   blocks, name the pairs across components that may link; these are compared exactly.
+3. Prefix keys of the remaining sets. Their shingles are ordered by how many of these sets have them,
+   rarest first: a table of ``RARITY_BITS`` bits of counters, made on the executors, says it roughly, and
+   any order is right if it is one for all. Two linked sets share one of their first n - ceil(0.9 n) + 1
+   shingles, and it is among the first n - ceil(1.8 / 1.9 n) + 1 of the smaller one. So a passage that many
+   documents share makes keys only where documents have little else. Documents that share such a key are candidates.
+4. Collapse: each candidate goes with its set to ``ROUNDS`` of its keys. A group is dealt to
+   blocks of about ``BLOCK`` rows and ``BLOCK_BYTES``, and the key's pivot, of all sets that have it the one whose shingles
+   are the most common, goes to every block: where many texts are copies of one and differ from each other, it is that one. In a block the
+   pivot is compared with all, then a signature tree is traversed with itself, pairs that its bounds leave are
+   compared exactly, and pairs inside a known component are passed over. So a group of near copies costs its
+   size, not its square.
+5. Rest: keys that still join two components. Two documents are compared under their smallest common key, so
+   those that have a partner under a key go there with their sets. Every two blocks of a group meet in a task,
+   where signature trees look for links across components in the same way.
 6. Components of all links, by stars.
 
-Steps 3 and 5 consider every pair that can link, so no link between components is lost.
+Steps 3 and 5 consider every pair that can link, so no link between components is lost. Shingles are
+compared by 64-bit hashes and equal sets by 128-bit digests: exact but for collisions of these.
 
 No words or null text: n_shingles 0, component_id is the row's own doc_id, no links. One or two words:
 the whole sequence is one shingle. Rows that repeat a doc_id with other texts count as one node of the
@@ -30,28 +37,32 @@ table: no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonepack.llm.components import components
-from zonepack.llm.shared import dealt_by, documents, groups, parallelism, slices, stage
-from zonepack.llm.signature_tree import bitmap, bitmap_words, fold, pairs
-from zonepack.llm.word_ids import _Kept, take_turn
+from zonepack.llm.shared import Scratch, cuts, dealt_by, documents, groups, parallelism, stage, to_all, without_ids
+from zonepack.llm.signature_tree import pairs, signatures
+from zonepack.llm.word_ids import strings, take_turn, words_of
 
 SHINGLE = 3
 PERCENT = 90
 ROUNDS = 2
 BLOCK = 512
+BLOCK_BYTES = 16 << 20
 FILTER_BITS = 24
+RARITY_BITS = 22
+CHUNK_BITS = 16
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
-_words = _Kept(xxhash.xxh64_intdigest, 200_000)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -59,17 +70,23 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(33)
 
 
-def shingles(text: str, width: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of all shingles of ``width`` words; of the whole sequence if it is shorter."""
-    words = text.encode().lower().split()
-    coded = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
-    if not words:
-        return coded
-    width = min(width, len(words))
-    h = np.full(len(words) - width + 1, width, dtype=np.uint64)
-    for k in range(width):
-        h = _mixed(h * _A + coded[k : len(coded) - width + 1 + k] * _B)
-    return np.unique(h)
+def shingle_sets(column: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles of ``width`` words; of the whole sequence if it is shorter."""
+    words, index, ends = words_of(pc.ascii_lower(column))
+    coded = np.fromiter(map(xxhash.xxh64_intdigest, strings(words)), dtype=np.uint64, count=len(words))[index]
+
+    def mixed(coded: np.ndarray, width: int) -> np.ndarray:
+        h = np.full(max(0, len(coded) - width + 1), width, dtype=np.uint64)
+        for k in range(width):
+            h = _mixed(h * _A + coded[k : len(h) + k] * _B)
+        return h
+
+    whole = mixed(coded, width)
+    found, begin = [], 0
+    for end in ends.tolist():
+        found.append(np.unique(whole[begin : end - width + 1] if end - begin >= width else mixed(coded[begin:end], end - begin)[: end - begin]))
+        begin = end
+    return found
 
 
 def _cell(h: np.ndarray, bits: int) -> np.ndarray:
@@ -82,6 +99,11 @@ def key_count(n, percent: int = PERCENT):
     return n - (percent * n + 99 - (percent * n + 99) % 100) / 100 + 1
 
 
+def index_count(n: int, percent: int = PERCENT) -> int:
+    """The same for the smaller of two linked sets: the overlap is at least 2 p / (100 + p) of it."""
+    return n + -(2 * percent * n) // (100 + percent) + 1
+
+
 def probe_part(percent: int) -> int:
     """One in so many shingles is probed: more than the own shingles that step 2 asks for."""
     return 4 if percent >= 90 else 3 if percent >= 80 else 2
@@ -89,16 +111,15 @@ def probe_part(percent: int) -> int:
 
 def _light(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, n, digest, probe) of every row. ``probe`` has the set's shingles in the lowest part of the
-    hashes, and all key shingles; within a task it is given once for equal sets."""
+    hashes; within a task it is given once for equal sets, else it is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn("shingles")
         known: dict[bytes, int] = {}
         end = np.uint64((1 << 64) // probe_part(percent))
-        for rows, texts in slices(batches):
+        for rows in cuts(batches):
             digests, sizes, probes = [], [], []
-            for doc_id, text in zip(rows.column("doc_id").to_pylist(), texts):
-                tokens = shingles(text, width)
+            for doc_id, tokens in zip(rows.column("doc_id").to_pylist(), shingle_sets(rows.column("text"), width)):
                 digest = xxhash.xxh3_128_digest(tokens.tobytes())
                 new = len(tokens) and doc_id is not None and known.get(digest, doc_id + 1) > doc_id
                 if new:
@@ -107,16 +128,15 @@ def _light(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     known[digest] = doc_id
                 digests.append(digest)
                 sizes.append(len(tokens))
-                most = max(int(key_count(len(tokens), percent)), int(np.searchsorted(tokens, end))) if new else 0
-                probes.append(tokens[:most].view(np.int64))
+                probes.append(tokens[: int(np.searchsorted(tokens, end))].view(np.int64) if new else None)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(probes, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "probe"])
 
     return documents(docs).mapInArrow(run, "doc_id long, n long, digest binary, probe array<long>")
 
 
 def _own_shingles(light: DataFrame, percent: int) -> DataFrame:
-    """(class, own): how many probed shingles no other class has; hashes are unsigned, so the lowest are from 0 up."""
-    rows = light.select(F.xxhash64("digest").alias("class"), F.explode("probe").alias("shingle")).where(F.col("shingle").between(0, (1 << 64) // probe_part(percent) - 1))
+    """(class, own): how many probed shingles no other class has."""
+    rows = light.select(F.xxhash64("digest").alias("class"), F.explode("probe").alias("shingle"))
     of_one = rows.groupBy("shingle").agg(F.min("class").alias("class"), F.max("class").alias("last")).where("class = last")
     return of_one.groupBy("class").agg(F.count("*").alias("own"))
 
@@ -146,11 +166,66 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             ids = batch.column("doc_id").fill_null(0).to_numpy().astype(np.uint64)
             batch = batch.filter(pa.array(table[_cell(_mixed(ids), FILTER_BITS)]))
-            for rows, texts in slices(iter([batch])):
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([shingles(t, width).tobytes() for t in texts], pa.binary())], ["doc_id", "tokens"])
+            for rows in cuts(iter([batch])):
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(rows.column("text"), width)], pa.binary())], ["doc_id", "tokens"])
 
     found = documents(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, tokens binary").where(F.octet_length("tokens") > 0)
-    return found.join(ids, "doc_id")
+    return found.join(to_all(ids), "doc_id")
+
+
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """For each cell of hashes, about four times the logarithm of the number of ``sets`` that have a shingle in
+    it; 0 where it is one. A table of fixed size: counted by the tasks, summed by the shuffle in chunks."""
+    cells = 1 << RARITY_BITS - CHUNK_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << RARITY_BITS, dtype=np.uint32)
+        for batch in batches:
+            for tokens in _tokens(batch.column("tokens")):
+                table[_cell(tokens, RARITY_BITS)] += 1
+        found = [k for k in range(cells) if table[k << CHUNK_BITS : (k + 1) << CHUNK_BITS].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([zlib.compress(table[k << CHUNK_BITS : (k + 1) << CHUNK_BITS].tobytes(), 1) for k in found], pa.binary())], ["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+                more = np.frombuffer(zlib.decompress(counts), dtype=np.uint32).astype(np.uint64)
+                sums[chunk] = sums[chunk] + more if chunk in sums else more
+        coded = [np.minimum(255, 4 * np.log2(np.maximum(v, 1))).astype(np.uint8).tobytes() for v in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(coded, pa.binary())], ["chunk", "coded"])
+
+    out = np.zeros((cells, 1 << CHUNK_BITS), dtype=np.uint8)
+    counted = sets.select("tokens").mapInArrow(count, "chunk int, counts binary").repartition(min(cells, parallelism(sets.sparkSession)), "chunk")
+    for row in counted.mapInArrow(add, "chunk int, coded binary").toLocalIterator():
+        out[row.chunk] = np.frombuffer(row.coded, dtype=np.uint8)
+    return out.ravel()
+
+
+def _keys(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n, key, leads, common): the keys of each set that others may share; ``leads`` if it may be the key
+    of the smaller of two linked sets; ``common`` is how common the set's shingles are."""
+    shared = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("shingles")
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 64):
+                rows = batch.slice(begin, 64)
+                ids, sizes, keys, leads, common = [], [], [], [], []
+                for doc_id, tokens in zip(rows.column("doc_id").to_pylist(), _tokens(rows.column("tokens"))):
+                    rarity = shared.value[_cell(tokens, RARITY_BITS)]
+                    n, most = len(tokens), int(key_count(len(tokens), percent))
+                    first = np.argsort(rarity, kind="stable")[:most]  # tokens are sorted: ties go by hash
+                    first = first[rarity[first] > 0] if (lone := int(np.count_nonzero(rarity == 0))) < most else first[:0]
+                    ids.append(np.full(len(first), doc_id))
+                    sizes.append(np.full(len(first), n))
+                    keys.append(tokens[first].view(np.int64))
+                    leads.append(np.arange(lone, lone + len(first)) < index_count(n, percent))
+                    common.append(np.full(len(first), rarity.mean()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, sizes, keys, leads, common)], ["doc_id", "n", "key", "leads", "common"])
+
+    return sets.mapInArrow(run, "doc_id long, n long, key long, leads boolean, common double")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -165,64 +240,57 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _tokens(column) -> list[np.ndarray]:
-    return [np.frombuffer(t, dtype=np.uint64) for t in column]
-
+def _tokens(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """Views of the column's buffers."""
+    return [np.frombuffer(t.as_buffer(), dtype=np.uint64) for t in column]
 
-def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-
-def _collapse(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) inside the blocks of ``rows`` (key, block, doc_id, label, tokens), enough to join what links."""
+def _linking(rows: DataFrame, percent: int, *keys: str) -> DataFrame:
+    """Links (a, b) inside the groups by ``keys`` of ``rows`` (keys..., doc_id, label, is_pivot, tokens): enough to join
+    what links and has not the same label. A group's pivot, if it has one, is compared with all first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, "key", "block"):
-            ids, sets = group.column("doc_id").to_pylist(), _tokens(group.column("tokens").to_pylist())
-            sizes = np.array([len(s) for s in sets])
-            bits = np.stack([bitmap(s, bitmap_words(int(sizes.max()), 4)) for s in sets])
-            found = pairs(sizes, bits, group.column("label").to_pylist(), percent, lambda i, j: linked(sets[i], sets[j], percent))
+        take_turn("shingles")
+        for group in groups(batches, *keys):
+            ids, labels, sets = group.column("doc_id").to_pylist(), group.column("label").to_pylist(), _tokens(group.column("tokens"))
+            found: list[tuple[int, int]] = []
+            if True in (is_pivot := group.column("is_pivot").to_pylist()):
+                pivot = is_pivot.index(True)
+                found = [(pivot, i) for i in range(len(sets)) if i != pivot and linked(sets[pivot], sets[i], percent)]
+                joined = {labels[i] for _, i in found}
+                labels = [labels[pivot] if x in joined else x for x in labels]
+            if len(set(labels)) > 1:
+                bits, slack = signatures(sets, BLOCK_BYTES // 4)
+                found += pairs(np.array([len(s) for s in sets]), bits, slack, labels, percent, lambda i, j: linked(sets[i], sets[j], percent))
+            found = [(ids[i], ids[j]) for i, j in found if ids[i] != ids[j]]
             if found:
-                yield _links([(ids[i], ids[j]) for i, j in found])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
-    return dealt_by(rows, "key", "block").mapInArrow(run, "a long, b long")
+    return dealt_by(rows, *keys).mapInArrow(run, "a long, b long")
 
 
-def _candidates(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different labels that the bounds leave, of ``rows`` (key, left, right, doc_id, label, n, bits)."""
+def _needed(rows: DataFrame, percent: int) -> DataFrame:
+    """Of ``rows`` (key, left, right, doc_id, label, n, keys) those with a partner in their group that may link: of
+    another label, of a fitting size, and with no smaller key in common, under which the two meet as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("shingles")
         for group in groups(batches, "key", "left", "right"):
-            ids, labels, sizes = group.column("doc_id").to_pylist(), group.column("label").to_pylist(), group.column("n").to_numpy()
-            bits = _tokens(group.column("bits").to_pylist())
-            by_words: dict[int, list[int]] = {}
-            for i, b in enumerate(bits):
-                by_words.setdefault(len(b), []).append(i)
-            found: set[tuple[int, int]] = set()
-            for words, own in by_words.items():  # sets that can link differ by less than a factor of two
-                some = own + by_words.get(words * 2, [])
-                at = pairs(sizes[some], np.stack([fold(bits[i], words) for i in some]), [labels[i] for i in some], percent, lambda i, j: None)
-                found |= {(min(ids[some[i]], ids[some[j]]), max(ids[some[i]], ids[some[j]])) for i, j in at}
-            if found:
-                yield _links(sorted(found))
-
-    return dealt_by(rows, "key", "left", "right").mapInArrow(run, "a long, b long")
-
-
-def _verified(candidates: DataFrame, sets: DataFrame, cells: int, percent: int) -> DataFrame:
-    """The pairs that link. A cell compares the sets of two slices of the documents, each sent there once."""
-    cell = [F.pmod(F.xxhash64("a"), F.lit(cells)).alias("left"), F.pmod(F.xxhash64("b"), F.lit(cells)).alias("right")]
-    dealt = candidates.select("a", "b", *cell)
-    needed = dealt.select(F.col("left").alias("row"), F.col("right").alias("column"), F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sets, "doc_id")
-
-    def run(pair_frame: pd.DataFrame, set_frame: pd.DataFrame) -> pd.DataFrame:
-        by_id: dict[int, list[np.ndarray]] = {}
-        for doc_id, tokens in zip(set_frame["doc_id"].tolist(), _tokens(set_frame["tokens"])):
-            by_id.setdefault(doc_id, []).append(tokens)
-        found = [(a, b) for a, b in zip(pair_frame["a"].tolist(), pair_frame["b"].tolist()) if any(linked(x, y, percent) for x in by_id[a] for y in by_id[b])]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("left", "right").cogroup(needed.groupBy("row", "column")).applyInPandas(run, "a long, b long")
+            group = group.combine_chunks()
+            key, n = group.column("key")[0].as_py(), group.column("n").to_numpy()
+            labels = np.unique(group.column("label").to_numpy(), return_inverse=True)[1]
+            lists = [np.asarray(k) for k in group.column("keys").to_numpy()]
+            bits, _ = signatures([k[: int(np.searchsorted(k, key))] for k in lists], 1 << 30)
+            partner = np.zeros(len(n), dtype=bool)
+            for begin in range(0, len(n), 64):
+                some = slice(begin, begin + 64)
+                fits = (labels[some, None] != labels) & (100 * np.minimum(n[some, None], n) >= percent * np.maximum(n[some, None], n))
+                at, other = np.nonzero(fits)
+                apart = ~(bits[some][at] & bits[other]).any(axis=1)
+                partner[begin + at[apart]] = True
+            yield from group.select(["key", "left", "right", "doc_id", "label"]).filter(pa.array(partner)).to_batches()
+
+    return dealt_by(rows, "key", "left", "right").mapInArrow(run, "key long, left int, right int, doc_id long, label long")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -230,60 +298,69 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _across(rows: DataFrame) -> DataFrame:
-    """``rows`` of the keys that have two labels or more, with the number of the key's rows; of keys
-    with the same documents (the same number and two sums of their hashes) one is kept."""
+    """``rows`` of the keys that have two labels or more, with the number of the key's rows and of their
+    shingles; of keys with the same documents (the same numbers and two sums of their hashes) one is kept."""
     sums = [F.sum(F.xxhash64("doc_id", F.lit(seed)).cast("decimal(38,0)")).alias(f"sum{seed}") for seed in (1, 2)]
-    keys = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows"), *sums).where("low < high")
-    return rows.join(keys.groupBy("rows", "sum1", "sum2").agg(F.min("key").alias("key")).select("key", "rows"), "key")
+    keys = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("rows"), F.sum("n").alias("size"), *sums).where("low < high")
+    return rows.join(keys.groupBy("rows", "size", "sum1", "sum2").agg(F.min("key").alias("key")).select("key", "rows", "size"), "key")
+
+
+def _blocks(most_rows: int, token_bytes: float):
+    """Number of blocks of a key's rows: of so many rows and of ``BLOCK_BYTES`` each."""
+    return F.ceil(F.greatest(F.col("rows") / most_rows, F.col("size") * token_bytes / BLOCK_BYTES)).cast("int")
 
 
 def join(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     light = stage(_light(docs, width, percent), "light")
-    classes = stage(light.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = scratch.stage(light.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     keys = key_count(F.col("n"), percent).cast("int")
-    rows = light.where("size(probe) > 0").join(_own_shingles(light, percent), F.xxhash64("digest") == F.col("class"), "left").where(F.coalesce("own", F.lit(0)) < keys)
+    rows = light.where("probe is not null").join(_own_shingles(light, percent), F.xxhash64("digest") == F.col("class"), "left").where(F.coalesce("own", F.lit(0)) < keys)
     rows = rows.join(classes.withColumnRenamed("digest", "class_digest"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("class_digest")), "left_semi")
-    rows = rows.select("doc_id", F.explode(F.slice("probe", 1, keys)).alias("key"))
-    repeated = rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
-    shared = stage(rows.join(repeated, "key"), "shared-keys")
-    sets = stage(_sets(docs, shared.select("doc_id").distinct(), width), "sets")
+    sets = scratch.stage(_sets(docs, scratch.stage(rows.select("doc_id").distinct(), "survivors"), width), "sets")
+    rows = scratch.stage(_keys(sets, percent), "keys")
+    pivot = F.max_by("doc_id", F.struct("common", "doc_id")).alias("pivot")
+    repeated = rows.groupBy("key").agg(F.count("*").alias("rows"), F.max("leads").alias("leads"), pivot).where("rows > 1 and leads").select("key", "pivot")
+    shared = scratch.stage(rows.join(repeated, "key").select("doc_id", "n", "key", "pivot"), "shared-keys")
     own = light.where("doc_id is not null and n > 0").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = stage(own.where("a <> b").distinct(), "links")
-
-    nothing = spark.createDataFrame([], "node long, label long")
-    labels = nothing
-    found = spark.createDataFrame([], "a long, b long")
-    for turn in range(ROUNDS):
-        chosen = shared.groupBy("doc_id").agg(F.min_by("key", F.xxhash64("key", F.lit(turn))).alias("key"))
-        blocks = _across(_labelled(chosen, labels)).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.ceil(F.col("rows") / BLOCK)))
-        found = stage(found.union(_collapse(blocks.select("key", "block", "doc_id", "label").join(sets, "doc_id"), percent)), "found")
-        labels = components(found)
-
-    def bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.frombuffer(t.as_buffer(), dtype=np.uint64) for t in batch.column("tokens")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s, bitmap_words(len(s), 2)).tobytes() for s in sets], pa.binary())], ["doc_id", "n", "bits"])
+    links = scratch.stage(own.where("a <> b").distinct(), "links")
+
+    turns = [shared.groupBy("doc_id").agg(F.min_by(F.struct("key", "pivot"), F.xxhash64("key", F.lit(turn))).alias("k"), F.max("n").alias("n")) for turn in range(ROUNDS)]
+    chosen = reduce(DataFrame.union, turns).distinct().select("doc_id", "n", "k.*")
+    chosen = chosen.join(chosen.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("size")), "key").withColumn("blocks", _blocks(BLOCK, 8))
+    pivots = chosen.where("doc_id <> pivot").select("key", "pivot", "blocks").distinct().select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("doc_id"), F.col("pivot").alias("label"), F.lit(True).alias("is_pivot"))
+    chosen = chosen.where("doc_id <> pivot").select("key", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int").alias("block"), "doc_id", F.col("doc_id").alias("label"), F.lit(False).alias("is_pivot"))
+    chosen = scratch.stage(chosen.union(pivots), "chosen")
+    found = scratch.stage(_linking(sets.join(to_all(chosen), "doc_id"), percent, "key", "block"), "found")
+    labels = components(found)
 
-    rest = _across(_labelled(shared.select("doc_id", "key"), labels)).withColumn("blocks", F.ceil(F.col("rows") / (4 * BLOCK)).cast("int"))
+    rest = _across(_labelled(shared.select("doc_id", "n", "key").distinct(), labels)).withColumn("blocks", _blocks(4 * BLOCK, 8))
     own_block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     rest = rest.withColumn("own", own_block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "doc_id", "label")
-    rest = rest.join(sets.mapInArrow(bits_of, "doc_id long, n long, bits binary"), "doc_id")
-    candidates = stage(_candidates(rest, percent).distinct(), "candidates")
-    cells = max(1, candidates.count() // (8 * BLOCK)) + parallelism(spark)
-    found = found.union(_verified(candidates, sets, int(cells**0.5) + 1, percent)).union(links)
+    rest = scratch.stage(rest.select("key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "doc_id", "label", "n"), "rest")
+    lists = rest.groupBy("doc_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    needed = scratch.stage(_needed(rest.join(lists, "doc_id"), percent).withColumn("is_pivot", F.lit(False)), "needed")
+    rest = scratch.stage(_linking(sets.join(to_all(needed), "doc_id"), percent, "key", "left", "right"), "found")
+    found = found.union(rest).union(links)
     labels = components(found)
+    scratch.clear()
     out = light.select("doc_id", F.col("n").alias("n_shingles"))
     return _labelled(out, labels).select("doc_id", "n_shingles", F.col("label").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component; rows with a null doc_id stay.
-    Of rows that repeat a doc_id all stay or all go."""
-    gone = join(docs, percent, width).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    Of rows that repeat a doc_id with the same text one stays; with other texts all stay or all go."""
+    found = join(docs, percent, width).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count("*").alias("rows"))
+    flagged = stage(found.where("doc_id <> component or rows > 1"), "flagged")
+    left = without_ids(docs, flagged.where("doc_id <> component").select("doc_id"))
+    repeated = flagged.where("doc_id = component").select("doc_id")
+    if repeated.isEmpty():
+        return left
+    once = docs.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

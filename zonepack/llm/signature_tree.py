@@ -28,9 +28,23 @@ def bitmap(tokens: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
-def fold(bits: np.ndarray, words: int) -> np.ndarray:
-    """The bitmap of the same tokens with fewer words."""
-    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+def signatures(sets: list[np.ndarray], most_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, slack) of the sets of a block. Tokens that only one set has are left out and the others get a bit each,
+    so that common bits are the overlap; where that takes more than ``most_bytes``, bits are shared by
+    tokens, and slack says how many tokens of a set share one with another of its own."""
+    sizes = np.array([len(s) for s in sets])
+    tokens, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    own = counts > 1
+    words = max(1, -(-int(own.sum()) // 64))
+    if words * 8 * len(sets) > most_bytes:
+        words = min(bitmap_words(int(sizes.max()), 4), max(4, 1 << (most_bytes // (8 * len(sets))).bit_length() - 1))
+        bits = np.stack([bitmap(s, words) for s in sets])
+        return bits, sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+    place = (np.cumsum(own) - 1)[at]
+    rows, place = np.repeat(np.arange(len(sets)), sizes)[own[at]], place[own[at]]
+    bits = np.zeros((len(sets), words * 8), dtype=np.uint8)
+    np.bitwise_or.at(bits, (rows, place >> 3), np.left_shift(1, place & 7).astype(np.uint8))
+    return bits.view(np.uint64), np.zeros(len(sets), dtype=np.int64)
 
 
 class Components:
@@ -47,17 +61,15 @@ class Components:
         self.parent[self.find(j)] = self.find(i)
 
 
-def pairs(sizes: np.ndarray, bits: np.ndarray, labels: list, percent: int, accept: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+def pairs(sizes: np.ndarray, bits: np.ndarray, slack: np.ndarray, labels: list, percent: int, accept: Callable[[int, int], bool]) -> list[tuple[int, int]]:
     """Pairs (i, j) in different components for which the bounds leave 100 * overlap >= percent * union
-    possible and ``accept`` is true. When ``accept`` returns True the two components become one, so
-    what is found links every document to its component, without all pairs inside it. When it returns
-    None the pair is reported and the components stay apart."""
+    possible and ``accept`` is true. The two components become one, so what is found links every document
+    to its component, without all pairs inside it."""
     n = len(sizes)
     # sizes first, then like bitmaps side by side: leaves of near copies stay sparse
     order = np.lexsort((bits[:, 0], np.array([hash(x) for x in labels], dtype=np.int64), sizes)) if n else np.zeros(0, dtype=np.int64)
-    sizes, bits = sizes[order].astype(np.int64), bits[order]
+    sizes, bits, slack = sizes[order].astype(np.int64), bits[order], slack[order]
     comp = Components([labels[i] for i in order.tolist()])
-    slack = sizes - np.bitwise_count(bits).sum(axis=1).astype(np.int64)  # tokens that share a bit with another of their set
     levels = []
     starts = np.arange(0, n, LEAF)
     level = (np.bitwise_or.reduceat(bits, starts, axis=0), np.minimum.reduceat(sizes, starts), np.maximum.reduceat(sizes, starts), np.maximum.reduceat(slack, starts)) if n else None
@@ -100,9 +112,7 @@ def pairs(sizes: np.ndarray, bits: np.ndarray, labels: list, percent: int, accep
         for x, y in zip(*(z.tolist() for z in np.nonzero(may))):
             i, j = a * LEAF + x, b * LEAF + y
             if i < j and comp.find(i) != comp.find(j):
-                ok = accept(int(order[i]), int(order[j]))
-                if ok or ok is None:
+                if accept(int(order[i]), int(order[j])):
                     found.append((int(order[i]), int(order[j])))
-                if ok:
                     comp.union(i, j)
     return found
