@@ -108,9 +108,9 @@ def test_lengths_are_a_full_limited_code(n, max_bits):
     pick = np.random.default_rng(n)
     lengths = np.array([1, 7, 2000, 1])
     ids = pick.integers(0, n, lengths.sum()) * 3
-    payloads, marks = code.encode(ids, lengths, stride=64)
-    starts = np.cumsum([0, *(len(p) for p in payloads)])[:-1] * 8
-    again = code.decode(b"".join(payloads), np.concatenate([m + s for m, s in zip(marks, starts)]), lengths, stride=64)
+    raw, ends, marks, mark_ends = code.encode(ids, lengths, stride=64)
+    before = np.repeat(np.concatenate([[0], ends[:-1]]) * 8, np.diff(mark_ends, prepend=0))
+    again = code.decode(raw, marks + before, lengths, stride=64)
     assert again.tolist() == ids.tolist()
 
 
@@ -199,7 +199,7 @@ def test_code_lengths_equal_a_walk_down_the_trees(documents):
     trees = language_id.Trees(langs, counts)
     alphabet = len({b for ts in by_lang.values() for t in ts for b in t}) + 1
     text = rows[0].text.encode()[:300]
-    got = trees.code_lengths([text])[0]
+    got = trees.code_lengths([text])[0][0]
     for lang, bits in zip(langs, got):
         seen = [defaultdict(lambda: defaultdict(int)) for _ in range(4)]
         for t in by_lang[lang]:
@@ -222,6 +222,34 @@ def test_code_lengths_equal_a_walk_down_the_trees(documents):
         assert bits == pytest.approx(total, rel=1e-4)
 
 
+def test_code_lengths_are_those_of_a_code(documents):
+    """In every context the lengths of all 256 next bytes leave room for a code, with rare byte values as well."""
+    texts = [r.text.encode() for r in documents.where("doc_id < 30").collect()] + [bytes(range(1, 256)) * 2]
+    run, n = np.unique(np.concatenate([language_id._runs(t) for t in texts]), return_counts=True)
+    for most in (160, 40):
+        language_id.MOST_SYMBOLS, before = most, language_id.MOST_SYMBOLS
+        try:
+            trees = language_id.Trees(["x"], [(run, n.astype(float))])
+        finally:
+            language_id.MOST_SYMBOLS = before
+        bits = trees.bits.reshape(-1, trees.size)[:, trees.symbol]
+        room = np.exp2(-bits.astype(np.float64)).sum(axis=1)
+        assert room.max() <= 1 + 1e-6 and trees.size <= most + 1
+        total, sizes = trees.code_lengths([b"\xfe\xff abc", b""])
+        assert sizes.tolist() == [6, 0] and total[1, 0] == 0 and total[0, 0] > 2 * np.log2(255 - most) - 1
+
+
+def test_foreign_texts_go_at_any_length(spark, documents):
+    trees = language_id.learn(documents)
+    russian = "Съешь ещё этих мягких французских булок да выпей чаю"
+    own = documents.where("length(text) > 400").limit(40).collect()
+    clean = [r.text[: r.text.index(" ", cut)] for r in own for cut in (8, 30, 100)] + ["key: sk-93a8Zc0Qx1Lw77 2024-01-01", f"{own[0].text[:60]} 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08"]
+    foreign = [russian[:22], russian, russian * 20, "漢字仮名交じり文を書く", "नमस्ते दुनिया, आप कैसे हैं"]
+    docs = spark.createDataFrame(list(enumerate(clean + foreign + ["漢", "123 456", ""])), "doc_id long, text string")
+    kept = {r.doc_id for r in language_id.in_known_language(docs, trees).collect()}
+    assert kept == set(range(len(clean))) | {len(clean) + len(foreign)}
+
+
 def test_language_of_odd_texts(documents, odd, empty):
     trees = language_id.learn(documents)
     found = [(r.doc_id, r.lang_pred, r.score) for r in language_id.predict(odd, trees).collect()]
@@ -265,6 +293,61 @@ def test_tables_and_pairs_learn_an_interaction():
     assert (0, 1) in model.pairs and ((model.score(x) > 0.5) == y).mean() > 0.97
 
 
+def plain_features(text):
+    """The features of one text, byte by byte and word by word."""
+    kinds = dict.fromkeys(["upper", "digit", "space", "stop", "symbol", "high", "newline"], 0)
+    raw = text.encode()
+    for b in raw:
+        c = chr(b)
+        kind = "high" if b > 127 else "newline" if c == "\n" else "space" if c in " \t\x0b\x0c\r" else "upper" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9" else "stop" if c in ".," else None if "a" <= c <= "z" else "symbol"
+        if kind:
+            kinds[kind] += 1
+    out = {"log_bytes": np.log(1 + len(raw)), **{k: v / max(1, len(raw)) for k, v in kinds.items()}}
+    words, lines = text.split(), text.split("\n")
+    rest = ["log_words", "word_bytes", "distinct_words", "top_word", "same_as_before", "odd_end", "short_words", "long_words", "log_lines", "distinct_lines", "words_in_line"]
+    if not words:
+        return {**out, **dict.fromkeys(rest, 0.0)}
+    n = len(words)
+    values = [
+        np.log(1 + n), sum(map(len, words)) / n, len(set(words)) / n, max(words.count(w) for w in set(words)) / n, sum(a == b for a, b in zip(words, words[1:])) / n,
+        sum(w[-1] in "#$%&*|!<>{}=~^_@+\\/" for w in words) / n, sum(len(w) < 4 for w in words) / n, sum(len(w) > 12 for w in words) / n, np.log(1 + len(lines)), len(set(lines)) / len(lines), n / len(lines),
+    ]
+    return {**out, **dict(zip(rest, values))}
+
+
+def test_features_equal_plain_counts(documents):
+    texts = [r.text for r in documents.limit(60).collect()] + ["", " \n ", "A1 a1!\n\nÉé é.", "x\x0by\tz, z"]
+    got = quality.features(texts)
+    for i, text in enumerate(texts):
+        expected = plain_features(text)
+        assert got[i] == pytest.approx([expected[f] for f in quality.FEATURES], abs=1e-9), repr(text[:60])
+
+
+def test_scores_equal_plain_look_ups(spark):
+    """Bins, table entries and the pairs' cells, one row at a time; bin edges against sorted values."""
+    pick = np.random.default_rng(6)
+    x = np.round(pick.random((400, len(quality.FEATURES))), 2)
+    y = (x[:, 0] + x[:, 3] * x[:, 5] > 0.8).astype(float)
+    model = quality.AdditiveModel(x, y)
+    for f, edges in enumerate(model.edges):
+        assert len(edges) < quality.BINS and (np.diff(edges) > 0).all() and edges.min() >= x[:, f].min() and edges.max() <= x[:, f].max()
+    for row, score in zip(x[:50], model.score(x[:50])):
+        at = [sum(bool(edge <= v) for edge in model.edges[f]) for f, v in enumerate(row)]
+        logit = model.intercept + sum(model.tables[f][b] for f, b in enumerate(at)) + sum(t[at[a], at[b]] for (a, b), t in zip(model.pairs, model.pair_tables))
+        assert score == pytest.approx(1 / (1 + np.exp(-logit)))
+
+
+def test_a_step_of_boosting_is_the_best_tree_of_two_leaves():
+    pick = np.random.default_rng(7)
+    for _ in range(20):
+        g, h = pick.normal(size=9), pick.random(9) + 0.1
+        gain = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 1)
+        cut = max(range(1, 9), key=lambda c: gain(0, c) + gain(c, 9))
+        expected = [g[:cut].sum() / (h[:cut].sum() + 1)] * cut + [g[cut:].sum() / (h[cut:].sum() + 1)] * (9 - cut)
+        if gain(0, cut) + gain(cut, 9) > gain(0, 9) + 1e-9:
+            assert quality._tree(g, h, 2) == pytest.approx(expected)
+
+
 # 5: personal data
 
 PATTERNS = [
@@ -381,11 +464,20 @@ def test_tree_bounds_lose_no_pair():
             copy[pick.integers(0, len(copy), max(1, len(copy) // 15))] = pick.integers(0, 1 << 63, dtype=np.uint64)
             sets.append(np.unique(copy))
     sizes = np.array([len(s) for s in sets])
-    bits = np.stack([S.bitmap(s, 4) for s in sets])
-    seen = S.pairs(sizes, bits, list(range(len(sets))), 90, lambda i, j: None)
-    seen = {tuple(sorted(p)) for p in seen}
-    real = {(i, j) for i in range(len(sets)) for j in range(i) if jaccard_join.linked(sets[i], sets[j], 90)}
-    assert {tuple(sorted(p)) for p in real} <= seen and len(seen) < len(sets) ** 2 / 4
+    real = {(j, i) for i in range(len(sets)) for j in range(i) if jaccard_join.linked(sets[i], sets[j], 90)}
+    for most_bytes in (1 << 24, 1 << 12):  # a bit a token, and bits that tokens share
+        bits, slack = S.signatures(sets, most_bytes)
+        assert (most_bytes > 1 << 12) == (not slack.any()) and bits.nbytes <= max(most_bytes, len(sets) * 32)
+        asked = []
+        S.pairs(sizes, bits, slack, list(range(len(sets))), 90, lambda i, j: asked.append(tuple(sorted((i, j)))))
+        assert real <= set(asked) and len(asked) < len(sets) ** 2 / 4
+        if not slack.any():
+            assert real == set(asked)
+        found = S.pairs(sizes, bits, slack, list(range(len(sets))), 90, lambda i, j: jaccard_join.linked(sets[i], sets[j], 90))
+        comp = S.Components(list(range(len(sets))))
+        for i, j in found:
+            comp.union(i, j)
+        assert all(comp.find(i) == comp.find(j) for i, j in real) and len(found) < len(sets)
 
 
 # 6: decontamination
@@ -438,3 +530,87 @@ def test_items_that_templates_leave_out(spark):
     words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
     docs = [f"Task: {t} That was it." for t in (dense, names, short)] + [" ".join(["so", *words[60:160], "on"]), " ".join(["so", *words[60:100], "on"]), "What is the capital of Spain? Paris is that of France."]
     assert leaked(spark, docs, [dense, names, short, " ".join(words)]) == {(0, 0): False, (1, 1): False, (2, 2): False, (3, 3): False}
+
+
+def test_an_id_that_many_rows_repeat_is_spread(spark, tmp_path, library):
+    rows = [(7 if i % 3 else i, f"text {i} of many") for i in range(300)] + [(None, f"nothing {i}") for i in range(150)]
+    token_codec.encode(spark.createDataFrame(rows, "doc_id long, text string"), VOCABULARY, str(tmp_path / "f"))
+    found = sorted((r.start, r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in token_codec.decode(spark, str(tmp_path / "f")).collect())
+    assert [i for _, i, _ in found] == sorted((i for i, _ in rows), key=lambda i: -1 if i is None else i)
+    assert sorted((str(i), ids) for _, i, ids in found) == sorted((str(i), library(t) + [1]) for i, t in rows)
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "f/blocks")).selectExpr("bucket", "size(doc_ids) as n").groupBy("bucket").sum("n").toDF("bucket", "count").collect()]
+    assert len(sizes) == 4 and max(sizes) < 200
+
+
+def test_components_of_long_paths(spark, monkeypatch):
+    from zonepack.llm import components as C
+
+    monkeypatch.setattr(C, "CHUNK", 7)  # pickled with the function: paths are longer than a chunk
+    pick = random.Random(11)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(200 + 2 * i, 202 + 2 * i) for i in range(20)] + [(5, 9), (9, 5), (4, 4)]
+    pick.shuffle(edges)
+    found = {r.node: r.label for r in C.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    assert found == {i: 100 for i in range(100, 161)} | {200 + 2 * i: 200 for i in range(21)} | {5: 5, 9: 5}
+
+
+def test_long_texts_in_one_group(spark):
+    pick = random.Random(12)
+    base = [pick.choice("abcdefghij") + str(pick.randint(0, 4000)) for _ in range(20_000)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 7):
+        copy = list(base)
+        for _ in range(100 if i < 4 else 900):  # three words of 300 shingles changed, and 13 in a hundred
+            copy[pick.randrange(len(copy))] = f"new{pick.randint(0, 99)}"
+        docs.append((i, " ".join(copy)))
+    docs += [(7, " ".join(base[:10_000])), (8, "few words"), (9, "few words")]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == brute_components(docs)
+    item = " ".join(base[300:330])
+    assert leaked(spark, [docs[0][1], docs[7][1], docs[8][1]], [item]) == {(0, 0): False, (1, 0): False}
+
+
+def test_templated_pages_make_no_candidates(spark):
+    """Pages with four fifths of their words in common: no two link, and the common words make no keys."""
+    pick = random.Random(13)
+    common = [f"t{i}" for i in range(240)]
+    rows = [(i, " ".join([f"p{i}x{pick.randint(0, 10**6)}" for _ in range(60)] + common)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = jaccard_join._sets(docs, docs.select("doc_id"), 3)
+    keys = jaccard_join._keys(sets, 90).where("leads").groupBy("key").count().where("count > 1")
+    assert keys.count() == 0
+    assert {r.component_id for r in jaccard_join.join(docs).collect()} == set(range(300))
+
+
+def reparameterise(pick, words, slots):
+    """The words with the slots of each kind filled by a one-to-one choice of values."""
+    names = pick.sample("Anna Boris Carla Dmitri Elena Fritz Gustav Hanna Igor Jonas Karla Ludwig Mona Nils".split(), 4)
+    numbers = pick.sample(range(2, 900), 4)
+    units = pick.sample("kg km liters hours meters miles".split(), 1)
+    return " ".join({"name": lambda k: names[k], "number": lambda k: str(numbers[k]), "unit": lambda k: units[0]}[slots[i][0]](slots[i][1]) if i in slots else w for i, w in enumerate(words)), (names, numbers, units)
+
+
+def test_random_reparameterised_items(spark):
+    """Items with other numbers, names and units are found, and those whose names don't stand for one each are not."""
+    pick = random.Random(14)
+    vocabulary = [a + b for a in "ba ce di fo gu ha je ki lo mu".split() for b in "lan ter sim dor vek nup rass quil mont zig".split()]
+    items, docs, expected = [], [], {}
+    for i in range(25):
+        words = [pick.choice(vocabulary) for _ in range(pick.randint(24, 60))]
+        slots, at = {}, 3
+        while at < len(words) - 3:
+            slots[at] = (pick.choice(["name", "number"]), pick.randrange(3))
+            if slots[at][0] == "number" and pick.random() < 0.3:
+                slots[at + 1] = ("unit", 0)
+            at += pick.randint(4, 7)
+        item, values = reparameterise(pick, words, slots)
+        changed, others = reparameterise(pick, words, slots)
+        items.append(item)
+        around = [" ".join(pick.choice(vocabulary) for _ in range(20)) for _ in range(2)]
+        expected[len(docs), i] = any(values["name number unit".split().index(kind)][k] != others["name number unit".split().index(kind)][k] for kind, k in slots.values())
+        docs.append(f"{around[0]} {changed} {around[1]}")
+        expected[len(docs), i] = False
+        docs.append(f"{around[1]} {item} {around[0]}")
+        shuffled = changed.split()
+        pick.shuffle(shuffled)
+        docs.append(" ".join(shuffled))
+    assert leaked(spark, docs, items) == expected
