@@ -4,6 +4,11 @@ Each stage takes what the one before it kept, written as Parquet and read again.
 return the columns of the table. SQL can express neither the language model, the n-gram join at
 this size nor the tokenizer, so there is no SQL for the result; tests hold it against a brute-force
 version.
+
+Null and empty texts, and texts without a letter, have no language: the first stage drops them. Rows with the same
+doc_id and text are repeats, of which the second stage keeps one; rows with a null doc_id belong to no group and
+pass it and the third. Ties of copies go to the smallest doc_id. Very long texts are worked through whole. Further
+columns, whatever their names, go along unread up to the last stage. An empty table gives no pieces.
 """
 
 from __future__ import annotations
