@@ -523,6 +523,13 @@ def test_reparameterised_questions(spark):
     assert leaked(spark, [*changed, one_slip], [tom, clock, paint]) == {(0, 0): True, (1, 1): True, (2, 2): True, (3, 0): True}
 
 
+def test_a_slot_of_the_item_that_the_document_lacks(spark):
+    """A capital that begins the item is a name in its loose template only; in lower case the document has no slot there."""
+    item = "Water flows down the long hill every morning and fills the old stone basin below"
+    docs = [f"they say {item.replace('Water', 'water')} today", f"He knew. {item}.", "water flows down the long hill"]
+    assert leaked(spark, docs, [item]) == {(0, 0): False, (1, 0): False}
+
+
 def test_items_that_templates_leave_out(spark):
     dense = "Solve 3x + 5 = 20, 4y - 2 = 14, 7z + 1 = 50 and 9w = 81."
     names = "Anna, Boris, Carla, Dmitri, Elena, Fritz, Gustav, Hanna, Igor, Jonas and Karl"

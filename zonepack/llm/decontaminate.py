@@ -218,7 +218,7 @@ def leaks(docs: DataFrame, items: DataFrame, cover: float = COVER, width: int =
         right = F.broadcast(right)
     # the slots of one side may be plain words of the other: at the start of a sentence, where they are equal
     here, there = F.col("item_slots"), F.col("doc_slots")
-    pairs = F.transform(here, lambda a: F.struct((F.col("item_at") + a["k"]).alias("at"), a["value"].alias("a"), F.element_at(F.filter(there, lambda b: b["k"] == a["k"])["value"], 1).alias("b"), a["number"].alias("number")))
+    pairs = F.transform(here, lambda a: F.struct((F.col("item_at") + a["k"]).alias("at"), a["value"].alias("a"), F.try_element_at(F.filter(there, lambda b: b["k"] == a["k"])["value"], F.lit(1)).alias("b"), a["number"].alias("number")))
     aligned = (
         seen.join(right, "hash")
         .withColumn("pairs", F.filter(pairs, lambda p: p["b"].isNotNull()))
