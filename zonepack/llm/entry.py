@@ -11,6 +11,7 @@ from zonepack.llm.decontaminate import op6_decontaminate
 from zonepack.llm.jaccard_join import OP3_SQL, op3_ngram_jaccard
 from zonepack.llm.language_id import op1_language_id
 from zonepack.llm.packing import op9_packing
+from zonepack.llm.periodic_runs import op11_periodic_runs
 from zonepack.llm.pii import op5_pii
 from zonepack.llm.quality import op10_quality
 from zonepack.llm.token_codec import op7_token_codec
@@ -21,7 +22,7 @@ from zonepack.llm.url_filter import OP4_SQL, op4_url_filter
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_language_id, op2_token_count, op3_ngram_jaccard, op4_url_filter, op5_pii,
-        op6_decontaminate, op7_token_codec, op8_ann, op9_packing, op10_quality,
+        op6_decontaminate, op7_token_codec, op8_ann, op9_packing, op10_quality, op11_periodic_runs,
     ]
     return {f.__name__: f for f in found}
 
