@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from zonepack.llm.alignment import op12_alignment
 from zonepack.llm.ann import op8_ann
 from zonepack.llm.decontaminate import op6_decontaminate
 from zonepack.llm.jaccard_join import OP3_SQL, op3_ngram_jaccard
@@ -22,7 +23,7 @@ from zonepack.llm.url_filter import OP4_SQL, op4_url_filter
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_language_id, op2_token_count, op3_ngram_jaccard, op4_url_filter, op5_pii,
-        op6_decontaminate, op7_token_codec, op8_ann, op9_packing, op10_quality, op11_periodic_runs,
+        op6_decontaminate, op7_token_codec, op8_ann, op9_packing, op10_quality, op11_periodic_runs, op12_alignment,
     ]
     return {f.__name__: f for f in found}
 
