@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from zonepack.operators import graph, reports, strata
 from zonepack.operators import membership as M
 from zonepack.plans.catalog import Catalog, PlanError
-from zonepack.plans.packager import Packager, RunFailed, read_manifest, read_table
+from zonepack.plans.packager import Packager, RunFailed, read_copies, read_manifest, read_table
 
 
 @pytest.fixture
@@ -120,7 +120,8 @@ def test_package_run(spark, farm, tmp_path):
         ("hill2001", "ponds", 1, "ok"), ("lake2001", "ponds", 1, "ok"), ("hill2002", "ponds", 0, "empty-skipped"), ("<unmatched>", "ponds", 1, "ok"),
         ("hill2001", "tools", 2, "ok"), ("lake2001", "tools", 2, "ok"), ("hill2002", "tools", 2, "ok"),
     ], key=str)
-    assert read_table(spark, str(tmp_path / "out"), "trees").where("stratum_id = 70").count() == 2 and read_table(spark, str(tmp_path / "out"), "tools").count() == 2
+    assert read_table(spark, str(tmp_path / "out"), "trees").where("stratum_id = 70").count() == 2 and read_copies(spark, str(tmp_path / "out"), "tools").count() == 2
+    assert {(r.stratum_id, r["count"]) for r in read_table(spark, str(tmp_path / "out"), "tools").groupBy("stratum_id").count().collect()} == {(70, 2), (71, 2), (72, 2)}
     manifest = read_manifest(spark, str(tmp_path / "out"))
     assert manifest.count() == 9 and manifest.where("shared").select("table").distinct().collect() == [("tools",)]
 
@@ -137,6 +138,24 @@ def test_bundles_that_exist(spark, farm, tmp_path):
     assert sorted((r.stratum_id, r.tid) for r in read_table(spark, str(out), "trees").collect()) == [(70, 1), (70, 3), (71, 2), (72, 4)]
 
 
+def test_shared_copies_stay_with_their_run(spark, farm, tmp_path):
+    out = str(tmp_path / "out")
+    farm = farm.with_layer("tools", matching_method="whole_export")
+    run(spark, farm.with_layer("orchards", subset="plot = 'lake'"), out, ["tools"])
+    more = farm.layers["tools"].source
+    more = more.union(more).withColumn("weight", F.lit(3))
+    run(spark, farm.with_layer("tools", source=more), out, ["tools", "trees"], overwrite_mode="skip-existing")
+    for _ in range(4):
+        found = read_table(spark, out, "tools").groupBy("stratum_id").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()
+        assert sorted(map(tuple, found)) == [(70, 4, 12), (71, 2, None), (72, 4, 12)]
+    assert sorted(r["count"] for r in read_copies(spark, out, "tools").groupBy("run").count().collect()) == [2, 4]
+    assert {r.stratum_id for r in read_table(spark, out, "trees").collect()} == {70, 72}
+    run(spark, farm, out, ["tools"], overwrite_mode="overwrite")
+    assert {(r.stratum_id, r["count"]) for r in read_table(spark, out, "tools").groupBy("stratum_id").count().collect()} == {(70, 2), (71, 2), (72, 2)}
+    with pytest.raises(PlanError, match="spoons"):
+        read_table(spark, out, "spoons")
+
+
 def test_partial_cache_gives_what_a_cold_run_gives(spark, farm, tmp_path):
     from zonepack.sources import packages as P
 

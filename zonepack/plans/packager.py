@@ -45,17 +45,35 @@ def read_manifest(spark: SparkSession, out_dir: str) -> DataFrame | None:
 
 
 def read_table(spark: SparkSession, out_dir: str, table: str) -> DataFrame:
-    """(fields..., stratum_id) of a table in all published packages; of a shared one the copy, without stratum_id."""
+    """(fields..., stratum_id) of a table in all published packages.
+
+    Each stratum gets the rows of the run that the manifest names for it, of a shared table that run's copy, so what
+    a later run has shared does not reach packages that it left as they were. Fields that a run didn't write are null.
+    """
     manifest = read_manifest(spark, out_dir).where((F.col("table") == table) & (F.col("name") != S.FULL))
+    runs = manifest.select("run", "shared").distinct().orderBy("run").collect()  # one for each version that is still used
     found = []
-    for run, shared in [(r.run, r.shared) for r in manifest.select("run", "shared").distinct().orderBy("run").collect()]:
-        if shared:
-            return spark.read.parquet(f"{out_dir}/{run}/_shared/{table}")
-        own = manifest.where(F.col("run") == run).select("stratum_id").distinct()
+    for run in (r.run for r in runs if not r.shared):
+        own = manifest.where((F.col("run") == run) & ~F.col("shared")).select("stratum_id").distinct()
         fields = [f for f in spark.read.parquet(f"{out_dir}/{run}/{table}").schema if f.name != "stratum_id"]
         schema = StructType([*fields, manifest.schema["stratum_id"]])  # folder names alone would be read as numbers where they can
         found.append(spark.read.schema(schema).parquet(f"{out_dir}/{run}/{table}").join(own, "stratum_id", "left_semi").select(schema.names))
-    return union(found)
+    if copies := [f"{out_dir}/{r.run}/_shared/{table}" for r in runs if r.shared]:
+        rows = spark.read.option("mergeSchema", "true").parquet(*copies)
+        run = F.regexp_extract("_metadata.file_path", "/([^/]+)/_shared/", 1)
+        listed = manifest.where("shared").select(F.col("run").alias("_run"), "stratum_id")
+        found.append(rows.select("*", run.alias("_run")).join(listed, "_run").drop("_run"))
+    if not found:
+        raise PlanError(f"no package has a table {table}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+
+
+def read_copies(spark: SparkSession, out_dir: str, table: str) -> DataFrame:
+    """(fields..., run) of a shared table: each copy once, whatever the number of strata that share it."""
+    manifest = read_manifest(spark, out_dir).where((F.col("table") == table) & F.col("shared"))
+    runs = [r.run for r in manifest.select("run").distinct().orderBy("run").collect()]
+    rows = spark.read.option("mergeSchema", "true").parquet(*[f"{out_dir}/{r}/_shared/{table}" for r in runs])
+    return rows.select("*", F.regexp_extract("_metadata.file_path", "/([^/]+)/_shared/", 1).alias("run"))
 
 
 class Packager:

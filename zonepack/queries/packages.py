@@ -292,6 +292,16 @@ def overwrite_bundles(t: Tables) -> DataFrame:
     return rows.select(F.col("name").alias("stratum"), F.col("table").alias("layer"), "feature_count", F.coalesce("old", F.lit("new")).alias("written"))
 
 
+@query("SELECT n_nationkey AS stratum_id, count(*) AS rows, CAST(sum(s_suppkey) AS BIGINT) AS keys, count(s_acctbal) AS balances FROM nation JOIN supplier ON n_nationkey < 10 AND s_acctbal > 0 GROUP BY 1 UNION ALL SELECT n_nationkey, count(*), CAST(sum(s_suppkey) AS BIGINT), 0 FROM nation JOIN supplier ON n_nationkey >= 10 GROUP BY 1")
+def shared_versions(t: Tables) -> DataFrame:
+    """A whole export that changes between two runs: packages of the first keep the copy that was written with them."""
+    out, supplier = new_path(t.spark, "out"), {"matching_method": "whole_export"}
+    packager(t, "nation", "n_name", layers=["supplier"], flags={"nation": {"subset": "n_nationkey < 10"}, "supplier": supplier | {"subset": "s_acctbal > 0"}}).package(out)
+    packager(t, "nation", "n_name", layers=["supplier"], overwrite_mode="skip-existing", flags={"supplier": supplier | {"excluded_fields": ("s_acctbal",)}}).package(out)
+    sums = F.count("*").alias("rows"), F.sum("s_suppkey").cast("long").alias("keys"), F.count("s_acctbal").alias("balances")
+    return read_table(t.spark, out, "supplier").groupBy("stratum_id").agg(*sums)
+
+
 @query("SELECT r_name AS stratum, 'orders' AS layer, count(*) AS feature_count, 'ok' AS status FROM " + TO_ORDERS + " WHERE n_nationkey < 20 GROUP BY 1 UNION ALL SELECT '<unmatched>', 'orders', count(*), 'ok' FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey >= 20 UNION ALL SELECT '<full>', 'orders', count(*), 'ok' FROM orders UNION ALL SELECT '<full> in manifest', 'orders', count(*), 'ok' FROM orders")
 def full_report(t: Tables) -> DataFrame:
     """The full package is a member like others: in the report and in the manifest."""
