@@ -97,7 +97,7 @@ def test_grid_join_equals_all_pairs(spark):
     box = lambda: (lambda x, y: (x, y, x + pick.choice([0, 1, 5, 60]), y + pick.choice([0, 2, 7, 90])))(pick.randint(-50, 50), pick.randint(-50, 50))
     a, b = [box() for _ in range(80)], [box() for _ in range(60)]
     frame = lambda name, boxes: spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(boxes)], f"{name} long, {name}0 double, {name}1 double, {name}2 double, {name}3 double")
-    found = S.bbox_join(frame("a", a), ("a0", "a1", "a2", "a3"), frame("b", b), ("b0", "b1", "b2", "b3"), 4.0)
+    found = S.bbox_join(frame("a", a), ("a0", "a1", "a2", "a3"), frame("b", b), ("b0", "b1", "b2", "b3"))
     got = [(r.a, r.b) for r in found.collect()]
     assert len(got) == len(set(got))
     assert set(got) == {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x[0] <= y[2] and x[2] >= y[0] and x[1] <= y[3] and x[3] >= y[1]}

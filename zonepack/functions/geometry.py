@@ -112,14 +112,82 @@ def on_edge(x: Column, y: Column, edges: Column) -> Column:
     )
 
 
-def where_is(x: Column, y: Column, edges: Column) -> Column:
-    """``in``, ``on`` or ``out`` of a polygon: edge test, then ray cast."""
-    crossed = F.aggregate(
+def inside(x: Column, y: Column, edges: Column) -> Column:
+    """Even-odd ray cast; of points that are on no edge."""
+    return F.aggregate(
         edges,
         F.lit(False),
         lambda odd, e: odd != (((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"])).eqNullSafe(True),
     )
-    return F.when(on_edge(x, y, edges), "on").when(crossed, "in").otherwise("out")
+
+
+def where_is(x: Column, y: Column, edges: Column) -> Column:
+    """``in``, ``on`` or ``out`` of a polygon: edge test, then ray cast."""
+    return F.when(on_edge(x, y, edges), "on").when(inside(x, y, edges), "in").otherwise("out")
+
+
+def corners(edges: Column) -> Column:
+    """The distinct end points of edges."""
+    return F.array_distinct(F.flatten(F.transform(edges, lambda e: F.array(F.struct(e["x1"].alias("x"), e["y1"].alias("y")), F.struct(e["x2"].alias("x"), e["y2"].alias("y"))))))
+
+
+def boundary_points(edges: Column) -> Column:
+    """The boundary of a line of any number of parts: the points at which an odd number of edges end, each once. In the
+    course of a part two edges meet at a corner, so that is where an odd number of parts end."""
+    ends = F.array_sort(F.flatten(F.transform(edges, lambda e: F.array(F.struct(e["x1"].alias("x"), e["y1"].alias("y")), F.struct(e["x2"].alias("x"), e["y2"].alias("y"))))))
+    none = F.array().cast("array<struct<x:double,y:double>>")
+
+    def count(state: Column, p: Column) -> Column:
+        same = state["last"].eqNullSafe(p)
+        out = F.when(~same & state["odd"], F.array_append(state["out"], state["last"])).otherwise(state["out"])
+        return F.struct(p.alias("last"), F.when(same, ~state["odd"]).otherwise(True).alias("odd"), out.alias("out"))
+
+    start = F.struct(F.lit(None).cast("struct<x:double,y:double>").alias("last"), F.lit(False).alias("odd"), none.alias("out"))
+    return F.aggregate(ends, start, count, lambda s: F.when(s["odd"], F.array_append(s["out"], s["last"])).otherwise(s["out"]))
+
+
+def _inner_point(edges: Column) -> Column:
+    """A point inside a polygon: half-way between the first two crossings of a line between its two lowest corners."""
+    ys = F.slice(F.array_sort(F.array_distinct(F.transform(edges, lambda e: e["y1"]))), 1, 2)
+    y = F.aggregate(ys, F.lit(0.0), lambda t, v: t + v) / 2
+    xs = F.slice(F.array_sort(F.transform(F.filter(edges, lambda e: (e["y1"] > y) != (e["y2"] > y)), lambda e: e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"]))), 1, 2)
+    return F.struct((F.aggregate(xs, F.lit(0.0), lambda t, v: t + v) / 2).alias("x"), y.alias("y"))
+
+
+def inner_points(edges: Column, parted: bool) -> Column:
+    """A point inside each part of a polygon; without edges there is none."""
+    if not parted:
+        return F.transform(F.filter(F.array(edges), lambda p: F.size(p) > 0), _inner_point)
+    parts = F.array_distinct(F.transform(edges, lambda e: e["part"]))
+    return F.transform(parts, lambda k: _inner_point(F.filter(edges, lambda e: e["part"] == k)))
+
+
+def polygon_edges(parts: Column) -> Column:
+    """Edges (part, x1, y1, x2, y2) of parts, arrays of rings of corners (x, y). A ring's last corner may be its first again."""
+
+    def ring(k: Column, points: Column) -> Column:
+        n = F.size(points)
+        edges = F.transform(points, lambda p, i: F.struct(k.alias("part"), p["x"].alias("x1"), p["y"].alias("y1"), points[(i + 1) % n]["x"].alias("x2"), points[(i + 1) % n]["y"].alias("y2")))
+        return F.filter(edges, lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
+
+    return F.flatten(F.transform(parts, lambda rings, k: F.flatten(F.transform(rings, lambda points: ring(k, points)))))
+
+
+def line_edges(parts: Column) -> Column:
+    """Edges (part, x1, y1, x2, y2) of parts, arrays of one list of corners (x, y) each."""
+
+    def line(k: Column, points: Column) -> Column:
+        edges = F.transform(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), lambda p, i: F.struct(k.alias("part"), points[i]["x"].alias("x1"), points[i]["y"].alias("y1"), p["x"].alias("x2"), p["y"].alias("y2")))
+        return F.filter(edges, lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
+
+    return F.flatten(F.transform(parts, lambda lists, k: F.flatten(F.transform(lists, lambda points: line(k, points)))))
+
+
+def shape_box(parts: Column) -> list[Column]:
+    """minx, miny, maxx, maxy of the corners of parts; null where there are none."""
+    points = F.flatten(F.flatten(parts))
+    xs, ys = (F.transform(points, lambda p: p[axis]) for axis in "xy")  # noqa: B023
+    return [F.array_min(xs).alias("minx"), F.array_min(ys).alias("miny"), F.array_max(xs).alias("maxx"), F.array_max(ys).alias("maxy")]
 
 
 def point_matrix(x: Column, y: Column, edges: Column) -> Column:
@@ -155,8 +223,10 @@ def reproject_edges(edges: Column, source: int, target: int) -> Column:
     """Edges with both ends in another system."""
 
     def moved(e: Column) -> Column:
-        (x1, y1), (x2, y2) = (reproject(e[f"x{i}"], e[f"y{i}"], source, target) for i in (1, 2))
-        return F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
+        for i in (1, 2):
+            x, y = reproject(e[f"x{i}"], e[f"y{i}"], source, target)
+            e = e.withField(f"x{i}", x).withField(f"y{i}", y)
+        return e
 
     return F.transform(edges, moved)
 
@@ -168,7 +238,8 @@ def box_edges(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 
 def point_line_matrix(x: Column, y: Column, edges: Column) -> Column:
-    """Matrix of a point and a line, whose ends are its boundary."""
-    first, last = F.element_at(edges, 1), F.element_at(edges, -1)
-    end = (x == first["x1"]) & (y == first["y1"]) | (x == last["x2"]) & (y == last["y2"])
-    return F.when(end, "F0FFFF102").when(on_edge(x, y, edges), "0FFFFF102").otherwise("FF0FFF102")
+    """Matrix of a point and a line of any number of parts; null where either is missing. Closed lines have no boundary."""
+    ends = boundary_points(edges)
+    end = F.exists(ends, lambda p: (p["x"] == x) & (p["y"] == y))
+    matrix = F.when(end, "F0FFFF102").when(on_edge(x, y, edges), F.when(F.size(ends) > 0, "0FFFFF102").otherwise("0FFFFF1F2")).otherwise(F.when(F.size(ends) > 0, "FF0FFF102").otherwise("FF0FFF1F2"))
+    return F.when(x.isNotNull() & y.isNotNull() & edges.isNotNull() & (F.size(edges) > 0), matrix)

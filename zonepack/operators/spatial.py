@@ -2,136 +2,247 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonepack.functions import geometry as G
 
-#: A geometry is filed on the grid level at which it covers 2 x 2 cells at most; coarser levels double the side.
-MOST_LEVELS = 24
+#: A geometry is filed on the level at which it covers so many cells and one on an axis at most.
+CELLS = 4
+#: Levels of an axis: extents are rounded up to these quantiles of their side.
+QUANTILES = (0.25, 0.5, 0.75, 1.0)
+#: A cell with more than this share of all filed features is split into ``SPLIT`` x ``SPLIT`` others: fewer than 1 / HEAVY cells are.
+HEAVY, SPLIT = 1 / 1024, 8
 
 Box = tuple[str, str, str, str]
 
 
-def _level(box: Box, side: float) -> Column:
-    extent = F.greatest(F.col(box[2]) - F.col(box[0]), F.col(box[3]) - F.col(box[1])) / side
-    return F.when(extent > 1, F.least(F.ceil(F.log2(extent)), F.lit(MOST_LEVELS))).otherwise(0).cast("int")
+def _level(low: str, high: str, least: Column) -> Column:
+    """Power of two of the cell's side on an axis; ``least`` where there is no extent."""
+    extent = (F.col(high) - F.col(low)) / CELLS
+    return F.when(extent > 0, F.greatest(F.ceil(F.log2(extent)).cast("int"), least)).otherwise(least)
+
+
+def _grid(df: DataFrame, box: Box, least: DataFrame) -> DataFrame:
+    """One row: the levels of each axis, rounded up to quantiles, and the pairs of them that occur."""
+    rows = df.join(F.broadcast(least), how="cross").select(_level(box[0], box[2], F.col("least")).alias("x"), _level(box[1], box[3], F.col("least")).alias("y"))
+    own = [F.array_distinct(F.array_append(F.percentile_approx(c, list(QUANTILES)), F.max(c))).alias(f"{c}s") for c in "xy"]
+    return rows.agg(*own)
+
+
+def _own_levels(df: DataFrame, box: Box, name: str, grid: DataFrame) -> DataFrame:
+    """``df`` with its levels ``{name}_lx`` and ``{name}_ly``: the smallest of the side's levels that hold it."""
+    df = df.join(F.broadcast(grid), how="cross")
+    for axis, (low, high) in zip("xy", ((box[0], box[2]), (box[1], box[3]))):
+        df = df.withColumn(f"{name}_l{axis}", F.array_min(F.filter(f"{axis}s", lambda n: n >= _level(low, high, F.col("least")))))  # noqa: B023
+    return df.drop("xs", "ys", "least")
 
 
-def _levels(df: DataFrame, box: Box, side: float) -> DataFrame:
-    """One row: the grid levels that occur, at most ``MOST_LEVELS`` and one."""
-    return df.agg(F.collect_set(_level(box, side)).alias("levels"))
+def _filed(df: DataFrame, box: Box, name: str, others: DataFrame) -> DataFrame:
+    """A row for each cell of a geometry on each level on which it may meet one of the others' levels (lx, ly)."""
+    own = [F.col(f"{name}_l{axis}") for axis in "xy"]
+    df = df.join(F.broadcast(others), how="cross")
+    df = df.withColumn("level", F.explode(F.array_distinct(F.transform("levels", lambda n: F.struct(*[F.greatest(o, n[f"l{axis}"]).alias(f"l{axis}") for o, axis in zip(own, "xy")])))))
+    df = df.select("*", "level.*").drop("levels", "level")
+    for axis, low, high in (("x", box[0], box[2]), ("y", box[1], box[3])):
+        span = F.pow(F.lit(2.0), F.col(f"l{axis}"))
+        df = df.withColumn(f"cell_{axis}", F.explode(F.sequence(F.floor(F.col(low) / span), F.floor(F.col(high) / span))))
+    return df
 
 
-def _filed(df: DataFrame, box: Box, side: float, name: str, levels: DataFrame) -> DataFrame:
-    """A row for each cell of a geometry's own level, and of coarser ones that the other side uses."""
-    own = f"{name}_level"
-    df = df.withColumn(own, _level(box, side)).join(F.broadcast(levels), how="cross")
-    df = df.withColumn("level", F.explode(F.array_distinct(F.concat(F.array(own), F.filter("levels", lambda n: n > F.col(own)))))).drop("levels")
-    span = F.pow(F.lit(2.0), F.col("level")) * side
-    cells = [F.sequence(F.floor(F.col(lo) / span), F.floor(F.col(hi) / span)) for lo, hi in ((box[0], box[2]), (box[1], box[3]))]
-    return df.withColumn("cell_x", F.explode(cells[0])).withColumn("cell_y", F.explode(cells[1]))
+CELL = ["lx", "ly", "cell_x", "cell_y"]
+
+
+def _split(df: DataFrame, box: Box, heavy: DataFrame) -> DataFrame:
+    """Rows in heavy cells once for each part (part_x, part_y) of it that they reach; the others have part 0 of both."""
+    df = df.join(F.broadcast(heavy), CELL, "left")
+    for axis, low, high in (("x", box[0], box[2]), ("y", box[1], box[3])):
+        span = F.pow(F.lit(2.0), F.col(f"l{axis}"))
+        part = lambda c: F.floor((F.col(c) / span - F.col(f"cell_{axis}")) * SPLIT)  # noqa: B023, E731
+        parts = F.sequence(F.greatest(part(low), F.lit(0)), F.least(part(high), F.lit(SPLIT - 1)))
+        df = df.withColumn(f"part_{axis}", F.explode(F.when(F.col("heavy"), parts).otherwise(F.array(F.lit(0).cast("long")))))
+    return df
+
+
+def candidates(features: DataFrame, f_box: Box, strata: DataFrame, s_box: Box) -> DataFrame:
+    """Rows that share a (part of a) cell of the grid, before their boxes are compared; see ``bbox_join``."""
+    features, strata = features.dropna(subset=list(f_box)), strata.dropna(subset=list(s_box))
+    far = reduce(DataFrame.union, [df.agg(*[F.max(F.abs(c)) for c in box]).toDF(*"abcd") for df, box in ((features, f_box), (strata, s_box))])
+    # 50 bits of a coordinate: cell numbers stay exact
+    least = far.agg(F.max(F.greatest(*"abcd")).alias("far")).select((F.ceil(F.log2(F.greatest("far", F.lit(1e-300)))) - 50).cast("int").alias("least"))
+    sides = []
+    for df, box, name in ((features, f_box, "f"), (strata, s_box, "s")):
+        sides.append(_own_levels(df, box, name, _grid(df, box, least).join(F.broadcast(least), how="cross")))
+    listed = [df.select(F.struct(F.col(f"{n}_lx").alias("lx"), F.col(f"{n}_ly").alias("ly")).alias("level")).agg(F.collect_set("level").alias("levels")) for df, n in zip(sides, "fs")]
+    left, right = _filed(sides[0], f_box, "f", listed[1]), _filed(sides[1], s_box, "s", listed[0])
+    counts = left.groupBy(*CELL).agg(F.count("*").alias("n"))
+    total = counts.agg((F.sum("n") * HEAVY).alias("most"))
+    heavy = counts.join(F.broadcast(total), how="cross").where("n > most").select(*CELL, F.lit(True).alias("heavy"))
+    left, right = _split(left, f_box, heavy), _split(right, s_box, heavy).drop("heavy")
+    return left.join(right, [*CELL, "part_x", "part_y"])
 
 
-def bbox_join(features: DataFrame, f_box: Box, strata: DataFrame, s_box: Box, side: float) -> DataFrame:
+def bbox_join(features: DataFrame, f_box: Box, strata: DataFrame, s_box: Box) -> DataFrame:
     """Pairs of rows whose closed boxes meet, each once. Rows with a null box are left out.
 
-    An equi-join on (level, cell): of the cells that two boxes share, the one that holds the lower left
-    corner of their intersection counts, so no duplicates have to be removed. Which levels the other side
-    uses is part of the same plan, one row of a few numbers.
+    An equi-join on grid cells. Each geometry has a level on each axis, from its extent, so cells follow the data, thin
+    boxes have thin cells, and two meet on the larger of their levels, where both cover few cells. The levels of a side are
+    quantiles of its extents, at most ``len(QUANTILES)`` on an axis, so there are few levels to be filed on. Cells in
+    which many features lie are split into parts. Of the cells and parts that two boxes share, the one
+    that holds the lower left corner of their intersection counts, so no duplicates have to be removed. Levels and
+    heavy cells (bounded numbers of both) are parts of the same plan.
     """
-    features, strata = features.dropna(subset=list(f_box)), strata.dropna(subset=list(s_box))
-    left = _filed(features, f_box, side, "f", _levels(strata, s_box, side))
-    right = _filed(strata, s_box, side, "s", _levels(features, f_box, side))
-    span = F.pow(F.lit(2.0), F.col("level")) * side
-    meet = left.join(right, ["level", "cell_x", "cell_y"]).where(
-        (F.col(f_box[0]) <= F.col(s_box[2]))
-        & (F.col(f_box[2]) >= F.col(s_box[0]))
-        & (F.col(f_box[1]) <= F.col(s_box[3]))
-        & (F.col(f_box[3]) >= F.col(s_box[1]))
-        & (F.col("level") == F.greatest("f_level", "s_level"))
-        & (F.col("cell_x") == F.floor(F.greatest(F.col(f_box[0]), F.col(s_box[0])) / span))
-        & (F.col("cell_y") == F.floor(F.greatest(F.col(f_box[1]), F.col(s_box[1])) / span))
-    )
-    return meet.drop("level", "cell_x", "cell_y", "f_level", "s_level")
-
-
-def _crossings(e: Column, others: Column) -> Column:
-    """Sorted parameters in [0, 1] at which edge ``e`` meets edges of the other geometry, and 0 and 1."""
+    found = candidates(features, f_box, strata, s_box)
+    meet = (F.col(f_box[0]) <= F.col(s_box[2])) & (F.col(f_box[2]) >= F.col(s_box[0])) & (F.col(f_box[1]) <= F.col(s_box[3])) & (F.col(f_box[3]) >= F.col(s_box[1]))
+    for k, axis in enumerate("xy"):
+        corner = F.greatest(F.col(f_box[k]), F.col(s_box[k])) / F.pow(F.lit(2.0), F.col(f"l{axis}"))
+        meet &= (F.col(f"l{axis}") == F.greatest(f"f_l{axis}", f"s_l{axis}")) & (F.col(f"cell_{axis}") == F.floor(corner))
+        meet &= (F.col("heavy").isNull()) | (F.col(f"part_{axis}") == F.floor((corner - F.col(f"cell_{axis}")) * SPLIT))
+    return found.where(meet).drop(*CELL, "part_x", "part_y", "heavy", *[f"{n}_l{axis}" for n in "fs" for axis in "xy"])
+
+
+def _along(e: Column, o: Column) -> tuple[Column, Column]:
+    """Are two edges on one line, and the parameters on ``e`` at which ``o`` begins and ends?"""
     dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+    length = F.nullif(dx * dx + dy * dy, F.lit(0.0))
+    wx, wy, vx, vy = o["x1"] - e["x1"], o["y1"] - e["y1"], o["x2"] - e["x1"], o["y2"] - e["y1"]
+    return (wx * dy - wy * dx == 0) & (vx * dy - vy * dx == 0), F.array((wx * dx + wy * dy) / length, (vx * dx + vy * dy) / length)
+
+
+def _crossing(e: Column, o: Column) -> tuple[Column, Column]:
+    """Parameters on two edges at which their lines cross; null where they are parallel."""
+    dx, dy, ox, oy = e["x2"] - e["x1"], e["y2"] - e["y1"], o["x2"] - o["x1"], o["y2"] - o["y1"]
+    cross = F.nullif(dx * oy - dy * ox, F.lit(0.0))
+    wx, wy = o["x1"] - e["x1"], o["y1"] - e["y1"]
+    return (wx * oy - wy * ox) / cross, (wx * dy - wy * dx) / cross
+
+
+def _cuts(e: Column, others: Column) -> Column:
+    """Sorted parameters in [0, 1] at which edge ``e`` meets edges of the other geometry, and 0 and 1."""
 
     def at(o: Column) -> Column:
-        ox, oy = o["x2"] - o["x1"], o["y2"] - o["y1"]
-        cross = dx * oy - dy * ox
-        wx, wy = o["x1"] - e["x1"], o["y1"] - e["y1"]
-        t, u = (wx * oy - wy * ox) / F.nullif(cross, F.lit(0.0)), (wx * dy - wy * dx) / F.nullif(cross, F.lit(0.0))
-        length = F.nullif(dx * dx + dy * dy, F.lit(0.0))
-        along = F.array((wx * dx + wy * dy) / length, ((o["x2"] - e["x1"]) * dx + (o["y2"] - e["y1"]) * dy) / length)
-        collinear = (cross == 0) & (wx * dy - wy * dx == 0)
+        collinear, along = _along(e, o)
+        t, u = _crossing(e, o)
         return F.when(collinear, along).when(t.between(0, 1) & u.between(0, 1), F.array(t)).otherwise(F.array().cast("array<double>"))
 
     found = F.filter(F.flatten(F.transform(others, at)), lambda t: t.isNotNull() & (t > 0) & (t < 1))
     return F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), found)))
 
 
-def _pieces(pairs: DataFrame, keys: list[str], own: str, other: str) -> DataFrame:
-    """For every pair: is some piece of ``own``'s edges in, on or out of polygon ``other``, and does a
-    point strictly between two pieces lie on its boundary?"""
-    e = F.col("edge")
-    cut = pairs.select(*keys, F.explode(own).alias("edge"), F.col(other).alias("other")).withColumn("at", _crossings(e, F.col("other")))
+def _lies_on(e: Column, t: Column, others: Column) -> Column:
+    """Does the piece of ``e`` around parameter ``t`` lie on an edge of the other geometry? Judged by the corners of both."""
+
+    def covers(o: Column) -> Column:
+        collinear, along = _along(e, o)
+        return collinear & t.between(F.array_min(along), F.array_max(along))
+
+    return F.exists(others, covers)
+
+
+def _pieces(rows: DataFrame, sides: dict[str, tuple[str, str, bool]]) -> DataFrame:
+    """``rows`` once for each piece of the edges of each side {name: (own, other, other is a polygon)}: ``side``, ``place`` (in, on or out of
+    the other geometry) and ``met``, whether an end of the piece inside its edge is on the other's boundary (a line: on it)."""
+    listed = [F.struct(F.lit(n).alias("side"), F.col(own).alias("own"), F.col(other).alias("other"), F.lit(area).alias("area")) for n, (own, other, area) in sides.items()]
+    cut = rows.withColumn("s", F.explode(F.array(*listed))).withColumn("edge", F.explode("s.own"))
+    e, others = F.col("edge"), F.col("s.other")
+    cut = cut.where((e["x1"] != e["x2"]) | (e["y1"] != e["y2"])).withColumn("at", _cuts(e, others))
     cut = cut.withColumn("mid", F.explode(F.transform(F.sequence(F.lit(0), F.size("at") - 2), lambda i: (F.col("at")[i] + F.col("at")[i + 1]) / 2)))
-    place = G.where_is(e["x1"] + F.col("mid") * (e["x2"] - e["x1"]), e["y1"] + F.col("mid") * (e["y2"] - e["y1"]), F.col("other"))
-    return cut.withColumn("place", place).groupBy(*keys).agg(*[F.max((F.col("place") == p)).alias(f"piece_{p}") for p in ("in", "on", "out")], F.max(F.size("at") > 2).alias("met"))
+    x, y = e["x1"] + F.col("mid") * (e["x2"] - e["x1"]), e["y1"] + F.col("mid") * (e["y2"] - e["y1"])
+    place = F.when(_lies_on(e, F.col("mid"), others), "on").when(F.col("s.area") & G.inside(x, y, others), "in").otherwise("out")
+    return cut.select(*rows.columns, F.col("s.side").alias("side"), place.alias("place"), (F.size("at") > 2).alias("met"))
+
+
+def _seen(side: str, place: str) -> Column:
+    return F.max((F.col("side") == side) & (F.col("place") == place)).alias(f"{side}_{place}")
+
+
+def _cell(yes: Column, dimension: str) -> Column:
+    return F.when(yes, dimension).otherwise("F")
 
 
 def line_relate(pairs: DataFrame, keys: list[str], line: str, polygon: str) -> DataFrame:
-    """(keys, matrix) of simple open lines (arrays of edges, in order) and polygons."""
-    first, last = F.element_at(line, 1), F.element_at(line, -1)
-    ends = pairs.select(*keys, G.where_is(first["x1"], first["y1"], F.col(polygon)).alias("begin"), G.where_is(last["x2"], last["y2"], F.col(polygon)).alias("end"),
-                        F.exists(F.slice(line, 2, F.size(line)), lambda e: G.where_is(e["x1"], e["y1"], F.col(polygon)) == "on").alias("corner"))
-    at = lambda p: F.when((F.col("begin") == p) | (F.col("end") == p), "0").otherwise("F")
-    flag = lambda p, d: F.when(F.col(f"piece_{p}"), d)
+    """(keys, matrix) of lines and polygons, both as arrays of edges and of any number of parts. A line's boundary are the points
+    at which an odd number of its parts end."""
+    ends, place = G.boundary_points(F.col(line)), lambda p: G.where_is(p["x"], p["y"], F.col(polygon))
+    rows = pairs.select(*keys, F.col(line).alias("line"), F.col(polygon).alias("polygon"), ends.alias("ends"), F.transform(ends, place).alias("places"))
+    corners = F.filter(G.corners(F.col("line")), lambda p: ~F.array_contains("ends", p))
+    rows = rows.withColumn("corner", F.exists(corners, lambda p: G.on_edge(p["x"], p["y"], F.col("polygon"))))
+    pieces = _pieces(rows, {"l": ("line", "polygon", True), "p": ("polygon", "line", False)})
+    flags = [F.first("places").alias("places"), F.first("corner").alias("corner"), F.max((F.col("side") == "l") & F.col("met")).alias("met")]
+    found = pieces.groupBy(*keys).agg(*[_seen("l", p) for p in ("in", "on", "out")], _seen("p", "out"), *flags)
+    c = F.col
     matrix = F.concat(
-        flag("in", "1").otherwise("F"), flag("on", "1").when(F.col("met") | F.col("corner"), "0").otherwise("F"), flag("out", "1").otherwise("F"),
-        at("in"), at("on"), at("out"), F.lit("212"),
+        _cell(c("l_in"), "1"), F.when(c("l_on"), "1").otherwise(_cell(c("met") | c("corner"), "0")), _cell(c("l_out"), "1"),
+        *[_cell(F.array_contains("places", p), "0") for p in ("in", "on", "out")], F.lit("2"), _cell(c("p_out"), "1"), F.lit("2"),
     )
-    return _pieces(pairs, keys, line, polygon).join(ends, keys).select(*keys, matrix.alias("matrix"))
+    return found.select(*keys, matrix.alias("matrix"))
+
 
+def line_line_relate(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """(keys, matrix) of lines ``a`` and ``b``, of any number of parts. Each is noded at the other: pieces that lie on each other have
+    dimension 1; else what counts are proper crossings, and corners of one on the other, inner ones or ends."""
+    ends = {n: G.boundary_points(F.col(n)) for n in "ab"}
+    rows = pairs.select(*keys, F.col(a).alias("a"), F.col(b).alias("b"))
+    rows = rows.select(*keys, "a", "b", *[e.alias(f"{n}_ends") for n, e in ends.items()])
 
-def _inner_point(edges: Column) -> Column:
-    """A point inside a polygon: half-way between the first two crossings of a line between its two lowest corners."""
-    ys = F.array_sort(F.array_distinct(F.transform(edges, lambda e: e["y1"])))
-    y = (ys[0] + ys[1]) / 2
-    xs = F.array_sort(F.transform(F.filter(edges, lambda e: (e["y1"] > y) != (e["y2"] > y)), lambda e: e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])))
-    return F.struct(((xs[0] + xs[1]) / 2).alias("x"), y.alias("y"))
+    def ends_on(own: str, other: str) -> Column:
+        """Where the ends of one line are: at an end of the other, elsewhere on it, or off it."""
+        return F.transform(f"{own}_ends", lambda p: F.when(F.array_contains(f"{other}_ends", p), "end").when(G.on_edge(p["x"], p["y"], F.col(other)), "on").otherwise("off"))
+
+    def inner_on(own: str, other: str) -> Column:
+        inner = F.filter(G.corners(F.col(own)), lambda p: ~F.array_contains(f"{own}_ends", p) & ~F.array_contains(f"{other}_ends", p))
+        return F.exists(inner, lambda p: G.on_edge(p["x"], p["y"], F.col(other)))
+
+    def crosses(e: Column) -> Column:
+        def properly(o: Column) -> Column:
+            t, u = _crossing(e, o)
+            return F.coalesce((t > 0) & (t < 1) & (u > 0) & (u < 1), F.lit(False))
+
+        return F.exists("b", properly)
+
+    rows = rows.withColumns({"a_at": ends_on("a", "b"), "b_at": ends_on("b", "a"), "touch": F.exists("a", crosses) | inner_on("a", "b") | inner_on("b", "a")})
+    pieces = _pieces(rows, {"a": ("a", "b", False), "b": ("b", "a", False)})
+    found = pieces.groupBy(*keys).agg(*[_seen(n, p) for n in "ab" for p in ("on", "out")], *[F.first(n).alias(n) for n in ("a_at", "b_at", "touch")])
+    has = lambda n, at: F.array_contains(f"{n}_at", at)
+    matrix = F.concat(
+        F.when(F.col("a_on"), "1").otherwise(_cell(F.col("touch"), "0")), _cell(has("b", "on"), "0"), _cell(F.col("a_out"), "1"),
+        _cell(has("a", "on"), "0"), _cell(has("a", "end"), "0"), _cell(has("a", "off"), "0"),
+        _cell(F.col("b_out"), "1"), _cell(has("b", "off"), "0"), F.lit("2"),
+    )
+    return found.select(*keys, matrix.alias("matrix"))
 
 
 def polygon_relate(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """(keys, matrix) of polygons ``a`` and ``b``: pieces of each boundary in the other, and one inner point of each."""
-    pairs = pairs.withColumn("inner_a", _inner_point(F.col(a))).withColumn("inner_b", _inner_point(F.col(b)))
-    points = pairs.select(
-        *keys,
-        (G.where_is(F.col("inner_a.x"), F.col("inner_a.y"), F.col(b)) == "in").alias("a_in_b"),
-        (G.where_is(F.col("inner_b.x"), F.col("inner_b.y"), F.col(a)) == "in").alias("b_in_a"),
-        F.exists(a, lambda e: G.on_edge(e["x1"], e["y1"], F.col(b))).alias("a_corner"),
-        F.exists(b, lambda e: G.on_edge(e["x1"], e["y1"], F.col(a))).alias("b_corner"),
-    )
-    of_a = _pieces(pairs, keys, a, b).select(*keys, *[F.col(f"piece_{p}").alias(f"a_{p}") for p in ("in", "on", "out")], F.col("met"))
-    of_b = _pieces(pairs, keys, b, a).select(*keys, *[F.col(f"piece_{p}").alias(f"b_{p}") for p in ("in", "on", "out")])
-    cell = lambda yes, d: F.when(yes, d).otherwise("F")
+    """(keys, matrix) of polygons ``a`` and ``b``, with holes and of any number of parts (edges with a ``part``): pieces of each
+    boundary in the other, and an inner point of each part."""
+    parted = {n: "part" in pairs.schema[c].dataType.elementType.names for n, c in (("a", a), ("b", b))}
+    rows = pairs.select(*keys, F.col(a).alias("a"), F.col(b).alias("b"))
+
+    def inner(own: str, other: str, what: bool) -> Column:
+        return F.exists(G.inner_points(F.col(own), parted[own]), lambda p: (G.where_is(p["x"], p["y"], F.col(other)) == "in") == what)
+
+    def corner_on(own: str, other: str) -> Column:
+        return F.exists(own, lambda e: G.on_edge(e["x1"], e["y1"], F.col(other)))
+
+    flags = {f"{n}_inner_{p}": inner(n, m, p == "in") for n, m in ("ab", "ba") for p in ("in", "out")}
+    rows = rows.withColumns(flags | {"corner": corner_on("a", "b") | corner_on("b", "a")})
+    pieces = _pieces(rows, {"a": ("a", "b", True), "b": ("b", "a", True)})
+    found = pieces.groupBy(*keys).agg(*[_seen(n, p) for n in "ab" for p in ("in", "on", "out")], F.max("met").alias("met"), *[F.first(n).alias(n) for n in (*flags, "corner")])
     c = F.col
     matrix = F.concat(
-        cell(c("a_in") | c("b_in") | c("a_in_b"), "2"), cell(c("b_in"), "1"), cell(c("a_out") | c("b_in") | ~c("a_in_b"), "2"),
-        cell(c("a_in"), "1"), F.when(c("a_on"), "1").when(c("met") | c("a_corner") | c("b_corner"), "0").otherwise("F"), cell(c("a_out"), "1"),
-        cell(c("b_out") | c("a_in") | ~c("b_in_a"), "2"), cell(c("b_out"), "1"), F.lit("2"),
+        _cell(c("a_in") | c("b_in") | c("a_inner_in") | c("b_inner_in"), "2"), _cell(c("b_in"), "1"), _cell(c("a_out") | c("b_in") | c("a_inner_out"), "2"),
+        _cell(c("a_in"), "1"), F.when(c("a_on"), "1").otherwise(_cell(c("met") | c("corner"), "0")), _cell(c("a_out"), "1"),
+        _cell(c("b_out") | c("a_in") | c("b_inner_out"), "2"), _cell(c("b_out"), "1"), F.lit("2"),
     )
-    return of_a.join(of_b, keys).join(points, keys).select(*keys, matrix.alias("matrix"))
+    return found.select(*keys, matrix.alias("matrix"))
 
 
 def exact(pairs: DataFrame, keys: list[str], feature: str, stratum: str, f_box: Box, s_box: Box, f_shape: str | None = None, s_shape: str | None = None) -> DataFrame:
     """(keys, matrix, dim_a, dim_b) of candidate pairs, by the classes of feature and stratum (point, line or
-    polygon). A line's shape is an array of edges in order. Without a shape a geometry is its box; beside one that
-    has a shape, a line without is the segment between the corners of its box."""
+    polygon). Shapes are arrays of edges. Without a shape a point or polygon is its box, a line the segment from the lower
+    left to the upper right corner of it (the catalog takes such lines only if it is told that they are so)."""
     dims = {"point": 0, "line": 1, "polygon": 2}
     if not f_shape and not s_shape:
         found = G.with_box_matrix(pairs, f_box, s_box)
@@ -160,6 +271,8 @@ def exact(pairs: DataFrame, keys: list[str], feature: str, stratum: str, f_box:
         found = line_relate(rows, keys, "b", "a").select(*keys, G.transpose(F.col("matrix")).alias("matrix"))
     elif kinds == ("polygon", "polygon"):
         found = polygon_relate(rows, keys, "a", "b")
+    elif kinds == ("line", "line"):
+        found = line_line_relate(rows, keys, "a", "b")
     else:
         raise ValueError(f"no exact relation of {feature} and {stratum}")
     return found.select(*keys, "matrix", F.lit(dims[feature]).alias("dim_a"), F.lit(dims[stratum]).alias("dim_b"))

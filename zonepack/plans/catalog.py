@@ -36,8 +36,9 @@ class Relation:
 @dataclass(frozen=True)
 class Layer:
     """``geometry`` is none, point, line or polygon; boxes are read from columns minx, miny, maxx, maxy.
-    ``shape`` names a column with the edges (array of struct x1, y1, x2, y2) of lines and polygons that are
-    more than their boxes. ``srid`` is the coordinate system."""
+    ``shape`` names a column with the edges (array of struct x1, y1, x2, y2, and part where there are several) of lines
+    and polygons that are more than their boxes. ``boxed`` says that lines are the segments from the lower left to the
+    upper right corners of their boxes; without it they need a shape. ``srid`` is the coordinate system."""
 
     id: str
     source: DataFrame
@@ -51,6 +52,7 @@ class Layer:
     warm: bool = False
     geometry: str = "none"
     shape: str | None = None
+    boxed: bool = False
     srid: int | None = None
     source_key: str | None = None
     layer_name: str | None = None
@@ -204,8 +206,8 @@ class Catalog:
         if not by_space:
             raise PlanError("neither relations nor geometries lead to the strata")
         whole = self.layers[strata]
-        if {layer.geometry, whole.geometry} == {"line"} and (layer.shape or whole.shape):
-            raise PlanError("lines are related to lines by their boxes only")
+        if bare := [x.id for x in (layer, whole) if x.geometry == "line" and not x.shape and not x.boxed]:
+            raise PlanError(f"lines without a shape: {', '.join(bare)}")
         if layer.srid and whole.srid and (whole.srid, layer.srid) not in TRANSFORMATIONS and whole.srid != layer.srid:
             raise PlanError(f"no transformation from EPSG:{whole.srid} to EPSG:{layer.srid}")
         return Plan(layer, "spatial", predicates=predicate_tokens(layer.spatial_predicate, layer.geometry, whole.geometry))

@@ -86,7 +86,7 @@ class Packager:
         self, spark: SparkSession, catalog: Catalog, stratification: str, layers: list[str] | None = None, selection: DataFrame | None = None,
         name_expr: str | None = None, package_expr: str | None = None, bundle_expr: str | None = None, display_expr: str | None = None,
         keep_empty: bool = False, overwrite_mode: str = "error", compression_level: int = 1, full_package: bool = False,
-        full_path: str = "full", dry_run: bool = False, warm_dir: str | None = None, warm_mode: str = "off", grid_side: float = 10.0,
+        full_path: str = "full", dry_run: bool = False, warm_dir: str | None = None, warm_mode: str = "off",
     ):
         if warm_mode not in ("off", "use", "update"):
             raise PlanError(f"unknown warm mode {warm_mode}")
@@ -96,7 +96,7 @@ class Packager:
         self.layer_ids = layers or [i for i in catalog.eligible() if i != stratification]
         self.selection, self.name_expr, self.package_expr, self.bundle_expr, self.display_expr = selection, name_expr, package_expr, bundle_expr, display_expr
         self.keep_empty, self.overwrite_mode, self.level, self.full, self.full_path, self.is_dry = keep_empty, overwrite_mode, compression_level, full_package, full_path, dry_run
-        self.warm_dir, self.warm_mode, self.side = warm_dir, warm_mode, grid_side
+        self.warm_dir, self.warm_mode = warm_dir, warm_mode
         if warm_mode != "off" and not (warm_dir and any(catalog.layers[i].warm for i in self.layer_ids)):
             raise PlanError("a warm start needs a folder and a warm-marked layer")
         self.memo = M.PrefixMemo()
@@ -162,7 +162,7 @@ class Packager:
             shape = [G.reproject_edges(F.col(whole.shape), whole.srid, layer.srid).alias("s_shape")] if whole.shape else []
         strata = self.strata.select("stratum_id", *[c.alias(n) for c, n in zip(corners, S_BOX)], *shape)
         features = layer.rows.select(*[F.col(c).alias(f"f_{c}") for c in layer.fid], *BOX, *([F.col(layer.shape).alias("f_shape")] if layer.shape else []))
-        pairs = spatial.bbox_join(features, BOX, strata, S_BOX, self.side)
+        pairs = spatial.bbox_join(features, BOX, strata, S_BOX)
         keys = ["stratum_id", *[f"f_{c}" for c in layer.fid]]
         related = spatial.exact(pairs, keys, layer.geometry, whole.geometry, BOX, S_BOX, layer.shape and "f_shape", whole.shape and "s_shape")
         fits = G.any_of(plan.predicates, F.col("matrix"), F.col("dim_a"), F.col("dim_b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonepack.functions.geometry import ring_edges
+from zonepack.functions.geometry import ring_edges, shape_box
 from zonepack.operators import reports, strata, warm
 from zonepack.plans.catalog import Catalog
 from zonepack.plans.packager import Packager, read_manifest, read_table
@@ -335,13 +335,29 @@ def package_polygons(t: Tables) -> DataFrame:
     return Packager(t.spark, catalog, "nations", name_expr="n_name").package(new_path(t.spark, "out"))
 
 
-@query("SELECT c_name AS label, c_nationkey, 'Point' AS kind, c_acctbal AS x, CAST(c_custkey AS DOUBLE) AS y FROM customer")
+#: What a customer's feature is, by key: a point, a line, a polygon with a hole, or two of a kind; some have no geometry.
+_KINDS = ["Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon"]
+
+
+@query("SELECT c_name AS label, c_nationkey, CASE c_custkey % 7 WHEN 0 THEN 'Point' WHEN 1 THEN 'LineString' WHEN 2 THEN 'Polygon' WHEN 3 THEN 'MultiPoint' WHEN 4 THEN 'MultiLineString' WHEN 5 THEN 'MultiPolygon' END AS kind, CASE WHEN c_custkey % 7 < 6 THEN c_custkey % 7 // 3 + 1 END AS parts, CASE c_custkey % 7 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 10 WHEN 3 THEN 2 WHEN 4 THEN 4 WHEN 5 THEN 20 END AS corners, CASE WHEN c_custkey % 7 < 6 THEN c_acctbal END AS minx, CASE c_custkey % 7 WHEN 6 THEN NULL WHEN 0 THEN c_custkey ELSE c_custkey + CASE c_custkey % 7 WHEN 1 THEN 1 WHEN 2 THEN 9 WHEN 3 THEN 20 WHEN 4 THEN 21 ELSE 29 END END * 1.0 AS maxy FROM customer")
 def scan_geojsonl(t: Tables) -> DataFrame:
-    """Customers written as GeoJSON lines and read again."""
-    point = F.struct(F.lit("Point").alias("type"), F.array(F.col("c_acctbal"), F.col("c_custkey").cast("double")).alias("coordinates"))
-    path = new_path(t.spark, "geojsonl")
-    t.customer.select(F.lit("Feature").alias("type"), F.struct(F.col("c_name").alias("label"), "c_nationkey").alias("properties"), point.alias("geometry")).write.json(path)
+    """Customers written as GeoJSON lines of all kinds and read again."""
+    x, y, path = F.col("c_acctbal"), F.col("c_custkey").cast("double"), new_path(t.spark, "geojsonl")
+
+    def shape(kind: str, up: int) -> F.Column:
+        corner = lambda dx, dy: F.array(x + dx, y + dy + up)
+        square = lambda d, n: F.array(*[corner(d + n * i, d + n * j) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
+        return {"Point": corner(0, 0), "LineString": F.array(corner(0, 0), corner(5, 1)), "Polygon": F.array(square(0, 9), square(2, 3))}[kind]
+
+    def coordinates(kind: str) -> F.Column:
+        return F.array(*[shape(kind[5:], up) for up in (0, 20)]) if kind.startswith("Multi") else shape(kind, 0)
+
+    geometry = F.lit(None).cast("string")
+    for i, kind in enumerate(_KINDS):
+        geometry = F.when(F.col("c_custkey") % 7 == i, F.to_json(F.struct(F.lit(kind).alias("type"), coordinates(kind).alias("coordinates")))).otherwise(geometry)
+    label = F.to_json(F.struct(F.col("c_name").alias("label"), "c_nationkey"))
+    t.customer.select(F.concat(F.lit('{"type": "Feature", "properties": '), label, F.lit(', "geometry": '), F.coalesce(geometry, F.lit("null")), F.lit("}"))).write.text(path)
     read = scans.scan_geojson_lines(t.spark, path, ["label", "c_nationkey"])
-    corner = F.col("rings")[0][0]
-    return read.select("label", F.col("c_nationkey").cast("int").alias("c_nationkey"), "kind", corner["x"].alias("x"), corner["y"].alias("y"))
-
+    box = {c: v for c, v in zip(("minx", "miny", "maxx", "maxy"), shape_box(F.col("parts")))}
+    corners = F.when(F.col("parts").isNotNull(), F.size(F.flatten(F.flatten("parts"))))
+    return read.select("label", F.col("c_nationkey").cast("int").alias("c_nationkey"), "kind", F.when(F.col("parts").isNotNull(), F.size("parts")).alias("parts"), corners.alias("corners"), box["minx"].alias("minx"), box["maxy"].alias("maxy"))

@@ -34,7 +34,7 @@ BOX_RING = (("bx0", "by0"), ("bx1", "by0"), ("bx1", "by1"), ("bx0", "by1"))
 
 
 def pairs(t: Tables, box: bool = True) -> DataFrame:
-    return S.bbox_join(parts(t, box), A, cells(t), B, 10.0)
+    return S.bbox_join(parts(t, box), A, cells(t), B)
 
 
 def related(t: Tables) -> DataFrame:
@@ -133,6 +133,97 @@ def polygon_relate(t: Tables) -> DataFrame:
     return S.polygon_relate(rows, ["fid", "stratum_id"], "a", "b")
 
 
+#: Shapes on a grid, as rectangles (what, k, part, x0, y0, x1, y1): of a polygon's, those that lie in an odd number hold; a line's are segments.
+_SHAPES = [
+    ("f", 0, 0, 0, 0, 3, 3), ("f", 0, 0, 1, 1, 2, 2), ("f", 1, 0, 0, 0, 2, 1), ("f", 1, 1, 3, 0, 4, 2), ("f", 2, 0, 0, 0, 5, 5), ("f", 2, 0, 1, 1, 4, 4),
+    ("f", 2, 1, 2, 2, 3, 3), ("f", 3, 0, 0, 0, 2, 2), ("s", 0, 0, 0, 0, 8, 8), ("s", 0, 0, 3, 3, 5, 5), ("s", 1, 0, 0, 0, 4, 9), ("s", 1, 1, 6, 0, 9, 9),
+    ("s", 1, 1, 7, 2, 8, 3), ("s", 2, 0, 0, 0, 9, 15), ("s", 2, 0, 2, 2, 7, 13), ("s", 2, 1, 3, 4, 6, 9),
+]
+_LINES = [
+    ("f", 0, 0, 0, 0, 4, 0), ("f", 0, 0, 4, 0, 4, 3), ("f", 1, 0, 0, 0, 3, 0), ("f", 1, 1, 0, 2, 3, 2), ("f", 1, 2, 1, 2, 1, 5), ("f", 2, 0, 0, 0, 2, 0), ("f", 2, 0, 2, 0, 2, 2),
+    ("f", 2, 0, 0, 2, 2, 2), ("f", 2, 0, 0, 0, 0, 2), ("f", 3, 0, 0, 0, 0, 6), ("s", 0, 0, 0, 5, 9, 5), ("s", 0, 1, 5, 0, 5, 15), ("s", 1, 0, 0, 0, 0, 9), ("s", 1, 0, 0, 0, 9, 0),
+    ("s", 1, 1, 4, 4, 4, 12), ("s", 2, 0, 2, 2, 7, 2), ("s", 2, 0, 7, 2, 7, 9), ("s", 2, 0, 2, 9, 7, 9), ("s", 2, 0, 2, 2, 2, 9),
+]
+_PLACED = "place AS (SELECT 'f' AS what, p_partkey AS id, p_partkey % 4 AS k, p_size % 40 AS x, p_partkey % 90 AS y FROM part UNION ALL SELECT 's', n_nationkey, n_nationkey % 3, n_nationkey % 5 * 10, n_nationkey // 5 * 20 FROM nation)"
+
+
+def _grid_shapes(shapes: list) -> str:
+    rows = ", ".join(f"('{w}', {', '.join(map(str, r))})" for w, *r in shapes)
+    return f"WITH shapes(what, k, part, x0, y0, x1, y1) AS (VALUES {rows}), {_PLACED}, boxes AS (SELECT what, id, x + min(x0) AS bx0, y + min(y0) AS by0, x + max(x1) AS bx1, y + max(y1) AS by1 FROM place JOIN shapes USING (what, k) GROUP BY what, id, x, y), pairs AS (SELECT f.id AS fid, s.id AS stratum_id FROM boxes f JOIN boxes s ON f.what = 'f' AND s.what = 's' AND f.bx0 <= s.bx1 AND f.bx1 >= s.bx0 AND f.by0 <= s.by1 AND f.by1 >= s.by0)"
+
+
+#: Cells, sides and corners of the grid in doubled coordinates: odd, odd is a cell, even, even a corner. A polygon has a side or corner inside it
+#: if all cells around are its own, on its boundary if some are.
+_MATRIX = """, placed AS (SELECT f.fid, f.stratum_id, e.x, e.y, e.part AS a, 0 AS b, e.dim FROM pairs f JOIN element e ON e.what = 'f' AND e.id = f.fid UNION ALL SELECT f.fid, f.stratum_id, e.x, e.y, 0, e.part, e.dim FROM pairs f JOIN element e ON e.what = 's' AND e.id = f.stratum_id),
+met AS (SELECT fid, stratum_id, x, y, max(a) AS a, max(b) AS b, max(dim) AS dim FROM placed GROUP BY 1, 2, 3, 4),
+cells AS (SELECT fid, stratum_id, CASE a WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END * 3 + CASE b WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS at, max(dim) AS dim FROM met GROUP BY 1, 2, 3)
+SELECT fid, stratum_id, (SELECT string_agg(coalesce(CAST(dim AS VARCHAR), 'F'), '' ORDER BY i) FROM range(8) r(i) LEFT JOIN cells c ON c.at = i AND c.fid = p.fid AND c.stratum_id = p.stratum_id) || '2' AS matrix FROM pairs p"""
+_POLYGONS = _grid_shapes(_SHAPES) + """, own AS (SELECT p.what, p.id, x + i AS cx, y + j AS cy FROM place p JOIN shapes s USING (what, k), range(20) a(i), range(20) b(j) WHERE i >= x0 AND i < x1 AND j >= y0 AND j < y1 GROUP BY ALL HAVING count(*) % 2 = 1),
+element AS (SELECT what, id, 2 * cx + 1 + i AS x, 2 * cy + 1 + j AS y, CASE WHEN count(*) = [1, 2, 4][1 + abs(i) + abs(j)] THEN 2 ELSE 1 END AS part, 2 - abs(i) - abs(j) AS dim FROM (SELECT what, id, cx, cy, i, j FROM own, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)) GROUP BY what, id, 2 * cx + 1 + i, 2 * cy + 1 + j, abs(i), abs(j))"""
+_SEGMENTS = _grid_shapes(_LINES) + """, own AS (SELECT p.what, p.id, 2 * (x + i) + CAST(x0 < x1 AS INT) AS cx, 2 * (y + j) + CAST(y0 < y1 AS INT) AS cy FROM place p JOIN shapes s USING (what, k), range(20) a(i), range(20) b(j) WHERE i >= x0 AND j >= y0 AND (x0 < x1 AND i < x1 AND j = y0 OR y0 < y1 AND j < y1 AND i = x0)),
+element AS (SELECT what, id, cx AS x, cy AS y, 2 AS part, 1 AS dim FROM own UNION ALL SELECT what, id, cx + s * (cx % 2), cy + s * (cy % 2), CASE WHEN count(*) % 2 = 1 THEN 1 ELSE 2 END, 0 FROM own, (SELECT unnest([-1, 1]) AS s) GROUP BY ALL)"""
+
+
+def _grid_layer(t: Tables, what: str, shapes: list, box: tuple[str, ...], edges) -> DataFrame:
+    """(fid or stratum_id, box, shape): the shapes of a kind at their places, by ``edges(rectangles, x, y)``."""
+    if what == "f":
+        rows = t.part.select(F.col("p_partkey").alias("fid"), (F.col("p_partkey") % 4).alias("k"), (F.col("p_size") % 40).cast("double").alias("x"), (F.col("p_partkey") % 90).cast("double").alias("y"))
+    else:
+        n = F.col("n_nationkey")
+        rows = t.nation.select(n.alias("stratum_id"), (n % 3).alias("k"), (n % 5 * 10).cast("double").alias("x"), (F.floor(n / 5) * 20).cast("double").alias("y"))
+    parts = F.lit(None)
+    for k in {s[1] for s in shapes if s[0] == what}:
+        own = [s[2:] for s in shapes if s[:2] == (what, k)]
+        listed = [[s[1:] for s in own if s[0] == p] for p in sorted({s[0] for s in own})]
+        parts = F.when(F.col("k") == k, F.array(*[F.array(*[edges(*s) for s in part]) for part in listed])).otherwise(parts)
+    rows = rows.withColumn("parts", parts)
+    return rows.select(rows.columns[0], *[c.alias(n) for c, n in zip(G.shape_box(F.col("parts")), box)], "parts")
+
+
+def _corner(dx: int, dy: int) -> F.Column:
+    return F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+
+
+@query(_POLYGONS + _MATRIX)
+def multi_relate(t: Tables) -> DataFrame:
+    """Polygons with holes, several parts and islands in holes, on both sides."""
+    rectangle = lambda x0, y0, x1, y1: F.array(_corner(x0, y0), _corner(x1, y0), _corner(x1, y1), _corner(x0, y1), _corner(x0, y0))
+    features, cells = _grid_layer(t, "f", _SHAPES, A, rectangle), _grid_layer(t, "s", _SHAPES, B, rectangle)
+    rows = S.bbox_join(features.withColumnRenamed("parts", "f_parts"), A, cells.withColumnRenamed("parts", "s_parts"), B)
+    rows = rows.select("fid", "stratum_id", G.polygon_edges(F.col("f_parts")).alias("a"), G.polygon_edges(F.col("s_parts")).alias("b"))
+    return S.polygon_relate(rows, ["fid", "stratum_id"], "a", "b")
+
+
+@query(_SEGMENTS + _MATRIX)
+def line_line_relate(t: Tables) -> DataFrame:
+    """Lines of several parts, closed and crossing ones, on both sides."""
+    segment = lambda x0, y0, x1, y1: F.array(_corner(x0, y0), _corner(x1, y1))
+    features, cells = _grid_layer(t, "f", _LINES, A, segment), _grid_layer(t, "s", _LINES, B, segment)
+    rows = S.bbox_join(features.withColumnRenamed("parts", "f_parts"), A, cells.withColumnRenamed("parts", "s_parts"), B)
+    rows = rows.select("fid", "stratum_id", G.line_edges(F.col("f_parts")).alias("a"), G.line_edges(F.col("s_parts")).alias("b"))
+    return S.line_line_relate(rows, ["fid", "stratum_id"], "a", "b")
+
+
+#: Points in the unit square, half of them in a corner of a hundredth of it; thin boxes of all sizes there.
+_DENSE = "WITH f AS (SELECT p_partkey AS fid, p_partkey * 7919 % 10007 / 10007.0 / CASE WHEN p_partkey % 2 = 0 THEN 10 ELSE 1 END AS x, p_partkey * 7907 % 10009 / 10009.0 / CASE WHEN p_partkey % 2 = 0 THEN 10 ELSE 1 END AS y FROM part), s AS (SELECT s_suppkey AS stratum_id, s_suppkey * 4813 % 997 / 1000.0 AS x, s_suppkey * 4639 % 991 / 1000.0 AS y, (1 + s_suppkey % 3) / 50.0 AS w, (1 + s_suppkey % 5) / 400.0 AS h FROM supplier)"
+
+
+def dense(t: Tables) -> tuple[DataFrame, DataFrame]:
+    p, s = F.col("p_partkey"), F.col("s_suppkey")
+    near = F.when(p % 2 == 0, 10).otherwise(1)
+    x, y = p * 7919 % 10007 / 10007.0 / near, p * 7907 % 10009 / 10009.0 / near
+    u, v = s * 4813 % 997 / 1000.0, s * 4639 % 991 / 1000.0
+    features = t.part.select(p.alias("fid"), *[c.alias(n) for c, n in zip((x, y, x, y), A)])
+    return features, t.supplier.select(s.alias("stratum_id"), *[c.alias(n) for c, n in zip((u, v, u + (1 + s % 3) / 50.0, v + (1 + s % 5) / 400.0), B)])
+
+
+@query(_DENSE + " SELECT fid, stratum_id FROM f JOIN s ON f.x BETWEEN s.x AND s.x + w AND f.y BETWEEN s.y AND s.y + h")
+def bbox_dense(t: Tables) -> DataFrame:
+    """All features within one unit: the grid comes from the extents."""
+    features, strata = dense(t)
+    return S.bbox_join(features, A, strata, B).select("fid", "stratum_id")
+
+
 @query(_where("true"))
 def sp_intersects(t: Tables) -> DataFrame:
     return named(t, "intersects")
@@ -143,7 +234,7 @@ def sp_contains(t: Tables) -> DataFrame:
     """The cells as features, unit squares at the parts as strata."""
     squares = parts(t, box=False).select(F.col("fid").alias("stratum_id"), F.col("ax0").alias("bx0"), F.col("ay0").alias("by0"), (F.col("ax0") + 1).alias("bx1"), (F.col("ay0") + 1).alias("by1"))
     features = cells(t).toDF("fid", *A)
-    found = G.with_box_matrix(S.bbox_join(features, A, squares, B, 10.0), A, B)
+    found = G.with_box_matrix(S.bbox_join(features, A, squares, B), A, B)
     return found.where(G.any_of(["contains"], F.col("matrix"), G.box_dimension(*A), G.box_dimension(*B))).select("fid", "stratum_id")
 
 
@@ -187,7 +278,7 @@ def sp_null_geom(t: Tables) -> DataFrame:
     """A third of the features and a quarter of the strata have no geometry."""
     features = parts(t, box=False).withColumn("ax0", F.when(F.col("fid") % 3 != 0, F.col("ax0")))
     strata = cells(t).withColumn("bx0", F.when(F.col("stratum_id") % 4 != 1, F.col("bx0")))
-    triangles = S.bbox_join(features, A, strata, B, 10.0).where(G.point_matrix(F.col("ax0"), F.col("ay0"), ring(*BOX_RING)).isNotNull())
+    triangles = S.bbox_join(features, A, strata, B).where(G.point_matrix(F.col("ax0"), F.col("ay0"), ring(*BOX_RING)).isNotNull())
     return triangles.select("fid", "stratum_id")
 
 

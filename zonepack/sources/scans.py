@@ -35,20 +35,26 @@ GEOJSON = "type string, properties map<string,string>, geometry struct<type:stri
 
 
 def scan_geojson_lines(spark: SparkSession, path: str, properties: Sequence[str]) -> DataFrame:
-    """(properties..., kind, points): one GeoJSON feature a line; the corners of all rings in order.
+    """(properties..., kind, parts): one GeoJSON feature a line. ``parts`` is an array of parts, each an array of rings or
+    lists of corners (x, y): a point one corner, a line one list, a polygon its outer ring and holes; the Multi kinds have
+    a part for each member. A ring's last corner repeats its first.
 
-    Points have one corner. Rings stay apart by ``ring``; the closing corner is dropped from polygons.
+    Features without a geometry, and those of other kinds, have null parts; no row is lost. Heights are dropped.
     """
     rows = spark.read.schema(GEOJSON).json(path)
     kind, text = F.col("geometry.type"), F.col("geometry.coordinates")
-    rings = (
-        F.when(kind == "Point", F.array(F.array(F.from_json(text, "array<double>"))))
-        .when(kind.isin("LineString", "MultiPoint"), F.array(F.from_json(text, "array<array<double>>")))
-        .otherwise(F.from_json(text, "array<array<array<double>>>"))
+    listed = lambda depth: F.from_json(text, "array<" * depth + "double" + ">" * depth)
+    shape = (
+        F.when(kind == "Point", F.array(F.array(F.array(listed(1)))))
+        .when(kind == "LineString", F.array(F.array(listed(2))))
+        .when(kind == "MultiPoint", F.transform(listed(2), lambda p: F.array(F.array(p))))
+        .when(kind == "MultiLineString", F.transform(listed(3), lambda line: F.array(line)))
+        .when(kind == "Polygon", F.array(listed(3)))
+        .when(kind == "MultiPolygon", listed(4))
     )
-    points = lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    shape = F.transform(rings, lambda r: points(F.when(kind == "Polygon", F.slice(r, 1, F.size(r) - 1)).otherwise(r)))
-    return rows.select(*[F.col("properties")[p].alias(p) for p in properties], kind.alias("kind"), shape.alias("rings"))
+    corner = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
+    parts = F.transform(shape, lambda part: F.transform(part, lambda ring: F.transform(ring, corner)))
+    return rows.select(*[F.col("properties")[p].alias(p) for p in properties], kind.alias("kind"), parts.alias("parts"))
 
 
 def payload_inventory(spark: SparkSession, root: str, prefix: str) -> DataFrame:
