@@ -8,7 +8,8 @@ An irregular group is resolved token by token, which gives the pairs that overla
 
 Tokens are made from chunks, each distinct one once in a worker: a space between two characters that are no
 white space begins a chunk, because the pattern of A always begins a piece there, and no piece of B has its
-space mark behind another character (both are looked up in the files; else a chunk is a whole text).
+space mark behind another character (both are looked up in the files; else a chunk is a whole text). Symbols at the end
+of ASCII letters are cut off, as the pattern of A begins a piece there and no piece of B has a symbol behind a letter.
 
 Corpus counts (``scored``): an id pair counts in each document that links it. What a document links (distinct pairs) is
 staged; tasks add up pairs before the shuffle. The highest count of each A id is a table no longer than the
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonepack.llm.shared import cuts, documents, stage
-from zonepack.llm.word_ids import _byte_characters, _Kept, strings, take_turn, vocabulary_path
+from zonepack.llm.word_ids import SYMBOLS, _byte_characters, _Kept, strings, take_turn, vocabulary_path
 
 TABLE = 1 << 20
 CHUNK = 1 << 22
@@ -44,45 +46,70 @@ MARK = "▁"
 
 
 class Vocabulary:
-    """Ids of chunks. ``pieces`` has the bytes of each id, ``whole`` says that texts can't be cut into chunks."""
+    """Ids of chunks. ``pieces`` has the bytes of each id; ``whole`` says that texts can't be cut into chunks, ``splits`` that
+    symbols behind ASCII letters at the end of a chunk are tokens of their own."""
 
     pieces: list[bytes]
     whole: bool
+    splits: bool
 
-    def ids(self, chunk: str) -> list[int]:
+    def ids_of(self, chunks: list[str]) -> list[list[int]]:
         raise NotImplementedError
 
-    def _make(self, chunk: str) -> bytes:
-        """Little-endian unsigned 32-bit ids; one byte more where they don't spell a space and the chunk."""
-        ids = self.ids(chunk)
-        spelled = b"".join([self.pieces[i] for i in ids]) == b" " + chunk.encode()
-        return np.array(ids, dtype="<u4").tobytes() + (b"" if spelled else b"!")
+    def ids_of_tail(self, tail: str) -> list[int]:
+        raise NotImplementedError
+
+    def _made(self, chunks: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each chunk; one byte more where they don't spell a space and the chunk."""
+        ids = self.ids_of(chunks)
+        spelled = [b" " + c.encode() for c in chunks]
+        sizes = [len(i) for i in ids]
+        flat = [x for i in ids for x in i]
+        lengths = np.diff(np.concatenate([[0], np.cumsum(self.lengths[flat] if flat else [])])[np.cumsum(sizes)], prepend=0) if ids else []
+        if b"".join([self.pieces[x] for x in flat]) == b"".join(spelled) and list(map(len, spelled)) == list(lengths):
+            return [array("I", i).tobytes() for i in ids]
+        return [array("I", i).tobytes() + (b"" if b"".join([self.pieces[x] for x in i]) == t else b"!") for i, t in zip(ids, spelled)]
 
     @cached_property
     def kept(self) -> _Kept:
-        return _Kept(self._make)
+        return _Kept(None)
+
+    @cached_property
+    def tails(self) -> _Kept:
+        return _Kept(lambda tail: array("I", self.ids_of_tail(tail)).tobytes(), 1 << 20)
 
     @cached_property
     def lengths(self) -> np.ndarray:
         return np.array([len(p) for p in self.pieces], dtype=np.int64)
 
-    def encode(self, chunks: list[str], index: np.ndarray, chunk_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, chunks: Chunks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, where those of each text end, and which texts have a chunk that isn't spelled."""
-        found = list(map(self.kept.__getitem__, chunks))
+        wanted = chunks.cores if self.splits else chunks.distinct
+        kept = self.kept
+        missing = [c for c in wanted if c not in kept and c not in kept.old]
+        made = dict(zip(missing, self._made(missing)))
+        kept.make = lambda c: made.get(c) or self._made([c])[0]
+        found = list(map(kept.__getitem__, wanted))
+        kept.make = None
+        if self.splits:
+            tails = list(map(self.tails.__getitem__, chunks.tails))
+            found = [found[c] if t < 0 else found[c] + tails[t] for c, t in zip(chunks.core_of, chunks.tail_of)]
         lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         odd = lengths & 3 > 0
-        ids = np.frombuffer(b"".join([f[:-1] if len(f) & 3 else f for f in found] if odd.any() else found), dtype="<u4")
+        ids = np.frombuffer(b"".join([f[: len(f) & ~3] for f in found] if odd.any() else found), dtype="<u4")
         sizes = lengths >> 2
-        starts, each = np.cumsum(sizes) - sizes, sizes[index]
+        starts, each = np.cumsum(sizes) - sizes, sizes[chunks.index]
         ends = np.cumsum(each)
-        out = ids[np.repeat(starts[index] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        misspelled = np.concatenate([[0], np.cumsum(odd[index])])[chunk_ends]
-        return out, np.concatenate([[0], ends])[chunk_ends], np.diff(misspelled, prepend=0) > 0
+        out = ids[np.repeat(starts[chunks.index] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        misspelled = np.concatenate([[0], np.cumsum(odd[chunks.index])])[chunks.ends]
+        return out, np.concatenate([[0], ends])[chunks.ends], np.diff(misspelled, prepend=0) > 0
 
 
 class ByteVocabulary(Vocabulary):
     """A tokenizers file with a byte-level alphabet; the text is encoded behind a space."""
 
+    splits = True
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -93,11 +120,17 @@ class ByteVocabulary(Vocabulary):
         splitter = file.get("pre_tokenizer") or {}
         self.whole = bool(file.get("normalizer")) or splitter.get("type") != "ByteLevel" or not splitter.get("use_regex") or splitter.get("add_prefix_space")
         back = {chr(c): b for b, c in {**{b: b for b in range(256)}, **_byte_characters()}.items()}
+        self.space = next(c for c, b in back.items() if b == ord(" ") and c != " ")
         names = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
         self.pieces = [bytes(back[c] for c in names[i]) if i in names and set(names[i]) <= back.keys() else b"" for i in range(max(names) + 1)]
 
-    def ids(self, chunk: str) -> list[int]:
-        return self.library.encode(f" {chunk}", add_special_tokens=False).ids
+    def ids_of(self, chunks: list[str]) -> list[list[int]]:
+        """ASCII letters behind a space are one piece of the pattern: merged at once."""
+        merged, encode, space = self.library.model.tokenize, self.library.encode, self.space
+        return [[t.id for t in merged(space + c)] if c.isascii() and c.isalpha() and not self.whole else encode(f" {c}", add_special_tokens=False).ids for c in chunks]
+
+    def ids_of_tail(self, tail: str) -> list[int]:
+        return self.library.encode(tail, add_special_tokens=False).ids
 
 
 class PieceVocabulary(Vocabulary):
@@ -111,54 +144,83 @@ class PieceVocabulary(Vocabulary):
         byte = [re.fullmatch("<0x([0-9A-F]{2})>", n) for n in names]
         self.pieces = [bytes([int(m[1], 16)]) if m else n.replace(MARK, " ").encode() for m, n in zip(byte, names)]
         self.whole = any(MARK in n.lstrip(MARK) for n in names) or "".join(self.library.encode("a  b", out_type=str)) != f"{MARK}a{MARK * 2}b"
+        mixed = re.compile(f"[A-Za-z][{re.escape(SYMBOLS)}]")
+        own = [n for i, n in enumerate(names) if not (self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_byte(i))]
+        self.splits = not any(mixed.search(n) for n in own) and self.library.encode("a") == [self.library.piece_to_id(f"{MARK}a")]
+
+    def ids_of(self, chunks: list[str]) -> list[list[int]]:
+        return self.library.encode(chunks, num_threads=1)
 
-    def ids(self, chunk: str) -> list[int]:
-        return self.library.encode(chunk, num_threads=1)
+    def ids_of_tail(self, tail: str) -> list[int]:
+        return self.library.encode(f"a{tail}")[1:]
 
 
 def vocabulary(path: str) -> Vocabulary:
     return ByteVocabulary(path) if path.endswith(".json") else PieceVocabulary(path)
 
 
-def chunks_of(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct chunks of a column of texts, for each chunk in turn which of them it is, and where the
-    chunks of each text end. Chunks joined by single spaces are the text."""
-    lists = pc.split_pattern(column.fill_null(""), " ")
-    ends = lists.offsets.to_numpy()[1:].astype(np.int64) - lists.offsets[0].as_py()
-    coded = lists.flatten().dictionary_encode()
-    parts, index = strings(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
-    space = lambda c: c.isspace() or c == MARK
-    head = np.fromiter((not p or space(p[0]) for p in parts), dtype=bool, count=len(parts))
-    tail = np.fromiter((not p or space(p[-1]) for p in parts), dtype=bool, count=len(parts))
-    joined = np.zeros(len(index), dtype=bool)  # to the part before
-    joined[1:] = tail[index[:-1]] | head[index[1:]]
-    joined[np.concatenate([[0], ends[:-1]])[: len(ends)]] = False
-    if not joined.any():
-        return parts, index, ends
-    first = np.flatnonzero(~joined)
-    sizes = np.diff(np.append(first, len(index)))
-    out = index[first]
-    new: dict[str, int] = {}
-    for g in np.flatnonzero(sizes > 1).tolist():
-        chunk = " ".join([parts[i] for i in index[first[g] : first[g] + sizes[g]].tolist()])
-        out[g] = new.setdefault(chunk, len(parts) + len(new))
-    return [*parts, *new], out, np.cumsum(~joined)[ends - 1]
-
-
-def diagonal_runs(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(groups, links) of two lists of ends with the same last end, each as (i, j, k): k groups whose last tokens
-    are i + t and j + t, k pairs of tokens i + t and j + t that overlap; t from 0."""
+class Chunks:
+    """The distinct chunks of a column of texts, for each chunk in turn which of them it is (``index``), and where the
+    chunks of each text end. Chunks joined by single spaces are the text. A distinct chunk is the core ``core_of`` and the
+    tail ``tail_of`` (-1: none): ASCII letters and the symbols after them, or all of it."""
+
+    def __init__(self, texts: pa.Array, whole: bool):
+        if whole:
+            coded = texts.dictionary_encode()
+            self.distinct, self.index, self.ends = strings(coded.dictionary), coded.indices.to_numpy().astype(np.int64), np.arange(1, len(texts) + 1)
+        else:
+            self.distinct, self.index, self.ends = self._cut(texts)
+        cores: dict[str, int] = {}
+        tails: dict[str, int] = {}
+        self.core_of, self.tail_of = [], []
+        for chunk in self.distinct:
+            core = chunk.rstrip(SYMBOLS)
+            if len(core) == len(chunk) or whole or not (core.isascii() and core.isalpha()):
+                self.core_of.append(cores.setdefault(chunk, len(cores)))
+                self.tail_of.append(-1)
+            else:
+                self.core_of.append(cores.setdefault(core, len(cores)))
+                self.tail_of.append(tails.setdefault(chunk[len(core) :], len(tails)))
+        self.cores, self.tails = list(cores), list(tails)
+
+    @staticmethod
+    def _cut(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        lists = pc.split_pattern(texts, " ")
+        ends = lists.offsets.to_numpy()[1:].astype(np.int64) - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        parts, index = strings(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
+        space = lambda c: c.isspace() or c == MARK
+        head = np.fromiter((not p or space(p[0]) for p in parts), dtype=bool, count=len(parts))
+        tail = np.fromiter((not p or space(p[-1]) for p in parts), dtype=bool, count=len(parts))
+        joined = np.zeros(len(index), dtype=bool)  # to the part before
+        joined[1:] = tail[index[:-1]] | head[index[1:]]
+        joined[np.concatenate([[0], ends[:-1]])[: len(ends)]] = False
+        if not joined.any():
+            return parts, index, ends
+        first = np.flatnonzero(~joined)
+        sizes = np.diff(np.append(first, len(index)))
+        out = index[first]
+        new: dict[str, int] = {}
+        for g in np.flatnonzero(sizes > 1).tolist():
+            chunk = " ".join([parts[i] for i in index[first[g] : first[g] + sizes[g]].tolist()])
+            out[g] = new.setdefault(chunk, len(parts) + len(new))
+        return [*parts, *new], out, np.cumsum(~joined)[ends - 1]
+
+
+def diagonal_runs(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Of two lists of ends with the same last end: (last token of A, of B) of each group, and (token of A, of B) of
+    each pair that overlaps, both in order."""
     a, b = ends_a.tolist(), ends_b.tolist()
     raw_a, raw_b = ends_a.astype("<u8").tobytes(), ends_b.astype("<u8").tobytes()
     n_a, n_b = len(a), len(b)
-    groups: list[tuple[int, int, int]] = []
-    links: list[tuple[int, int, int]] = []
+    runs: list[int] = []  # i, j, k: tokens i + t and j + t, t < k, end together and begin together
+    last: list[int] = []  # i, j: last tokens of an irregular group
+    over: list[int] = []  # i, j: tokens that overlap in one
     i = j = 0
     while i < n_a:
         x, y = a[i], b[j]
         if x == y:
-            k = step = 1
-            most = min(n_a - i, n_b - j)
+            k, step, most = 1, 1, min(n_a - i, n_b - j)
             while k < most:  # twice as far each time
                 step = min(step, most - k)
                 at_a, at_b = (i + k) << 3, (j + k) << 3
@@ -173,30 +235,29 @@ def diagonal_runs(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[list[tuple[in
                     break
                 k += step
                 step <<= 1
-            groups.append((i, j, k))
-            links.append((i, j, k))
+            runs += (i, j, k)
             i += k
             j += k
             continue
         while x != y:
-            links.append((i, j, 1))
+            over += (i, j)
             if x < y:
                 i += 1
                 x = a[i]
             else:
                 j += 1
                 y = b[j]
-        links.append((i, j, 1))
-        groups.append((i, j, 1))
+        over += (i, j)
+        last += (i, j)
         i += 1
         j += 1
-    return groups, links
-
-
-def _spread(runs: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
     i, j, k = np.array(runs, dtype=np.int64).reshape(-1, 3).T
     more = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-    return np.repeat(i, k) + more, np.repeat(j, k) + more
+    straight = np.repeat(i, k) + more, np.repeat(j, k) + more
+    odd, pairs = (np.array(v, dtype=np.int64).reshape(-1, 2).T for v in (last, over))
+    # both numbers of groups and pairs only grow, so each sorted by itself they belong together
+    groups, links = (tuple(np.sort(np.concatenate([s, o])) for s, o in zip(straight, other)) for other in (odd, pairs))
+    return groups, links
 
 
 class Aligned:
@@ -208,30 +269,16 @@ class Aligned:
     def __init__(self, column: pa.Array, a: Vocabulary, b: Vocabulary):
         texts = column.fill_null("")
         full = pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        if a.whole or b.whole:
-            coded = texts.dictionary_encode()
-            split = strings(coded.dictionary), coded.indices.to_numpy().astype(np.int64), np.arange(1, len(full) + 1)
-        else:
-            split = chunks_of(texts)
-        sides = [v.encode(*split) for v in (a, b)]
+        chunks = Chunks(texts, a.whole or b.whole)
+        sides = [v.encode(chunks) for v in (a, b)]
         good = full.copy()
         for row in np.flatnonzero(full & (sides[0][2] | sides[1][2])).tolist():
             whole = b" " + texts[row].as_py().encode()
             good[row] = all(b"".join([v.pieces[i] for i in ids[ends[row - 1] if row else 0 : ends[row]].tolist()]) == whole for v, (ids, ends, _) in zip((a, b), sides))
         (self.a_ids, self.a_ends), (self.b_ids, self.b_ends) = (self._without(ids, ends, good) for ids, ends, _ in sides)
-        byte_a, byte_b = np.cumsum(a.lengths[self.a_ids]), np.cumsum(b.lengths[self.b_ids])
-        groups: list[tuple[int, int, int]] = []
-        links: list[tuple[int, int, int]] = []
-        self.groups, self.links = np.zeros(len(full), dtype=np.int64), np.zeros(len(full), dtype=np.int64)
-        at_a = at_b = 0
-        for row, (end_a, end_b) in enumerate(zip(self.a_ends.tolist(), self.b_ends.tolist())):
-            if end_a > at_a:
-                for out, number, runs in zip((groups, links), (self.groups, self.links), diagonal_runs(byte_a[at_a:end_a], byte_b[at_b:end_b])):
-                    number[row] = sum([k for _, _, k in runs])
-                    out += [(i + at_a, j + at_b, k) for i, j, k in runs]
-            at_a, at_b = end_a, end_b
-        self.last_a, self.last_b = _spread(groups)
-        self.link_a, self.link_b = _spread(links)
+        # a text has the same bytes on both sides, so its end is a common one: the batch is walked in one go
+        (self.last_a, self.last_b), (self.link_a, self.link_b) = diagonal_runs(np.cumsum(a.lengths[self.a_ids]), np.cumsum(b.lengths[self.b_ids]))
+        self.groups, self.links = (np.diff(np.searchsorted(v, self.a_ends), prepend=0) for v in (self.last_a, self.link_a))
 
     @staticmethod
     def _without(ids: np.ndarray, ends: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +303,7 @@ def _aligned(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Ite
     take_turn("alignment")
     a, b = _opened(a_path), _opened(b_path)
     span = len(b.pieces)
-    for rows in cuts(batches, most=1 << 19):
+    for rows in cuts(batches):
         found = Aligned(rows.column("text"), a, b)
         group_ends = np.cumsum(found.groups)
         ends_a = found.last_a + 1 - np.repeat(found.a_ends - np.diff(found.a_ends, prepend=0), found.groups)
