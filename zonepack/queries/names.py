@@ -100,14 +100,25 @@ def _texts(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", F.expr(_TEXT).alias("sql"))
 
 
-_EQUATIONS = r"list_filter(string_split_regex(regexp_replace(sql, '\s*([.=])\s*', '\1', 'g'), '[\s,()]+'), lambda w: regexp_matches(w, '^[\w.]+(=[\w.]+)+$'))"
-_Q = r"""(?:"[^"]+"|`[^`]+`|\[[^\]]+\]|\w+)"""
-_HEADS = rf"list_transform(string_split_regex(sql, '(?i)\b(?:from|join)\s+')[2:], lambda x: regexp_replace(regexp_extract(x, '^(?:{_Q}\s*\.\s*)*({_Q})', 1), '^[\"`\[]|[\"`\]]$', '', 'g'))"
+#: Equations as they are written: at the end of a statement, beside operators, quotes, brackets and comments.
+_EQUATED = f"""{_TEXT} || CASE c_custkey % 6 WHEN 0 THEN '; select p' || c_nationkey || ' = b.q;' WHEN 1 THEN ' or a.x' || c_nationkey || '=b.y||''z''' WHEN 2 THEN ' and `a`.u = b . v' || c_nationkey
+WHEN 3 THEN ' and (f(g)=h) and m = n(2) -- i =j' WHEN 4 THEN ' and t == 1 and k=' || chr(10) || 'l.k and "o" = w' ELSE ' and r<=s and 1.5= e and z= ''y''' END"""
+_IS_WORD = r"regexp_matches({}, '^[\pL\pN_]')"
+_TOKENS = r"regexp_extract_all(sql, '[\pL\pN_]+|[^\s]')"
 
 
-@query(f"WITH q AS (SELECT c_custkey, {_TEXT} AS sql FROM customer) SELECT DISTINCT c_custkey, split_part(unnest(flatten(list_transform({_EQUATIONS}, lambda w: string_split(w, '=')))), '.', -1) AS name FROM q")
+@query(
+    f"""WITH q AS (SELECT c_custkey, {_EQUATED} AS sql FROM customer), t AS (SELECT c_custkey, unnest({_TOKENS}) AS token, generate_subscripts({_TOKENS}, 1) AS i FROM q),
+l AS (SELECT *, lag(token) OVER w AS before, lead(token) OVER w AS after, lead(token, 2) OVER w AS dot, lead(token, 3) OVER w AS last FROM t WINDOW w AS (PARTITION BY c_custkey ORDER BY i)),
+s AS (SELECT c_custkey, before, CASE WHEN dot = '.' AND {_IS_WORD.format('last')} THEN last ELSE after END AS behind FROM l WHERE token = '=' AND {_IS_WORD.format('before')} AND {_IS_WORD.format('after')})
+SELECT c_custkey, before AS name FROM s UNION SELECT c_custkey, behind FROM s"""
+)
 def equality_operands(t: Tables) -> DataFrame:
-    return _texts(t).select("c_custkey", F.explode(T.equality_operands(F.col("sql"))).alias("name"))
+    return t.customer.select("c_custkey", F.explode(T.equality_operands(F.expr(_EQUATED))).alias("name"))
+
+
+_Q = r"""(?:"[^"]+"|`[^`]+`|\[[^\]]+\]|\w+)"""
+_HEADS = rf"list_transform(string_split_regex(sql, '(?i)\b(?:from|join)\s+')[2:], lambda x: regexp_replace(regexp_extract(x, '^(?:{_Q}\s*\.\s*)*({_Q})', 1), '^[\"`\[]|[\"`\]]$', '', 'g'))"
 
 
 @query(f"WITH q AS (SELECT c_custkey, {_TEXT} AS sql FROM customer) SELECT DISTINCT c_custkey, unnest({_HEADS}) AS name FROM q")
