@@ -156,6 +156,40 @@ def test_shared_copies_stay_with_their_run(spark, farm, tmp_path):
         read_table(spark, out, "spoons")
 
 
+def rows_scanned(df):
+    """Rows that come out of the scan: those of the row groups and pages that are read."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaf = plan.collectLeaves().head()
+    return leaf.metrics().get("numOutputRows").get().value()
+
+
+def test_indexed_tables_are_read_in_part(spark, tmp_path, monkeypatch):
+    from zonepack.sources import packages as P
+
+    monkeypatch.setattr(P, "INDEXED_GROUP", 32 << 10)
+    zones = spark.createDataFrame([(1,), (2,)], "zone long")
+    rows = spark.range(40_000).select(F.col("id").alias("i"), (F.col("id") % 2 + 1).alias("z"), (F.hash("id") % 5000).alias("a"), F.sha2(F.col("id").cast("string"), 256).alias("b"), F.lit("x").alias("c"))
+    c = Catalog(spark).add("zones", zones, "zone").add("rows", rows, "i").add("all", rows, "i", matching_method="whole_export").relate("r", "rows", "zones", [("z", "zone")])
+    key = rows.where("i = 777").first()
+    queries = {"first": "select * from rows r join other o on r.a = o.q where b = c1", "second": "select 1 from rows where a=3", "third": "select 1"}
+    scanned = {}
+    for name, given in (("plain", None), ("indexed", queries)):
+        p = Packager(spark, c, "zones", layers=["rows", "all"], queries=given)
+        assert p.indexed("rows") == (["a", "b"] if given else [])
+        p.package(str(tmp_path / name))
+        for table in ("rows", "all"):
+            path = read_manifest(spark, str(tmp_path / name)).where(F.col("table") == table).first().run
+            df = spark.read.parquet(f"{tmp_path}/{name}/{path}/{'_shared/' if table == 'all' else ''}{table}")
+            for column in "ab":
+                found = df.where(F.col(column) == key[column])
+                assert found.where("i = 777").count() == 1
+                scanned[name, table, column] = rows_scanned(found)
+    for table in ("rows", "all"):
+        for column in "ab":
+            assert scanned["indexed", table, column] * 4 < scanned["plain", table, column], scanned
+
+
 def test_partial_cache_gives_what_a_cold_run_gives(spark, farm, tmp_path):
     from zonepack.sources import packages as P
 

@@ -9,6 +9,7 @@ follow the pointer to the current manifest (``read_manifest``, ``read_table``).
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from zonepack.functions import geometry as G
+from zonepack.functions import text as T
 from zonepack.operators import membership as M
 from zonepack.operators import reports, spatial, warm
 from zonepack.operators import strata as S
@@ -79,7 +81,8 @@ def read_copies(spark: SparkSession, out_dir: str, table: str) -> DataFrame:
 class Packager:
     """``Packager(spark, catalog, stratification="region", name_expr="r_name").package(path)``.
 
-    ``display_expr`` names each layer in each stratum; a stratum for which it gives null fails.
+    ``display_expr`` names each layer in each stratum; a stratum for which it gives null fails. ``queries`` are texts that
+    readers run over the package: tables are written with indexes on the columns that these compare.
     """
 
     def __init__(
@@ -87,6 +90,7 @@ class Packager:
         name_expr: str | None = None, package_expr: str | None = None, bundle_expr: str | None = None, display_expr: str | None = None,
         keep_empty: bool = False, overwrite_mode: str = "error", compression_level: int = 1, full_package: bool = False,
         full_path: str = "full", dry_run: bool = False, warm_dir: str | None = None, warm_mode: str = "off",
+        queries: Mapping[str, str] | None = None,
     ):
         if warm_mode not in ("off", "use", "update"):
             raise PlanError(f"unknown warm mode {warm_mode}")
@@ -96,7 +100,7 @@ class Packager:
         self.layer_ids = layers or [i for i in catalog.eligible() if i != stratification]
         self.selection, self.name_expr, self.package_expr, self.bundle_expr, self.display_expr = selection, name_expr, package_expr, bundle_expr, display_expr
         self.keep_empty, self.overwrite_mode, self.level, self.full, self.full_path, self.is_dry = keep_empty, overwrite_mode, compression_level, full_package, full_path, dry_run
-        self.warm_dir, self.warm_mode = warm_dir, warm_mode
+        self.warm_dir, self.warm_mode, self.queries = warm_dir, warm_mode, queries or {}
         if warm_mode != "off" and not (warm_dir and any(catalog.layers[i].warm for i in self.layer_ids)):
             raise PlanError("a warm start needs a folder and a warm-marked layer")
         self.memo = M.PrefixMemo()
@@ -118,6 +122,21 @@ class Packager:
         rows = S.snapshot(layer.rows, layer.fid[0], layer.source.columns, selection=self.selection)
         return S.with_paths(S.named(rows, self.name_expr), self.package_expr, self.bundle_expr)
 
+    @cached_property
+    def operands(self) -> dict[str, int]:
+        """Names that the delivered queries compare by ``=``, with the number of queries that do."""
+        if not self.queries:
+            return {}
+        texts = self.spark.createDataFrame(list(self.queries.items()), "name string, text string")
+        return {r.operand: r["count"] for r in texts.select(F.explode(T.equality_operands(F.col("text"))).alias("operand")).groupBy("operand").count().collect()}
+
+    def indexed(self, layer_id: str) -> list[str]:
+        """Fields of a layer's table to index, the one that most queries compare first. Whatever else the queries compare
+        (literals, aliases, other tables' fields) is no field of it and drops out."""
+        layer = self.catalog.layers[layer_id]
+        kept = P.kept_fields(layer.rows, layer.excluded_fields)
+        return sorted((c for c in kept if c in self.operands), key=lambda c: (-self.operands[c], kept.index(c)))
+
     def check(self) -> None:
         """Refuse a run without strata, null and duplicate names, bad paths and colliding packages; at most a few
         rows are fetched."""
@@ -303,13 +322,13 @@ class Packager:
         layer = plan.layer
         if plan.method == "whole_export":
             path = f"{built}/_shared/{layer.id}"
-            layer.rows.drop(*layer.excluded_fields).write.options(**P.compression(self.level)).parquet(path)
+            P.write_whole(layer.rows.drop(*layer.excluded_fields), path, self.level, self.indexed(layer.id))
             return self._whole(self.spark.read.parquet(path)), None
         slices, status = self._partitioned(layer.id), None
         if cache and layer.warm:
             slices = cache.use(layer.id, slices)
             status = F.when(F.col("usable"), F.lit("warm")).otherwise(F.lit("cold-fallback"))
-        P.write_partitioned(slices, f"{built}/{layer.id}", self.level)
+        P.write_partitioned(slices, f"{built}/{layer.id}", self.level, indexed=self.indexed(layer.id))
         written = self.spark.read.schema(slices.schema).parquet(f"{built}/{layer.id}")
         outcome = P.empty_policy(M.counts(self.strata, written), self.keep_empty).withColumn("detail", F.lit(""))
         if status is not None:
@@ -325,7 +344,7 @@ class Packager:
         layer = plan.layer
         path = f"{built}/_shared/{layer.id}" if plan.method == "whole_export" else f"{built}/_full/{layer.id}"
         if plan.method != "whole_export":
-            layer.rows.select(P.kept_fields(layer.rows, layer.excluded_fields)).write.options(**P.compression(self.level)).parquet(path)
+            P.write_whole(layer.rows.select(P.kept_fields(layer.rows, layer.excluded_fields)), path, self.level, self.indexed(layer.id))
         return P.empty_policy(self.spark.read.parquet(path).agg(F.count("*").alias("feature_count")), self.keep_empty)
 
     def _cache(self, everyone: DataFrame) -> Cache | None:

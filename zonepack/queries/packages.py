@@ -69,6 +69,19 @@ def cluster_staged(t: Tables) -> DataFrame:
     return staged.join(wanted, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_custkey").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+_CUSTOMER_ORDERS = "SELECT c_custkey, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 7 GROUP BY c_custkey"
+
+
+@query(f"SELECT n_regionkey AS stratum_id, q.* FROM ({_CUSTOMER_ORDERS}) q JOIN customer USING (c_custkey) JOIN nation ON c_nationkey = n_nationkey")
+def indexed_lookup(t: Tables) -> DataFrame:
+    """A package is written with indexes for a query, which then runs over its tables."""
+    out = new_path(t.spark, "out")
+    packager(t, layers=["customer", "orders"], queries={"orders by customer": _CUSTOMER_ORDERS}).package(out)
+    of = read_table(t.spark, out, "customer").where("c_nationkey = 7").select("stratum_id", "c_custkey")
+    found = read_table(t.spark, out, "orders").join(of.withColumnRenamed("c_custkey", "o_custkey"), ["stratum_id", "o_custkey"])
+    return found.groupBy("stratum_id", F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @query("SELECT n_nationkey AS stratum_id, count(c_custkey) AS feature_count, CASE WHEN count(c_custkey) > 0 THEN 'ok' ELSE 'empty-skipped' END AS status FROM nation LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 9900) ON c_nationkey = n_nationkey GROUP BY 1")
 def empty_policy(t: Tables) -> DataFrame:
     return packager(t, "nation", "n_name", layers=["customer"], flags={"customer": {"subset": "c_acctbal > 9900"}}).counts("customer")

@@ -48,10 +48,36 @@ def compression(level: int) -> dict[str, str]:
     return {"compression": "zstd", "parquet.compression.codec.zstd.level": str(level)} if level else {"compression": "uncompressed"}
 
 
-def write_partitioned(slices: DataFrame, path: str, level: int = 1, mode: str = "errorifexists") -> None:
+#: Row groups of indexed tables are this small, so that a look-up reads little beside what it wants.
+INDEXED_GROUP = 16 << 20
+
+
+def index_options(columns: Sequence[str]) -> dict[str, str]:
+    """Bloom filters on ``columns``, as large as their values need, in small row groups."""
+    if not columns:
+        return {}
+    return {"parquet.block.size": str(INDEXED_GROUP), "parquet.bloom.filter.adaptive.enabled": "true"} | {f"parquet.bloom.filter.enabled#{c}": "true" for c in columns}
+
+
+def write_partitioned(slices: DataFrame, path: str, level: int = 1, mode: str = "errorifexists", indexed: Sequence[str] = ()) -> None:
     """One folder a stratum. Rows of a stratum are brought together, large ones over several tasks
-    (REBALANCE splits them), so there are few files and no task holds a whole hot stratum."""
-    slices.hint("rebalance", "stratum_id").write.mode(mode).options(**compression(level)).partitionBy("stratum_id").parquet(path)
+    (REBALANCE splits them), so there are few files and no task holds a whole hot stratum.
+
+    ``indexed`` columns get Bloom filters; by the first of them the rows of a file are sorted, so that row groups and pages hold
+    ranges of it."""
+    rows = slices.hint("rebalance", "stratum_id")
+    if indexed:
+        rows = rows.sortWithinPartitions("stratum_id", indexed[0])
+    rows.write.mode(mode).options(**compression(level), **index_options(indexed)).partitionBy("stratum_id").parquet(path)
+
+
+def write_whole(rows: DataFrame, path: str, level: int = 1, indexed: Sequence[str] = ()) -> None:
+    """A table that all strata share. With ``indexed`` columns it is dealt by ranges of the first one; a value that many rows
+    have is spread by a hash of the row."""
+    if indexed:
+        spread = F.xxhash64(*[c for c in rows.columns if rows.schema[c].dataType.typeName() not in ("map", "variant")])
+        rows = rows.withColumn("_spread", spread).repartitionByRange(indexed[0], "_spread").sortWithinPartitions(indexed[0]).drop("_spread")
+    rows.write.options(**compression(level), **index_options(indexed)).parquet(path)
 
 
 def clustered(staged: DataFrame, keys: Sequence[str], partitions: int) -> DataFrame:
