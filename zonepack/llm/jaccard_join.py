@@ -26,6 +26,8 @@ Words are runs of bytes other than ASCII white space, A-Z lower-cased; a documen
    where signature trees look for links across components in the same way.
 6. Components of all links, by stars.
 
+Joins with sets are sort-merge joins at any size: Spark splits skewed keys, and larger input changes no plan.
+
 Steps 3 and 5 consider every pair that can link, so no link between components is lost. Shingles are
 compared by 64-bit hashes and equal sets by 128-bit digests: exact but for collisions of these.
 
@@ -49,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonepack.llm.components import components
-from zonepack.llm.shared import Scratch, cuts, dealt_by, documents, groups, parallelism, stage, to_all, without_ids
+from zonepack.llm.shared import Scratch, cuts, dealt_by, documents, groups, parallelism, stage, without_ids
 from zonepack.llm.signature_tree import pairs, signatures
 from zonepack.llm.word_ids import strings, take_turn, words_of
 
@@ -170,7 +172,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(rows.column("text"), width)], pa.binary())], ["doc_id", "tokens"])
 
     found = documents(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, tokens binary").where(F.octet_length("tokens") > 0)
-    return found.join(to_all(ids), "doc_id")
+    return found.join(ids.hint("merge"), "doc_id")
 
 
 def _rarity(sets: DataFrame) -> np.ndarray:
@@ -317,34 +319,41 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataF
     light = stage(_light(docs, width, percent), "light")
     classes = scratch.stage(light.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     keys = key_count(F.col("n"), percent).cast("int")
-    rows = light.where("probe is not null").join(_own_shingles(light, percent), F.xxhash64("digest") == F.col("class"), "left").where(F.coalesce("own", F.lit(0)) < keys)
-    rows = rows.join(classes.withColumnRenamed("digest", "class_digest"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("class_digest")), "left_semi")
-    sets = scratch.stage(_sets(docs, scratch.stage(rows.select("doc_id").distinct(), "survivors"), width), "sets")
+    rows = light.where("probe is not null").join(_own_shingles(light, percent).hint("merge"), F.xxhash64("digest") == F.col("class"), "left").where(F.coalesce("own", F.lit(0)) < keys)
+    rows = rows.join(classes.withColumnRenamed("digest", "class_digest").hint("merge"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("class_digest")), "left_semi")
+    survivors = scratch.stage(rows.select("doc_id").distinct(), "survivors")
+    own = light.where("doc_id is not null and n > 0").join(classes.hint("merge"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = scratch.stage(own.where("a <> b").distinct(), "links")
+    scratch.drop(classes)
+    sets = scratch.stage(_sets(docs, survivors, width), "sets")
+    scratch.drop(survivors)
     rows = scratch.stage(_keys(sets, percent), "keys")
     pivot = F.max_by("doc_id", F.struct("common", "doc_id")).alias("pivot")
     repeated = rows.groupBy("key").agg(F.count("*").alias("rows"), F.max("leads").alias("leads"), pivot).where("rows > 1 and leads").select("key", "pivot")
-    shared = scratch.stage(rows.join(repeated, "key").select("doc_id", "n", "key", "pivot"), "shared-keys")
-    own = light.where("doc_id is not null and n > 0").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = scratch.stage(own.where("a <> b").distinct(), "links")
+    shared = scratch.stage(rows.join(repeated.hint("merge"), "key").select("doc_id", "n", "key", "pivot"), "shared-keys")
+    scratch.drop(rows)
 
     turns = [shared.groupBy("doc_id").agg(F.min_by(F.struct("key", "pivot"), F.xxhash64("key", F.lit(turn))).alias("k"), F.max("n").alias("n")) for turn in range(ROUNDS)]
     chosen = reduce(DataFrame.union, turns).distinct().select("doc_id", "n", "k.*")
-    chosen = chosen.join(chosen.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("size")), "key").withColumn("blocks", _blocks(BLOCK, 8))
+    chosen = chosen.join(chosen.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("size")).hint("merge"), "key").withColumn("blocks", _blocks(BLOCK, 8))
     pivots = chosen.where("doc_id <> pivot").select("key", "pivot", "blocks").distinct().select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("doc_id"), F.col("pivot").alias("label"), F.lit(True).alias("is_pivot"))
     chosen = chosen.where("doc_id <> pivot").select("key", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int").alias("block"), "doc_id", F.col("doc_id").alias("label"), F.lit(False).alias("is_pivot"))
     chosen = scratch.stage(chosen.union(pivots), "chosen")
-    found = scratch.stage(_linking(sets.join(to_all(chosen), "doc_id"), percent, "key", "block"), "found")
+    found = scratch.stage(_linking(sets.join(chosen.hint("merge"), "doc_id"), percent, "key", "block"), "found")
+    scratch.drop(chosen)
     labels = components(found)
 
     rest = _across(_labelled(shared.select("doc_id", "n", "key").distinct(), labels)).withColumn("blocks", _blocks(4 * BLOCK, 8))
     own_block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     rest = rest.withColumn("own", own_block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = scratch.stage(rest.select("key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "doc_id", "label", "n"), "rest")
+    scratch.drop(shared)
     lists = rest.groupBy("doc_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    needed = scratch.stage(_needed(rest.join(lists, "doc_id"), percent).withColumn("is_pivot", F.lit(False)), "needed")
-    rest = scratch.stage(_linking(sets.join(to_all(needed), "doc_id"), percent, "key", "left", "right"), "found")
-    found = found.union(rest).union(links)
-    labels = components(found)
+    needed = scratch.stage(_needed(rest.join(lists.hint("merge"), "doc_id"), percent).withColumn("is_pivot", F.lit(False)), "needed")
+    scratch.drop(rest)
+    rest = scratch.stage(_linking(sets.join(needed.hint("merge"), "doc_id"), percent, "key", "left", "right"), "found")
+    scratch.drop(sets, needed)
+    labels = components(found.union(rest).union(links))
     scratch.clear()
     out = light.select("doc_id", F.col("n").alias("n_shingles"))
     return _labelled(out, labels).select("doc_id", "n_shingles", F.col("label").alias("component_id"))

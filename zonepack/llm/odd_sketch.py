@@ -290,14 +290,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = SHINGL
     dealt = stars.join(sizes.select("pivot", "blocks").hint("merge"), "pivot").select("pivot", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), "doc_id")
     centres = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("doc_id"))
     found = scratch.stage(_from_pivots(sets.join(dealt.union(centres).hint("merge"), "doc_id").select("pivot", "block", "doc_id", "tokens"), percent), "found")
+    scratch.drop(signed, stars)
     labels = components(found)
 
     rest = _across(_labelled(shared.select("doc_id", "n", "key").distinct(), labels)).withColumn("blocks", _blocks(4 * BLOCK, SKETCH_BITS / 8 / 64))
     rest = rest.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = scratch.stage(rest.select("key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "doc_id", "label", "n"), "rest")
+    scratch.drop(shared)
     lists = rest.groupBy("doc_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
     met = scratch.stage(_meeting(rest.join(lists.hint("merge"), "doc_id").join(sketches.hint("merge"), "doc_id"), percent, limit), "met")
     more = scratch.stage(_confirmed(sets.join(met.hint("merge"), "doc_id").select(*met.columns, "tokens"), percent, limit), "more")
+    scratch.drop(sets, met, rest, reps)
     labels = components(reduce(DataFrame.union, [found, more, links]))
     scratch.clear()
     out = _labelled(light.select("doc_id", F.col("n").alias("n_shingles")), labels).withColumnRenamed("label", "component_id")

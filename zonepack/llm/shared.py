@@ -49,19 +49,32 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
+        self.found: dict[int, tuple[DataFrame, str]] = {}  # the frames too: an id is theirs as long as they live
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         self.paths.append(stage_path(self.spark, name))
         df.write.parquet(self.paths[-1])
-        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+        read = self.spark.read.schema(df.schema).parquet(self.paths[-1])
+        self.found[id(read)] = read, self.paths[-1]
+        return read
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete staged tables that nothing reads any more."""
+        for df in tables:
+            path = self.found.pop(id(df))[1]
+            self.paths.remove(path)
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
     def clear(self, keep: int = 0) -> None:
         """Delete what was staged, except for the last ``keep`` tables; nothing may read them any more."""
         gone = self.paths[: len(self.paths) - keep]
         self.paths = self.paths[len(gone) :]
         for path in gone:
-            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            self._delete(path)
 
 
 def documents(docs: DataFrame, *more: str) -> DataFrame:
