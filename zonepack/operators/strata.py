@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,18 +70,47 @@ def display_names(strata: DataFrame, layers: DataFrame, expression: str) -> Data
 SUFFIXED = r"(?s)^(.*)_([2-9]|[1-9][0-9]{1,17})\z"
 
 
-def _claims(groups: pd.DataFrame) -> pd.DataFrame:
-    """For the suffixed spellings of one name, by number: is the spelling still free when it comes first?
+def running_sum(rows: DataFrame, group: str, order: Sequence[str], amount: str, name: str) -> DataFrame:
+    """``rows`` with ``name``, the sum of ``amount`` over the rows of the group up to this one by ``order``, which has no ties.
 
-    The name's q-th later row takes the q-th free number. Number j would be its (j - 1 - claimed below j)-th,
-    so the spelling is in time if fewer rows of the name came before it than that asks for."""
-    groups = groups.sort_values("number")
-    below, claimed, at = 0, [], []
-    for number, rank, shift in zip(groups["number"].tolist(), groups["rank"].tolist(), groups["shift"].tolist()):
-        at.append(number - 1 - below)
-        claimed.append(rank < number - below - shift)
-        below += claimed[-1]
-    return pd.DataFrame({"folded": groups["folded"], "parent": groups["parent"], "claimed": claimed, "at": at})
+    Rows are dealt by ranges of (group, order); sums inside a range and those of the group's ranges before it make the whole. So
+    a group that a third of all rows are in is spread over many tasks; of a group there are as many sums as ranges.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stage(rows.repartitionByRange(parts, group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy(group, "_part").agg(F.sum(amount).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(group).orderBy("_part")) - F.col("_sum")
+    inside = F.sum(amount).over(Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.select(F.col(group).alias("_group"), F.col("_part").alias("_range"), before.alias("_before"))
+    found = dealt.withColumn("_inside", inside).join(sums, (F.col(group) == F.col("_group")) & (F.col("_part") == F.col("_range")))
+    return found.select(*rows.columns, (F.col("_before") + F.col("_inside")).alias(name))
+
+
+CLAIMS = "folded string, parent string, claimed boolean, at long"
+
+
+def _claims(spelled: DataFrame) -> DataFrame:
+    """(folded, parent, claimed, at) of the suffixed spellings of names: is the spelling still free when it comes first?
+
+    A name's q-th later row takes the q-th free number. Number j would be its (j - 1 - claimed below j)-th, so the spelling is in
+    time if fewer rows of the name came before it than that asks for. Each depends on those before it: a name's
+    spellings go through a task one after the other, of which only their count is kept.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, below = None, 0
+        for batch in batches:
+            claimed, at = [], []
+            for parent, number, rank, shift in zip(*(batch.column(c).to_pylist() for c in ("parent", "number", "rank", "shift"))):
+                if parent != name:
+                    name, below = parent, 0
+                at.append(number - 1 - below)
+                claimed.append(rank < number - below - shift)
+                below += claimed[-1]
+            yield pa.RecordBatch.from_arrays([batch.column("folded"), batch.column("parent"), pa.array(claimed, pa.bool_()), pa.array(at, pa.int64())], ["folded", "parent", "claimed", "at"])
+
+    rows = spelled.select("folded", "parent", "number", "rank", F.col("shift").cast("long").alias("shift"))
+    return rows.repartition("parent").sortWithinPartitions("parent", "number").mapInArrow(run, CLAIMS)
 
 
 def dedupe_names(rows: DataFrame, order: str, name: str) -> DataFrame:
@@ -93,50 +122,44 @@ def dedupe_names(rows: DataFrame, order: str, name: str) -> DataFrame:
     before the name has reached its number keeps it, and the name skips it; one that comes later is a
     duplicate itself from its first row on. This is settled name by name, from short spellings to longer ones.
 
-    Positions are counted inside ranges of the order and added up over the ranges before, so a name that a
-    third of all rows have is spread over many tasks. Gathered by name are only distinct spellings with a
-    number, and only of names that have duplicates. ``order`` has no ties. Null names stay null.
+    Positions, and the claimed numbers that a row has to skip, are running sums over ranges (``running_sum``), so a name that a
+    third of all rows have, or of which a third are spellings, is spread over many tasks, and no array is made of
+    either. ``order`` has no ties. Null names stay null.
     """
     nameless = rows.where(F.col(name).isNull()).select(F.col(order).alias("ord"), F.lit(None).cast("string").alias("unique_name"))
     rows = rows.where(F.col(name).isNotNull()).select(F.col(order).alias("ord"), F.col(name).alias("name")).withColumn("folded", T.fold(F.col("name")))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = stage(rows.repartitionByRange(parts, "ord").withColumn("part", F.spark_partition_id()), "ordered")
-    sizes = rows.groupBy("folded", "part").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
-    sizes = stage(sizes.withColumn("before", F.sum("n").over(Window.partitionBy("folded").orderBy("part")) - F.col("n")), "sizes")
-
-    names = sizes.groupBy("folded").agg(F.sum("n").alias("rows"), F.min(F.struct("part", "first")).alias("at"))
+    rows = stage(rows, "named")
+    names = rows.groupBy("folded").agg(F.count("*").alias("rows"), F.min("ord").alias("first"))
     parent, number = (F.regexp_extract("folded", SUFFIXED, i) for i in (1, 2))
-    spelled = names.where(F.col("folded").rlike(SUFFIXED)).select("folded", parent.alias("parent"), number.cast("long").alias("number"), "at.part", "at.first")
+    spelled = names.where(F.col("folded").rlike(SUFFIXED)).select("folded", parent.alias("parent"), number.cast("long").alias("number"), "first")
     known = names.select(F.col("folded").alias("parent"), F.col("rows").alias("parent_rows"))
     spelled = stage(spelled.join(known, "parent"), "spelled")
 
     # positions of the rows, and of the first row of each suffixed spelling, among those of the name
-    events = rows.select("folded", "part", "ord", "name", F.lit(1).alias("one"), F.lit(None).cast("string").alias("spelling"))
-    events = events.unionByName(spelled.select(F.col("parent").alias("folded"), "part", F.col("first").alias("ord"), F.lit(None).cast("string").alias("name"), F.lit(0).alias("one"), F.col("folded").alias("spelling")))
-    inside = F.sum("one").over(Window.partitionBy("folded", "part").orderBy("ord"))
-    # a part may hold a spelling and no row of the name: what is before it is counted over the earlier parts
-    marks = sizes.select("folded", "part", "n").unionByName(spelled.select(F.col("parent").alias("folded"), "part", F.lit(0).cast("long").alias("n")))
-    marks = marks.groupBy("folded", "part").agg(F.sum("n").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("folded").orderBy("part")) - F.col("n")
-    events = stage(events.withColumn("inside", inside).join(marks.select("folded", "part", before.alias("before")), ["folded", "part"]).withColumn("k", F.col("before") + F.col("inside")), "events")
+    events = rows.select("folded", "ord", "name", F.lit(1).alias("one"), F.lit(None).cast("string").alias("spelling"))
+    events = events.unionByName(spelled.select(F.col("parent").alias("folded"), F.col("first").alias("ord"), F.lit(None).cast("string").alias("name"), F.lit(0).alias("one"), F.col("folded").alias("spelling")))
+    events = stage(running_sum(events, "folded", ["ord"], "one", "k"), "events")
 
     ranks = stage(spelled.join(events.where("spelling is not null").select(F.col("spelling").alias("folded"), F.col("k").alias("rank")), "folded"), "ranks")
-    settled = ranks.sparkSession.createDataFrame([], "folded string, parent string, claimed boolean, at long")
+    settled = ranks.sparkSession.createDataFrame([], CLAIMS)
     level = ranks.join(spelled.select(F.col("folded").alias("parent")), "parent", "left_anti").withColumn("shift", F.lit(0))
     while True:
         duplicated = (F.col("parent_rows") > 1) | (F.col("shift") > 0)
-        done = level.where(duplicated).select("folded", "parent", "number", "rank", "shift").groupBy("parent").applyInPandas(_claims, settled.schema)
         alone = level.where(~duplicated).select("folded", "parent", F.lit(True).alias("claimed"), F.lit(None).cast("long").alias("at"))
-        done = stage(done.unionByName(alone), "settled")
+        done = stage(_claims(level.where(duplicated)).unionByName(alone), "settled")
         if done.isEmpty():
             break
         settled = settled.unionByName(done)
         level = ranks.join(done.select(F.col("folded").alias("parent"), (~F.col("claimed")).cast("int").alias("shift")), "parent")
 
     # number of the q-th later row: q + 1, and one more for each spelling that was claimed at or below it
-    skipped = settled.where("claimed and at is not null").groupBy(F.col("parent").alias("folded")).agg(F.array_sort(F.collect_list("at")).alias("skipped"))
     late = settled.where("not claimed").select("folded", F.lit(1).alias("shift"))
-    out = events.where("spelling is null").join(late, "folded", "left").join(skipped, "folded", "left")
-    q = F.col("k") - 1 + F.coalesce("shift", F.lit(0))
-    taken = F.coalesce(F.size(F.filter("skipped", lambda x: x <= q)), F.lit(0))
-    return out.select("ord", F.when(q == 0, F.col("name")).otherwise(F.concat("name", F.lit("_"), q + 1 + taken)).alias("unique_name")).unionByName(nameless)
+    out = events.where("spelling is null").join(late, "folded", "left").select("folded", "ord", "name", (F.col("k") - 1 + F.coalesce("shift", F.lit(0))).alias("q"))
+    claims = settled.where("claimed and at is not null").select(F.col("parent").alias("folded"), F.col("at").alias("q"))
+    some = claims.select("folded").distinct()
+    claims = claims.select("folded", F.lit(None).cast(rows.schema["ord"].dataType).alias("ord"), F.lit(None).cast("string").alias("name"), "q", F.lit(1).alias("one"))
+    merged = out.join(some, "folded", "left_semi").withColumn("one", F.lit(0)).unionByName(claims)
+    # at one q the claim comes first: null orders first
+    skipping = running_sum(merged, "folded", ["q", "ord"], "one", "taken").where("one = 0")
+    out = out.join(some, "folded", "left_anti").withColumn("taken", F.lit(0).cast("long")).unionByName(skipping.drop("one"))
+    return out.select("ord", F.when(F.col("q") == 0, F.col("name")).otherwise(F.concat("name", F.lit("_"), F.col("q") + 1 + F.col("taken"))).alias("unique_name")).unionByName(nameless)

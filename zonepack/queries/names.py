@@ -211,6 +211,20 @@ def dedupe_names(t: Tables) -> DataFrame:
     return strata.dedupe_names(t.part, "p_partkey", "p_name")
 
 
+#: A third of all orders have one name, a third of the others far numbers of it, which they keep, or near ones, which are taken when they come.
+_HOT = "CASE WHEN o_orderkey % 3 = 0 THEN 'hot' WHEN o_orderkey % 6 = 1 THEN 'hot_' || 2 * o_orderkey WHEN o_orderkey % 6 = 4 THEN 'Hot_' || (o_orderkey {} 6) ELSE 'n' || o_orderkey END"
+
+
+@query(
+    f"""WITH o AS (SELECT o_orderkey AS ord, {_HOT.format('//')} AS name FROM orders), claimed AS (SELECT 2 * ord AS j FROM o WHERE ord % 6 = 1),
+hot AS (SELECT ord, row_number() OVER (ORDER BY ord) AS k FROM o WHERE ord % 3 = 0), free AS (SELECT j, row_number() OVER (ORDER BY j) + 1 AS k FROM (SELECT unnest(range(2, 3 * (SELECT count(*) FROM o) + 10)) AS j) WHERE j NOT IN (SELECT j FROM claimed))
+SELECT ord, CASE WHEN ord % 3 > 0 THEN name || CASE WHEN ord % 6 = 4 AND ord // 6 >= 2 THEN '_2' ELSE '' END WHEN hot.k = 1 THEN name ELSE name || '_' || j END AS unique_name
+FROM o LEFT JOIN hot USING (ord) LEFT JOIN free USING (k)"""
+)
+def dedupe_hot(t: Tables) -> DataFrame:
+    return strata.dedupe_names(t.orders.select("o_orderkey", F.expr(_HOT.format("div")).alias("name")), "o_orderkey", "name")
+
+
 @query("SELECT r_regionkey AS stratum_id, l AS layer_id, CASE WHEN r_name <> 'ASIA' OR l = 'orders' THEN upper(l) || ' of ' || r_name END AS display_name, NOT (r_name <> 'ASIA' OR l = 'orders') AS failed FROM (SELECT DISTINCT r_regionkey, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), (SELECT unnest(['orders', 'events']) AS l)")
 def display_names(t: Tables) -> DataFrame:
     """Names for the strata that have orders; the expression fails for one of them."""
