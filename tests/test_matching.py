@@ -347,3 +347,25 @@ def test_listed_paths_are_the_first_by_text(spark):
     rows = [(f"r{i}", "a", "b", True, "normal") for i in range(30)]
     steps = graph.hops(spark.createDataFrame(rows, "relation_id string, child string, parent string, valid boolean, kind string"))
     assert {r.node: r.paths for r in graph.listed_paths(steps, "a").collect()} == {"a": [[]], "b": [[x] for x in sorted(f"r{i}" for i in range(30))[:16]]}
+
+
+@pytest.mark.parametrize("most", [3, 16])
+def test_listed_paths_equal_a_full_search(spark, most):
+    """Layers of nodes with many ways between them, parallel relations, ids that begin like others, and ways back."""
+    pick = random.Random(most)
+    nodes = [["s"], *[[f"n{level}{i}" for i in range(7)] for level in range(3)], ["far"]]
+    ids = [f"{pick.choice('abc')}{i if i % 3 else ''}{'!' * (i % 2)}{i}" for i in range(200)]
+    rows = []
+    for near, far in zip(nodes, nodes[1:]):
+        rows += [(ids.pop(), a, b, True, "normal") if pick.random() < 0.5 else (ids.pop(), b, a, True, "normal") for a in near for b in far for _ in range(pick.choice([0, 1, 1, 2]))]
+    steps = graph.hops(spark.createDataFrame(rows, "relation_id string, child string, parent string, valid boolean, kind string"))
+    level, wanted = {"s": [[]]}, {"s": [[]]}
+    while level:
+        below = {}
+        for r, a, b, *_ in rows:
+            for here, there in ((a, b), (b, a)):
+                if here in level and there not in wanted:
+                    below.setdefault(there, []).extend([*p, r] for p in level[here])
+        level = {n: sorted(p) for n, p in below.items()}
+        wanted |= level
+    assert {r.node: r.paths for r in graph.listed_paths(steps, "s", most).collect()} == {n: p[:most] for n, p in wanted.items()}

@@ -60,18 +60,46 @@ def shortest_paths(steps: DataFrame, source, targets: DataFrame | None = None) -
     return found.join(targets, "node", "left_semi") if targets is not None else found
 
 
+#: Between the relation ids of a path while it is text: below every other character, so texts are in the order of the lists.
+BETWEEN = "\0"
+
+
 def listed_paths(steps: DataFrame, source, most: int = MOST_PATHS) -> DataFrame:
     """(node, hops, paths): the shortest paths themselves, arrays of relation ids; of a node with more than
-    ``most`` the first by text. A path's beginning is one of the first of its own node, so no more need be kept."""
-    steps = stage(steps.select("relation_id", "start", "end"), "steps")
-    start = _source(steps, source, path=F.array().cast("array<string>"))
-    first = Window.partitionBy("end").orderBy("path")
+    ``most`` the first by text.
 
-    def extend(rows: DataFrame) -> DataFrame:
-        longer = rows.select("end", (F.col("hops") + 1).alias("hops"), F.array_append("path", F.col("relation_id")).alias("path"))
-        return longer.withColumn("k", F.row_number().over(first)).where(F.col("k") <= most).drop("k")
+    Each level keeps ``most`` paths a node, in order. A node's paths begin with paths of its predecessors, nodes of the level before:
 
-    return _levels(steps, start, extend).groupBy("node", "hops").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    - of parallel relations between two nodes the first ``most`` are enough,
+    - of the predecessors the ``most`` whose first paths are the first,
+    - of the r-th of them the first ``most`` + 1 - r paths, as each of those before it has a path that is less, and none that
+      is behind the first path of the last of ``most`` predecessors.
+
+    So there is one row a pair of neighbours, not one a path and relation, before the few that are left are merged.
+    """
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by[:-1]).orderBy(by[-1]))
+    kept = steps.select("relation_id", "start", "end").withColumn("k", first("start", "end", "relation_id")).where(F.col("k") <= most)
+    kept = stage(kept.drop("k"), "steps")
+    pairs = stage(kept.select("start", "end").distinct(), "pairs")
+    level = found = stage(_source(steps, source, path=F.lit(""), k=F.lit(1)), "level")
+    before = level.limit(0)
+    of_end = Window.partitionBy("end").orderBy("best", "start")
+    while True:
+        best = level.where("k = 1").select(F.col("node").alias("start"), F.col("path").alias("best"))
+        known = level.select(F.col("node").alias("end")).unionByName(before.select(F.col("node").alias("end"))).distinct()
+        near = pairs.join(best, "start").join(known, "end", "left_anti").withColumn("r", F.row_number().over(of_end)).where(F.col("r") <= most)
+        last = F.max(F.when(F.col("r") == most, F.col("best"))).over(Window.partitionBy("end"))
+        near = near.withColumn("last", last).select(F.col("start").alias("node"), "end", "r", "last")
+        begun = near.join(level.select("node", "hops", "path", "k"), "node").where((F.col("k") <= most + 1 - F.col("r")) & (F.col("last").isNull() | (F.col("path") <= F.col("last"))))
+        longer = begun.withColumnRenamed("node", "start").join(kept, ["start", "end"])
+        path = F.when(F.col("hops") == 0, F.col("relation_id")).otherwise(F.concat("path", F.lit(BETWEEN), "relation_id"))
+        longer = longer.select(F.col("end").alias("node"), (F.col("hops") + 1).alias("hops"), path.alias("path")).withColumn("k", first("node", "path")).where(F.col("k") <= most)
+        before, level = level, stage(longer.select(level.columns), "level")
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    ids = F.when(F.col("hops") == 0, F.array().cast("array<string>")).otherwise(F.split("path", BETWEEN))
+    return found.select("node", "hops", ids.alias("path")).groupBy("node", "hops").agg(F.array_sort(F.collect_list("path")).alias("paths"))
 
 
 def ambiguous(paths: DataFrame) -> DataFrame:
