@@ -232,6 +232,28 @@ def test_failures_are_contained(spark, farm, tmp_path):
         Packager(spark, broken, "orchards", layers=["ponds"]).package(str(tmp_path / "out2"))
 
 
+def test_rows_that_fail_take_their_strata_only(spark, tmp_path, monkeypatch):
+    from zonepack.plans import packager as K
+
+    zones = spark.createDataFrame([(i,) for i in range(20)], "zone long")
+    rows = spark.createDataFrame([(i, i % 20, "bad" if i in (27, 44, 47) else str(i)) for i in range(100)], "i long, z long, t string")
+    c = Catalog(spark).add("zones", zones, "zone").add("rows", rows, "i", computed={"n": "cast(t as int) + stratum_id"}).add("more", rows, "i").relate("r", "rows", "zones", [("z", "zone")]).relate("m", "more", "zones", [("z", "zone")])
+    out = str(tmp_path / "out")
+    with pytest.raises(RunFailed, match="4, 7") as failed:
+        Packager(spark, c, "zones", layers=["more", "rows"]).package(out)
+    found = {(r.stratum, r.layer): (r.feature_count, r.status, r.detail) for r in failed.value.report.collect() if r.stratum != "<unmatched>"}
+    assert {k for k, v in found.items() if v[1] == "failed"} == {(z, t) for z in "47" for t in ("rows", "more")} and "CAST_INVALID_INPUT" in found["4", "more"][2]
+    assert len(found) == 40 and all(v == (5, "ok", "") for k, v in found.items() if k[0] not in "47")
+    assert sorted((r.stratum_id, r.i, r.n) for r in read_table(spark, out, "rows").collect()) == sorted((i % 20, i, i + i % 20) for i in range(100) if i % 20 not in (4, 7))
+    assert {r.stratum_id for r in read_table(spark, out, "more").collect()} == set(range(20)) - {4, 7} == {r.stratum_id for r in read_manifest(spark, out).collect()}
+    monkeypatch.setattr(K, "MOST_TRIES", 8)  # groups that are left fail as they are
+    report = Packager(spark, c, "zones", layers=["rows"]).package(str(tmp_path / "few"), fail_at_end=False)
+    lost = {r.stratum for r in report.where("status = 'failed'").collect()}
+    assert {"4", "7"} <= lost and len(lost) < 12
+    with pytest.raises(RunFailed, match="rows"):
+        Packager(spark, c.with_layer("rows", computed={"n": "raise_error('none')"}), "zones", layers=["rows"]).package(str(tmp_path / "none"))
+
+
 def test_a_run_without_strata_is_refused(spark, farm, tmp_path):
     nothing = spark.createDataFrame([], "oid long")
     with pytest.raises(PlanError, match="selected"):

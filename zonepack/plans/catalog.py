@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +38,9 @@ class Layer:
     """``geometry`` is none, point, line or polygon; boxes are read from columns minx, miny, maxx, maxy.
     ``shape`` names a column with the edges (array of struct x1, y1, x2, y2, and part where there are several) of lines
     and polygons that are more than their boxes. ``boxed`` says that lines are the segments from the lower left to the
-    upper right corners of their boxes; without it they need a shape. ``srid`` is the coordinate system."""
+    upper right corners of their boxes; without it they need a shape. ``srid`` is the coordinate system.
+    ``computed`` are further fields of the packages, SQL expressions by name over the fields that are kept and stratum_id:
+    they are evaluated for the rows of a stratum, so one that fails does so for its strata only."""
 
     id: str
     source: DataFrame
@@ -56,6 +58,7 @@ class Layer:
     srid: int | None = None
     source_key: str | None = None
     layer_name: str | None = None
+    computed: Mapping[str, str] = field(default_factory=dict)
 
     @property
     def rows(self) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 from functools import cached_property, reduce
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +22,12 @@ from zonepack.functions import text as T
 from zonepack.operators import membership as M
 from zonepack.operators import reports, spatial, warm
 from zonepack.operators import strata as S
-from zonepack.plans.catalog import BOX, Catalog, Plan, PlanError
+from zonepack.plans.catalog import BOX, Catalog, Layer, Plan, PlanError
 from zonepack.sources import packages as P
 from zonepack.sources.staging import new_path, stage
 
+#: Parts into which a group of strata is split when its write fails, and writes after which no group is split any more.
+SPLIT, MOST_TRIES = 8, 256
 S_BOX = tuple(f"s_{c}" for c in BOX)
 
 
@@ -193,12 +196,18 @@ class Packager:
         layer = plan.layer
         if plan.method == "attribute" and plan.relation_ids:
             chain = self.catalog.chain(layer_id, self.stratification, plan.relation_ids)
-            return self.memo.match(self.strata, chain, tuple(reversed(plan.relation_ids)), P.kept_fields(layer.rows, layer.excluded_fields))
-        return P.sliced(self.membership(layer_id), layer.rows, layer.fid, layer.excluded_fields)
+            found = self.memo.match(self.strata, chain, tuple(reversed(plan.relation_ids)), P.kept_fields(layer.rows, layer.excluded_fields))
+        else:
+            found = P.sliced(self.membership(layer_id), layer.rows, layer.fid, layer.excluded_fields)
+        return self._computed(layer, found)
+
+    @staticmethod
+    def _computed(layer: Layer, rows: DataFrame) -> DataFrame:
+        return rows.withColumns({name: F.expr(e) for name, e in layer.computed.items()}) if layer.computed else rows
 
     def slices(self, layer_id: str) -> DataFrame:
-        found = self._partitioned(layer_id)
-        return P.with_full(found, self.plan(layer_id).layer.rows) if self.full else found
+        found, layer = self._partitioned(layer_id), self.plan(layer_id).layer
+        return P.with_full(found, self._computed(layer, layer.rows)) if self.full else found
 
     def counts(self, layer_id: str) -> DataFrame:
         return P.empty_policy(M.counts(self.strata, self.membership(layer_id)), self.keep_empty)
@@ -240,8 +249,9 @@ class Packager:
     def package(self, out_dir: str, fail_at_end: bool = True) -> DataFrame:
         """Write and publish; returns the report. Each table is one write for all strata.
 
-        A layer that cannot be written fails the strata with it, a stratum without a display name only itself; what is good
-        is published, and at the end the run fails with ``RunFailed``, unless ``fail_at_end`` is False.
+        A stratum fails by itself where a row of it cannot be written, or without a display name: its package is not published, the
+        others are. A layer that can be written for no stratum, or is shared by all, fails all of them. At the end the
+        run fails with ``RunFailed``, unless ``fail_at_end`` is False.
         """
         try:
             return self._package(out_dir, fail_at_end)
@@ -254,6 +264,7 @@ class Packager:
 
     def _package(self, out_dir: str, fail_at_end: bool) -> DataFrame:
         self.check()
+        self.broken: dict[Any, tuple[str, str]] = {}
         if self.is_dry:
             return self.report()
         spark, built = self.spark, f"{out_dir}/_staging/{uuid.uuid4().hex}"
@@ -295,6 +306,12 @@ class Packager:
             if full:
                 rows.append(outcome_full.select(F.lit(S.FULL).alias("stratum"), F.lit(layer.id).alias("layer"), "feature_count", "status", F.lit("").alias("detail")))
                 manifest.append(outcome_full.select(F.lit(None).cast(self.strata.schema["stratum_id"].dataType).alias("stratum_id"), F.lit(S.FULL).alias("name"), F.lit(self.full_path).alias("package_rel"), F.lit(self._full_bundle()).alias("bundle_rel"), F.lit(layer.id).alias("table"), F.lit(plan.method == "whole_export").alias("shared"), "feature_count", "status"))
+        if self.broken:  # strata of which some table could not be written: their packages stay out
+            lost = spark.createDataFrame([(i, n, why) for i, (n, why) in self.broken.items()], StructType([self.strata.schema["stratum_id"], *(StructType.fromDDL("stratum string, reason string"))]))
+            failures["strata"] = ", ".join(filter(None, [failures.get("strata"), *sorted(n for n, _ in self.broken.values())[:20]]))
+            manifest = [m.join(lost.select("stratum_id"), "stratum_id", "left_anti").select(m.columns) for m in manifest]
+            rows = [r.join(lost.select("stratum"), "stratum", "left_anti").select(r.columns) for r in rows]
+            rows.append(reports.each(lost.select("stratum", "reason"), listed).select("stratum", "layer", F.lit(None).cast("long").alias("feature_count"), F.lit("failed").alias("status"), F.col("reason").alias("detail")))
         broken = {i: why for i, why in failures.items() if i != "strata"}
         if broken:  # every stratum lacks the layer
             why = "; ".join(f"{i}: {w}" for i, w in broken.items())
@@ -322,13 +339,13 @@ class Packager:
         layer = plan.layer
         if plan.method == "whole_export":
             path = f"{built}/_shared/{layer.id}"
-            P.write_whole(layer.rows.drop(*layer.excluded_fields), path, self.level, self.indexed(layer.id))
+            P.write_whole(self._computed(layer, layer.rows.drop(*layer.excluded_fields)), path, self.level, self.indexed(layer.id))
             return self._whole(self.spark.read.parquet(path)), None
         slices, status = self._partitioned(layer.id), None
         if cache and layer.warm:
             slices = cache.use(layer.id, slices)
             status = F.when(F.col("usable"), F.lit("warm")).otherwise(F.lit("cold-fallback"))
-        P.write_partitioned(slices, f"{built}/{layer.id}", self.level, indexed=self.indexed(layer.id))
+        self._write_slices(layer.id, slices, f"{built}/{layer.id}")
         written = self.spark.read.schema(slices.schema).parquet(f"{built}/{layer.id}")
         outcome = P.empty_policy(M.counts(self.strata, written), self.keep_empty).withColumn("detail", F.lit(""))
         if status is not None:
@@ -339,12 +356,52 @@ class Packager:
         member = written.select("stratum_id", *layer.fid) if set(layer.fid) <= set(written.columns) else self.membership(layer.id)
         return outcome, M.orphans(layer.rows, member, layer.fid)
 
+    def _write_slices(self, layer_id: str, slices: DataFrame, path: str) -> None:
+        """Write a table for all strata at once. If that fails, groups of strata are written one by one, and those that fail are
+        split on, until the strata that fail stand alone: they go to ``broken``, the rest of the table is written.
+
+        A group is an equal share of the strata by a hash, so that many strata take few rounds. After ``MOST_TRIES`` writes the
+        groups that are left fail as they are. A failed write leaves no rows: its files are not committed.
+        """
+        indexed = self.indexed(layer_id)
+        try:
+            return P.write_partitioned(slices, path, self.level, indexed=indexed)
+        except Exception as e:  # noqa: BLE001 what the rows of one stratum do must not fail the others
+            whole = e
+        strata = self.strata.select("stratum_id", "name")
+        count = strata.count()
+        if count < 2:
+            raise whole
+        P.delete(self.spark, path)
+        P.write_partitioned(slices.limit(0), path, self.level)
+        groups, tries, good = [(strata, count, 0, whole)], 0, 0
+        lost: dict[Any, tuple[str, str]] = {}
+        while groups:
+            group, count, depth, error = groups.pop(0)
+            reason = f"{layer_id}: {str(error).splitlines()[0][:300] if str(error) else type(error).__name__}"
+            if count == 1 or tries >= MOST_TRIES:
+                lost |= {r.stratum_id: (r.name, reason) for r in group.collect()}
+                continue
+            for share in range(min(SPLIT, count)):
+                part = group.where(F.pmod(F.xxhash64("stratum_id", F.lit(depth)), F.lit(min(SPLIT, count))) == share)
+                if not (size := part.count()):
+                    continue
+                tries += 1
+                try:
+                    P.write_partitioned(slices.join(part.select("stratum_id"), "stratum_id", "left_semi").select(slices.columns), path, self.level, "append", indexed)
+                    good += 1
+                except Exception as e:  # noqa: BLE001
+                    groups.append((part, size, depth + 1, e))
+        if not good:
+            raise whole
+        self.broken |= lost
+
     def _write_full(self, plan: Plan, built: str) -> DataFrame:
         """One row (feature_count, status): the whole table, for the pseudo-stratum ``<full>``."""
         layer = plan.layer
         path = f"{built}/_shared/{layer.id}" if plan.method == "whole_export" else f"{built}/_full/{layer.id}"
         if plan.method != "whole_export":
-            P.write_whole(layer.rows.select(P.kept_fields(layer.rows, layer.excluded_fields)), path, self.level, self.indexed(layer.id))
+            P.write_whole(self._computed(layer, layer.rows.select(P.kept_fields(layer.rows, layer.excluded_fields))), path, self.level, self.indexed(layer.id))
         return P.empty_policy(self.spark.read.parquet(path).agg(F.count("*").alias("feature_count")), self.keep_empty)
 
     def _cache(self, everyone: DataFrame) -> Cache | None:

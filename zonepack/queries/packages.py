@@ -332,6 +332,16 @@ def failed_stratum(t: Tables) -> DataFrame:
     return packager(t, "nation", "n_name", layers=["customer"], display_expr=name).package(new_path(t.spark, "out"), fail_at_end=False)
 
 
+@query("SELECT n_name AS stratum, l AS layer, CASE WHEN n_nationkey <> 7 THEN CASE l WHEN 'customer' THEN (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) ELSE (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) END END AS feature_count, CASE WHEN n_nationkey = 7 THEN 'failed' WHEN l = 'supplier' AND n_nationkey NOT IN (SELECT s_nationkey FROM supplier) THEN 'empty-skipped' ELSE 'ok' END AS status, CASE WHEN n_nationkey <> 7 AND l = 'customer' THEN (SELECT CAST(sum(c_custkey % 10) AS BIGINT) FROM customer WHERE c_nationkey = n_nationkey) END AS digits FROM nation, (SELECT unnest(['customer', 'supplier']) AS l)")
+def failed_rows(t: Tables) -> DataFrame:
+    """A field that cannot be computed for some rows of one stratum: it fails in all its tables, the others ship."""
+    out, digit = new_path(t.spark, "out"), "CAST(if(c_nationkey = 7 AND c_custkey % 3 = 0, c_name, right(CAST(c_custkey AS string), 1)) AS int)"
+    report = packager(t, "nation", "n_name", layers=["customer", "supplier"], flags={"customer": {"computed": {"digit": digit}}}).package(out, fail_at_end=False)
+    sums = read_table(t.spark, out, "customer").groupBy("stratum_id").agg(F.sum("digit").alias("digits"))
+    sums = sums.join(t.nation, F.col("stratum_id") == F.col("n_nationkey")).select(F.col("n_name").alias("stratum"), F.lit("customer").alias("layer"), "digits")
+    return report.where("stratum <> '<unmatched>'").drop("detail").join(sums, ["stratum", "layer"], "left")
+
+
 _GRID = "n AS (SELECT n_nationkey, n_name, n_nationkey % 5 * 10 AS bx0, n_nationkey // 5 * 20 AS by0 FROM nation), placed AS (SELECT n_name, p_partkey, p_size - bx0 AS u, p_partkey % 100 - by0 AS v FROM part JOIN n ON p_size BETWEEN bx0 AND bx0 + 10 AND p_partkey % 100 BETWEEN by0 AND by0 + 20), hit AS (SELECT * FROM placed WHERE 2 * u + v <= 20)"
 
 
