@@ -128,7 +128,7 @@ def test_leaves_grow_with_the_rows(spark, monkeypatch):
     for n in (1000, 4000):
         rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(pick.normal(size=(n, 8)))], "vec_id long, embedding array<double>")
         monkeypatch.setattr(ann, "LEAF_ROWS", 32)
-        sizes.append(ann.Index(rows, n).sizes)
+        sizes.append({r.leaf: r.rows for r in ann.Index(rows, n).sizes.collect()})
     assert 2.5 < len(sizes[1]) / len(sizes[0]) < 6 and all(sum(s.values()) == n for s, n in zip(sizes, (1000, 4000)))
     assert max(map(max, (s.values() for s in sizes))) < 32 * 8
 

@@ -144,17 +144,17 @@ def _nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.
             yield begin + i, at[best], score[best]
 
 
-def _parts(counts: dict[int, int], most: int) -> dict[int, int]:
-    """Number of chunks of at most about ``most`` rows, by the key that is counted, for ``_dealt``."""
-    return {key: -(-n // most) for key, n in counts.items()}
+def _sizes(rows: DataFrame, key: str, most: int, name: str = "parts") -> DataFrame:
+    """(key, parts): the number of chunks of at most about ``most`` rows for each key; a table like others."""
+    return rows.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
 
 
-def _dealt(rows: DataFrame, key: str, parts: dict[int, int], part: Column | None) -> DataFrame:
-    """``rows`` with a chunk of their key: one of them by the hash ``part``, or every one if that is None."""
-    table = rows.sparkSession.createDataFrame(list(parts.items()), f"{key} long, parts int")
-    rows = rows.join(F.broadcast(table), key)  # a row a cell or leaf
-    chosen = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)) if part is None else F.pmod(part, F.col("parts")).cast("int")
-    return rows.withColumn("part", chosen).drop("parts")
+def _every(parts: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+
+def _one(parts: str, by: Column) -> Column:
+    return F.pmod(by, F.col(parts)).cast("int")
 
 
 class Index:
@@ -197,11 +197,12 @@ class Index:
             own["leaf"] = own["cell"] * CELL + tree.assign(_unit(_matrix(own["embedding"])))
             return own[["vec_id", "embedding", "salt", "leaf"]]
 
-        parts = _parts(sizes, CHUNK_ROWS)
-        left, right = _dealt(placed, "cell", parts, F.xxhash64("salt")), _dealt(self.trees, "cell", parts, None)
+        parts = _sizes(placed, "cell", CHUNK_ROWS)
+        left = placed.join(parts, "cell").withColumn("part", _one("parts", F.xxhash64("salt"))).drop("parts")
+        right = self.trees.join(parts, "cell").withColumn("part", _every("parts")).drop("parts")
         self.rows = stage(left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInPandas(to_leaves, "vec_id long, embedding array<double>, salt long, leaf long"), "leaves")
-        self.sizes = {r["leaf"]: r["count"] for r in self.rows.groupBy("leaf").count().collect()}
-        self.cells = len(sizes)
+        self.sizes = stage(self.rows.groupBy("leaf").agg(F.count("*").alias("rows")), "sizes")
+        self.cells, (self.leaf_count, self.row_count) = len(sizes), self.sizes.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
 
     def leaves(self, queries: DataFrame, cells: int, leaves: int) -> DataFrame:
         """(query_id, query, leaf, place): the ``leaves`` nearest leaves of the ``cells`` nearest cells of each query."""
@@ -223,8 +224,9 @@ class Index:
             return pd.DataFrame(out, columns=["query_id", "query", "leaf", "far"])
 
         asked = stage(queries.mapInArrow(to_cells, "query_id long, query array<double>, cells array<long>"), "visits").select("query_id", "query", F.explode("cells").alias("cell"))
-        parts = _parts({r["cell"]: r["count"] for r in asked.groupBy("cell").count().collect()}, CHUNK_QUERIES)
-        left, right = _dealt(asked, "cell", parts, F.xxhash64("query_id")), _dealt(self.trees, "cell", parts, None)
+        parts = _sizes(asked, "cell", CHUNK_QUERIES)
+        left = asked.join(parts, "cell").withColumn("part", _one("parts", F.xxhash64("query_id"))).drop("parts")
+        right = self.trees.join(parts, "cell").withColumn("part", _every("parts")).drop("parts")
         met = left.groupBy("cell", "part").cogroup(right.groupBy("cell", "part")).applyInPandas(to_leaves, "query_id long, query array<double>, leaf long, far double")
         nearest = Window.partitionBy("query_id").orderBy("far", "leaf")
         return met.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= leaves).drop("far")
@@ -232,12 +234,12 @@ class Index:
     def search(self, queries: DataFrame, k: int, cells: int, leaves: int) -> DataFrame:
         """(query_id, rank, vec_id, score) from the leaves that each query visits."""
         asked = stage(self.leaves(queries, cells, leaves).drop("place"), "asked")
-        counts = {r["leaf"]: r["count"] for r in asked.groupBy("leaf").count().collect()}
-        chunk = max(64, min(CHUNK_ROWS, sum(self.sizes.values()) // (4 * parallelism(queries.sparkSession))))
-        row_parts = _parts(self.sizes, chunk)
-        query_parts = {leaf: max(1, -(-counts.get(leaf, 0) // CHUNK_QUERIES)) for leaf in self.sizes}
-        left = _dealt(_dealt(asked, "leaf", row_parts, None).withColumnRenamed("part", "row_part"), "leaf", query_parts, F.xxhash64("query_id"))
-        right = _dealt(_dealt(self.rows.select("vec_id", "embedding", "salt", "leaf"), "leaf", row_parts, F.xxhash64("salt")).withColumnRenamed("part", "row_part"), "leaf", query_parts, None)
+        chunk = max(64, min(CHUNK_ROWS, self.row_count // (4 * parallelism(queries.sparkSession))))
+        # leaves that some query visits: rows of the others go nowhere
+        visited = self.sizes.select("leaf", F.ceil(F.col("rows") / chunk).cast("int").alias("row_parts")).join(_sizes(asked, "leaf", CHUNK_QUERIES, "query_parts"), "leaf")
+        left = asked.join(visited, "leaf").withColumn("row_part", _every("row_parts")).withColumn("part", _one("query_parts", F.xxhash64("query_id")))
+        right = self.rows.join(visited, "leaf").withColumn("row_part", _one("row_parts", F.xxhash64("salt"))).withColumn("part", _every("query_parts"))
+        left, right = left.drop("row_parts", "query_parts"), right.select("vec_id", "embedding", "salt", "leaf", "row_part", "part")
 
         def nearest(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
             if not len(asked) or not len(found):
@@ -264,12 +266,12 @@ def search(vectors: DataFrame, k: int = 5, step: int = QUERY_STEP, recall: float
     cells, leaves, reached = _calibrated(queries, index, queries.count(), k, recall)
     found = stage(index.search(queries, k, cells, leaves), "found")
     candidates = index.rows.agg(F.count_distinct("vec_id")).first()[0] - 1  # the query's own id is no candidate
-    while cells < index.cells or leaves < len(index.sizes):
+    while cells < index.cells or leaves < index.leaf_count:
         full = found.groupBy("query_id").count().where(F.col("count") >= min(k, candidates)).select(F.col("query_id").alias("vec_id"))
         short = stage(queries.join(full, "vec_id", "left_anti"), "short")
         if short.isEmpty():
             break
-        cells, leaves = min(index.cells, 2 * cells), min(len(index.sizes), 4 * leaves)
+        cells, leaves = min(index.cells, 2 * cells), min(index.leaf_count, 4 * leaves)
         again = stage(index.search(short, k, cells, leaves), "found")
         found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(again)
     return found.withColumn("calibrated_recall", F.lit(reached))
@@ -303,7 +305,7 @@ def _calibrated(queries: DataFrame, index: Index, n_queries: int, k: int, recall
         return 1, 1, 1.0
     turns = sorted(order[r.query_id][r.leaf // CELL] for r in rows)
     cells = turns[int(np.ceil((1 + recall) / 2 * len(turns))) - 1] + 1
-    places = index.leaves(some, cells, len(index.sizes)).select("query_id", "leaf", "place")
+    places = index.leaves(some, cells, index.leaf_count).select("query_id", "leaf", "place")
     ranks = sorted(r.place for r in true.join(places, ["query_id", "leaf"]).collect())
     leaves = ranks[min(len(ranks), int(np.ceil(recall * len(rows)))) - 1]
     return cells, leaves, sum(r <= leaves for r in ranks) / len(rows)
