@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.conftest import DATA
@@ -284,6 +285,20 @@ def test_quality_of_odd_tables(spark, odd, empty):
     assert quality.classify(quality.featurise(empty), quality.fit(rows, one)).collect() == []
 
 
+def test_labels_of_an_id_that_many_rows_have(spark):
+    """A third of the labelled rows have one id: the sample takes its share of them, and the same rows count once."""
+    n = 6000
+    ids = [i for i in range(1, 4 * n) if zlib.crc32(str(i).encode()) % 5]
+    rows = spark.range(n).select(F.when(F.col("id") % 3 == 0, ids[0]).otherwise(F.element_at(F.array(*map(F.lit, ids[1:50])), (F.col("id") % 49 + 1).cast("int"))).alias("doc_id"), *[(F.hash("id", F.lit(f)) / 1e9).alias(f) for f in quality.FEATURES])
+    rows = rows.union(rows.where("doc_id = %d" % ids[0]).limit(1).crossJoin(spark.range(1500)).drop("id"))
+    labels = spark.createDataFrame([(i, i % 2) for i in ids[:50]], "doc_id long, quality int")
+    assert quality.labelled(rows, labels).count() == n
+    found = quality.labelled(rows, labels, 600).groupBy("doc_id").count().collect()
+    taken, hot = sum(r["count"] for r in found), sum(r["count"] for r in found if r.doc_id == ids[0])
+    assert 450 < taken < 750 and 120 < hot < 280
+    assert 0 <= quality.fit(rows, labels, 600).score(np.zeros((1, len(quality.FEATURES))))[0] <= 1
+
+
 def test_tables_and_pairs_learn_an_interaction():
     pick = np.random.default_rng(5)
     x = np.zeros((3000, len(quality.FEATURES)))

@@ -182,12 +182,17 @@ def featurise(docs: DataFrame) -> DataFrame:
     return documents(docs).mapInArrow(run, ", ".join(["doc_id long", *(f"{f} double" for f in FEATURES)]))
 
 
+def labelled(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """About ``sample`` of the labelled rows (doc_id, features, quality) to learn from, the same ones on each run. They are chosen row
+    by row, so an id that a third of all rows have fills no more of them than its share; rows that are the same count once."""
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & ~held_out())
+    known = rows.join(usable, "doc_id").distinct()
+    return known.where(sample_filter(known.count(), sample, "doc_id", "quality", *FEATURES))
+
+
 def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveModel:
     """``rows`` as ``featurise`` returns them, ``labels`` with doc_id and quality (0 or 1)."""
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & ~held_out())
-    n = usable.count()
-    joined = rows.join(usable.where(sample_filter(n, sample, "doc_id")), "doc_id").toPandas()
-    joined = joined.sort_values(["doc_id", *FEATURES], kind="stable")
+    joined = labelled(rows, labels, sample).toPandas().sort_values(["doc_id", *FEATURES, "quality"], kind="stable")
     return AdditiveModel(joined[FEATURES].to_numpy(np.float64), joined["quality"].to_numpy(np.float64))
 
 
