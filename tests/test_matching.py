@@ -391,3 +391,34 @@ def test_listed_paths_equal_a_full_search(spark, most):
         level = {n: sorted(p) for n, p in below.items()}
         wanted |= level
     assert {r.node: r.paths for r in graph.listed_paths(steps, "s", most).collect()} == {n: p[:most] for n, p in wanted.items()}
+
+
+@pytest.mark.parametrize(
+    "one_plan, text",
+    [
+        (True, "SELECT c, count(*) AS n, max(o) AS m FROM customer JOIN orders ON oc = c GROUP BY c"),
+        (True, "SELECT count(*) AS n, sum(o) AS m FROM orders"),
+        (True, "SELECT o, row_number() OVER (ORDER BY o) AS k FROM orders ORDER BY o DESC LIMIT 1"),
+        (True, "SELECT c FROM customer UNION SELECT oc FROM orders"),
+        (False, "SELECT c, o FROM customer LEFT JOIN orders ON oc = c"),
+        (False, "SELECT c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE oc = c)"),
+        (False, "SELECT c, (SELECT count(*) FROM orders) AS n FROM customer"),
+    ],
+)
+def test_queries_over_all_strata(spark, one_plan, text):
+    from zonepack.operators import views
+
+    strata = spark.createDataFrame([("1",), ("2",), ("3",)], "stratum_id string")
+    slices = {"customer": spark.createDataFrame([("1", 10), ("1", 11), ("2", 10)], "stratum_id string, c int"), "orders": spark.createDataFrame([("1", 10, 100), ("1", 10, 101), ("2", 10, 7), ("2", 12, 8)], "stratum_id string, oc int, o int")}
+    assert (views._in_one_plan(spark, text, slices, strata) is not None) == one_plan
+    each = [[(i, *r) for r in views.live_view(spark, text, slices, i).collect()] for i in "123"]
+    assert sorted(map(tuple, views.over_strata(spark, text, slices, strata).collect()), key=str) == sorted(sum(each, []), key=str)
+
+
+def test_queries_that_do_not_open(spark):
+    from zonepack.operators import views
+
+    strata, slices = spark.createDataFrame([(1,)], "stratum_id int"), {"t": spark.createDataFrame([(1, 2)], "stratum_id int, a int")}
+    for text, why in (("SELECT a FROM t JOIN gone ON a = b", "gone"), ("SELECT nothing FROM t", "does not open")):
+        with pytest.warns(UserWarning, match=why):
+            assert views.over_strata(spark, text, slices, strata) is None

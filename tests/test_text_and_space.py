@@ -47,6 +47,15 @@ def test_strip_accents(spark):
     assert apply(spark, ["1 Été!"], T.slugify) == ["_1_ete_"]
 
 
+def test_every_character_loses_its_marks(spark):
+    every = [chr(c) for c in range(1, 0x110000) if unicodedata.category(chr(c)) not in ("Cs", "Cn")]
+    texts = ["".join(every[i : i + 200]) for i in range(0, len(every), 200)]
+    plain = lambda t: "".join(x for c in t for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+    for text, found in zip(texts, apply(spark, texts, T.strip_accents)):
+        assert found == plain(text), [c for c in text if plain(c) not in found][:5]
+    assert apply(spark, ["한글 각 가", "", None], T.strip_accents) == [plain("한글 각 가"), "", None]
+
+
 def test_query_texts(spark):
     sql = 'select * from "My Table" t join db.other o on t.id = o . ref where a <= b and c=d'
     assert apply(spark, [sql], T.equality_operands) == [["c", "d", "id", "ref"]]
