@@ -216,3 +216,15 @@ def test_near_copies_stage_takes_five_words_and_80_percent(spark, seed):
     found = corpus_pipeline.one_of_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3), DATA)
     expected = kept_by_brute_force(docs, 5, 80)
     assert {r.doc_id for r in found.collect()} == expected != kept_by_brute_force(docs, 3, 90)
+
+
+def test_pipeline_deletes_what_it_has_read(spark):
+    import os
+
+    import corpus_pipeline
+    from zonepack.llm.shared import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert corpus_pipeline.run(spark, DATA).count()
+    assert {n.rpartition("-")[0] for n in set(os.listdir(folder)) - before} == {"personal_data"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -32,8 +33,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _scopes[-1:]:
+        paths.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def staged_until_end(spark: SparkSession) -> Iterator[None]:
+    """Whatever is staged inside is deleted at the end: what was made of it has been written by then."""
+    _scopes.append(paths := [])
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            delete(spark, path)
 
 
 def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -63,18 +87,14 @@ class Scratch:
         for df in tables:
             path = self.found.pop(id(df))[1]
             self.paths.remove(path)
-            self._delete(path)
-
-    def _delete(self, path: str) -> None:
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            delete(self.spark, path)
 
     def clear(self, keep: int = 0) -> None:
         """Delete what was staged, except for the last ``keep`` tables; nothing may read them any more."""
         gone = self.paths[: len(self.paths) - keep]
         self.paths = self.paths[len(gone) :]
         for path in gone:
-            self._delete(path)
+            delete(self.spark, path)
 
 
 def documents(docs: DataFrame, *more: str) -> DataFrame:
