@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from zonepack.llm import decontaminate, jaccard_join, language_id, packing, pii
-from zonepack.llm.shared import stage
+from zonepack.llm.shared import delete, stage_path, staged_until_end
 from zonepack.llm.word_ids import vocabulary_path
 
 NEAR_PERCENT, NEAR_WORDS = 80, 5
@@ -62,8 +62,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; what each stage before it returns is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. What each stage before it returns is written and read again; then what it has read,
+    and what it has staged for itself, is deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name)
+        path = stage_path(spark, name)
+        with staged_until_end(spark):
+            step(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
