@@ -74,7 +74,7 @@ def expected(plain, rows):
 
 def fuzz(n, seed):
     pick = random.Random(seed)
-    parts = ["the", "word", "word,", "end.", "(so)", "a-b", "x!?", "'", ",", "'s", "'ll", " ", "  ", " ", "\n", "\t", "ß", "é", "é", "漢字", "😀", "　", "\xa0", "\x1c", "\x00", "▁", "12", "3.5", "<|endoftext|>", "<s>", "<unk>", "<0x41>", "!!", "ﬁ", "…", "​", "\r\n", "▁x", "İ"]
+    parts = ["the", "word", "word,", "Größe", "naïve.", "ñ;", "ĳ", "ſ!", "end.", "(so)", "a-b", "x!?", "'", ",", "'s", "'ll", " ", "  ", " ", "\n", "\t", "ß", "é", "é", "漢字", "😀", "　", "\xa0", "\x1c", "\x00", "▁", "12", "3.5", "<|endoftext|>", "<s>", "<unk>", "<0x41>", "!!", "ﬁ", "…", "​", "\r\n", "▁x", "İ"]
     return ["".join(pick.choice(parts) for _ in range(pick.randint(0, 25))) for _ in range(n)]
 
 

@@ -9,7 +9,7 @@ An irregular group is resolved token by token, which gives the pairs that overla
 Tokens are made from chunks, each distinct one once in a worker: a space between two characters that are no
 white space begins a chunk, because the pattern of A always begins a piece there, and no piece of B has its
 space mark behind another character (both are looked up in the files; else a chunk is a whole text). Symbols at the end
-of ASCII letters are cut off, as the pattern of A begins a piece there and no piece of B has a symbol behind a letter.
+of Latin letters are cut off, as the pattern of A begins a piece there and no piece of B has a symbol behind a letter.
 
 Corpus counts (``scored``): an id pair counts in each document that links it. What a document links (distinct pairs) is
 staged; tasks add up pairs before the shuffle. The highest count of each A id is a table no longer than the
@@ -27,8 +27,9 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import weakref
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -38,16 +39,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonepack.llm.shared import cuts, documents, stage
-from zonepack.llm.word_ids import SYMBOLS, _byte_characters, _Kept, strings, take_turn, vocabulary_path
+from zonepack.llm.word_ids import ENTRY_BYTES, LONGEST_KEPT, MOST_BYTES, SYMBOLS, _byte_characters, _Kept, _stores, byte_level, strings, take_turn, vocabulary_path
 
 TABLE = 1 << 20
 CHUNK = 1 << 22
 MARK = "▁"
+LATIN_END = "\u0250"
+
+
+def letters_only(word: str) -> bool:
+    """Latin letters up to a place in the code table below which nothing is added any more."""
+    return word.isalpha() and (word.isascii() or max(word) < LATIN_END)
+
+
+class Generations:
+    """Values by word of which a worker keeps the last ones, like ``_Kept``, for all words of a batch at once."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]], most: int = MOST_BYTES):
+        self.make, self.most = make, most
+        self.clear()
+        _stores.append(weakref.ref(self))
+
+    def clear(self) -> None:
+        self.new, self.old, self.held = {}, {}, 0
+
+    def of(self, words: list[str]) -> list[bytes]:
+        """The values of distinct words; those that aren't there are made together."""
+        new, old = self.new, self.old
+        found = [new.get(w) or old.get(w) for w in words]
+        missing = [i for i, v in enumerate(found) if not v]
+        for i, v in zip(missing, self.make([words[i] for i in missing])):
+            found[i] = v
+        added = {w: v for w, v in zip(words, found) if w not in new and len(w) <= LONGEST_KEPT}
+        new.update(added)
+        self.held += len(added) * ENTRY_BYTES + sum(map(len, added)) + sum(map(len, added.values()))
+        if self.held > self.most:
+            self.new, self.old, self.held = {}, new, 0
+        return found
 
 
 class Vocabulary:
     """Ids of chunks. ``pieces`` has the bytes of each id; ``whole`` says that texts can't be cut into chunks, ``splits`` that
-    symbols behind ASCII letters at the end of a chunk are tokens of their own."""
+    symbols behind letters at the end of a chunk are tokens of their own."""
 
     pieces: list[bytes]
     whole: bool
@@ -71,8 +104,8 @@ class Vocabulary:
         return [array("I", i).tobytes() + (b"" if b"".join([self.pieces[x] for x in i]) == t else b"!") for i, t in zip(ids, spelled)]
 
     @cached_property
-    def kept(self) -> _Kept:
-        return _Kept(None)
+    def kept(self) -> Generations:
+        return Generations(self._made)
 
     @cached_property
     def tails(self) -> _Kept:
@@ -84,13 +117,7 @@ class Vocabulary:
 
     def encode(self, chunks: Chunks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, where those of each text end, and which texts have a chunk that isn't spelled."""
-        wanted = chunks.cores if self.splits else chunks.distinct
-        kept = self.kept
-        missing = [c for c in wanted if c not in kept and c not in kept.old]
-        made = dict(zip(missing, self._made(missing)))
-        kept.make = lambda c: made.get(c) or self._made([c])[0]
-        found = list(map(kept.__getitem__, wanted))
-        kept.make = None
+        found = self.kept.of(chunks.cores if self.splits else chunks.distinct)
         if self.splits:
             tails = list(map(self.tails.__getitem__, chunks.tails))
             found = [found[c] if t < 0 else found[c] + tails[t] for c, t in zip(chunks.core_of, chunks.tail_of)]
@@ -125,9 +152,9 @@ class ByteVocabulary(Vocabulary):
         self.pieces = [bytes(back[c] for c in names[i]) if i in names and set(names[i]) <= back.keys() else b"" for i in range(max(names) + 1)]
 
     def ids_of(self, chunks: list[str]) -> list[list[int]]:
-        """ASCII letters behind a space are one piece of the pattern: merged at once."""
+        """Letters behind a space are one piece of the pattern: merged at once."""
         merged, encode, space = self.library.model.tokenize, self.library.encode, self.space
-        return [[t.id for t in merged(space + c)] if c.isascii() and c.isalpha() and not self.whole else encode(f" {c}", add_special_tokens=False).ids for c in chunks]
+        return [[t.id for t in merged(space + byte_level(c))] if letters_only(c) and not self.whole else encode(f" {c}", add_special_tokens=False).ids for c in chunks]
 
     def ids_of_tail(self, tail: str) -> list[int]:
         return self.library.encode(tail, add_special_tokens=False).ids
@@ -144,7 +171,7 @@ class PieceVocabulary(Vocabulary):
         byte = [re.fullmatch("<0x([0-9A-F]{2})>", n) for n in names]
         self.pieces = [bytes([int(m[1], 16)]) if m else n.replace(MARK, " ").encode() for m, n in zip(byte, names)]
         self.whole = any(MARK in n.lstrip(MARK) for n in names) or "".join(self.library.encode("a  b", out_type=str)) != f"{MARK}a{MARK * 2}b"
-        mixed = re.compile(f"[A-Za-z][{re.escape(SYMBOLS)}]")
+        mixed = re.compile(rf"[^\W\d_][{re.escape(SYMBOLS)}]")
         own = [n for i, n in enumerate(names) if not (self.library.is_control(i) or self.library.is_unknown(i) or self.library.is_byte(i))]
         self.splits = not any(mixed.search(n) for n in own) and self.library.encode("a") == [self.library.piece_to_id(f"{MARK}a")]
 
@@ -162,7 +189,7 @@ def vocabulary(path: str) -> Vocabulary:
 class Chunks:
     """The distinct chunks of a column of texts, for each chunk in turn which of them it is (``index``), and where the
     chunks of each text end. Chunks joined by single spaces are the text. A distinct chunk is the core ``core_of`` and the
-    tail ``tail_of`` (-1: none): ASCII letters and the symbols after them, or all of it."""
+    tail ``tail_of`` (-1: none): Latin letters and the symbols after them, or all of it."""
 
     def __init__(self, texts: pa.Array, whole: bool):
         if whole:
@@ -175,7 +202,7 @@ class Chunks:
         self.core_of, self.tail_of = [], []
         for chunk in self.distinct:
             core = chunk.rstrip(SYMBOLS)
-            if len(core) == len(chunk) or whole or not (core.isascii() and core.isalpha()):
+            if len(core) == len(chunk) or whole or not letters_only(core):
                 self.core_of.append(cores.setdefault(chunk, len(cores)))
                 self.tail_of.append(-1)
             else:
@@ -189,9 +216,10 @@ class Chunks:
         ends = lists.offsets.to_numpy()[1:].astype(np.int64) - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
         parts, index = strings(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
-        space = lambda c: c.isspace() or c == MARK
-        head = np.fromiter((not p or space(p[0]) for p in parts), dtype=bool, count=len(parts))
-        tail = np.fromiter((not p or space(p[-1]) for p in parts), dtype=bool, count=len(parts))
+        head, tail = np.zeros(len(parts), dtype=bool), np.zeros(len(parts), dtype=bool)
+        for i, p in enumerate(parts):
+            if not p or len(p.strip()) < len(p) or MARK in p:  # few have white space at an end
+                head[i], tail[i] = (not p or c.isspace() or c == MARK for c in (p[:1], p[-1:]))
         joined = np.zeros(len(index), dtype=bool)  # to the part before
         joined[1:] = tail[index[:-1]] | head[index[1:]]
         joined[np.concatenate([[0], ends[:-1]])[: len(ends)]] = False
