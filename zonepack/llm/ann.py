@@ -145,8 +145,9 @@ def _nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.
 
 
 def _sizes(rows: DataFrame, key: str, most: int, name: str = "parts") -> DataFrame:
-    """(key, parts): the number of chunks of at most about ``most`` rows for each key; a table like others."""
-    return rows.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    """(key, parts): the number of chunks of at most about ``most`` rows for each key. A table like others, but written: Spark knows
+    its size, and sends it to all tasks only while it is small."""
+    return stage(rows.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias(name)), "parts")
 
 
 def _every(parts: str) -> Column:
@@ -237,6 +238,7 @@ class Index:
         chunk = max(64, min(CHUNK_ROWS, self.row_count // (4 * parallelism(queries.sparkSession))))
         # leaves that some query visits: rows of the others go nowhere
         visited = self.sizes.select("leaf", F.ceil(F.col("rows") / chunk).cast("int").alias("row_parts")).join(_sizes(asked, "leaf", CHUNK_QUERIES, "query_parts"), "leaf")
+        visited = stage(visited, "visited")
         left = asked.join(visited, "leaf").withColumn("row_part", _every("row_parts")).withColumn("part", _one("query_parts", F.xxhash64("query_id")))
         right = self.rows.join(visited, "leaf").withColumn("row_part", _one("row_parts", F.xxhash64("salt"))).withColumn("part", _every("query_parts"))
         left, right = left.drop("row_parts", "query_parts"), right.select("vec_id", "embedding", "salt", "leaf", "row_part", "part")
