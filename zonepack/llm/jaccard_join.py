@@ -107,8 +107,8 @@ def index_count(n: int, percent: int = PERCENT) -> int:
 
 
 def probe_part(percent: int) -> int:
-    """One in so many shingles is probed: more than the own shingles that step 2 asks for."""
-    return 4 if percent >= 90 else 3 if percent >= 80 else 2
+    """One in so many shingles is probed: more than the own shingles that step 2 asks for, but not many more."""
+    return 6 if percent >= 90 else 4 if percent >= 80 else 2
 
 
 def _light(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -316,12 +316,14 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataF
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    light = stage(_light(docs, width, percent), "light")
+    probed = scratch.stage(_light(docs, width, percent), "probed")
+    light = stage(probed.select("doc_id", "n", "digest"), "light")  # read by the result
     classes = scratch.stage(light.where("doc_id is not null and n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     keys = key_count(F.col("n"), percent).cast("int")
-    rows = light.where("probe is not null").join(_own_shingles(light, percent).hint("merge"), F.xxhash64("digest") == F.col("class"), "left").where(F.coalesce("own", F.lit(0)) < keys)
+    rows = probed.where("probe is not null").join(_own_shingles(probed, percent).hint("merge"), F.xxhash64("digest") == F.col("class"), "left").where(F.coalesce("own", F.lit(0)) < keys)
     rows = rows.join(classes.withColumnRenamed("digest", "class_digest").hint("merge"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("class_digest")), "left_semi")
     survivors = scratch.stage(rows.select("doc_id").distinct(), "survivors")
+    scratch.drop(probed)
     own = light.where("doc_id is not null and n > 0").join(classes.hint("merge"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = scratch.stage(own.where("a <> b").distinct(), "links")
     scratch.drop(classes)
