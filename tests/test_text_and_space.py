@@ -74,6 +74,7 @@ def test_operands_beside_anything(spark):
 
 def test_bool_tokens(spark):
     assert apply(spark, [" YES ", "0", "", "maybe"], T.coerce_bool) == [True, False, False, None]
+    assert apply(spark, [" YES ", "0", "", "maybe", None], T.bool_error) == [None, None, None, "not a boolean: maybe", None]
 
 
 def related(spark, a, b):
@@ -282,6 +283,23 @@ def test_checksum_lines(spark, tmp_path):
     assert [r.line for r in P.checksums(spark, str(tmp_path)).collect()] == [f"{hashlib.sha256(b'data').hexdigest()}  a.bin\n"]
 
 
+def test_checksums_in_chunks(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "in").mkdir()
+    for name, size in (("large.bin", (2 << 30) + 5), ("in/chunk 1%20.bin", P.CHUNK), ("in/more.bin", 2 * P.CHUNK + 1), ("none.bin", 0)):
+        with open(tmp_path / name, "wb") as f:
+            f.write(name.encode()[:size])
+            f.truncate(size)  # sparse
+    expected = {}
+    for path in (p for p in tmp_path.rglob("*") if p.is_file() and p.stat().st_size):  # Spark lists no empty files
+        with open(path, "rb") as f:
+            expected[str(path.relative_to(tmp_path))] = f"{hashlib.file_digest(f, 'sha256').hexdigest()}  {path.name}\n"
+    assert {r.name: r.line for r in P.checksums(spark, str(tmp_path)).collect()} == expected
+    assert {r.name: r.line for r in P.checksums(spark, str(tmp_path / "in"), whole=P.CHUNK).collect()} == {k[3:]: v for k, v in expected.items() if k.startswith("in/")}
+    assert {r.name: r.line for r in P.checksums(spark, str(tmp_path / "in"), whole=0).collect()} == {k[3:]: v for k, v in expected.items() if k.startswith("in/")}
+
+
 def test_publish_replaces_as_a_whole(spark, tmp_path):
     final, seen = str(tmp_path / "final"), []
     assert P.current(spark, final) is None

@@ -85,11 +85,11 @@ def slugify(t: Tables) -> DataFrame:
     return turns(t).select("conv_id", "turn", T.slugify(F.col("text")).alias("slug"))
 
 
-@query("SELECT raw, count(*) AS n, CASE WHEN lower(trim(raw)) IN ('true', '1', 'yes', 'on', 't', 'y') THEN true WHEN lower(trim(raw)) IN ('false', '0', 'no', 'off', 'f', 'n', '') THEN false END AS flag FROM (SELECT unnest([l_returnflag, ' ' || l_linestatus, CAST(l_linenumber % 3 AS VARCHAR)]) AS raw FROM lineitem) GROUP BY 1")
+@query("SELECT raw, count(*) AS n, CASE WHEN lower(trim(raw)) IN ('true', '1', 'yes', 'on', 't', 'y') THEN true WHEN lower(trim(raw)) IN ('false', '0', 'no', 'off', 'f', 'n', '') THEN false END AS flag, CASE WHEN lower(trim(raw)) NOT IN ('true', '1', 'yes', 'on', 't', 'y', 'false', '0', 'no', 'off', 'f', 'n', '') THEN 'not a boolean: ' || raw END AS error FROM (SELECT unnest([l_returnflag, ' ' || l_linestatus, CAST(l_linenumber % 3 AS VARCHAR)]) AS raw FROM lineitem) GROUP BY 1")
 def coerce_bool(t: Tables) -> DataFrame:
     raw = F.explode(F.array("l_returnflag", F.concat(F.lit(" "), "l_linestatus"), (F.col("l_linenumber") % 3).cast("string")))
     counted = t.lineitem.select(raw.alias("raw")).groupBy("raw").agg(F.count("*").alias("n"))
-    return counted.select("raw", "n", T.coerce_bool(F.col("raw")).alias("flag"))
+    return counted.select("raw", "n", T.coerce_bool(F.col("raw")).alias("flag"), T.bool_error(F.col("raw")).alias("error"))
 
 
 #: A query text for every customer.

@@ -6,9 +6,14 @@ manifest lists it for every stratum. Compression level 0 stores, 1 to 9 is zstd.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
+import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +21,8 @@ from zonepack.sources.scans import relative
 
 POINTER = "CURRENT"
 MODES = ("overwrite", "error", "skip-existing")
+#: Bytes of a file that is read as one value, and of a piece of a larger one.
+WHOLE_FILE, CHUNK = 256 << 20, 8 << 20
 
 
 def kept_fields(layer: DataFrame, excluded: Sequence[str]) -> list[str]:
@@ -179,11 +186,37 @@ def skipped_rows(strata: DataFrame, existing: DataFrame, layers: DataFrame) -> D
     return rows.select(F.col("name").alias("stratum"), F.explode("layers").alias("layer"), F.lit("skipped-existing").alias("status"), F.concat("bundle_rel", F.lit(" exists")).alias("detail"))
 
 
-def checksums(spark: SparkSession, root: str) -> DataFrame:
-    """(name, line) for every file below ``root``: the line of a sha256sum file. Files up to 2 GB."""
+def checksums(spark: SparkSession, root: str, whole: int = WHOLE_FILE) -> DataFrame:
+    """(name, line) for every file below ``root``: the line of a sha256sum file. Files up to ``whole`` bytes are read as
+    one value, larger ones in chunks where they lie (a task for each, as Spark doesn't put such files together). Empty files
+    give no line: Spark's listing leaves them out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    name = relative(F.col("path"), root)
-    return files.select(name.alias("name"), F.concat(F.sha2("content", 256), F.lit("  "), F.substring_index("path", "/", -1), F.lit("\n")).alias("line"))
+    digests = files.where(F.col("length") <= whole).select("path", F.sha2("content", 256).alias("digest"))
+    digests = digests.union(files.where(F.col("length") > whole).select("path").mapInPandas(_digests, "path string, digest string"))
+    return digests.select(relative(F.col("path"), root).alias("name"), F.concat("digest", F.lit("  "), F.substring_index("path", "/", -1), F.lit("\n")).alias("line"))
+
+
+def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each file's SHA-256, from a stream; a file that can't be opened fails the task."""
+    for batch in batches:
+        digests = []
+        for path in batch["path"]:
+            digest = hashlib.sha256()
+            with _opened(path) as stream:
+                while chunk := stream.read(CHUNK):
+                    digest.update(chunk)
+            digests.append(digest.hexdigest())
+        yield batch.assign(digest=digests)
+
+
+def _opened(path: str) -> pa.NativeFile:
+    """A stream of the file at a path as Spark names it: the scheme ``file`` with one slash, ``s3a`` for ``s3``, nothing
+    quoted."""
+    scheme, colon, rest = path.partition(":/")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem().open_input_stream(f"/{rest.lstrip('/')}" if colon else path)
+    system, inner = fs.FileSystem.from_uri(f"{scheme.replace('s3a', 's3')}:/{quote(rest)}")
+    return system.open_input_stream(inner)
 
 
 def extra_conflicts(entries: DataFrame, reserved: DataFrame) -> DataFrame:
