@@ -107,8 +107,8 @@ def index_count(n: int, percent: int = PERCENT) -> int:
 
 
 def probe_part(percent: int) -> int:
-    """One in so many shingles is probed: more than the own shingles that step 2 asks for, but not many more."""
-    return 6 if percent >= 90 else 4 if percent >= 80 else 2
+    """One in so many shingles is probed: so many more than the own shingles that step 2 asks for that few sets pass it by chance."""
+    return 4 if percent >= 90 else 3 if percent >= 80 else 2
 
 
 def _light(docs: DataFrame, width: int, percent: int) -> DataFrame:
