@@ -422,3 +422,19 @@ def test_queries_that_do_not_open(spark):
     for text, why in (("SELECT a FROM t JOIN gone ON a = b", "gone"), ("SELECT nothing FROM t", "does not open")):
         with pytest.warns(UserWarning, match=why):
             assert views.over_strata(spark, text, slices, strata) is None
+
+
+def test_listed_paths_keep_each_relation_once(spark, monkeypatch):
+    """Steps lead both ways, but relations are ranked, written and joined in one direction."""
+    edges = spark.createDataFrame([("r1", "b", "a"), ("r2", "a", "b"), ("r3", "b", "c"), ("loop", "a", "a")], "relation_id string, child string, parent string")
+    counts = {}
+
+    def counted(df, name, whole=graph.stage):
+        found = whole(df, name)
+        counts.setdefault(name, found.count())
+        return found
+
+    monkeypatch.setattr(graph, "stage", counted)
+    found = {r.node: r.paths for r in graph.listed_paths(graph.hops(edges), "a").collect()}
+    assert found == {"a": [[]], "b": [["r1"], ["r2"]], "c": [["r1", "r3"], ["r2", "r3"]]}
+    assert counts["steps"] == 4
