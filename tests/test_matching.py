@@ -438,3 +438,14 @@ def test_listed_paths_keep_each_relation_once(spark, monkeypatch):
     found = {r.node: r.paths for r in graph.listed_paths(graph.hops(edges), "a").collect()}
     assert found == {"a": [[]], "b": [["r1"], ["r2"]], "c": [["r1", "r3"], ["r2", "r3"]]}
     assert counts["steps"] == 4
+
+
+def test_pinned_paths_of_repeated_relations_and_one_join(spark):
+    edges = spark.createDataFrame([("r1", "a", "b"), ("r1", "a", "b"), ("r2", "c", "b"), ("r3", "c", None)], "relation_id string, child string, parent string")
+    pins = [(1, "a", "c", ["r1", "r2"]), (2, "a", "a", []), (3, "a", "b", []), (4, "a", "b", None), (5, "c", "b", ["r3"]), (6, "a", "c", ["r1"]), (None, "a", "b", ["r1"]), (7, "c", "b", ["r1", "r9"])]
+    pins = spark.createDataFrame(pins, 'pin_id long, start string, `end` string, relation_ids array<string>')
+    found = graph.pinned(edges, pins)
+    assert {r.pin_id: (r.error, r.reached) for r in found.collect()} == {
+        1: (None, "c"), 2: (None, "a"), 3: ("path is empty", "a"), 4: ("ends elsewhere", "a"), 5: ("does not connect", "c"), 6: ("ends elsewhere", "b"), 7: ("does not connect", "c"),
+    }
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
