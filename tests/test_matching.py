@@ -449,3 +449,14 @@ def test_pinned_paths_of_repeated_relations_and_one_join(spark):
         1: (None, "c"), 2: (None, "a"), 3: ("path is empty", "a"), 4: ("ends elsewhere", "a"), 5: ("does not connect", "c"), 6: ("ends elsewhere", "b"), 7: ("does not connect", "c"),
     }
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_running_sums_shuffle_rows_once_and_end_where_a_range_ends(spark):
+    pick = random.Random(5)
+    rows = [(g, i, pick.choice([0, 1, 2])) for i, g in enumerate("a" * 3 + "b" * 500 + "c" * 2 + "d" * 300 + "e")]
+    found = strata.running_sum(spark.createDataFrame(pick.sample(rows, len(rows)), "g string, i long, n long"), "g", ["i"], "n", "total")
+    sums, expected = {}, {}
+    for g, i, n in rows:
+        expected[i] = sums[g] = sums.get(g, 0) + n
+    assert {r.i: r.total for r in found.collect()} == expected
+    assert "Exchange hash" not in found._jdf.queryExecution().executedPlan().toString()

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from zonepack.functions import text as T
 from zonepack.sources.staging import stage
@@ -73,17 +77,40 @@ SUFFIXED = r"(?s)^(.*)_([2-9]|[1-9][0-9]{1,17})\z"
 def running_sum(rows: DataFrame, group: str, order: Sequence[str], amount: str, name: str) -> DataFrame:
     """``rows`` with ``name``, the sum of ``amount`` over the rows of the group up to this one by ``order``, which has no ties.
 
-    Rows are dealt by ranges of (group, order); sums inside a range and those of the group's ranges before it make the whole. So
-    a group that a third of all rows are in is spread over many tasks; of a group there are as many sums as ranges.
+    Rows are dealt by ranges of (group, order), and summed in order there. So a group that a third of all rows are in is spread over
+    many tasks. Only the first group of a range has rows before it: these sums, one a range at most, go to all tasks.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = stage(rows.repartitionByRange(parts, group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
-    sums = dealt.groupBy(group, "_part").agg(F.sum(amount).alias("_sum"))
-    before = F.sum("_sum").over(Window.partitionBy(group).orderBy("_part")) - F.col("_sum")
-    inside = F.sum(amount).over(Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    sums = sums.select(F.col(group).alias("_group"), F.col("_part").alias("_range"), before.alias("_before"))
-    found = dealt.withColumn("_inside", inside).join(sums, (F.col(group) == F.col("_group")) & (F.col("_part") == F.col("_range")))
-    return found.select(*rows.columns, (F.col("_before") + F.col("_inside")).alias(name))
+    dealt = rows.repartitionByRange(parts, group, *order).sortWithinPartitions(group, *order).withColumn("_part", F.spark_partition_id())
+    schema = StructType([*dealt.schema.fields, StructField("_inside", LongType()), StructField("_end", BooleanType())])
+    dealt = stage(dealt.mapInArrow(partial(_sums_inside, group=group, amount=amount), schema), "ranges")
+    # a group that goes on in the next range has its sum in the last row
+    sums = dealt.where("_end").groupBy(F.col(group).alias("_group"), F.col("_part").alias("_range")).agg(F.max("_inside").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy("_group").orderBy("_range")) - F.col("_sum")
+    sums = stage(sums.select("_group", "_range", before.alias("_before")).where("_before > 0"), "sums")
+    found = dealt.join(F.broadcast(sums), (F.col(group) == F.col("_group")) & (F.col("_part") == F.col("_range")), "left")
+    return found.select(*rows.columns, (F.coalesce("_before", F.lit(0)) + F.col("_inside")).alias(name))
+
+
+def _sums_inside(batches: Iterator[pa.RecordBatch], group: str, amount: str) -> Iterator[pa.RecordBatch]:
+    """With ``_inside``, the sum over the rows of the group so far, and ``_end``, which marks the first and the last row of the partition."""
+    held, last, so_far = None, None, 0
+    for batch in (b for b in batches if b.num_rows):
+        names = batch.column(group)
+        first = np.flatnonzero(np.append(True, pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)))
+        sums = np.cumsum(batch.column(amount).to_numpy().astype(np.int64))
+        less = np.append(0, sums)[first]
+        less[0] = -so_far if names[0].as_py() == last else 0
+        inside = sums - np.repeat(less, np.diff(first, append=len(sums)))
+        last, so_far = names[-1].as_py(), int(inside[-1])
+        end = np.zeros(len(sums), dtype=bool)
+        end[0] = held is None
+        if held:
+            yield pa.RecordBatch.from_arrays([*held[0].columns, *map(pa.array, held[1:])], [*held[0].schema.names, "_inside", "_end"])
+        held = batch, inside, end
+    if held:
+        held[2][-1] = True
+        yield pa.RecordBatch.from_arrays([*held[0].columns, *map(pa.array, held[1:])], [*held[0].schema.names, "_inside", "_end"])
 
 
 CLAIMS = "folded string, parent string, claimed boolean, at long"
@@ -99,15 +126,19 @@ def _claims(spelled: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, below = None, 0
-        for batch in batches:
-            claimed, at = [], []
-            for parent, number, rank, shift in zip(*(batch.column(c).to_pylist() for c in ("parent", "number", "rank", "shift"))):
-                if parent != name:
+        for batch in (b for b in batches if b.num_rows):
+            parents = batch.column("parent")
+            first = np.flatnonzero(np.append(True, pc.not_equal(parents[1:], parents[:-1]).to_numpy(zero_copy_only=False))).tolist()
+            number, rank, shift = (batch.column(c).to_numpy() for c in ("number", "rank", "shift"))
+            free, claimed, under = (number - rank - shift).tolist(), [], []
+            for begin, end in zip(first, [*first[1:], batch.num_rows]):
+                if (parent := parents[begin].as_py()) != name:
                     name, below = parent, 0
-                at.append(number - 1 - below)
-                claimed.append(rank < number - below - shift)
-                below += claimed[-1]
-            yield pa.RecordBatch.from_arrays([batch.column("folded"), batch.column("parent"), pa.array(claimed, pa.bool_()), pa.array(at, pa.int64())], ["folded", "parent", "claimed", "at"])
+                for most in free[begin:end]:
+                    under.append(below)
+                    claimed.append(below < most)
+                    below += below < most
+            yield pa.RecordBatch.from_arrays([batch.column("folded"), parents, pa.array(claimed, pa.bool_()), pa.array(number - 1 - np.array(under, dtype=np.int64))], ["folded", "parent", "claimed", "at"])
 
     rows = spelled.select("folded", "parent", "number", "rank", F.col("shift").cast("long").alias("shift"))
     return rows.repartition("parent").sortWithinPartitions("parent", "number").mapInArrow(run, CLAIMS)
@@ -138,7 +169,7 @@ def dedupe_names(rows: DataFrame, order: str, name: str) -> DataFrame:
     # positions of the rows, and of the first row of each suffixed spelling, among those of the name
     events = rows.select("folded", "ord", "name", F.lit(1).alias("one"), F.lit(None).cast("string").alias("spelling"))
     events = events.unionByName(spelled.select(F.col("parent").alias("folded"), F.col("first").alias("ord"), F.lit(None).cast("string").alias("name"), F.lit(0).alias("one"), F.col("folded").alias("spelling")))
-    events = stage(running_sum(events, "folded", ["ord"], "one", "k"), "events")
+    events = running_sum(events, "folded", ["ord"], "one", "k")
 
     ranks = stage(spelled.join(events.where("spelling is not null").select(F.col("spelling").alias("folded"), F.col("k").alias("rank")), "folded"), "ranks")
     settled = ranks.sparkSession.createDataFrame([], CLAIMS)
@@ -153,13 +184,15 @@ def dedupe_names(rows: DataFrame, order: str, name: str) -> DataFrame:
         level = ranks.join(done.select(F.col("folded").alias("parent"), (~F.col("claimed")).cast("int").alias("shift")), "parent")
 
     # number of the q-th later row: q + 1, and one more for each spelling that was claimed at or below it
-    late = settled.where("not claimed").select("folded", F.lit(1).alias("shift"))
-    out = events.where("spelling is null").join(late, "folded", "left").select("folded", "ord", "name", (F.col("k") - 1 + F.coalesce("shift", F.lit(0))).alias("q"))
+    late = settled.where("not claimed").select("folded", F.lit(1).alias("shift"), F.lit(0).alias("some"))
     claims = settled.where("claimed and at is not null").select(F.col("parent").alias("folded"), F.col("at").alias("q"))
-    some = claims.select("folded").distinct()
+    some = claims.select("folded").distinct().select("folded", F.lit(0).alias("shift"), F.lit(1).alias("some"))
+    of_name = late.unionByName(some).groupBy("folded").agg(F.max("shift").alias("shift"), F.max("some").alias("some"))
+    out = events.where("spelling is null").join(of_name, "folded", "left")
+    out = out.select("folded", "ord", "name", (F.col("k") - 1 + F.coalesce("shift", F.lit(0))).alias("q"), (F.coalesce("some", F.lit(0)) == 1).alias("some"))
     claims = claims.select("folded", F.lit(None).cast(rows.schema["ord"].dataType).alias("ord"), F.lit(None).cast("string").alias("name"), "q", F.lit(1).alias("one"))
-    merged = out.join(some, "folded", "left_semi").withColumn("one", F.lit(0)).unionByName(claims)
+    merged = out.where("some").drop("some").withColumn("one", F.lit(0)).unionByName(claims)
     # at one q the claim comes first: null orders first
     skipping = running_sum(merged, "folded", ["q", "ord"], "one", "taken").where("one = 0")
-    out = out.join(some, "folded", "left_anti").withColumn("taken", F.lit(0).cast("long")).unionByName(skipping.drop("one"))
+    out = out.where("not some").drop("some").withColumn("taken", F.lit(0).cast("long")).unionByName(skipping.drop("one"))
     return out.select("ord", F.when(F.col("q") == 0, F.col("name")).otherwise(F.concat("name", F.lit("_"), F.col("q") + 1 + F.col("taken"))).alias("unique_name")).unionByName(nameless)
