@@ -636,3 +636,45 @@ def test_random_reparameterised_items(spark):
         pick.shuffle(shuffled)
         docs.append(" ".join(shuffled))
     assert leaked(spark, docs, items) == expected
+
+
+def test_keys_of_two_sets_that_cannot_link_go_nowhere(spark, monkeypatch):
+    """Pairs of texts that share a passage, too little for a link: their keys are left before any set is shuffled; ids with
+    several texts lose no link."""
+    pick = random.Random(17)
+    word = lambda: f"w{pick.randint(0, 10**9)}"
+    docs = []
+    for i in range(0, 60, 2):
+        common = [word() for _ in range(84)]
+        docs += [(j, " ".join(common + [word() for _ in range(own)])) for j, own in ((i, 4), (i + 1, 18))]
+    base = [word() for _ in range(100)]
+    docs += [(100, " ".join(base)), (100, " ".join(base[:-1] + ["else"])), (101, " ".join(base[:-3])), (102, " ".join(word() for _ in range(80))), (100, docs[0][1] + " more")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {}
+    stage = jaccard_join.Scratch.stage
+    monkeypatch.setattr(jaccard_join.Scratch, "stage", lambda self, df, name: found.setdefault(name, stage(self, df, name)) if name == "shared-keys" else stage(self, df, name))
+    monkeypatch.setattr(jaccard_join.Scratch, "drop", lambda self, *tables: None)
+    monkeypatch.setattr(jaccard_join.Scratch, "clear", lambda self, keep=0: None)
+    rows = jaccard_join.join(frame, 80, 3).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {i: i for i in range(1, 60)} | {0: 0, 100: 0, 101: 0, 102: 102}
+    assert {r.doc_id for r in found["shared-keys"].collect()} <= {0, 1, 100, 101}, "the others share 82 shingles of 86 and 100"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_copies_of_all_degrees_equal_brute_force(spark, seed):
+    pick = random.Random(seed)
+    docs = []
+    for i in range(120):
+        text = list(pick.choice(docs)[1].split()) if docs and pick.random() < 0.7 else [f"v{pick.randint(0, 60)}" for _ in range(pick.randint(5, 120))]
+        for _ in range(pick.randint(0, len(text) // 12)):
+            text[pick.randrange(len(text))] = f"v{pick.randint(0, 60)}"
+        docs.append((i if pick.random() < 0.97 else pick.randint(0, i), " ".join(text)))
+    sets = [(d, set(zip(*[(w := t.split())[k:] for k in range(3)]))) for d, t in docs]
+    label = {d: d for d, _ in docs}
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if 100 * len(x & y) >= 80 * len(x | y) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {d: low if v == high else v for d, v in label.items()}
+    found = jaccard_join.join(spark.createDataFrame(docs, "doc_id long, text string"), 80, 3).collect()
+    assert {r.doc_id: r.component_id for r in found} == label

@@ -14,8 +14,9 @@ Words are runs of bytes other than ASCII white space, A-Z lower-cased; a documen
    rarest first: a table of ``RARITY_BITS`` bits of counters, made on the executors, says it roughly, and
    any order is right if it is one for all. Two linked sets share one of their first n - ceil(0.9 n) + 1
    shingles, and it is among the first n - ceil(1.8 / 1.9 n) + 1 of the smaller one. So a passage that many
-   documents share makes keys only where documents have little else. Documents that share such a key are candidates.
-4. Collapse: each candidate goes with its set to ``ROUNDS`` of its keys. A group is dealt to
+   documents share makes keys only where documents have little else. Documents that share such a key are candidates, if what each
+   has from its first common key on is enough for a link (``may_link``).
+4. Collapse: each candidate that shares many of its keys goes with its set to ``ROUNDS`` of them. A group is dealt to
    blocks of about ``BLOCK`` rows and ``BLOCK_BYTES``, and the key's pivot, of all sets that have it the one whose shingles
    are the most common, goes to every block: where many texts are copies of one and differ from each other, it is that one. In a block the
    pivot is compared with all, then a signature tree is traversed with itself, pairs that its bounds leave are
@@ -51,16 +52,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonepack.llm.components import components
-from zonepack.llm.shared import Scratch, cuts, dealt_by, documents, groups, parallelism, stage, without_ids
+from zonepack.llm.shared import Scratch, cuts, dealt_by, documents, groups, parallelism, stage, to_all, without_ids
 from zonepack.llm.signature_tree import pairs, signatures
 from zonepack.llm.word_ids import strings, take_turn, words_of
 
 SHINGLE = 3
 PERCENT = 90
 ROUNDS = 2
+#: Near copies share about half of their keys; a set that shares less than this part of them is left to step 5.
+LIKELY = 0.35
 BLOCK = 512
 BLOCK_BYTES = 16 << 20
+#: Bits of a probed shingle: two that are one then are not a set's own, so more sets pass, and the rest is zeros, which shuffle for little.
+PROBED = np.uint64(~((1 << 24) - 1) & (1 << 64) - 1)
 FILTER_BITS = 24
+PASS_BITS, PROBES = 25, 3
 RARITY_BITS = 22
 CHUNK_BITS = 16
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
@@ -130,7 +136,7 @@ def _light(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     known[digest] = doc_id
                 digests.append(digest)
                 sizes.append(len(tokens))
-                probes.append(tokens[: int(np.searchsorted(tokens, end))].view(np.int64) if new else None)
+                probes.append((tokens[: int(np.searchsorted(tokens, end))] & PROBED).view(np.int64) if new else None)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(probes, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "probe"])
 
     return documents(docs).mapInArrow(run, "doc_id long, n long, digest binary, probe array<long>")
@@ -143,36 +149,54 @@ def _own_shingles(light: DataFrame, percent: int) -> DataFrame:
     return of_one.groupBy("class").agg(F.count("*").alias("own"))
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """A bit table of fixed size over doc_ids: False means that the id is not in ``ids``."""
+def _id_filter(ids: DataFrame, bits: int = FILTER_BITS, probes: int = 1) -> np.ndarray:
+    """A bit table of fixed size over doc_ids, ``probes`` bits an id: False in one means that the id is not in ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << FILTER_BITS, dtype=bool)
+        table = np.zeros(1 << bits, dtype=bool)
         for batch in batches:
-            table[_cell(_mixed(batch.column("doc_id").to_numpy().astype(np.uint64)), FILTER_BITS)] = True
+            for cells in _id_cells(batch.column("doc_id"), bits, probes):
+                table[cells] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], ["bits"])
 
-    table = np.zeros(1 << FILTER_BITS >> 3, dtype=np.uint8)
+    table = np.zeros(1 << bits >> 3, dtype=np.uint8)
     for row in ids.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
         table |= np.frombuffer(row.bits, dtype=np.uint8)
     return table
 
 
+def _id_cells(ids: pa.Array, bits: int, probes: int) -> Iterator[np.ndarray]:
+    h = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)
+    for _ in range(probes):
+        yield _cell(h := _mixed(h), bits)
+
+
+def _passed(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows whose doc_id the table of ``_id_filter(ids, PASS_BITS, PROBES)`` passes."""
+    for batch in batches:
+        kept = np.ones(batch.num_rows, dtype=bool)
+        for cells in _id_cells(batch.column("doc_id"), PASS_BITS, PROBES):
+            kept &= (table[cells >> 3] >> (7 - (cells & 7)) & 1).astype(bool)
+        yield batch.filter(pa.array(kept))
+
+
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(doc_id, tokens) of the rows whose ids are in ``ids``."""
-    shared = docs.sparkSession.sparkContext.broadcast(_id_filter(ids))
+    """(doc_id, tokens) of the rows whose ids are in ``ids``, and of few others, as a bit table of fixed size says. Others
+    do no harm: they are compared like the rest. So sets are not shuffled before it is known which have candidates."""
+    shared = docs.sparkSession.sparkContext.broadcast(_id_filter(ids, PASS_BITS, PROBES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn("shingles")
-        table = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
-            ids = batch.column("doc_id").fill_null(0).to_numpy().astype(np.uint64)
-            batch = batch.filter(pa.array(table[_cell(_mixed(ids), FILTER_BITS)]))
-            for rows in cuts(iter([batch])):
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(rows.column("text"), width)], pa.binary())], ["doc_id", "tokens"])
+        for rows in cuts(_passed(batches, shared.value)):
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(rows.column("text"), width)], pa.binary())], ["doc_id", "tokens"])
 
-    found = documents(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, tokens binary").where(F.octet_length("tokens") > 0)
-    return found.join(ids.hint("merge"), "doc_id")
+    return documents(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, tokens binary").where(F.octet_length("tokens") > 0)
+
+
+def _with_sets(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, ...) with their tokens; of the sets only those that the bit table passes are shuffled."""
+    shared = sets.sparkSession.sparkContext.broadcast(_id_filter(rows.select("doc_id"), PASS_BITS, PROBES))
+    return sets.mapInArrow(lambda batches: _passed(batches, shared.value), sets.schema).join(rows.hint("merge"), "doc_id")
 
 
 def _rarity(sets: DataFrame) -> np.ndarray:
@@ -194,7 +218,7 @@ def _rarity(sets: DataFrame) -> np.ndarray:
             for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
                 more = np.frombuffer(zlib.decompress(counts), dtype=np.uint32).astype(np.uint64)
                 sums[chunk] = sums[chunk] + more if chunk in sums else more
-        coded = [np.minimum(255, 4 * np.log2(np.maximum(v, 1))).astype(np.uint8).tobytes() for v in sums.values()]
+        coded = [np.minimum(127, 4 * np.log2(np.maximum(v, 1))).astype(np.uint8).tobytes() for v in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(coded, pa.binary())], ["chunk", "coded"])
 
     out = np.zeros((cells, 1 << CHUNK_BITS), dtype=np.uint8)
@@ -205,8 +229,9 @@ def _rarity(sets: DataFrame) -> np.ndarray:
 
 
 def _keys(sets: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, n, key, leads, common): the keys of each set that others may share; ``leads`` if it may be the key
-    of the smaller of two linked sets; ``common`` is how common the set's shingles are."""
+    """(doc_id, n, key, pos, leads, common): the keys of each set that others may share, numbers in the order of rarity, and how many
+    of the set's shingles come before; ``leads`` if it may be the key of the smaller of two linked sets; ``common`` is how common the
+    set's shingles are. A key is the rarity and 56 bits of the hash: should two shingles be one key, there are more candidates."""
     shared = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +239,7 @@ def _keys(sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for begin in range(0, batch.num_rows, 64):
                 rows = batch.slice(begin, 64)
-                ids, sizes, keys, leads, common = [], [], [], [], []
+                ids, sizes, keys, at, leads, common = [], [], [], [], [], []
                 for doc_id, tokens in zip(rows.column("doc_id").to_pylist(), _tokens(rows.column("tokens"))):
                     rarity = shared.value[_cell(tokens, RARITY_BITS)]
                     n, most = len(tokens), int(key_count(len(tokens), percent))
@@ -222,12 +247,19 @@ def _keys(sets: DataFrame, percent: int) -> DataFrame:
                     first = first[rarity[first] > 0] if (lone := int(np.count_nonzero(rarity == 0))) < most else first[:0]
                     ids.append(np.full(len(first), doc_id))
                     sizes.append(np.full(len(first), n))
-                    keys.append(tokens[first].view(np.int64))
-                    leads.append(np.arange(lone, lone + len(first)) < index_count(n, percent))
+                    keys.append(rarity[first].astype(np.int64) << 56 | (tokens[first] >> np.uint64(8)).astype(np.int64))
+                    at.append(np.arange(lone, lone + len(first)))
+                    leads.append(at[-1] < index_count(n, percent))
                     common.append(np.full(len(first), rarity.mean()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, sizes, keys, leads, common)], ["doc_id", "n", "key", "leads", "common"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, sizes, keys, at, leads, common)], ["doc_id", "n", "key", "pos", "leads", "common"])
+
+    return sets.mapInArrow(run, "doc_id long, n long, key long, pos long, leads boolean, common double")
+
 
-    return sets.mapInArrow(run, "doc_id long, n long, key long, leads boolean, common double")
+def may_link(n, pos, other_n, other_pos, percent: int, least=F.least):
+    """Can two sets of these sizes link whose first common key has these positions in them? What comes before it they have not in
+    common, so the overlap is at most what is left of either; it also decides whether the sizes fit."""
+    return (100 + percent) * least(n - pos, other_n - other_pos) >= percent * (n + other_n)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -272,21 +304,21 @@ def _linking(rows: DataFrame, percent: int, *keys: str) -> DataFrame:
 
 
 def _needed(rows: DataFrame, percent: int) -> DataFrame:
-    """Of ``rows`` (key, left, right, doc_id, label, n, keys) those with a partner in their group that may link: of
-    another label, of a fitting size, and with no smaller key in common, under which the two meet as well."""
+    """Of ``rows`` (key, left, right, doc_id, label, n, pos, keys) those with a partner in their group that may link: of
+    another label, of fitting sizes and positions, and with no smaller key in common, under which the two meet as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn("shingles")
         for group in groups(batches, "key", "left", "right"):
             group = group.combine_chunks()
-            key, n = group.column("key")[0].as_py(), group.column("n").to_numpy()
+            key, n, pos = group.column("key")[0].as_py(), group.column("n").to_numpy(), group.column("pos").to_numpy()
             labels = np.unique(group.column("label").to_numpy(), return_inverse=True)[1]
             lists = [np.asarray(k) for k in group.column("keys").to_numpy()]
             bits, _ = signatures([k[: int(np.searchsorted(k, key))] for k in lists], 1 << 30)
             partner = np.zeros(len(n), dtype=bool)
             for begin in range(0, len(n), 64):
                 some = slice(begin, begin + 64)
-                fits = (labels[some, None] != labels) & (100 * np.minimum(n[some, None], n) >= percent * np.maximum(n[some, None], n))
+                fits = (labels[some, None] != labels) & may_link(n[some, None], pos[some, None], n, pos, percent, np.minimum)
                 at, other = np.nonzero(fits)
                 apart = ~(bits[some][at] & bits[other]).any(axis=1)
                 partner[begin + at[apart]] = True
@@ -329,31 +361,41 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataF
     scratch.drop(classes)
     sets = scratch.stage(_sets(docs, survivors, width), "sets")
     scratch.drop(survivors)
-    rows = scratch.stage(_keys(sets, percent), "keys")
+    twins = scratch.stage(sets.groupBy("doc_id").count().where("count > 1").select("doc_id"), "twins")
+    rows = scratch.stage(_keys(sets, percent).join(to_all(twins).withColumn("twin", F.lit(True)), "doc_id", "left"), "keys")
     pivot = F.max_by("doc_id", F.struct("common", "doc_id")).alias("pivot")
-    repeated = rows.groupBy("key").agg(F.count("*").alias("rows"), F.max("leads").alias("leads"), pivot).where("rows > 1 and leads").select("key", "pivot")
-    shared = scratch.stage(rows.join(repeated.hint("merge"), "key").select("doc_id", "n", "key", "pivot"), "shared-keys")
+    sums = [F.sum("n").alias("all_n"), F.sum("pos").alias("all_pos")]
+    repeated = rows.groupBy("key").agg(F.count("*").alias("rows"), F.max("leads").alias("leads"), F.max("twin").alias("twin"), *sums, pivot).where("rows > 1 and leads")
+    repeated = repeated.select("key", "twin", F.when((F.col("rows") == 2) & F.col("twin").isNull(), F.struct("all_n", "all_pos")).alias("two"), "pivot")
+    # a key of two sets is one only if they may link; where an id has several sets, positions say nothing
+    fits = F.col("two").isNull() | may_link(F.col("n"), F.col("pos"), F.col("two.all_n") - F.col("n"), F.col("two.all_pos") - F.col("pos"), percent)
+    pos = F.when(F.col("twin").isNull(), F.col("pos")).otherwise(0).alias("pos")
+    shared = scratch.stage(rows.drop("twin").join(repeated.hint("merge"), "key").where(fits).select("doc_id", "n", "key", pos, "pivot", F.col("two").isNotNull().alias("two")), "shared-keys")
     scratch.drop(rows)
 
-    turns = [shared.groupBy("doc_id").agg(F.min_by(F.struct("key", "pivot"), F.xxhash64("key", F.lit(turn))).alias("k"), F.max("n").alias("n")) for turn in range(ROUNDS)]
+    turns = []
+    for turn in range(ROUNDS):  # two sets that have most of their keys alone meet once
+        k = F.min_by(F.struct("key", "pivot"), F.when(F.lit(turn == 0) | ~F.col("two"), F.xxhash64("key", F.lit(turn)))).alias("k")
+        turns.append(shared.groupBy("doc_id").agg(k, F.max("n").alias("n"), F.count("*").alias("all")).where(F.col("k").isNotNull() & (F.col("all") >= LIKELY * key_count(F.col("n"), percent))))
     chosen = reduce(DataFrame.union, turns).distinct().select("doc_id", "n", "k.*")
     chosen = chosen.join(chosen.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("size")).hint("merge"), "key").withColumn("blocks", _blocks(BLOCK, 8))
     pivots = chosen.where("doc_id <> pivot").select("key", "pivot", "blocks").distinct().select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("pivot").alias("doc_id"), F.col("pivot").alias("label"), F.lit(True).alias("is_pivot"))
     chosen = chosen.where("doc_id <> pivot").select("key", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int").alias("block"), "doc_id", F.col("doc_id").alias("label"), F.lit(False).alias("is_pivot"))
     chosen = scratch.stage(chosen.union(pivots), "chosen")
-    found = scratch.stage(_linking(sets.join(chosen.hint("merge"), "doc_id"), percent, "key", "block"), "found")
+    found = scratch.stage(_linking(_with_sets(sets, chosen), percent, "key", "block"), "found")
     scratch.drop(chosen)
     labels = components(found)
 
-    rest = _across(_labelled(shared.select("doc_id", "n", "key").distinct(), labels)).withColumn("blocks", _blocks(4 * BLOCK, 8))
+    rest = _across(_labelled(shared.groupBy("doc_id", "n", "key").agg(F.min("pos").alias("pos")), labels)).withColumn("blocks", _blocks(4 * BLOCK, 8))
     own_block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     rest = rest.withColumn("own", own_block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = scratch.stage(rest.select("key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "doc_id", "label", "n"), "rest")
+    rest = scratch.stage(rest.select("key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "doc_id", "label", "n", "pos"), "rest")
     scratch.drop(shared)
-    lists = rest.groupBy("doc_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    needed = scratch.stage(_needed(rest.join(lists.hint("merge"), "doc_id"), percent).withColumn("is_pivot", F.lit(False)), "needed")
+    lists = rest.groupBy("doc_id").agg(F.array_sort(F.collect_set("key")).alias("keys")).join(to_all(twins), "doc_id", "left_anti")
+    listed = rest.join(lists.hint("merge"), "doc_id", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<long>")))
+    needed = scratch.stage(_needed(listed, percent).withColumn("is_pivot", F.lit(False)), "needed")
     scratch.drop(rest)
-    rest = scratch.stage(_linking(sets.join(needed.hint("merge"), "doc_id"), percent, "key", "left", "right"), "found")
+    rest = scratch.stage(_linking(_with_sets(sets, needed), percent, "key", "left", "right"), "found")
     scratch.drop(sets, needed)
     labels = components(found.union(rest).union(links))
     scratch.clear()
