@@ -678,3 +678,27 @@ def test_near_copies_of_all_degrees_equal_brute_force(spark, seed):
                 label = {d: low if v == high else v for d, v in label.items()}
     found = jaccard_join.join(spark.createDataFrame(docs, "doc_id long, text string"), 80, 3).collect()
     assert {r.doc_id: r.component_id for r in found} == label
+
+
+def test_counters_tell_lone_shingles_apart_in_a_larger_table(spark):
+    """4 Mi shingles, each in one set: with as many counters a third of them would be told apart."""
+    import pyarrow as pa
+
+    def sets(batches):
+        for batch in batches:
+            ids = batch.column("id").to_pylist()
+            tokens = [np.sort(np.random.default_rng(i).integers(0, 1 << 64, 4096, dtype=np.uint64)).tobytes() for i in ids]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tokens, pa.binary())], ["doc_id", "tokens"])
+
+    table = jaccard_join._rarity(spark.range(0, 1024, 1, 4).mapInArrow(sets, "doc_id long, tokens binary"))
+    tokens = np.random.default_rng(7).integers(0, 1 << 64, 4096, dtype=np.uint64)
+    assert np.mean(table[jaccard_join._cell(tokens, jaccard_join.RARITY_BITS)] == 0) > 0.7
+
+
+def test_counters_of_a_task_do_not_run_over(spark):
+    """A shingle that 600 sets of one task have stays the commonest."""
+    common, token = (np.uint64(5) << np.uint64(60)).tobytes(), (np.uint64(9) << np.uint64(60)).tobytes()
+    rows = [(i, bytearray(common)) for i in range(600)] + [(i, bytearray(token)) for i in range(600, 603)]
+    table = jaccard_join._rarity(spark.createDataFrame(rows, "doc_id long, tokens binary").coalesce(1))
+    at = lambda t: table[jaccard_join._cell(np.frombuffer(t, dtype=np.uint64), jaccard_join.RARITY_BITS)][0]
+    assert at(common) == int(4 * np.log2(255)) and at(token) == int(4 * np.log2(3))

@@ -67,7 +67,7 @@ BLOCK_BYTES = 16 << 20
 PROBED = np.uint64(~((1 << 24) - 1) & (1 << 64) - 1)
 FILTER_BITS = 24
 PASS_BITS, PROBES = 25, 3
-RARITY_BITS = 22
+RARITY_BITS = 24
 CHUNK_BITS = 16
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -205,10 +205,11 @@ def _rarity(sets: DataFrame) -> np.ndarray:
     cells = 1 << RARITY_BITS - CHUNK_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << RARITY_BITS, dtype=np.uint32)
+        table = np.zeros(1 << RARITY_BITS, dtype=np.uint8)  # a task counts up to 255
         for batch in batches:
             for tokens in _tokens(batch.column("tokens")):
-                table[_cell(tokens, RARITY_BITS)] += 1
+                at = _cell(tokens, RARITY_BITS)
+                table[at] += table[at] < 255
         found = [k for k in range(cells) if table[k << CHUNK_BITS : (k + 1) << CHUNK_BITS].any()]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([zlib.compress(table[k << CHUNK_BITS : (k + 1) << CHUNK_BITS].tobytes(), 1) for k in found], pa.binary())], ["chunk", "counts"])
 
@@ -216,7 +217,7 @@ def _rarity(sets: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-                more = np.frombuffer(zlib.decompress(counts), dtype=np.uint32).astype(np.uint64)
+                more = np.frombuffer(zlib.decompress(counts), dtype=np.uint8).astype(np.uint64)
                 sums[chunk] = sums[chunk] + more if chunk in sums else more
         coded = [np.minimum(127, 4 * np.log2(np.maximum(v, 1))).astype(np.uint8).tobytes() for v in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(coded, pa.binary())], ["chunk", "coded"])
