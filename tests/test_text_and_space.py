@@ -356,3 +356,21 @@ def test_relations_of_pairs_need_no_shuffle_and_bounded_memory(spark):
     found = S.polygon_relate(spark.createDataFrame(shapes, f"id long, a {kind}, b {kind}"), ["id"], "a", "b")
     assert {r.id: r.matrix for r in found.collect()} == {0: "2FFF1FFF2", 1: "FF2FF1212", 2: "212101212", 4: "FFFFFF212"}
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plan_of_the_box_join_is_small(spark):
+    """Levels and heavy cells are no parts of the plan: it has each side once, so the boxes' expressions too."""
+    from tests.conftest import DATA
+    from zonepack.queries import QUERIES
+
+    for name in ("multi_relate", "line_line_relate", "sp_intersects"):
+        plan = QUERIES[name](spark, DATA)._jdf.queryExecution().optimizedPlan()
+        assert plan.collectLeaves().size() <= 8 and len(plan.toString()) < 100_000, name
+
+
+def test_box_join_without_rows_on_a_side(spark):
+    box = lambda n: tuple(f"{n}{i}" for i in range(4))
+    frame = lambda n, rows: spark.createDataFrame(rows, f"{n} long, " + ", ".join(f"{c} double" for c in box(n)))
+    for a, b in (([], [(1, 0.0, 0.0, 1.0, 1.0)]), ([(1, 0.0, 0.0, 1.0, 1.0)], []), ([], []), ([(1, None, 0.0, 1.0, 1.0)], [(1, 0.0, 0.0, 1.0, 1.0)])):
+        assert S.bbox_join(frame("a", a), box("a"), frame("b", b), box("b")).collect() == []
+    assert S.bbox_join(frame("a", [(1, 0.0, 0.0, 0.0, 0.0)]), box("a"), frame("b", [(2, 0.0, 0.0, 0.0, 0.0)]), box("b")).count() == 1

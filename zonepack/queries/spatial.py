@@ -164,30 +164,27 @@ _SEGMENTS = _grid_shapes(_LINES) + """, own AS (SELECT p.what, p.id, 2 * (x + i)
 element AS (SELECT what, id, cx AS x, cy AS y, 2 AS part, 1 AS dim FROM own UNION ALL SELECT what, id, cx + s * (cx % 2), cy + s * (cy % 2), CASE WHEN count(*) % 2 = 1 THEN 1 ELSE 2 END, 0 FROM own, (SELECT unnest([-1, 1]) AS s) GROUP BY ALL)"""
 
 
-def _grid_layer(t: Tables, what: str, shapes: list, box: tuple[str, ...], edges) -> DataFrame:
-    """(fid or stratum_id, box, shape): the shapes of a kind at their places, by ``edges(rectangles, x, y)``."""
+def _grid_layer(t: Tables, what: str, shapes: list, box: tuple[str, ...], corners) -> DataFrame:
+    """(fid or stratum_id, box, shape): the shapes of a kind at their places; ``corners`` are those of a rectangle. The shapes are one literal."""
     if what == "f":
         rows = t.part.select(F.col("p_partkey").alias("fid"), (F.col("p_partkey") % 4).alias("k"), (F.col("p_size") % 40).cast("double").alias("x"), (F.col("p_partkey") % 90).cast("double").alias("y"))
     else:
         n = F.col("n_nationkey")
         rows = t.nation.select(n.alias("stratum_id"), (n % 3).alias("k"), (n % 5 * 10).cast("double").alias("x"), (F.floor(n / 5) * 20).cast("double").alias("y"))
-    parts = F.lit(None)
-    for k in {s[1] for s in shapes if s[0] == what}:
+    kinds = []
+    for k in sorted({s[1] for s in shapes if s[0] == what}):
         own = [s[2:] for s in shapes if s[:2] == (what, k)]
-        listed = [[s[1:] for s in own if s[0] == p] for p in sorted({s[0] for s in own})]
-        parts = F.when(F.col("k") == k, F.array(*[F.array(*[edges(*s) for s in part]) for part in listed])).otherwise(parts)
-    rows = rows.withColumn("parts", parts)
+        kinds.append([[[[float(c) for c in corner] for corner in corners(*s[1:])] for s in own if s[0] == p] for p in sorted({s[0] for s in own})])
+    place = lambda p: F.struct((F.col("x") + p[0]).alias("x"), (F.col("y") + p[1]).alias("y"))
+    shape = F.from_json(F.lit(str(kinds)), "array<array<array<array<array<double>>>>>")[F.col("k").cast("int")]
+    rows = rows.withColumn("parts", F.transform(shape, lambda rings: F.transform(rings, lambda points: F.transform(points, place))))
     return rows.select(rows.columns[0], *[c.alias(n) for c, n in zip(G.shape_box(F.col("parts")), box)], "parts")
 
 
-def _corner(dx: int, dy: int) -> F.Column:
-    return F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
-
-
 @query(_POLYGONS + _MATRIX)
 def multi_relate(t: Tables) -> DataFrame:
     """Polygons with holes, several parts and islands in holes, on both sides."""
-    rectangle = lambda x0, y0, x1, y1: F.array(_corner(x0, y0), _corner(x1, y0), _corner(x1, y1), _corner(x0, y1), _corner(x0, y0))
+    rectangle = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]
     features, cells = _grid_layer(t, "f", _SHAPES, A, rectangle), _grid_layer(t, "s", _SHAPES, B, rectangle)
     rows = S.bbox_join(features.withColumnRenamed("parts", "f_parts"), A, cells.withColumnRenamed("parts", "s_parts"), B)
     rows = rows.select("fid", "stratum_id", G.polygon_edges(F.col("f_parts")).alias("a"), G.polygon_edges(F.col("s_parts")).alias("b"))
@@ -197,7 +194,7 @@ def multi_relate(t: Tables) -> DataFrame:
 @query(_SEGMENTS + _MATRIX)
 def line_line_relate(t: Tables) -> DataFrame:
     """Lines of several parts, closed and crossing ones, on both sides."""
-    segment = lambda x0, y0, x1, y1: F.array(_corner(x0, y0), _corner(x1, y1))
+    segment = lambda x0, y0, x1, y1: [(x0, y0), (x1, y1)]
     features, cells = _grid_layer(t, "f", _LINES, A, segment), _grid_layer(t, "s", _LINES, B, segment)
     rows = S.bbox_join(features.withColumnRenamed("parts", "f_parts"), A, cells.withColumnRenamed("parts", "s_parts"), B)
     rows = rows.select("fid", "stratum_id", G.line_edges(F.col("f_parts")).alias("a"), G.line_edges(F.col("s_parts")).alias("b"))
