@@ -460,3 +460,28 @@ def test_running_sums_shuffle_rows_once_and_end_where_a_range_ends(spark):
         expected[i] = sums[g] = sums.get(g, 0) + n
     assert {r.i: r.total for r in found.collect()} == expected
     assert "Exchange hash" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_relations_that_do_not_lead_on_are_written_once(spark, monkeypatch):
+    """Relations that the source doesn't reach, and those inside a level, are written once and then no more; large levels give the same paths."""
+    far = [(f"f{i}", f"x{i}", f"y{i % 50}") for i in range(3000)]
+    near = [("b", "s", "m"), ("a", "s", "m"), ("c", "m", "n"), ("d", "s", "o"), ("e", "o", "n"), ("g", "m", "o"), ("h", "n", "n")]
+    edges = spark.createDataFrame([(*e, True, "normal") for e in near + far], "relation_id string, child string, parent string, valid boolean, kind string")
+    wanted = {"s": (0, [[]]), "m": (1, [["a"], ["b"]]), "o": (1, [["d"]]), "n": (2, [["a", "c"], ["b", "c"], ["d", "e"]])}
+    written, stage = [], graph.stage
+
+    def counted(df, name):
+        out = stage(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(graph, "stage", counted)
+    for small in (graph.SMALL, 0):
+        monkeypatch.setattr(graph, "SMALL", small)
+        assert {r.node: (r.hops, r.paths) for r in graph.listed_paths(graph.hops(edges), "s").collect()} == wanted
+        assert {r.node: (r.hops, r.paths) for r in graph.shortest_paths(graph.hops(edges), "s").collect()} == {n: (h, len(p)) for n, (h, p) in wanted.items()}
+        assert {r.node: r.paths for r in graph.listed_paths(graph.hops(edges), "s", 2).collect()} == {n: p[:2] for n, (_, p) in wanted.items()}
+    assert {r.node: r.paths for r in graph.listed_paths(graph.hops(edges), "elsewhere").collect()} == {"elsewhere": [[]]}
+    written.clear()
+    graph.listed_paths(graph.hops(edges), "s")
+    assert written[0] == ("steps", 3007) and sum(n for _, n in written[1:]) <= 20
