@@ -1,5 +1,6 @@
 """Key networks: hand-known answers."""
 
+import os
 import random
 
 import pytest
@@ -468,11 +469,12 @@ def test_relations_that_do_not_lead_on_are_written_once(spark, monkeypatch):
     near = [("b", "s", "m"), ("a", "s", "m"), ("c", "m", "n"), ("d", "s", "o"), ("e", "o", "n"), ("g", "m", "o"), ("h", "n", "n")]
     edges = spark.createDataFrame([(*e, True, "normal") for e in near + far], "relation_id string, child string, parent string, valid boolean, kind string")
     wanted = {"s": (0, [[]]), "m": (1, [["a"], ["b"]]), "o": (1, [["d"]]), "n": (2, [["a", "c"], ["b", "c"], ["d", "e"]])}
-    written, stage = [], graph.stage
+    written, folders, stage = [], {}, graph.stage
 
     def counted(df, name):
         out = stage(df, name)
         written.append((name, out.count()))
+        folders.setdefault(name, []).append(out.staged_at.removeprefix("file:"))
         return out
 
     monkeypatch.setattr(graph, "stage", counted)
@@ -482,6 +484,7 @@ def test_relations_that_do_not_lead_on_are_written_once(spark, monkeypatch):
         assert {r.node: (r.hops, r.paths) for r in graph.shortest_paths(graph.hops(edges), "s").collect()} == {n: (h, len(p)) for n, (h, p) in wanted.items()}
         assert {r.node: r.paths for r in graph.listed_paths(graph.hops(edges), "s", 2).collect()} == {n: p[:2] for n, (_, p) in wanted.items()}
     assert {r.node: r.paths for r in graph.listed_paths(graph.hops(edges), "elsewhere").collect()} == {"elsewhere": [[]]}
-    written.clear()
+    written.clear(), folders.clear()
     graph.listed_paths(graph.hops(edges), "s")
     assert written[0] == ("steps", 3007) and sum(n for _, n in written[1:]) <= 20
+    assert not any(os.path.exists(f) for name in ("steps", "ahead") for f in folders[name]) and all(map(os.path.exists, folders["level"]))
